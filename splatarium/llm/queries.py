@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from . import quality_rules
+from . import jaccard_join, quality_rules
 
 QUERIES = {
     "op1_quality_divergence": quality_rules.op1_quality_divergence,
+    "op6_ngram_jaccard_join": jaccard_join.op6_ngram_jaccard_join,
 }
 
 ORACLE_SQL: dict[str, str] = {}
