@@ -2,11 +2,16 @@
 
 from __future__ import annotations
 
-from . import jaccard_join, quality_rules
+from . import jaccard_join, line_dedup, quality_rules, source_mix
 
 QUERIES = {
     "op1_quality_divergence": quality_rules.op1_quality_divergence,
     "op6_ngram_jaccard_join": jaccard_join.op6_ngram_jaccard_join,
+    "op7_site_line_frequency": line_dedup.op7_site_line_frequency,
+    "op9_source_mix": source_mix.op9_source_mix,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {
+    "op7_site_line_frequency": line_dedup.OP7_SQL,
+    "op9_source_mix": source_mix.OP9_SQL,
+}
