@@ -2,16 +2,18 @@
 
 from __future__ import annotations
 
-from . import jaccard_join, line_dedup, quality_rules, source_mix
+from . import bpe, jaccard_join, line_dedup, quality_rules, source_mix
 
 QUERIES = {
     "op1_quality_divergence": quality_rules.op1_quality_divergence,
     "op6_ngram_jaccard_join": jaccard_join.op6_ngram_jaccard_join,
     "op7_site_line_frequency": line_dedup.op7_site_line_frequency,
+    "op8_chunked_bpe": bpe.op8_chunked_bpe,
     "op9_source_mix": source_mix.op9_source_mix,
 }
 
 ORACLE_SQL: dict[str, str] = {
     "op7_site_line_frequency": line_dedup.OP7_SQL,
+    "op8_chunked_bpe": bpe.op8_chunked_bpe,
     "op9_source_mix": source_mix.OP9_SQL,
 }
