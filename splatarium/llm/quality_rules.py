@@ -124,6 +124,7 @@ def count_slice(buf: np.ndarray, off: np.ndarray) -> dict[str, np.ndarray]:
     out["n_repeat_words"] = c.add_edges(row[np.cumsum(covered)[:-1] > 0], n)
     # histograms
     at = np.flatnonzero(kind >= 0)
+    out["hist_chars"] = c.per_row(c.running(kind >= 0), off)
     cell = np.repeat(np.arange(n) * len(CLASSES), np.diff(off))[at] + kind[at]
     out["char_hist"] = c.add_edges(cell, n * len(CLASSES))
     low = c.span_hashes(c.LOWER[buf], start, end) if len(start) else h
@@ -136,6 +137,7 @@ def count_slice(buf: np.ndarray, off: np.ndarray) -> dict[str, np.ndarray]:
 
 
 _COUNTS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
+_COLUMNS = (*_COUNTS, "hist_chars")
 
 
 def count_texts(df: DataFrame, text: str = "text", carry: tuple[str, ...] = ()) -> DataFrame:
@@ -143,7 +145,7 @@ def count_texts(df: DataFrame, text: str = "text", carry: tuple[str, ...] = ())
     df = df.select(*[F.col(f"`{k}`") for k in carry], F.col(f"`{text}`").alias(c.fresh(df, "whole_text")[0]))
     schema = ", ".join(
         [f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema.fields[:-1]]
-        + [f"{k} bigint" for k in _COUNTS]
+        + [f"{k} bigint" for k in _COLUMNS]
         + ["char_hist array<bigint>", "word_hist array<bigint>"]
     )
 
@@ -152,26 +154,22 @@ def count_texts(df: DataFrame, text: str = "text", carry: tuple[str, ...] = ())
             for at, buf, off in c.slices(batch.column(batch.num_columns - 1)):
                 n, got = len(off) - 1, count_slice(buf, off)
                 cols = [batch.column(k).slice(at, n) for k in range(batch.num_columns - 1)]
-                cols += [pa.array(got[k], pa.int64()) for k in _COUNTS]
+                cols += [pa.array(got[k], pa.int64()) for k in _COLUMNS]
                 cols += [c.fixed_list(got[k], np.full(n, len(got[k]) // n), pa.int64()) for k in ("char_hist", "word_hist")]
-                yield pa.RecordBatch.from_arrays(cols, [*batch.schema.names[:-1], *_COUNTS, "char_hist", "word_hist"])
+                yield pa.RecordBatch.from_arrays(cols, [*batch.schema.names[:-1], *_COLUMNS, "char_hist", "word_hist"])
 
     return df.mapInArrow(run, schema)
 
 
-def js_distance(p, q):
-    """Jensen-Shannon distance of two arrays of counts, base 2; null if one is empty.
+def js_distance(p, sp, q, sq):
+    """Jensen-Shannon distance (base 2) of arrays of counts p and q with the sums
+    sp and sq; null if a sum is 0 or null.
 
-    With natural logarithms: half the sum of p ln(p/m) + q ln(q/m), over ln 2.
+    The divergence is half the sum of f(a) + f(b) - 2 f((a + b) / 2) with
+    f(x) = x ln x. The sums are columns, so no lambda adds anything up again.
     """
-    sp, sq = (F.aggregate(x, F.lit(0.0), lambda a, v: a + v) for x in (p, q))
-    part = lambda x, m: F.when(x > 0, x * F.ln(x / m)).otherwise(0.0)
-
-    def term(x, y):
-        a, b = x / sp, y / sq
-        m = (a + b) / 2
-        return part(a, m) + part(b, m)
-
+    f = lambda x: F.when(x > 0, x * F.ln(x)).otherwise(0.0)
+    term = lambda x, y: f(x / sp) + f(y / sq) - 2 * f((x / sp + y / sq) / 2)
     total = F.aggregate(F.zip_with(p, q, term), F.lit(0.0), lambda a, v: a + v)
     return F.when((sp > 0) & (sq > 0), F.sqrt(F.greatest(total / (2 * np.log(2.0)), F.lit(0.0))))
 
@@ -189,7 +187,9 @@ def language_references(counted: DataFrame, lang: str = "lang", rules: Rules = R
     pass the base rules. The sums combine on the map side."""
     sums = [F.sum(F.col(h)[k]).alias(f"{h}_{k}") for h, n in _HISTS for k in range(n)]
     refs = with_base(counted, rules).filter(~F.col("base_failed")).groupBy(F.col(f"`{lang}`").alias("ref_lang")).agg(*sums)
-    return c.saved(refs.select("ref_lang", *[F.array(*[F.col(f"{h}_{k}").cast("double") for k in range(n)]).alias(f"ref_{h}") for h, n in _HISTS]), "references")
+    out = [F.array(*[F.col(f"{h}_{k}") for k in range(n)]).alias(f"ref_{h}") for h, n in _HISTS]
+    out += [sum(F.col(f"{h}_{k}") for k in range(n)).alias(f"sum_{h}") for h, n in _HISTS]
+    return c.saved(refs.select("ref_lang", *out), "references")
 
 
 def with_verdicts(counted: DataFrame, refs: DataFrame, lang: str = "lang", rules: Rules = Rules()) -> DataFrame:
@@ -199,12 +199,12 @@ def with_verdicts(counted: DataFrame, refs: DataFrame, lang: str = "lang", rules
     it while its files are under the session's threshold.
     """
     joined = with_base(counted, rules).join(refs, F.col(f"`{lang}`").eqNullSafe(F.col("ref_lang")), "left")
-    n_chars = F.aggregate("char_hist", F.lit(0).cast("long"), lambda a, v: a + v)
-    doubles = lambda h: F.transform(h, lambda v: v.cast("double"))
-    joined = joined.withColumn("char_distance", F.when(n_chars >= rules.min_chars, js_distance(doubles("char_hist"), F.col("ref_char_hist"))))
-    joined = joined.withColumn("word_distance", F.when(F.col("n_words") >= rules.min_words_for_histogram, js_distance(doubles("word_hist"), F.col("ref_word_hist"))))
+    chars = js_distance(F.col("char_hist"), F.col("hist_chars"), F.col("ref_char_hist"), F.col("sum_char_hist"))
+    words = js_distance(F.col("word_hist"), F.col("n_words"), F.col("ref_word_hist"), F.col("sum_word_hist"))
+    joined = joined.withColumn("char_distance", F.when(F.col("hist_chars") >= rules.min_chars, chars))
+    joined = joined.withColumn("word_distance", F.when(F.col("n_words") >= rules.min_words_for_histogram, words))
     near = (F.coalesce("char_distance", F.lit(0.0)) <= rules.max_char_distance) & (F.coalesce("word_distance", F.lit(0.0)) <= rules.max_word_distance)
-    return joined.withColumn("kept", ~F.col("base_failed") & near).drop("ref_lang", "ref_char_hist", "ref_word_hist", "char_hist", "word_hist")
+    return joined.withColumn("kept", ~F.col("base_failed") & near).drop("ref_lang", "hist_chars", *(f"{a}{h}" for a in ("", "ref_", "sum_") for h, _ in _HISTS))
 
 
 def apply_rules(df: DataFrame, text: str = "text", lang: str = "lang", rules: Rules = Rules()) -> DataFrame:

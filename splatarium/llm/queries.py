@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from . import bpe, jaccard_join, line_dedup, quality_rules, source_mix
+from . import bpe, grammar_store, jaccard_join, line_dedup, quality_rules, source_mix
 
 QUERIES = {
     "op1_quality_divergence": quality_rules.op1_quality_divergence,
+    "op3_repair_shards": grammar_store.op3_repair_shards,
     "op6_ngram_jaccard_join": jaccard_join.op6_ngram_jaccard_join,
     "op7_site_line_frequency": line_dedup.op7_site_line_frequency,
     "op8_chunked_bpe": bpe.op8_chunked_bpe,
