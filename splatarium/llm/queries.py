@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import bpe, grammar_store, jaccard_join, line_dedup, quality_rules, source_mix
+from . import bpe, grammar_store, jaccard_join, line_dedup, quality_rules, source_mix, warc
 
 QUERIES = {
     "op1_quality_divergence": quality_rules.op1_quality_divergence,
@@ -11,10 +11,12 @@ QUERIES = {
     "op7_site_line_frequency": line_dedup.op7_site_line_frequency,
     "op8_chunked_bpe": bpe.op8_chunked_bpe,
     "op9_source_mix": source_mix.op9_source_mix,
+    "op10_warc_transactions": warc.op10_warc_transactions,
 }
 
 ORACLE_SQL: dict[str, str] = {
     "op7_site_line_frequency": line_dedup.OP7_SQL,
     "op8_chunked_bpe": bpe.op8_chunked_bpe,
     "op9_source_mix": source_mix.OP9_SQL,
+    "op10_warc_transactions": warc.OP10_SQL,
 }
