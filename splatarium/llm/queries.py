@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
-from . import bpe, grammar_store, jaccard_join, line_dedup, quality_rules, source_mix, warc
+from . import bpe, chat_format, grammar_store, jaccard_join, line_dedup, quality_rules, source_mix, tiff, warc
 
 QUERIES = {
     "op1_quality_divergence": quality_rules.op1_quality_divergence,
+    "op2_chat_format": chat_format.op2_chat_format,
     "op3_repair_shards": grammar_store.op3_repair_shards,
+    "op5_tiff_pages": tiff.op5_tiff_pages,
     "op6_ngram_jaccard_join": jaccard_join.op6_ngram_jaccard_join,
     "op7_site_line_frequency": line_dedup.op7_site_line_frequency,
     "op8_chunked_bpe": bpe.op8_chunked_bpe,
@@ -15,6 +17,7 @@ QUERIES = {
 }
 
 ORACLE_SQL: dict[str, str] = {
+    "op2_chat_format": chat_format.OP2_SQL,
     "op7_site_line_frequency": line_dedup.OP7_SQL,
     "op8_chunked_bpe": bpe.op8_chunked_bpe,
     "op9_source_mix": source_mix.OP9_SQL,
