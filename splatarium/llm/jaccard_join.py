@@ -332,10 +332,18 @@ def jaccard_join(df: DataFrame, doc_id: str = "doc_id", text: str = "text", word
 
 
 def one_of_each(df: DataFrame, doc_id: str = "doc_id", text: str = "text", words: int = 5, percent: int = 80) -> DataFrame:
-    """The rows of df whose document is the smallest of its group, or alone."""
-    groups = jaccard_join(df, doc_id, text, words, percent)
+    """The rows of df whose document is the smallest of its group, or alone.
+
+    Rows without doc_id stay. Of rows that share a doc_id, which only a faulty
+    table has, one stays; where there are none, no text is shuffled for it.
+    """
+    groups = c.saved(jaccard_join(df, doc_id, text, words, percent), "groups")
     gone = groups.filter(F.col("component_id") < F.col("doc_id")).select(F.col("doc_id").alias(doc_id)).distinct()
-    return df.join(gone, doc_id, "left_anti").select(*df.columns)
+    left = df.join(gone, doc_id, "left_anti").select(*df.columns)
+    twice = c.saved(groups.dropna(subset=["doc_id"]).groupBy(F.col("doc_id").alias(doc_id)).count().filter("count > 1").select(doc_id), "repeated-ids")
+    if not twice.limit(1).count():
+        return left
+    return left.join(twice, doc_id, "left_anti").select(*df.columns).unionByName(left.join(twice, doc_id, "left_semi").select(*df.columns).dropDuplicates([doc_id]))
 
 
 def op6_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from . import bpe, chat_format, grammar_store, jaccard_join, line_dedup, quality_rules, source_mix, tiff, warc
+from . import bpe, chat_format, grammar_store, jaccard_join, line_dedup, ordinal_quality, quality_rules, source_mix, tiff, warc
 
 QUERIES = {
     "op1_quality_divergence": quality_rules.op1_quality_divergence,
     "op2_chat_format": chat_format.op2_chat_format,
     "op3_repair_shards": grammar_store.op3_repair_shards,
+    "op4_ordinal_quality": ordinal_quality.op4_ordinal_quality,
     "op5_tiff_pages": tiff.op5_tiff_pages,
     "op6_ngram_jaccard_join": jaccard_join.op6_ngram_jaccard_join,
     "op7_site_line_frequency": line_dedup.op7_site_line_frequency,
