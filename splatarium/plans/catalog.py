@@ -1,7 +1,442 @@
-"""All registered scene queries with their SQL."""
+"""All registered scene queries, each with the same in SQL.
+
+The SQL is written for DuckDB, from the formulas; constants such as matrices are
+filled in as numbers. Sums and powers are rounded in both.
+"""
 
 from __future__ import annotations
 
-FLAGSHIP = ""
-QUERIES: dict = {}
+from collections.abc import Callable
+
+import numpy as np
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from ..functions import rotation as rot
+from ..functions import scalar as sc
+from ..operators import compose, filters, opacity, stats
+from ..operators.colour import Color, ColorSteps
+from ..operators.filters import Filter, Tests
+from ..operators.transform import Transform
+from ..scene import Scene, process
+from ..scene_format import BANDS, OPACITY, POS, QUAT, RGB, SCALE, cols, pre_activate
+from . import fixtures as fx
+from .pipeline import GroupedPipeline, Pipeline
+from .presets import get_color_preset
+from .values import ColorValues, FilterValues, HistogramConfig, OpacityValues, TransformValues
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
+FLAGSHIP = "pipeline_grade_and_crop"
+L, E, P = fx.SQL_L, fx.SQL_E, fx.SQL_P
+KEYS = ", ".join(fx.KEYS_L)
+C0 = repr(sc.C0)
+
+
+def register(name: str, sql: str | None = None):
+    def put_in(f):
+        QUERIES[name] = f
+        if sql:
+            # the same rounding as `_rounded`
+            ORACLE_SQL[name] = sql.replace(", 10)", f" + {_OFF_TIES!r}, 6)")
+        return f
+
+    return put_in
+
+
+#: Decimal inputs give results that end in a 5 where they are cut; this moves them off the edge.
+_OFF_TIES = 1.23456e-07
+
+
+def _rounded(c):
+    return F.round((F.col(c) if isinstance(c, str) else c) + _OFF_TIES, 6)
+
+
+def _out(df: DataFrame, keys, values, digits: int = 10) -> DataFrame:
+    return df.select(*keys, *[(_rounded(v) if digits == 10 else F.round(v, digits)).alias(v) for v in values])
+
+
+def _r(values, digits: int = 10) -> str:
+    """SQL select list of rounded columns; 10 digits stand for the rounding above."""
+    return ", ".join(f"round({v}, {digits}) AS {v}" for v in values)
+
+
+def _n(x: float) -> str:
+    return f"CAST({float(x)!r} AS DOUBLE)"
+
+
+def _affine(m, names, shift=(0, 0, 0)) -> list[str]:
+    m = np.asarray(m, float)
+    return ["(" + " + ".join([*(f"{_n(a)}*{c}" for a, c in zip(row, names)), _n(t)]) + ")" for row, t in zip(m, shift)]
+
+
+def _hamilton(q, names) -> list[str]:
+    """Literal q times a row's quaternion, from the 4x4 matrix of a left product."""
+    m = np.stack([rot.quaternion_multiply(q, e) for e in np.eye(4)], axis=1)
+    return ["(" + " + ".join(f"{_n(a)}*{c}" for a, c in zip(row, names)) + ")" for row in m]
+
+
+LUM = "(0.299*r + 0.587*g + 0.114*b)"
+DBL = lambda c: f"CAST({c} AS DOUBLE)"
+CLIP01 = lambda x: f"least(greatest({x}, CAST(0 AS DOUBLE)), CAST(1 AS DOUBLE))"
+
+
+# ------------------------------------------------------------------- filters
+
+_ALWAYS = "opacity >= 0 AND opacity <= 1 AND greatest(sx,sy,sz) >= 0 AND greatest(sx,sy,sz) <= 100"
+_SPHERE = lambda r, c=(0, 0, 0): f"((x-{_n(c[0])})*(x-{_n(c[0])}) + (y-{_n(c[1])})*(y-{_n(c[1])}) + (z-{_n(c[2])})*(z-{_n(c[2])}) <= {_n(r * r)})"
+
+
+def _local_sql(center, rotation):
+    m = np.eye(3) if rotation is None else rot.axis_angle_to_rotation_matrix(rotation).T
+    return _affine(m, [f"({c}-{_n(o)})" for c, o in zip(POS, center)])
+
+
+def _box_sql(lo, hi, rotation=None):
+    center, half = (np.array(lo) + hi) / 2, (np.array(hi) - lo) / 2
+    return "(" + " AND ".join(f"abs({p}) <= {_n(h)}" for p, h in zip(_local_sql(center, rotation), half)) + ")"
+
+
+def _ellipsoid_sql(center, radii, rotation=None):
+    return "(" + " + ".join(f"({p}/{_n(r)})*({p}/{_n(r)})" for p, r in zip(_local_sql(center, rotation), radii)) + " <= 1)"
+
+
+def _frustum_sql(position, rotation, fov, aspect, near, far):
+    x, y, z = _local_sql(position, rotation)
+    ty = np.tan(fov / 2)
+    return f"({z} < {_n(-near)} AND {z} > {_n(-far)} AND abs({x}) <= -{z}*{_n(ty * aspect)} AND abs({y}) <= -{z}*{_n(ty)})"
+
+
+_ROT = (0.3, -0.2, 0.5)
+_FILTERS: dict[str, tuple[FilterValues, str]] = {
+    "filter_thresholds": (FilterValues(min_opacity=0.3, max_opacity=0.9, min_scale=0.2, max_scale=0.8), "opacity >= 0.3 AND opacity <= 0.9 AND greatest(sx,sy,sz) >= 0.2 AND greatest(sx,sy,sz) <= 0.8"),
+    "filter_sphere": (FilterValues(sphere_radius=4.0, sphere_center=(1.0, 0.5, -0.5)), f"{_ALWAYS} AND {_SPHERE(4.0, (1.0, 0.5, -0.5))}"),
+    "filter_box": (FilterValues(box_min=(-3.0, -4.05, -2.5), box_max=(2.0, 1.0, 4.5)), f"{_ALWAYS} AND x BETWEEN -3.0 AND 2.0 AND y BETWEEN -4.05 AND 1.0 AND z BETWEEN -2.5 AND 4.5"),
+    "filter_rotated_box": (FilterValues(box_min=(-3.03, -2.07, -2.51), box_max=(2.01, 3.03, 4.04), box_rot=_ROT), f"{_ALWAYS} AND {_box_sql((-3.03, -2.07, -2.51), (2.01, 3.03, 4.04), _ROT)}"),
+    "filter_ellipsoid": (FilterValues(ellipsoid_center=(0.51, 0.12, 0.03), ellipsoid_radii=(3.03, 4.07, 2.52), ellipsoid_rot=_ROT), f"{_ALWAYS} AND {_ellipsoid_sql((0.51, 0.12, 0.03), (3.03, 4.07, 2.52), _ROT)}"),
+    "filter_frustum": (FilterValues(frustum_pos=(0.5, 0.3, 6.07), frustum_rot=(0.1, 0.2, 0.05), frustum_fov=0.9, frustum_aspect=1.3, frustum_near=1.03, frustum_far=9.02), f"{_ALWAYS} AND {_frustum_sql((0.5, 0.3, 6.07), (0.1, 0.2, 0.05), 0.9, 1.3, 1.03, 9.02)}"),
+    "filter_combined": (FilterValues(min_opacity=0.3, max_scale=0.9, sphere_radius=4.0, box_min=(-5.0, -5.0, 0.0), box_max=(5.0, 5.0, 5.0)), f"opacity >= 0.3 AND opacity <= 1 AND greatest(sx,sy,sz) <= 0.9 AND {_SPHERE(4.0)} AND x BETWEEN -5 AND 5 AND y BETWEEN -5 AND 5 AND z BETWEEN 0 AND 5"),
+    "filter_outside_sphere": (FilterValues(sphere_radius=4.0, invert=True), f"NOT ({_ALWAYS} AND {_SPHERE(4.0)})"),
+    "filter_merged_spheres": (FilterValues(sphere_radius=5.0) + FilterValues(sphere_radius=3.0, sphere_center=(2.0, 0.0, 0.0), min_opacity=0.2), f"{_ALWAYS} AND opacity >= 0.2 AND {_SPHERE(3.0, (2.0, 0.0, 0.0))}"),
+}
+for _name, (_v, _where) in _FILTERS.items():
+    register(_name, f"SELECT {KEYS}, {_r(POS)} FROM ({L}) WHERE {_where}")(lambda spark, sf, v=_v: _out(fx.scene_l(spark, sf).filter(v).df, fx.KEYS_L, POS))
+
+
+@register("filter_both_spheres", f"SELECT {KEYS}, {_r(POS)} FROM ({L}) WHERE {_ALWAYS} AND {_SPHERE(5.0)} AND {_SPHERE(3.0, (2.0, 0.0, 0.0))}")
+def _filter_both(spark, sf):
+    return _out(fx.scene_l(spark, sf).filter(Filter.sphere(5.0) & Filter.sphere(3.0, (2.0, 0.0, 0.0))).df, fx.KEYS_L, POS)
+
+
+@register("filter_algebra", f"SELECT {KEYS}, {_r(POS)} FROM ({L}) WHERE ({_ALWAYS} AND {_SPHERE(3.0)}) OR NOT ({_ALWAYS} AND opacity >= 0.5 AND x BETWEEN -4 AND 4 AND y BETWEEN -4 AND 4 AND z BETWEEN -4 AND 4)")
+def _filter_algebra(spark, sf):
+    f = Filter.sphere(3.0) | ~(Filter.min_opacity(0.5) & Filter.box((-4, -4, -4), (4, 4, 4)))
+    return _out(fx.scene_l(spark, sf).filter(f).df, fx.KEYS_L, POS)
+
+
+@register("filter_log_logit", f"SELECT gid, {_r(POS)} FROM ({E}) WHERE opacity >= ln(0.3/(1-0.3+1e-7)) AND greatest(sx,sy,sz) <= ln(0.9) AND {_SPHERE(2.0)}")
+def _filter_log(spark, sf):
+    return _out(fx.scene_e(spark, sf).filter(FilterValues(min_opacity=0.3, max_scale=0.9, sphere_radius=2.0)).df, ["gid"], POS)
+
+
+_TESTS = Tests().within_sphere((0.0, 0.0, 0.0), 2.0).min_opacity(0.95).near_plane(4.55, "x").far_plane(-4.85, "y")
+_TESTS_SQL = [_SPHERE(2.0), "opacity >= 0.95", "x >= 4.55", "y <= -4.85"]
+register("tests_any", f"SELECT {KEYS}, {_r(POS)} FROM ({L}) WHERE {' OR '.join(_TESTS_SQL)}")(lambda spark, sf: _out(_TESTS(fx.scene_l(spark, sf).df, "or"), fx.KEYS_L, POS))
+register("tests_mask", f"SELECT {KEYS}, {' AND '.join(_TESTS_SQL[:2])} AS mask_near FROM ({L})")(
+    lambda spark, sf: Tests(_TESTS.ops[:2]).mask(fx.scene_l(spark, sf).df, "mask_near").select(*fx.KEYS_L, "mask_near")
+)
+register("tests_complement", f"SELECT {KEYS}, {_r(POS)} FROM ({L}) WHERE NOT {_SPHERE(2.0)} AND opacity <= 0.95 - 1e-6 AND x <= 4.55 - 1e-6 AND y >= -4.85 + 1e-6")(
+    lambda spark, sf: _out(_TESTS.complement()(fx.scene_l(spark, sf).df), fx.KEYS_L, POS)
+)
+
+
+@register("split_by_region", f"SELECT z > 0 AND x < 1 AS inside, count(*) AS n, round(sum(opacity), 4) AS opacity_sum FROM ({L}) GROUP BY 1")
+def _split(spark, sf):
+    inside, outside = fx.scene_l(spark, sf).split((F.col("z") > 0) & (F.col("x") < 1))
+    both = inside.df.withColumn("inside", F.lit(True)).unionByName(outside.df.withColumn("inside", F.lit(False)))
+    return both.groupBy("inside").agg(F.count(F.lit(1)).alias("n"), F.round(F.sum("opacity"), 4).alias("opacity_sum"))
+
+
+@register("filter_soft_weight", f"SELECT {KEYS}, round(1/(1+exp(-(opacity-0.4)*10)) * 1/(1+exp(-(0.7-greatest(sx,sy,sz))*8)) * 1/(1+exp(-(4-sqrt(x*x+y*y+z*z))*5)), 10) AS weight FROM ({L})")
+def _soft(spark, sf):
+    w = filters.soft_weight(opacity=0.4, scale=0.7, scale_sharpness=8.0, shape="sphere", radius=4.0, sharpness=5.0)
+    return fx.scene_l(spark, sf).df.select(*fx.KEYS_L, _rounded(w).alias("weight"))
+
+
+# ---------------------------------------------------------------- transforms
+
+
+def _transform_sql(source: str, keys: str, m, q, size, log=False) -> str:
+    scales = [f"{c} + {_n(np.log(s))}" if log else f"{c}*{_n(s)}" for c, s in zip(SCALE, size)]
+    inner = [f"{e} AS {c}" for e, c in zip(_affine(np.asarray(m)[:3, :3], POS, np.asarray(m)[:3, 3]), POS)]
+    inner += [f"{e} AS {c}" for e, c in zip(_hamilton(q, QUAT), QUAT)] + [f"{e} AS {c}" for e, c in zip(scales, SCALE)]
+    return f"SELECT {keys}, {_r((*POS, *QUAT, *SCALE))} FROM (SELECT {keys}, {', '.join(inner)} FROM ({source}))"
+
+
+_ALL = (*POS, *QUAT, *SCALE)
+_SRT = TransformValues((2.0, 0.5, 1.5), tuple(rot.euler_to_quaternion((0.4, -0.7, 1.1)).tolist()), (1.0, 2.0, 3.0), (0.5, -0.5, 0.25))
+register("transform_srt", _transform_sql(L, KEYS, _SRT.to_matrix(), _SRT.rotation, _SRT.scale))(lambda spark, sf: _out(fx.scene_l(spark, sf).transform(_SRT).df, fx.KEYS_L, _ALL))
+register("transform_log_scale", _transform_sql(E, "gid", _SRT.to_matrix(), _SRT.rotation, _SRT.scale, True))(lambda spark, sf: _out(fx.scene_e(spark, sf).transform(_SRT).df, ["gid"], _ALL))
+register("transform_translate", f"SELECT {KEYS}, round(x+1, 10) AS x, round(y+2, 10) AS y, round(z-3, 10) AS z FROM ({L})")(lambda spark, sf: _out(fx.scene_l(spark, sf).translate((1, 2, -3)).df, fx.KEYS_L, POS))
+_STEPS = Transform().scale(2.0, (1, 0, 0)).rotate_axis_angle_deg((0, 1, 1), 40).translate((0.5, 0, -1)).rotate_euler((0.1, 0.2, 0.3), (0, 1, 0)).scale((1.0, 3.0, 0.5))
+register("transform_steps", _transform_sql(L, KEYS, *_STEPS.compile()))(lambda spark, sf: _out(_STEPS(fx.scene_l(spark, sf).df), fx.KEYS_L, _ALL))
+_SUM = TransformValues.from_rotation_euler(10, 20, 30) + TransformValues.from_scale((1.0, 2.0, 4.0)) + TransformValues.from_translation(1, 1, 1)
+register("transform_merged", _transform_sql(L, KEYS, _SUM.to_matrix(), _SUM.rotation, _SUM.scale))(lambda spark, sf: _out(fx.scene_l(spark, sf).transform(_SUM).df, fx.KEYS_L, _ALL))
+_M4 = np.array([[0.8, -0.6, 0.0, 1.0], [0.6, 0.8, 0.0, -2.0], [0.0, 0.0, 1.0, 0.5], [0, 0, 0, 1]])
+register("transform_matrix", _transform_sql(L, KEYS, _M4, rot.rotation_matrix_to_quaternion(_M4), (1, 1, 1)))(lambda spark, sf: _out(fx.scene_l(spark, sf).transform_matrix(_M4).df, fx.KEYS_L, _ALL))
+
+
+@register("rotation_of_rows", f"""SELECT {KEYS}, {_r(('w', 'ex', 'ey', 'ez', 'm01', 'm22'))} FROM (
+  SELECT {KEYS}, qw*qw - qx*qx - qy*qy - qz*qz AS w, atan2(2*(qw*qx+qy*qz), 1-2*(qx*qx+qy*qy)) AS ex, asin(least(greatest(2*(qw*qy-qz*qx), -1), 1)) AS ey,
+  atan2(2*(qw*qz+qx*qy), 1-2*(qy*qy+qz*qz)) AS ez, 2*(qx*qy-qw*qz)/n AS m01, (qw*qw-qx*qx-qy*qy+qz*qz)/n AS m22 FROM (SELECT *, qw*qw+qx*qx+qy*qy+qz*qz AS n FROM ({L})))""")
+def _rotation_rows(spark, sf):
+    df, q = fx.scene_l(spark, sf).df, cols(QUAT)
+    m = rot.matrix_columns(q)
+    made = [rot.multiply_columns(q, q)[0], *rot.euler_columns(q), m[0][1], m[2][2]]
+    return df.select(*fx.KEYS_L, *[_rounded(v).alias(n) for v, n in zip(made, ("w", "ex", "ey", "ez", "m01", "m22"))])
+
+
+# -------------------------------------------------------------------- colour
+
+
+def _stages(source: str, keys: str, stages: list[tuple[str, ...]], final=RGB, digits: int = 10) -> str:
+    """Nested selects, each replacing r, g, b by three expressions over them."""
+    sql = source
+    for e in stages:
+        sql = f"SELECT * REPLACE ({', '.join(f'{x} AS {c}' for x, c in zip(e, RGB))}) FROM ({sql})"
+    return f"SELECT {keys}, {_r(final, digits)} FROM ({sql})"
+
+
+def _all3(f: Callable[[str], str]) -> tuple[str, ...]:
+    return tuple(f(c) for c in RGB)
+
+
+_SS = lambda a, b: f"(least(greatest(({LUM}-{a})/{b - a},0),1)*least(greatest(({LUM}-{a})/{b - a},0),1)*(3-2*least(greatest(({LUM}-{a})/{b - a},0),1)))"
+_SAT = "(greatest(r,g,b)-least(r,g,b))"
+
+
+def _value_stages(v: ColorValues) -> list[tuple[str, ...]]:
+    """RGB stages of a record, in SQL."""
+    s: list[tuple[str, ...]] = []
+    if v.temperature:
+        s.append((f"r*{_n(1 + 0.3 * v.temperature)}", "g", f"b*{_n(1 - 0.3 * v.temperature)}"))
+    if v.tint:
+        s.append((f"r+{_n(0.05 * v.tint)}", f"g-{_n(0.1 * v.tint)}", f"b+{_n(0.05 * v.tint)}"))
+    if v.brightness != 1:
+        s.append(_all3(lambda c: f"{c}*{_n(v.brightness)}"))
+    if v.contrast != 1:
+        s.append(_all3(lambda c: f"({c}-0.5)*{_n(v.contrast)}+0.5"))
+    if v.gamma != 1:
+        s.append(_all3(lambda c: f"pow(greatest({c}, {_n(1e-7)}), {_n(v.gamma)})"))
+    if v.saturation != 1:
+        s.append(_all3(lambda c: f"{LUM}+{_n(v.saturation)}*({c}-{LUM})"))
+    if v.hue_shift:
+        s.append(tuple(_affine(sc.hue_matrix(v.hue_shift), RGB)))
+    if v.vibrance != 1:
+        s.append(_all3(lambda c: f"least(greatest({LUM}+({c}-{LUM})*((1-{_SAT})*{_n(v.vibrance - 1)}+1),0),1)"))
+    if v.shadows or v.highlights:
+        s.append(_all3(lambda c: f"{c}*(1+{_n(v.shadows)}*(1-{_SS(0, 0.5)})+{_n(v.highlights)}*{_SS(0.5, 1)})"))
+    if v.fade:
+        s.append(_all3(lambda c: f"{c}*{_n(1 - v.fade)}+{_n(v.fade)}"))
+    if v.shadow_tint_sat or v.highlight_tint_sat:
+        a, b = sc.hue_offset(v.shadow_tint_hue), sc.hue_offset(v.highlight_tint_hue)
+        s.append(tuple(f"{c}+greatest(0,1-2*{LUM})*{_n(v.shadow_tint_sat * p)}+greatest(0,2*{LUM}-1)*{_n(v.highlight_tint_sat * q)}" for c, p, q in zip(RGB, a, b)))
+    s.append(_all3(lambda c: f"least(greatest({c},0),1)"))
+    return s
+
+
+_COLOURS = {
+    "color_temperature_tint": ColorValues(temperature=0.4, tint=-0.3), "color_brightness": ColorValues(brightness=1.3), "color_contrast": ColorValues(contrast=1.4), "color_gamma": ColorValues(gamma=0.8),
+    "color_saturation": ColorValues(saturation=1.5), "color_hue": ColorValues(hue_shift=40.0), "color_vibrance": ColorValues(vibrance=1.6), "color_shadows_highlights": ColorValues(shadows=0.3, highlights=-0.2),
+    "color_fade": ColorValues(fade=0.15), "color_preset_teal_orange": get_color_preset("teal_orange"), "color_merged": get_color_preset("cinematic") + ColorValues(hue_shift=-30.0, gamma=1.1, vibrance=0.8),
+}
+for _name, _v in _COLOURS.items():
+    register(_name, _stages(L, KEYS, _value_stages(_v)))(lambda spark, sf, v=_v: _out(fx.scene_l(spark, sf).color(v).df, fx.KEYS_L, RGB))
+
+
+_SH = ColorValues(temperature=0.2, tint=0.1, brightness=1.2, contrast=1.1, saturation=0.8, hue_shift=25.0, fade=0.1)
+_BAND0 = [f"shn_0_{c}" for c in RGB]
+
+
+def _sh_sql() -> str:
+    s = [(f"r*{_n(1.06)}", "g", f"b*{_n(0.94)}"), (f"r+{_n(0.005)}", f"g-{_n(0.01)}", f"b+{_n(0.005)}"), _all3(lambda c: f"{c}*1.2+{_n(0.2 * 0.5)}/{_n(sc.C0)}"), _all3(lambda c: f"{c}*1.1")]
+    s += [_all3(lambda c: f"{LUM}+0.8*({c}-{LUM})"), tuple(_affine(sc.hue_matrix(25.0), RGB)), _all3(lambda c: f"{c}+{_n(0.1 / sc.C0 * 0.9)}")]
+    band = _affine(sc.hue_matrix(25.0).T @ sc.saturation_matrix(0.8) @ (sc.temperature_matrix(0.2) * 1.2 * 1.1), _BAND0)
+    inner = ", ".join(f"{e} AS band_{c}" for e, c in zip(band, RGB))
+    return _stages(f"SELECT *, {inner} FROM ({E})", "gid", s, (*RGB, *(f"band_{c}" for c in RGB)))
+
+
+@register("color_harmonics", _sh_sql())
+def _color_sh(spark, sf):
+    df = fx.scene_e(spark, sf).color(_SH).df
+    return df.select("gid", *[_rounded(c).alias(c) for c in RGB], *[_rounded(F.col(BANDS)[0][c]).alias(f"band_{c}") for c in RGB])
+
+
+_PIPE = Color().temperature(0.3).brightness(1.1).brightness(1.1).contrast(1.2).gamma(0.9).saturation(1.2).vibrance(1.3).hue_shift(30).shadows(0.1).highlights(-0.1).fade(0.05).shadow_tint(-140, 0.2).highlight_tint(30, 0.1)
+
+
+def _pipe_sql() -> str:
+    v, n = _PIPE.folded(), 1023
+    off = (0.1 * v.temperature, 0.0, -0.1 * v.temperature)
+    s = [tuple(f"pow(least(greatest(((floor({CLIP01(c)}*{n})/{n} + {_n(o)})*{_n(v.brightness)}-0.5)*{_n(v.contrast)}+0.5, {_n(1e-7)}), 1), {_n(v.gamma)})" for c, o in zip(RGB, off))]
+    s.append(_all3(lambda c: f"{LUM}+{_n(v.saturation)}*({c}-{LUM})"))
+    s.append(_all3(lambda c: f"{c}+({c}-(greatest(r,g,b)+least(r,g,b))*0.5)*(1-{_SAT})*{_n(v.vibrance - 1)}"))
+    s.append(tuple(_affine(sc.hue_matrix_about_grey(v.hue_shift), RGB)))
+    s.append(_all3(lambda c: f"{c}*(1+CASE WHEN {LUM} < 0.5 THEN {_n(v.shadows)} ELSE {_n(v.highlights)} END)"))
+    tail = _value_stages(ColorValues(fade=v.fade, shadow_tint_hue=v.shadow_tint_hue, shadow_tint_sat=v.shadow_tint_sat, highlight_tint_hue=v.highlight_tint_hue, highlight_tint_sat=v.highlight_tint_sat))
+    return _stages(L, KEYS, s + tail)
+
+
+register("color_table_pipeline", _pipe_sql())(lambda spark, sf: _out(_PIPE(fx.scene_l(spark, sf).df), fx.KEYS_L, RGB))
+
+
+def _step_sql() -> str:
+    clip = _all3(lambda c: f"least(greatest({c},0),1)")
+    s: list = []
+    for v in (ColorValues(temperature=0.05), ColorValues(brightness=1.05), ColorValues(contrast=1.15), ColorValues(gamma=0.92), ColorValues(saturation=0.95), ColorValues(shadows=0.2), ColorValues(fade=0.1)):
+        # the steps' gamma starts a little lower
+        s += [*(tuple(x.replace(_n(1e-7), _n(1e-8)) for x in e) for e in _value_stages(v)[:-1]), clip]
+    return _stages(L, KEYS, s)
+
+
+register("color_steps", _step_sql())(lambda spark, sf: _out(ColorSteps().fade(0.1).shadows(0.2).preset("cinematic")(fx.scene_l(spark, sf).df), fx.KEYS_L, RGB))
+
+
+# --------------------------------------------------------- opacity and format
+
+register("opacity_fade", f"SELECT {KEYS}, round(least(greatest(opacity*0.6,0),1), 10) AS opacity FROM ({L})")(lambda spark, sf: _out(fx.scene_l(spark, sf).opacity(OpacityValues.fade(0.6)).df, fx.KEYS_L, [OPACITY]))
+register("opacity_boost_logit", f"""SELECT gid, round(ln(p/(1-p)), 5) AS opacity FROM (
+  SELECT gid, least(greatest(o+(1-o)*0.25, 1e-7), 1-1e-7) AS p FROM (SELECT gid, 1/(1+exp(-opacity)) AS o FROM ({E})))""")(lambda spark, sf: _out(fx.scene_e(spark, sf).opacity(OpacityValues.boost(1.5)).df, ["gid"], [OPACITY], 5))
+register("opacity_multiply", f"SELECT {KEYS}, round(least(opacity*1.5, 1), 10) AS opacity FROM ({L})")(lambda spark, sf: _out(opacity.multiply_opacity(fx.scene_l(spark, sf).df, 1.5), fx.KEYS_L, [OPACITY]))
+register("format_to_linear_rgb", f"""SELECT gid, {', '.join(f'round(exp({c}), 10) AS {c}' for c in SCALE)}, round(1/(1+exp(-opacity)), 10) AS opacity,
+  {', '.join(f'round(least(greatest({c}*{C0}+0.5,0),1), 10) AS {c}' for c in RGB)} FROM ({E})""")(lambda spark, sf: _out(fx.scene_e(spark, sf).to_linear().to_rgb().df, ["gid"], (*SCALE, OPACITY, *RGB)))
+register("format_to_log_sh", f"""SELECT {KEYS}, {', '.join(f'round(ln(greatest({c}, 1e-9)), 10) AS {c}' for c in SCALE)}, round(ln(p/(1-p)), 5) AS opacity, {', '.join(f'round(({c}-0.5)/{C0}, 10) AS {c}' for c in RGB)}
+  FROM (SELECT *, least(greatest(opacity, 1e-7), 1-1e-7) AS p FROM ({L}))""")(
+    lambda spark, sf: (lambda s: s.df.select(*fx.KEYS_L, *[_rounded(c).alias(c) for c in (*SCALE, *RGB)], F.round(OPACITY, 5).alias(OPACITY)))(fx.scene_l(spark, sf).to_log().to_sh())
+)
+register("format_pre_activate", f"""SELECT gid, {', '.join(f'round(least(greatest(exp({c}), 1e-4), 100), 10) AS {c}' for c in SCALE)}, round(1/(1+exp(-opacity)), 10) AS opacity,
+  {', '.join(f'round({c}/sqrt(qw*qw+qx*qx+qy*qy+qz*qz), 10) AS {c}' for c in QUAT)} FROM ({E})""")(lambda spark, sf: _out(pre_activate(fx.scene_e(spark, sf).df), ["gid"], (*SCALE, OPACITY, *QUAT)))
+#: Rows at one distance from two centers are left to the unit tests: there the last bit decides.
+_OFF = "abs(opacity-0.2) > 0.001 AND abs(opacity-0.45) > 0.001 AND abs(opacity-0.75) > 0.001"
+_CENTERS, _VALUES = (0.1, 0.3, 0.6, 0.9), (1.0, 4.0, 2.0, 8.0)
+register("interpolate_tables", f"""SELECT {KEYS}, round(CASE WHEN opacity < 0.3 THEN (opacity-0.1)/(0.3-0.1+1e-8)*3+1 WHEN opacity < 0.6 THEN (opacity-0.3)/(0.6-0.3+1e-8)*(-2)+4 ELSE (opacity-0.6)/(0.9-0.6+1e-8)*6+2 END, 5) AS linear,
+  CASE WHEN opacity <= 0.2 THEN 1.0::DOUBLE WHEN opacity <= 0.45 THEN 4.0::DOUBLE WHEN opacity <= 0.75 THEN 2.0::DOUBLE ELSE 8.0::DOUBLE END AS nearest FROM ({L}) WHERE {_OFF}""")(
+    lambda spark, sf: fx.scene_l(spark, sf).df.filter(_OFF).select(*fx.KEYS_L, F.round(sc.linear_interp(F.col(OPACITY), _CENTERS, _VALUES), 5).alias("linear"), sc.nearest(F.col(OPACITY), _CENTERS, _VALUES).alias("nearest"))
+)
+
+# ---------------------------------------------------------------- aggregates
+
+_BOUNDS = [f"min({c}) AS min_{c}, max({c}) AS max_{c}, max({c})-min({c}) AS size_{c}, (max({c})+min({c}))/2 AS center_{c}" for c in POS]
+_BNAMES = [f"{k}_{c}" for c in POS for k in ("min", "max", "size", "center")]
+register("stats_bounds", f"SELECT {_r([*_BNAMES, 'max_size'])} FROM (SELECT {', '.join(_BOUNDS)}, greatest({', '.join(f'max({c})-min({c})' for c in POS)}) AS max_size FROM ({L}))")(lambda spark, sf: _out(fx.scene_l(spark, sf).bounds(), [], [*_BNAMES, "max_size"]))
+register("stats_centroid", f"SELECT {', '.join(f'round(avg({c}), 10) AS mean_{c}' for c in POS)} FROM ({L})")(lambda spark, sf: _out(fx.scene_l(spark, sf).centroid(), [], [f"mean_{c}" for c in POS]))
+register("stats_recommended_max_scale", f"SELECT round(quantile_cont(greatest(sx,sy,sz), 0.995), 10) AS max_scale FROM ({L})")(lambda spark, sf: _out(fx.scene_l(spark, sf).recommended_max_scale(), [], ["max_scale"]))
+register("transform_center", f"SELECT {KEYS}, {', '.join(f'round({c} - (SELECT avg({c}) FROM ({L})), 5) AS {c}' for c in POS)} FROM ({L})")(lambda spark, sf: _out(fx.scene_l(spark, sf).center_at_origin().df, fx.KEYS_L, POS, 5))
+_FACTOR = f"(SELECT 2.0/greatest({', '.join(f'max({c})-min({c})' for c in POS)}) FROM ({L}))"
+register("transform_normalize", f"SELECT {KEYS}, {', '.join(f'round({c}*{_FACTOR}, 10) AS {c}' for c in (*POS, *SCALE))} FROM ({L})")(lambda spark, sf: _out(fx.scene_l(spark, sf).normalize_scale().df, fx.KEYS_L, (*POS, *SCALE)))
+
+
+def _hist_sql(source: str, values: dict[str, str], n: int, lo: str, hi: str) -> str:
+    rows = " UNION ALL ".join(f"SELECT '{k}' AS channel, {e} AS v FROM ({source})" for k, e in values.items())
+    return f"""WITH rows AS ({rows}), ends AS (SELECT {lo} AS lo, {hi} AS hi FROM rows),
+  placed AS (SELECT channel, least(greatest(floor((v-lo)/((hi-lo)/{n})), 0), {n - 1})::BIGINT AS bin, count(*) AS n FROM rows, ends GROUP BY 1, 2),
+  frame AS (SELECT * FROM (SELECT DISTINCT channel FROM rows), (SELECT unnest(range({n}))::BIGINT AS bin))
+  SELECT channel, bin, round(lo+bin*((hi-lo)/{n}), 10) AS low, round(lo+(bin+1)*((hi-lo)/{n}), 10) AS high, coalesce(n, 0)::BIGINT AS count FROM frame LEFT JOIN placed USING (channel, bin), ends"""
+
+
+def _hist_out(h: DataFrame) -> DataFrame:
+    return h.select("channel", "bin", _rounded("low").alias("low"), _rounded("high").alias("high"), "count")
+
+
+register("histogram_colors", _hist_sql(L, {c: c for c in RGB}, 64, "min(v)", "max(v)"))(lambda spark, sf: _hist_out(fx.scene_l(spark, sf).histogram_colors(HistogramConfig(64))))
+register("histogram_opacity_clamped", _hist_sql(L, {"opacity": "opacity"}, 13, "0.253::DOUBLE", "0.801::DOUBLE").replace("FROM rows),\n  placed", "),\n  placed"))(lambda spark, sf: _hist_out(fx.scene_l(spark, sf).histogram_opacity(HistogramConfig(13, 0.253, 0.801))))
+register("histogram_scales", _hist_sql(L, {"scale": "(sx+sy+sz)/3"}, 32, "min(v)", "max(v)"))(lambda spark, sf: _hist_out(fx.scene_l(spark, sf).histogram_scales(HistogramConfig(32))))
+register("histogram_positions", _hist_sql(L, {"distance": "sqrt(x*x+y*y+z*z)"}, 256, "min(v)", "max(v)"))(lambda spark, sf: _hist_out(fx.scene_l(spark, sf).histogram_positions()))
+_LONG = " UNION ALL ".join(f"SELECT '{c}' AS channel, {c} AS v FROM ({L})" for c in RGB)
+register("stats_channels", f"SELECT channel, count(*) AS n, round(avg(v), 10) AS mean, round(stddev_pop(v), 10) AS std, min(v) AS min, max(v) AS max FROM ({_LONG}) GROUP BY 1")(
+    lambda spark, sf: stats.statistics(fx.scene_l(spark, sf).df, stats.colour_values()).select("channel", "n", _rounded("mean").alias("mean"), _rounded("std").alias("std"), "min", "max")
+)
+_H16 = _hist_sql(L, {c: c for c in RGB}, 16, "0.003::DOUBLE", "1.007::DOUBLE").replace("FROM rows),\n  placed", "),\n  placed")
+
+
+@register("histogram_summary", f"""WITH h AS ({_H16}), t AS (SELECT *, sum(count) OVER (PARTITION BY channel) AS total, sum(count) OVER (PARTITION BY channel ORDER BY bin) AS run FROM h)
+  SELECT channel, round(min_by((low+high)/2, bin) FILTER (WHERE run*100 >= total*25), 7) AS p25, round(max_by((low+high)/2, count*100-bin), 7) AS mode,
+  round(-sum(count/total*log2(count/total)) FILTER (WHERE count > 0), 7) AS entropy FROM t GROUP BY channel""")
+def _hist_summary(spark, sf):
+    h = fx.scene_l(spark, sf).histogram_colors(HistogramConfig(16, 0.003, 1.007))
+    parts = [(stats.bin_percentile(h, 25), "p25"), (stats.bin_mode(h), "mode"), (stats.entropy(h), "entropy")]
+    parts = [d.select("channel", F.round("value", 7).alias(n)) for d, n in parts]
+    return parts[0].join(parts[1], "channel").join(parts[2], "channel")
+
+
+@register("histogram_soft", f"""WITH rows AS ({_LONG}), bins AS (SELECT unnest(range(8)) AS bin), w AS (
+  SELECT channel, bin, sum(exp(-((v-(bin+0.5)*0.125)/0.0625)*((v-(bin+0.5)*0.125)/0.0625)/2)) AS s FROM rows, bins GROUP BY 1, 2)
+  SELECT channel, bin::INTEGER AS bin, round(s/(sum(s) OVER (PARTITION BY channel)+1e-8), 10) AS weight FROM w""")
+def _hist_soft(spark, sf):
+    return stats.soft_histogram(fx.scene_l(spark, sf).df, stats.colour_values(), 8).select("channel", "bin", _rounded("weight").alias("weight"))
+
+
+_AUTO = f"""WITH l AS (SELECT *, {LUM} AS lum FROM ({L})), q AS (SELECT quantile_cont(lum, 0.001) AS a, quantile_cont(lum, 0.999) AS b, quantile_cont(lum, 0.01) AS c, quantile_cont(lum, 0.99) AS d FROM l),
+  t AS (SELECT avg(lum) AS m, avg(r) AS mr, avg(g) AS mg, avg(b) AS mb FROM l WHERE lum BETWEEN (SELECT c FROM q) AND (SELECT d FROM q)),
+  k AS (SELECT least(greatest((mr+mg+mb)/3/(mr+1e-8), 0.5), 2) AS kr, least(greatest((mr+mg+mb)/3/(mg+1e-8), 0.5), 2) AS kg, least(greatest((mr+mg+mb)/3/(mb+1e-8), 0.5), 2) AS kb FROM t)
+  SELECT round(least(greatest(0.95/(b-a), 0.5), 3), 5) AS contrast, round(least(greatest(0.45/m, 0.5), 2.5), 5) AS brightness,
+  round(least(greatest((kr/(kb+1e-8)-1)/2, -1), 1), 5) AS temperature, round(least(greatest((1-kg/((kr+kb)/2+1e-8))/2, -1), 1), 5) AS tint FROM q, t, k"""
+
+
+@register("auto_corrections", _AUTO)
+def _auto(spark, sf):
+    df = fx.scene_l(spark, sf).df
+    white = stats.auto_white_balance(df)
+    row = (stats.auto_contrast(df).contrast, stats.auto_exposure(df).brightness, white.temperature, white.tint)
+    return spark.range(1).select(*[F.round(F.lit(float(x)), 5).alias(n) for x, n in zip(row, ("contrast", "brightness", "temperature", "tint"))])
+
+
+# ------------------------------------------------------- scenes and pipelines
+
+_FLIP = TransformValues.from_rotation_euler(0, 0, 90)
+
+
+@register("compose_scenes", f"""SELECT 0 AS scene_id, {KEYS}, {_r(POS)} FROM ({L}) UNION ALL
+  SELECT 1, {KEYS}, {', '.join(f'round({e}, 10)' for e in _affine(_FLIP.to_matrix()[:3, :3], POS))} FROM ({L}) WHERE opacity >= 0.9""")
+def _compose(spark, sf):
+    a = fx.scene_l(spark, sf)
+    b = Scene(a.df.filter("opacity >= 0.9"), a.format)
+    df, _ = compose.compose_with_transforms([(a.df, a.format), (b.df, b.format)], [None, _FLIP])
+    return _out(df, ["scene_id", *fx.KEYS_L], POS)
+
+
+@register("deduplicate_last", f"""WITH p AS ({P}) SELECT gid, {_r(POS)} FROM p a WHERE NOT EXISTS (
+  SELECT 1 FROM p b WHERE b.gid > a.gid AND (a.x-b.x)*(a.x-b.x)+(a.y-b.y)*(a.y-b.y)+(a.z-b.z)*(a.z-b.z) < 0.05*0.05)""")
+def _dedup_last(spark, sf):
+    return _out(compose.deduplicate(fx.points_p(spark, sf), 0.05, "last"), ["gid"], POS)
+
+
+@register("deduplicate_first", f"""WITH RECURSIVE p AS ({P}), e AS (SELECT a.gid AS a, b.gid AS b FROM p a JOIN p b ON a.gid < b.gid AND (a.x-b.x)*(a.x-b.x)+(a.y-b.y)*(a.y-b.y)+(a.z-b.z)*(a.z-b.z) < 0.05*0.05),
+  run AS (SELECT (SELECT min(gid) FROM p) AS cur, CAST([] AS BIGINT[]) AS lost UNION ALL
+    SELECT (SELECT min(gid) FROM p WHERE gid > run.cur), CASE WHEN list_contains(lost, run.cur) THEN lost ELSE list_concat(lost, coalesce((SELECT list(b) FROM e WHERE a = run.cur), [])) END FROM run WHERE run.cur IS NOT NULL)
+  SELECT gid, {_r(POS)} FROM p WHERE NOT list_contains((SELECT lost FROM run WHERE cur IS NULL), gid)""")
+def _dedup_first(spark, sf):
+    return _out(compose.deduplicate(fx.points_p(spark, sf), 0.05, "first"), ["gid"], POS)
+
+
+_GRADE = Pipeline().min_opacity(0.2).within_sphere(5.5).translate((1, 0, 0)).rotate_euler((0, 0, 90)).scale(2.0).brightness(1.2).contrast(1.1).saturation(1.3)
+_GV = TransformValues.from_translation(1, 0, 0) + TransformValues.from_rotation_euler(0, 0, 90) + TransformValues.from_scale(2.0)
+
+
+def _grade_sql() -> str:
+    inner = f"SELECT * REPLACE ({', '.join(f'{e} AS {c}' for e, c in zip(_affine(_GV.to_matrix()[:3, :3], POS, _GV.to_matrix()[:3, 3]), POS))}) FROM ({L}) WHERE {_ALWAYS} AND opacity >= 0.2 AND {_SPHERE(5.5)}"
+    return _stages(inner, KEYS, _value_stages(ColorValues(brightness=1.2, contrast=1.1, saturation=1.3)), (*POS, *RGB))
+
+
+register(FLAGSHIP, _grade_sql())(lambda spark, sf: _out(_GRADE(fx.scene_l(spark, sf)).df, fx.KEYS_L, (*POS, *RGB)))
+_GROUPED = GroupedPipeline().brightness(1.2).within_sphere((0.0, 0.0, 0.0), 4.0).translate((1.0, 0.0, 0.0)).min_opacity(0.5).scale(2.0)
+register("pipeline_grouped", _stages(f"SELECT * REPLACE (2*(x+1) AS x, 2*y AS y, 2*z AS z) FROM ({L}) WHERE {_SPHERE(4.0)} AND opacity >= 0.5", KEYS, [_all3(lambda c: f"least({c}*1.2, 1)")], (*POS, *RGB)))(
+    lambda spark, sf: _out(_GROUPED(fx.scene_l(spark, sf)).df, fx.KEYS_L, (*POS, *RGB))
+)
+
+
+@register("process_all", _stages(f"SELECT * REPLACE (x+1 AS x, opacity*0.5 AS opacity) FROM ({L}) WHERE {_ALWAYS} AND opacity >= 0.4", KEYS, _value_stages(ColorValues(gamma=1.2)), ("x", "opacity", *RGB)))
+def _process(spark, sf):
+    s = process(fx.scene_l(spark, sf), ColorValues(gamma=1.2), TransformValues.from_translation(1, 0, 0), FilterValues(min_opacity=0.4), OpacityValues(0.5))
+    return _out(s.df, fx.KEYS_L, ("x", "opacity", *RGB))
+
