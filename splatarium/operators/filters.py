@@ -319,6 +319,7 @@ class Tests:
     """
 
     ops: tuple = ()
+    __test__ = False  # no test class of pytest
 
     def _with(self, name: str, *args) -> Tests:
         return replace(self, ops=(*self.ops, (name, args)))

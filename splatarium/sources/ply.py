@@ -65,7 +65,7 @@ def read_ply(spark: SparkSession, path: str, fmt: SceneFormat = SceneFormat(rgb=
                     yield out
 
     flat = files.mapInPandas(rows, "file string, gid bigint, " + ", ".join(f"{c} float" for c in names) + ", rest array<float>")
-    bands = F.transform(F.sequence(F.lit(0), F.size("rest") / 3 - 1), lambda k: F.struct(*[F.get("rest", (k * 3 + i).cast("int")).alias(n) for i, n in enumerate("rgb")]))
+    bands = F.transform(F.sequence(F.lit(0), (F.size("rest") / 3 - 1).cast("int")), lambda k: F.struct(*[F.get("rest", (k * 3 + i).cast("int")).alias(n) for i, n in enumerate("rgb")]))
     return Scene(flat.withColumn(BANDS, F.when(F.size("rest") > 0, bands)).drop("rest"), fmt)
 
 

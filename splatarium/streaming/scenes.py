@@ -26,7 +26,7 @@ def windowed_histogram(df: DataFrame, time: str, values: dict[str, Column], n_bi
     watermark are left out, and closed windows leave the state."""
     width = (hi - lo) / n_bins
     pairs = F.array(*[F.struct(F.lit(k).alias("channel"), v.cast("double").alias("v")) for k, v in values.items()])
-    rows = df.withWatermark(time, late).select(F.col(time), F.explode(pairs).alias("p")).filter("p.v is not null")
+    rows = df.withColumn(time, F.col(time).cast("timestamp")).withWatermark(time, late).select(F.col(time), F.explode(pairs).alias("p")).filter("p.v is not null")
     at = F.least(F.greatest(F.floor((F.col("p.v") - lo) / width), F.lit(0)), F.lit(n_bins - 1))
     return rows.groupBy(F.window(time, window).alias("window"), F.col("p.channel").alias("channel"), at.alias("bin")).agg(F.count(F.lit(1)).alias("count"))
 
