@@ -20,7 +20,6 @@ QUERIES = {
 ORACLE_SQL: dict[str, str] = {
     "op2_chat_format": chat_format.OP2_SQL,
     "op7_site_line_frequency": line_dedup.OP7_SQL,
-    "op8_chunked_bpe": bpe.op8_chunked_bpe,
     "op9_source_mix": source_mix.OP9_SQL,
     "op10_warc_transactions": warc.OP10_SQL,
 }

@@ -338,9 +338,11 @@ def decode_files(df: DataFrame, media: str = "media") -> DataFrame:
 
 def tiff_pages(df: DataFrame, media: str = "media") -> DataFrame:
     """One row per page: df's columns without the file, page (from 0), its
-    description and samples. Files without pages give no row."""
+    description and samples; where df has columns of these names, theirs are
+    replaced. Files without pages give no row."""
     files = decode_files(df, media)
-    keep = [F.col(f"`{x}`") for x in df.columns if x not in (media, "pages", "feature", "error")]
+    new = {media, "page", "pages", "feature", "error", *(x.partition(":")[0] for x in _PAGE[len("struct<") : -1].split(","))}
+    keep = [F.col(f"`{x}`") for x in df.columns if x not in new]
     return files.select(*keep, F.posexplode("pages").alias("page", "p")).select(*keep, "page", "p.*")
 
 
