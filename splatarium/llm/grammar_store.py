@@ -28,7 +28,7 @@ the order of their texts; an empty table gives no shards.
 from __future__ import annotations
 
 import functools
-import zlib
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -37,7 +37,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from . import common as c
-from .bpe import Pieces
+from .bpe import REMEMBERED, Pieces, packed
 
 MAGIC = b"RPG2"
 SHARD_IDS = 1 << 20
@@ -69,22 +69,14 @@ def json_pieces(path: str) -> Pieces:
     split = regex.compile(public_tokenizers.PATTERN).findall
     merge, names, known = tok.model.tokenize, _byte_names(), {}
 
-    def pretoken(p: str) -> list[int]:
-        ids = known.get(p)
-        if ids is None:
-            if len(known) > 400_000:
-                known.clear()
-            ids = known[p] = [t.id for t in merge(p.encode().decode("latin-1").translate(names))]
-        return ids
-
-    def encode_all(pieces: list[str]) -> list[list[int]]:
-        out = []
-        for piece in pieces:
-            if piece[1:].isalpha() and piece[0] == " ":  # letters alone are one pre-token
-                out.append(pretoken(piece))
-            else:
-                out.append([i for p in split(piece) for i in pretoken(p)])
-        return out
+    def encode_all(pieces: list[str]) -> list[bytes]:
+        if len(known) > REMEMBERED:
+            known.clear()
+        # letters alone are one pre-token
+        parts = [(p,) if p[1:].isalpha() and p[0] == " " else split(p) for p in pieces]
+        new = list(set(chain.from_iterable(parts)).difference(known))
+        known.update(zip(new, packed([[t.id for t in merge(p.encode().decode("latin-1").translate(names))] for p in new])))
+        return [known[p[0]] if len(p) == 1 else b"".join(map(known.__getitem__, p)) for p in parts]
 
     return Pieces(encode_all)
 
@@ -104,14 +96,15 @@ def re_pair(ids: np.ndarray, ends: np.ndarray, terminals: int) -> tuple[np.ndarr
         best = best[often[best] >= LEAST]
         if not len(best):
             break
-        # a slot speaks for the pair that stands in it first
-        at = np.zeros(len(often), np.int64)
-        at[slot[::-1]] = np.arange(len(slot) - 1, -1, -1)
-        rule_of = np.full(len(often), -1, np.int32)
+        rule_of = np.full(len(often), -1, np.int16)
         rule_of[best] = np.arange(len(best))
         got = rule_of[slot]
         where = np.flatnonzero(got >= 0)
-        got, pairs = got[where], np.stack([left[at[best]], right[at[best]]], axis=1)
+        got = got[where]
+        # a slot speaks for the pair that stands in it first
+        at = np.zeros(len(best), np.int64)
+        at[got[::-1]] = where[::-1]
+        pairs = np.stack([left[at], right[at]], axis=1)
         same = (left[where] == pairs[got, 0]) & (right[where] == pairs[got, 1])
         where, got = where[same], got[same]
         # where matches overlap, every second one of a run is taken
@@ -119,7 +112,7 @@ def re_pair(ids: np.ndarray, ends: np.ndarray, terminals: int) -> tuple[np.ndarr
         nth = np.arange(len(where)) - np.repeat(run, np.diff(np.append(run, len(where))))
         where, got = where[nth % 2 == 0], got[nth % 2 == 0]
         seq, ends = seq.copy(), ends.copy()
-        seq[where] = first + got
+        seq[where] = got.astype(np.uint32) + np.uint32(first)
         ends[where] = ends[where + 1]
         keep = np.ones(len(seq), bool)
         keep[where + 1] = False

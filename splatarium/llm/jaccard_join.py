@@ -6,15 +6,17 @@ reaches a threshold. The join is exact and goes like this.
 1. Equal sets are one class; copies cost nothing from there on.
 2. Every class spreads its shingles over m segments, and a hash of each filled
    segment is a signature. Two linked sets of a size class differ in at most D
-   shingles; with more than D segments filled in either, one of them is equal
-   in both. So sets that share no signature do not link. Frequent shingles do
-   no harm here, since a whole segment has to agree.
+   shingles, so at least m - D segments agree. With m = D + 1 + s, and e of a
+   set's segments empty, 1 + s - e of its signatures at least are shared with
+   each set that it links to; sets with fewer shared signatures than that link
+   with nothing. Frequent shingles do little harm here, since whole segments
+   have to agree.
 3. Classes that share signatures with the same smallest class are a family;
    a family is cut by hash into groups of bounded size. Each group keeps the
    union of its members' shingles, and for each shingle the members that hold
    it: one block of columns of the token-group matrix.
 4. A class queries the groups of its own family and of other families that it
-   shares a signature with. The overlap with a group's union bounds the
+   shares enough signatures with. The overlap with a group's union bounds the
    overlap with any member; only groups whose bound reaches the threshold are
    opened. Queries stream past a group, so no task holds a family.
 5. Of the links, one to each component inside the group is written. Connected
@@ -42,8 +44,8 @@ from . import common as c
 from .graph import components
 
 #: A group's members and shingles stay under these; a larger set is alone.
-GROUP_MEMBERS = 256
-GROUP_SHINGLES = 1 << 20
+GROUP_MEMBERS = 4096
+GROUP_SHINGLES = 1 << 21
 _LEVELS = 4
 _SHRINK = 0.65
 
@@ -64,7 +66,7 @@ def size_classes(percent: int, upto: int = 1 << 40) -> tuple[np.ndarray, np.ndar
         s = 0
         for _ in range(3):
             mean = (most + 1 + s) * math.exp(-lo / (most + 1 + s))
-            s = min(most, math.ceil(mean + 3 * math.sqrt(mean))) if mean > 0.01 else s
+            s = min(most, math.ceil(mean + 3 * math.sqrt(mean)) + 2)
         first.append(lo), last.append(hi), segments.append(most + 1 + s if most else 0), spare.append(s)
         lo = hi + 1
     return tuple(np.array(x, np.int64) for x in (first, last, segments, spare))
@@ -111,11 +113,15 @@ def set_hashes(gram: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.nda
     return tuple(_sums(row, c.mix(gram ^ np.uint64(s)), len(counts)).view(np.int64) for s in (0x1F83D9ABFB41BD6B, 0x5BE0CD19137E2179))
 
 
-def signatures(gram: np.ndarray, counts: np.ndarray, percent: int) -> tuple[np.ndarray, np.ndarray]:
-    """(signatures, row of each) for the sets of one slice."""
+def signatures(gram: np.ndarray, counts: np.ndarray, percent: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(signatures, row of each, number that a link needs) for the sets of one slice.
+
+    Where more segments of a set are empty than are spare, the set also speaks
+    by another split of its shingles, and needs one shared signature only.
+    """
     first, last, segments, spare = size_classes(percent)
     own = np.searchsorted(first, counts, side="right") - 1
-    found, rows = [], []
+    found, rows, needs = [], [], []
     for down in (0, 1, 2):
         k = own - down
         reach = last[np.maximum(k, 0)] * 100 // percent >= counts
@@ -139,10 +145,13 @@ def signatures(gram: np.ndarray, counts: np.ndarray, percent: int) -> tuple[np.n
             keep = filled if level < _LEVELS - 1 else np.ones(total, bool)
             found.append(c.mix(value + name)[keep])
             rows.append(todo[row[keep]])
-            todo = todo[np.bincount(row[~filled], minlength=len(todo)) > spare[k[todo]]]
+            empty = np.bincount(row[~filled], minlength=len(todo))
+            need = np.maximum(1 + spare[k[todo]] - empty, 1) if level == 0 else np.ones(len(todo), np.int64)
+            needs.append(need[row[keep]])
+            todo = todo[empty > spare[k[todo]]]
     if not found:
-        return np.zeros(0, np.int64), np.zeros(0, np.int64)
-    return np.concatenate(found).view(np.int64), np.concatenate(rows)
+        return tuple(np.zeros(0, np.int64) for _ in range(3))
+    return np.concatenate(found).view(np.int64), np.concatenate(rows), np.concatenate(needs)
 
 
 def _sets(df: DataFrame, words: int, percent: int) -> DataFrame:
@@ -160,7 +169,7 @@ def _sets(df: DataFrame, words: int, percent: int) -> DataFrame:
 
 
 def _signature_rows(df: DataFrame, words: int, percent: int) -> DataFrame:
-    """(sig, doc_id): the signatures of every different set. Of sets that are
+    """(sig, doc_id, need): the signatures of every different set. Of sets that are
     equal inside one task only the first speaks, as a map-side combine."""
 
     def run(batches):
@@ -176,10 +185,10 @@ def _signature_rows(df: DataFrame, words: int, percent: int) -> DataFrame:
                 ids = batch.column(0).slice(at, len(counts))
                 fresh &= ids.is_valid().to_numpy(zero_copy_only=False)
                 gram, counts = gram[np.repeat(fresh, counts)], np.where(fresh, counts, 0)
-                sig, row = signatures(gram, counts, percent)
-                yield pa.RecordBatch.from_arrays([pa.array(sig), ids.take(pa.array(row))], ["sig", "doc_id"])
+                sig, row, need = signatures(gram, counts, percent)
+                yield pa.RecordBatch.from_arrays([pa.array(sig), ids.take(pa.array(row)), pa.array(need.astype(np.int32))], ["sig", "doc_id", "need"])
 
-    return df.mapInArrow(run, "sig bigint, doc_id bigint")
+    return df.mapInArrow(run, "sig bigint, doc_id bigint, need int")
 
 
 class _Group:
@@ -190,7 +199,7 @@ class _Group:
         self.weights, self.sizes = np.array(weights), np.array([len(s) for s in sets])
         flat = np.concatenate(sets)
         order = np.argsort(flat, kind="stable")
-        flat, self.holder = flat[order], np.repeat(np.arange(len(sets)), self.sizes)[order]
+        flat, self.holder = flat[order], np.repeat(np.arange(len(sets), dtype=np.int32), self.sizes)[order]
         self.start = np.flatnonzero(np.concatenate([[True], flat[1:] != flat[:-1]]))
         self.union, self.start = flat[self.start], np.append(self.start, len(flat))
         self.least = int(self.sizes.min())
@@ -289,9 +298,14 @@ def jaccard_join(df: DataFrame, doc_id: str = "doc_id", text: str = "text", word
     # signatures that two different classes share
     names = sets.filter("n_shingles > 0").select("doc_id", "h1", "h2").join(classes.select("h1", "h2", "rid"), ["h1", "h2"]).select("doc_id", "rid")
     by_sig = Window.partitionBy("sig").orderBy("doc_id")
-    pairs = _signature_rows(docs, words, percent).select("sig", "doc_id", F.lag("doc_id").over(by_sig).alias("before"), F.lead("doc_id").over(by_sig).alias("after"))
-    shared = pairs.filter("before is not null or after is not null").select("sig", "doc_id")
-    shared = c.saved(shared.join(names, "doc_id").select("sig", "rid").distinct(), "shared")
+    pairs = _signature_rows(docs, words, percent).select("*", F.lag("doc_id").over(by_sig).alias("before"), F.lead("doc_id").over(by_sig).alias("after"))
+    shared = pairs.filter("before is not null or after is not null").select("sig", "doc_id", "need")
+    shared = c.saved(shared.join(names, "doc_id").groupBy("sig", "rid").agg(F.min("need").alias("need")), "shared")
+    for _ in range(2):  # a set that goes leaves others with less
+        two = shared.groupBy("sig").agg(F.min("rid").alias("a"), F.max("rid").alias("b")).filter("a < b").select("sig")
+        shared = shared.join(two, "sig")
+        enough = shared.groupBy("rid").agg(F.count(F.lit(1)).alias("n"), F.min("need").alias("least")).filter("n >= least").select("rid")
+        shared = c.saved(shared.join(enough, "rid").select("sig", "rid", "need"), "shared")
     hubs = shared.groupBy("sig").agg(F.min("rid").alias("hub"), F.max("rid").alias("other")).filter("hub < other").select("sig", "hub")
     family = shared.join(hubs, "sig").groupBy("rid").agg(F.min("hub").alias("fam"))
 
@@ -302,10 +316,11 @@ def jaccard_join(df: DataFrame, doc_id: str = "doc_id", text: str = "text", word
     placed = members.join(parts, "fam").withColumn("part", F.pmod(F.xxhash64("rid"), F.col("parts")).cast("int"))
 
     # which groups each class asks
-    at = shared.join(members.select("rid", "fam"), "rid")
+    at = shared.join(members.select("rid", "fam"), "rid")  # (rid, sig, need, fam)
     mixed = at.groupBy("sig").agg(F.min("fam").alias("f1"), F.max("fam").alias("f2")).filter("f1 < f2").select("sig")
     mixed = c.saved(at.join(mixed, "sig"), "mixed")
-    across = mixed.select("sig", "rid", F.col("fam").alias("mine")).join(mixed.select("sig", "fam").distinct(), "sig").filter("mine <> fam").select("rid", "fam").distinct()
+    across = mixed.select("sig", "rid", "need", F.col("fam").alias("mine")).join(mixed.select("sig", "fam").distinct(), "sig").filter("mine <> fam")
+    across = across.groupBy("rid", "fam").agg(F.count(F.lit(1)).alias("n"), F.min("need").alias("least")).filter("n >= least").select("rid", "fam")
     across = across.join(parts, "fam").select("rid", "fam", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), F.lit(1).alias("role"))
     inside = placed.filter("parts > 1").select("rid", "fam", F.col("part").alias("own"), F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"))
     inside = inside.filter("own <> part").select("rid", "fam", "part", F.lit(1).alias("role"))
