@@ -37,12 +37,16 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from . import common as c
-from .bpe import REMEMBERED, Pieces, packed
+from .bpe import cut
 
 MAGIC = b"RPG2"
 SHARD_IDS = 1 << 20
 ROUNDS, PAIRS_A_ROUND, LEAST = 4, 2048, 12
 _SLOT_BITS = 18
+#: Bytes of text encoded at once; a longer text is encoded alone.
+ENCODE_BYTES = 8 << 20
+#: Remembered pieces of one worker; all are forgotten when there are more.
+REMEMBERED = 800_000
 
 
 @functools.cache
@@ -54,31 +58,87 @@ def _byte_names() -> dict[int, str]:
     return {b: chr(b) for b in plain} | {b: chr(256 + k) for k, b in enumerate(rest)}
 
 
-@functools.cache
-def json_pieces(path: str) -> Pieces:
-    """Pieces encoded by the tokenizers library from its JSON file.
+class _Ids:
+    """Strings and their ids: a number for each string, ids end to end."""
+
+    def __init__(self):
+        self.number: dict[str, int] = {}
+        self.flat, self.start = np.zeros(0, np.uint32), np.zeros(1, np.int64)
+
+    def add(self, strings: list[str], ids: np.ndarray, counts: np.ndarray) -> None:
+        self.number.update(zip(strings, range(len(self.number), len(self.number) + len(strings))))
+        self.flat = np.concatenate([self.flat, ids.astype(np.uint32)])
+        self.start = np.concatenate([self.start, self.start[-1] + np.cumsum(counts)])
+
+    def numbers(self, strings: list[str]) -> np.ndarray:
+        return np.fromiter(map(self.number.__getitem__, strings), np.int64, len(strings))
+
+    def ids(self, numbers: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(ids of the numbered strings end to end, how many each has)."""
+        start = self.start[numbers]
+        n = self.start[numbers + 1] - start
+        return self.flat[np.repeat(start - (np.cumsum(n) - n), n) + np.arange(int(n.sum()))], n
 
-    The library's pattern splits each new piece; each new pre-token goes to its
-    BPE model once. Special tokens' strings are ordinary text.
+
+class JsonEncoder:
+    """Texts encoded by the tokenizers library from its JSON file.
+
+    A text is cut at spaces between other characters, where the pattern always
+    breaks. Each different piece of a batch is looked up once; new pieces are
+    split by the library's pattern, and each new pre-token goes to the
+    library's BPE model once. Special tokens' strings are ordinary text.
     """
-    import public_tokenizers
-    import regex
-    from tokenizers import Tokenizer
 
-    tok = Tokenizer.from_file(path)
-    split = regex.compile(public_tokenizers.PATTERN).findall
-    merge, names, known = tok.model.tokenize, _byte_names(), {}
+    def __init__(self, path: str):
+        import public_tokenizers
+        import regex
+        from tokenizers import Tokenizer
+
+        self.split = regex.compile(public_tokenizers.PATTERN).findall
+        self.merge, self.names = Tokenizer.from_file(path).model.tokenize, _byte_names()
+        self.pieces, self.tokens = _Ids(), _Ids()
+
+    def _token_numbers(self, tokens: list[str]) -> np.ndarray:
+        new = list(set(tokens).difference(self.tokens.number))
+        if new:
+            got = [[t.id for t in self.merge(p.encode().decode("latin-1").translate(self.names))] for p in new]
+            self.tokens.add(new, np.array(list(chain.from_iterable(got)), np.uint32), np.array([len(x) for x in got], np.int64))
+        return self.tokens.numbers(tokens)
+
+    def _learn(self, new: list[str]) -> None:
+        """Adds pieces, each given without the space before it. Put together they
+        break where they meet, so the pattern runs once over all of them."""
+        tokens = self.split(" " + " ".join(new))
+        ids, n = self.tokens.ids(self._token_numbers(tokens))
+        token_ends = np.cumsum(np.fromiter(map(len, tokens), np.int64, len(tokens)))
+        piece_ends = np.cumsum(np.fromiter(map(len, new), np.int64, len(new)) + 1)
+        upto = c.running(n)[np.searchsorted(token_ends, piece_ends) + 1]
+        self.pieces.add(new, ids, np.diff(upto, prepend=0))
+
+    def __call__(self, texts: list[str]) -> list[bytes]:
+        """Ids of each text as little-endian unsigned 32-bit integers."""
+        if not texts:
+            return []
+        if max(len(self.pieces.number), len(self.tokens.number)) > REMEMBERED:
+            self.pieces, self.tokens = _Ids(), _Ids()
+        cuts = [cut(t) for t in texts]
+        heads = [self.split(x[0]) for x in cuts]
+        head_ids, n = self.tokens.ids(self._token_numbers(list(chain.from_iterable(heads))))
+        head_ends = 4 * c.running(n)[np.cumsum([len(x) for x in heads])]
+        coded = pa.array(list(chain.from_iterable(x[1:] for x in cuts)), pa.large_string()).dictionary_encode()
+        different = coded.dictionary.to_pylist()
+        if new := [p for p in different if p not in self.pieces.number]:
+            self._learn(new)
+        ids, n = self.pieces.ids(self.pieces.numbers(different)[coded.indices.to_numpy()])
+        ends = 4 * c.running(n)[np.cumsum([len(x) - 1 for x in cuts])]
+        head, rest = head_ids.astype("<u4").tobytes(), ids.astype("<u4").tobytes()
+        return [head[a:b] + rest[x:y] for a, b, x, y in zip([0, *head_ends[:-1].tolist()], head_ends.tolist(), [0, *ends[:-1].tolist()], ends.tolist())]
 
-    def encode_all(pieces: list[str]) -> list[bytes]:
-        if len(known) > REMEMBERED:
-            known.clear()
-        # letters alone are one pre-token
-        parts = [(p,) if p[1:].isalpha() and p[0] == " " else split(p) for p in pieces]
-        new = list(set(chain.from_iterable(parts)).difference(known))
-        known.update(zip(new, packed([[t.id for t in merge(p.encode().decode("latin-1").translate(names))] for p in new])))
-        return [known[p[0]] if len(p) == 1 else b"".join(map(known.__getitem__, p)) for p in parts]
 
-    return Pieces(encode_all)
+@functools.cache
+def json_encoder(path: str) -> JsonEncoder:
+    """One for each worker, which remembers from task to task."""
+    return JsonEncoder(path)
 
 
 def re_pair(ids: np.ndarray, ends: np.ndarray, terminals: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -92,8 +152,8 @@ def re_pair(ids: np.ndarray, ends: np.ndarray, terminals: int) -> tuple[np.ndarr
         slot[ends[:-1]] = 1 << _SLOT_BITS  # over the end of a document
         often = np.bincount(slot, minlength=(1 << _SLOT_BITS) + 1)
         often[-1] = 0
-        best = np.argsort(-often, kind="stable")[:PAIRS_A_ROUND]
-        best = best[often[best] >= LEAST]
+        best = np.flatnonzero(often >= LEAST)
+        best = best[np.argsort(-often[best], kind="stable")[:PAIRS_A_ROUND]]
         if not len(best):
             break
         rule_of = np.full(len(often), -1, np.int16)
@@ -202,7 +262,7 @@ def write_shards(df: DataFrame, tokenizer: str, doc_id: str = "doc_id", text: st
     end = np.array([end_id], "<u4").tobytes()
 
     def run(batches):
-        encode, part, number = json_pieces(tokenizer), TaskContext.get().partitionId(), 0
+        encode, part, number = json_encoder(tokenizer), TaskContext.get().partitionId(), 0
         ids, parts, held = [], [], 0
 
         def flush():
@@ -214,7 +274,7 @@ def write_shards(df: DataFrame, tokenizer: str, doc_id: str = "doc_id", text: st
             return row
 
         for batch in batches:
-            for at, _, off in c.slices(batch.column(1)):
+            for at, _, off in c.slices(batch.column(1), ENCODE_BYTES):
                 some = batch.slice(at, len(off) - 1)
                 for i, x in zip(some.column(0).to_pylist(), encode(some.column(1).to_pylist())):
                     ids.append(i), parts.append(x + end)
