@@ -70,8 +70,13 @@ def linear_interp(x: Column, centers, values) -> Column:
 
 
 def nearest(x: Column, centers, values) -> Column:
-    """The value of the nearest center; of two at one distance, the first's."""
-    table = F.array(*[F.struct(F.abs(x - float(c)).alias("d"), F.lit(k).alias("k"), F.lit(float(v)).alias("v")) for k, (c, v) in enumerate(zip(centers, values))])
+    """The value of the nearest center; of two at one distance, the first's.
+
+    Distances count to 12 digits of the largest center, so the last bit of a
+    difference decides nothing.
+    """
+    digits = 12 - max((math.frexp(abs(float(c)))[1] * 3 // 10 for c in centers if c), default=0)
+    table = F.array(*[F.struct(F.round(F.abs(x - float(c)), digits).alias("d"), F.lit(k).alias("k"), F.lit(float(v)).alias("v")) for k, (c, v) in enumerate(zip(centers, values))])
     return F.array_min(table)["v"]
 
 

@@ -316,13 +316,22 @@ register("format_to_log_sh", f"""SELECT {KEYS}, {', '.join(f'round(ln(greatest({
 )
 register("format_pre_activate", f"""SELECT gid, {', '.join(f'round(least(greatest(exp({c}), 1e-4), 100), 10) AS {c}' for c in SCALE)}, round(1/(1+exp(-opacity)), 10) AS opacity,
   {', '.join(f'round({c}/sqrt(qw*qw+qx*qx+qy*qy+qz*qz), 10) AS {c}' for c in QUAT)} FROM ({E})""")(lambda spark, sf: _out(pre_activate(fx.scene_e(spark, sf).df), ["gid"], (*SCALE, OPACITY, *QUAT)))
-#: Rows at one distance from two centers are left to the unit tests: there the last bit decides.
+#: interpolate_tables leaves rows near a tie of two centers out; interpolate_tables_whole has all.
 _OFF = "abs(opacity-0.2) > 0.001 AND abs(opacity-0.45) > 0.001 AND abs(opacity-0.75) > 0.001"
 _CENTERS, _VALUES = (0.1, 0.3, 0.6, 0.9), (1.0, 4.0, 2.0, 8.0)
+
+
+def _interpolated(df: DataFrame) -> DataFrame:
+    return df.select(*fx.KEYS_L, F.round(sc.linear_interp(F.col(OPACITY), _CENTERS, _VALUES), 5).alias("linear"), sc.nearest(F.col(OPACITY), _CENTERS, _VALUES).alias("nearest"))
+
+
 register("interpolate_tables", f"""SELECT {KEYS}, round(CASE WHEN opacity < 0.3 THEN (opacity-0.1)/(0.3-0.1+1e-8)*3+1 WHEN opacity < 0.6 THEN (opacity-0.3)/(0.6-0.3+1e-8)*(-2)+4 ELSE (opacity-0.6)/(0.9-0.6+1e-8)*6+2 END, 5) AS linear,
   CASE WHEN opacity <= 0.2 THEN 1.0::DOUBLE WHEN opacity <= 0.45 THEN 4.0::DOUBLE WHEN opacity <= 0.75 THEN 2.0::DOUBLE ELSE 8.0::DOUBLE END AS nearest FROM ({L}) WHERE {_OFF}""")(
-    lambda spark, sf: fx.scene_l(spark, sf).df.filter(_OFF).select(*fx.KEYS_L, F.round(sc.linear_interp(F.col(OPACITY), _CENTERS, _VALUES), 5).alias("linear"), sc.nearest(F.col(OPACITY), _CENTERS, _VALUES).alias("nearest"))
+    lambda spark, sf: _interpolated(fx.scene_l(spark, sf).df.filter(_OFF))
 )
+# over the whole table: at a tie the first center wins, in both
+register("interpolate_tables_whole", f"""SELECT {KEYS}, round(CASE WHEN opacity < 0.3 THEN (opacity-0.1)/(0.3-0.1+1e-8)*3+1 WHEN opacity < 0.6 THEN (opacity-0.3)/(0.6-0.3+1e-8)*(-2)+4 ELSE (opacity-0.6)/(0.9-0.6+1e-8)*6+2 END, 5) AS linear,
+  CASE WHEN round(opacity-0.2, 12) <= 0 THEN 1.0::DOUBLE WHEN round(opacity-0.45, 12) <= 0 THEN 4.0::DOUBLE WHEN round(opacity-0.75, 12) <= 0 THEN 2.0::DOUBLE ELSE 8.0::DOUBLE END AS nearest FROM ({L})""")(lambda spark, sf: _interpolated(fx.scene_l(spark, sf).df))
 
 # ---------------------------------------------------------------- aggregates
 

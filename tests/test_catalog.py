@@ -31,6 +31,21 @@ def test_query(spark, duck, name):
     same(got, want.astype({c: got[c].dtype for c in got.columns if c in want.columns}))
 
 
+def test_interpolate_whole_table(spark):
+    out = catalog.QUERIES["interpolate_tables_whole"](spark, SF)
+    assert out.count() == spark.read.parquet(f"{SF}/lineitem.parquet").count()
+
+
+def test_nearest_at_a_tie(spark):
+    """The first center wins, whichever way the last bit of a distance falls."""
+    from pyspark.sql import functions as F
+
+    from splatarium.functions import scalar
+
+    df = spark.createDataFrame([(0.2,), (0.45,), (0.75,), (0.46,)], "x double")
+    assert [r[0] for r in df.select(scalar.nearest(F.col("x"), (0.1, 0.3, 0.6, 0.9), (1, 4, 2, 8))).collect()] == [1, 4, 2, 2]
+
+
 def test_entry(spark):
     import __spark_entry__ as e
 
