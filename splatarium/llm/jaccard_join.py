@@ -170,7 +170,7 @@ def _sets(df: DataFrame, words: int, percent: int) -> DataFrame:
 
 def _signature_rows(df: DataFrame, words: int, percent: int) -> DataFrame:
     """(sig, doc_id, need): the signatures of every different set. Of sets that are
-    equal inside one task only the first speaks, as a map-side combine."""
+    equal inside one task only the first with a doc_id speaks, as a map-side combine."""
 
     def run(batches):
         seen: set[tuple[int, int]] = set()
@@ -178,12 +178,12 @@ def _signature_rows(df: DataFrame, words: int, percent: int) -> DataFrame:
             for at, buf, off in c.slices(batch.column(1)):
                 gram, counts = shingle_sets(buf, off, words)
                 fresh = np.zeros(len(counts), bool)
+                ids = batch.column(0).slice(at, len(counts))
+                valid = ids.is_valid().to_pylist()
                 for i, key in enumerate(zip(*(h.tolist() for h in set_hashes(gram, counts)))):
-                    if key not in seen:
+                    if valid[i] and key not in seen:
                         seen.add(key)
                         fresh[i] = True
-                ids = batch.column(0).slice(at, len(counts))
-                fresh &= ids.is_valid().to_numpy(zero_copy_only=False)
                 gram, counts = gram[np.repeat(fresh, counts)], np.where(fresh, counts, 0)
                 sig, row, need = signatures(gram, counts, percent)
                 yield pa.RecordBatch.from_arrays([pa.array(sig), ids.take(pa.array(row)), pa.array(need.astype(np.int32))], ["sig", "doc_id", "need"])

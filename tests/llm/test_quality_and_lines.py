@@ -137,6 +137,14 @@ def test_jaccard_edges(spark):
     assert sorted(r.doc_id for r in twice.collect()) == [1, 2]
 
 
+def test_jaccard_null_id_first(spark):
+    """A row without doc_id speaks for nobody, also where it comes first in its task."""
+    text = " ".join(f"t{k}" for k in range(40))
+    df = spark.createDataFrame([(None, text), (5, text), (3, text + " z")], "doc_id long, text string").coalesce(1)
+    got = [(r.doc_id, r.component_id) for r in jaccard_join.jaccard_join(df).collect()]
+    assert sorted(got, key=str) == sorted([(None, 3), (5, 3), (3, 3)], key=str)
+
+
 def test_mix(spark):
     sizes = {"a": 4000, "b": 900, "c": 30, None: 2500}
     rows, n = [], 0
