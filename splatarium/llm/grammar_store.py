@@ -86,16 +86,20 @@ class JsonEncoder:
     A text is cut at spaces between other characters, where the pattern always
     breaks. Each different piece of a batch is looked up once; new pieces are
     split by the library's pattern, and each new pre-token goes to the
-    library's BPE model once. Special tokens' strings are ordinary text.
+    library's BPE model once. With `added`, a text that holds one of the file's
+    added tokens goes to the library whole, which gives those their ids as it
+    does by default; else their strings are ordinary text.
     """
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, added: bool = False):
         import public_tokenizers
         import regex
         from tokenizers import Tokenizer
 
         self.split = regex.compile(public_tokenizers.PATTERN).findall
-        self.merge, self.names = Tokenizer.from_file(path).model.tokenize, _byte_names()
+        self.whole = Tokenizer.from_file(path)
+        self.merge, self.names = self.whole.model.tokenize, _byte_names()
+        self.added = [t.content for t in self.whole.get_added_tokens_decoder().values()] if added else []
         self.pieces, self.tokens = _Ids(), _Ids()
 
     def _token_numbers(self, tokens: list[str]) -> np.ndarray:
@@ -117,6 +121,14 @@ class JsonEncoder:
 
     def __call__(self, texts: list[str]) -> list[bytes]:
         """Ids of each text as little-endian unsigned 32-bit integers."""
+        held = [any(a in t for a in self.added) for t in texts]
+        if any(held):
+            plain = iter(self._plain([t for t, h in zip(texts, held) if not h]))
+            return [np.array(self.whole.encode(t, add_special_tokens=False).ids, "<u4").tobytes() if h else next(plain) for t, h in zip(texts, held)]
+        return self._plain(texts)
+
+    def _plain(self, texts: list[str]) -> list[bytes]:
+        """The same, for texts that hold no added token that counts."""
         if not texts:
             return []
         if max(len(self.pieces.number), len(self.tokens.number)) > REMEMBERED:
@@ -136,9 +148,9 @@ class JsonEncoder:
 
 
 @functools.cache
-def json_encoder(path: str) -> JsonEncoder:
+def json_encoder(path: str, added: bool = False) -> JsonEncoder:
     """One for each worker, which remembers from task to task."""
-    return JsonEncoder(path)
+    return JsonEncoder(path, added)
 
 
 def re_pair(ids: np.ndarray, ends: np.ndarray, terminals: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -254,15 +266,16 @@ class Shard:
         return self.expand(self.symbols[self.starts[k] : self.starts[k + 1]])
 
 
-def write_shards(df: DataFrame, tokenizer: str, doc_id: str = "doc_id", text: str = "text", end_id: int = 2, terminals: int = 50257, shard_ids: int = SHARD_IDS) -> DataFrame:
+def write_shards(df: DataFrame, tokenizer: str, doc_id: str = "doc_id", text: str = "text", end_id: int = 2, terminals: int = 50257, shard_ids: int = SHARD_IDS, added: bool = False) -> DataFrame:
     """Encodes df and writes its shards; gives (part, shard, n_docs, n_ids, data),
-    read from what was written. part and shard ascend with doc_id."""
+    read from what was written. part and shard ascend with doc_id. With `added`,
+    the tokenizer's added tokens get their ids; else they are ordinary text."""
     docs = df.select(F.col(f"`{doc_id}`").cast("long").alias("doc_id"), F.coalesce(F.col(f"`{text}`"), F.lit("")).alias("text"))
     dealt = docs.repartitionByRange("doc_id").sortWithinPartitions("doc_id", "text")
     end = np.array([end_id], "<u4").tobytes()
 
     def run(batches):
-        encode, part, number = json_encoder(tokenizer), TaskContext.get().partitionId(), 0
+        encode, part, number = json_encoder(tokenizer, added), TaskContext.get().partitionId(), 0
         ids, parts, held = [], [], 0
 
         def flush():
@@ -317,5 +330,5 @@ def op3_repair_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All of `documents`, from the files."""
     import public_tokenizers
 
-    shards = write_shards(c.table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
+    shards = write_shards(c.table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), added=True)
     return read_documents(shards).select("doc_id", "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))

@@ -57,6 +57,19 @@ def test_shards_against_the_library(spark, texts):
         grammar_store.Shard(b"nothing here, really nothing")
 
 
+def test_op3_added_tokens(spark, texts, tmp_path):
+    """op3 gives added tokens their ids, as the library does by default."""
+    tok = Tokenizer.from_file(JSON)
+    rows = list(enumerate([*texts[:40], "a <|endoftext|> b", "<|endoftext|>", "<|endoftext|><|endoftext|> x", "no token"]))
+    spark.createDataFrame(rows, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    ids = [[*tok.encode(t, add_special_tokens=False).ids, 2] for _, t in rows]
+    assert ids[40] == [64, 220, 50256, 275, 2]
+    got = grammar_store.op3_repair_shards(spark, str(tmp_path)).orderBy("doc_id").collect()
+    assert [r.n_tokens for r in got] == list(map(len, ids))
+    assert [r.ids_crc32 for r in got] == [zlib.crc32(np.array(x, "<u4").tobytes()) for x in ids]
+    assert [r.start for r in got] == np.cumsum([0, *map(len, ids)])[:-1].tolist()
+
+
 @pytest.mark.parametrize("seed", range(4))
 def test_re_pair_round_trip(seed):
     g = np.random.default_rng(seed)
