@@ -15,7 +15,8 @@ execution splits a host that holds much of the corpus.
 Defined cases: a null text has no lines and stays null; lines without a word
 are never dropped, and rejoining keeps their places; null is a host of its
 own; every row counts as a page, repeated rows too; hosts of fewer than
-`min_pages` pages are left alone. All columns of the input are returned.
+`min_pages` pages are left alone (with 1, the share decides at every host); a
+line on one page only is never dropped. All columns of the input are returned.
 """
 
 from __future__ import annotations

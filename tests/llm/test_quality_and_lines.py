@@ -75,6 +75,17 @@ def test_line_dedup(spark):
     assert not re.search("Python|Arrow|Pandas", plan)
 
 
+def test_pipeline_lines_of_small_sources(spark):
+    """The share decides in a source of few pages too; a line on one page stays."""
+    import corpus_pipeline
+
+    rows = [(i, f"menu\nbody {i}", "en", "small", 0) for i in range(10)] + [(10, "menu\nalone", "en", "single", 0)]
+    rows += [(20 + i, "foot\nat %d" % i if i < 19 else "no foot", "en", "nineteen" if i < 19 else "other", 0) for i in range(20)]
+    got = {r.doc_id: (r.text, r.n_chars) for r in corpus_pipeline.site_lines(spark, spark.createDataFrame(rows, SCHEMA), "").collect()}
+    want = {**{i: f"body {i}" for i in range(10)}, 10: "menu\nalone", **{20 + i: f"at {i}" for i in range(19)}, 39: "no foot"}
+    assert got == {i: (t, len(t)) for i, t in want.items()}
+
+
 def brute_links(rows, words, percent):
     sets = []
     for i, t in rows:
