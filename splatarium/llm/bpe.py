@@ -1,16 +1,22 @@
 """Operator 8: byte-level BPE encoding and decoding, with overlapping chunks.
 
-A text is cut where a space stands between two characters that are no white
-space: the pre-token pattern always breaks there, and never looks across. The
-pieces are encoded by the library and remembered, since words repeat.
-
-A text of more than `CHUNK` characters is cut into overlapping chunks, which
-different tasks pre-tokenise in parallel from their own beginnings. Two chunks
-meet in their overlap: at the first place where both break (after a character
-that is no white space) they are in step, because the pattern only looks ahead,
-and all that follows is the same for both. There they are stitched, and each
-chunk encodes what it owns. Should two chunks never fall in step, as in one
-unbroken run of letters, the text is put together again and encoded in one go.
+Every text is cut into chunks of a few thousand bytes that overlap, and each chunk
+is pre-tokenised from its own beginning. In an overlap two chunks fall in step:
+from the first place on at which both break (after a character that is no white
+space), all that follows is the same for both, because the pattern only looks
+ahead. There they are stitched: the former chunk gives the pre-tokens before that
+place, the latter those behind it. The pre-tokens found this way are the pieces
+that are encoded, each different one once by the library.
+
+A chunk begins only where such a place is sure to follow in the overlap: behind
+a letter that no letter follows, or before white space that follows something
+else, every tokenisation breaks. Where there is none, as in one long run of
+letters (which is one pre-token anyway), the chunk before it goes on. So no two
+chunks ever fail to meet, and no text is encoded in another way.
+
+A task works on the chunks of its texts side by side, as arrays. A text of more
+than `SEGMENT` bytes is first cut into segments by the same rule; these are dealt
+over all tasks, and their ids are stitched where the segments fall in step.
 
 Decoding concatenates the bytes of the ids; bytes of a character may stand in
 several tokens, so only whole documents need be valid UTF-8.
@@ -24,73 +30,25 @@ from __future__ import annotations
 
 import base64
 import functools
-import re
-from itertools import accumulate, chain
 
 import numpy as np
 import pyarrow as pa
 import regex
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import common as c
+from . import pretokens
 
-CHUNK, OVERLAP = 32768, 512
-#: A match that ends closer to the end of a chunk might go on behind it.
-MARGIN = 8
-#: Remembered pieces of one worker; all are forgotten when there are more.
-REMEMBERED = 350_000
+#: Bytes of a chunk and of a segment without the overlap, and of the overlap.
+CHUNK, SEGMENT, OVERLAP = 4096, 32768, 256
+#: A break closer to the end of a chunk than this might not be one in the whole text.
+MARGIN = 16
+#: Bytes of texts that are worked on at once.
+BATCH_BYTES = 4 << 20
 
-_CUT = re.compile(r"(?<=\S) (?=\S)")
-#: White space other than the space itself, as Python knows it; a superset of the pattern's.
-_OTHER_SPACE = [chr(k) for k in range(0x3001) if chr(k).isspace() and k != 32]
-_OTHER_ASCII = [x for x in _OTHER_SPACE if x < "\x80"]
-
-
-def cut(text: str) -> list[str]:
-    """The pieces of a text, without the spaces between them.
-
-    Where no space has white space beside it, each is a cut; that is the usual
-    case, and quick to see.
-    """
-    plain = not (text[:1] == " " or text[-1:] == " " or "  " in text)
-    for x in _OTHER_ASCII if text.isascii() else _OTHER_SPACE:
-        if plain and x in text:
-            plain = not (" " + x in text or x + " " in text)
-    return text.split(" ") if plain else _CUT.split(text)
-
-
-def packed(ids: list[list[int]]) -> list[bytes]:
-    """Id lists as little-endian unsigned 32-bit integers."""
-    flat = np.array(list(chain.from_iterable(ids)), "<u4").tobytes()
-    ends = list(accumulate(4 * len(x) for x in ids))
-    return [flat[a:b] for a, b in zip([0, *ends], ends)]
-
-
-class Pieces:
-    """Encodes texts piece by piece with a memory.
-
-    `encode_all` is a library's encoding of a list of strings that are cut out
-    at breaks of the pre-token pattern; it gives the ids of each as bytes.
-    """
-
-    def __init__(self, encode_all):
-        self.encode_all, self.memory = encode_all, {}
-
-    def __call__(self, texts: list[str]) -> list[bytes]:
-        """Ids of each text as little-endian unsigned 32-bit integers."""
-        if len(self.memory) > REMEMBERED:
-            self.memory.clear()
-        memory, rest, heads = self.memory, [], []
-        for t in texts:
-            head, *parts = cut(t)
-            heads.append(head)
-            rest.append(parts)
-        # the first piece of a text has no space before it: its key has no space either
-        missing = list(set().union(*rest).difference(memory))
-        if missing:
-            memory.update(zip(missing, self.encode_all([" " + w for w in missing])))
-        return [h + b"".join(map(memory.__getitem__, p)) for h, p in zip(self.encode_all(heads), rest)]
+#: Places at which every tokenisation breaks, whatever stands before.
+_SURE = regex.compile(r"\p{L}(?=\P{L})|\S(?=\s)")
 
 
 @functools.cache
@@ -105,92 +63,218 @@ def tiktoken_encoding(path: str):
 
 
 @functools.cache
-def tiktoken_pieces(path: str) -> Pieces:
+def _memory(path: str) -> pretokens.Memory:
+    """One for each worker, which remembers from task to task."""
     encode = tiktoken_encoding(path).encode_ordinary
-    return Pieces(lambda texts: packed([encode(t) for t in texts]))
-
-
-def breaks(text: str, pattern, last: bool) -> np.ndarray:
-    """Where pre-tokens of a chunk end, at places fit for a stitch."""
-    ends = [m.end() for m in pattern.finditer(text)]
-    limit = len(text) if last else len(text) - MARGIN
-    return np.array([e for e in ends if e <= limit and not text[e - 1].isspace()], np.int64)
+    return pretokens.Memory(lambda new: list(map(encode, new)))
 
 
-def _texts(column: pa.Array) -> list[str]:
-    return ["" if t is None else t for t in column.to_pylist()]
-
-
-def _encode_column(df: DataFrame, text: str, rank_file: str) -> DataFrame:
-    """df and ids; each text in one go. Batches are cut by bytes."""
+@functools.cache
+def _vocabulary(path: str) -> pa.Array:
+    """The bytes of every id."""
+    e = tiktoken_encoding(path)
+    known = dict(zip(e._mergeable_ranks.values(), e._mergeable_ranks))
+    return pa.array([known.get(k, b"") for k in range(e.n_vocab)], pa.large_binary())
+
+
+# ------------------------------------------------------------------ chunks
+
+
+def chunk_starts(raw: bytes, size: int, overlap: int = OVERLAP) -> list[int]:
+    """Byte positions in a text at which its chunks begin."""
+    starts, at = [0], size
+    while at < len(raw):
+        a = at
+        while a < len(raw) and raw[a] & 0xC0 == 0x80:
+            a += 1  # not inside a character
+        # the character after a sure place has to be there as well
+        if _SURE.search(raw[a : a + overlap - MARGIN].decode("utf-8", "ignore")):
+            starts.append(a)
+        at += size
+    return starts
+
+
+def _reach(raw: bytes, at: int, overlap: int) -> int:
+    """The end of a chunk that overlaps with the one that begins at `at`."""
+    end = min(len(raw), at + overlap)
+    while end < len(raw) and raw[end] & 0xC0 == 0x80:
+        end += 1
+    return end
+
+
+def _after_space(buf: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """Does white space of any script stand before these places?"""
+    b1, b2, b3 = (buf[np.maximum(end - k, 0)] for k in (1, 2, 3))
+    two = (b2 == 0xC2) & ((b1 == 0x85) | (b1 == 0xA0))
+    e2 = (b2 == 0x80) & ((b1 <= 0x8A) | (b1 == 0xA8) | (b1 == 0xA9) | (b1 == 0xAF)) | (b2 == 0x81) & (b1 == 0x9F)
+    three = (b1 >= 0x80) & ((b3 == 0xE1) & (b2 == 0x9A) & (b1 == 0x80) | (b3 == 0xE2) & e2 | (b3 == 0xE3) & (b2 == 0x80) & (b1 == 0x80))
+    return c.IS_SPACE[b1] | two | three
+
+
+def stitched_starts(buf: np.ndarray, off: np.ndarray, size: int = CHUNK, overlap: int = OVERLAP) -> tuple[np.ndarray, int]:
+    """(byte positions in buf at which pre-tokens begin, number of stitches) for
+    the texts of a slice, found chunk by chunk."""
+    raw = buf.tobytes()
+    begin, reach, first, sound = [], [], [], []  # of each chunk, in buf; is it the first of its text? Breaks up to here count.
+    for a, b in zip(off[:-1].tolist(), off[1:].tolist()):
+        t = raw[a:b] if b - a > size else b""
+        own = chunk_starts(t, size, overlap) if t else [0]
+        begin += [a + x for x in own]
+        reach += [a + _reach(t, x, overlap) for x in own[1:]] + [b]
+        first += [True] + [False] * (len(own) - 1)
+        sound += [x if x == b else x - MARGIN for x in reach[-len(own) :]]
+    if len(begin) == len(off) - 1:
+        return pretokens.starts(buf, off), 0
+    begin, reach, first, sound = map(np.array, (begin, reach, first, sound))
+    # the chunks one behind another, with what stands in two of them twice
+    upto = c.running(reach - begin)
+    lanes = np.frombuffer(b"".join(raw[a:b] for a, b in zip(begin.tolist(), reach.tolist())), np.uint8)
+    found = pretokens.starts(lanes, upto)
+    lane = np.searchsorted(upto, found, side="right") - 1
+    shift = begin[lane] - upto[lane]
+    start, end = found + shift, np.append(found[1:], len(lanes)) + shift
+    last = np.append(first[1:], True)
+    # breaks in the overlap with the chunk behind, and with the one before
+    behind = np.append(begin[1:], 0)[lane]
+    fit = ~_after_space(buf, end)
+    tail = end[fit & ~last[lane] & (end > behind) & (end <= sound[lane])]
+    head = end[fit & ~first[lane] & (end <= begin[lane] + overlap - MARGIN)]
+    both = np.intersect1d(tail, head)
+    at = np.searchsorted(both, begin, side="right")
+    if not len(both) or (at[~first] == len(both)).any():
+        raise ValueError("chunks out of step")
+    step = np.where(first, begin, both[np.minimum(at, len(both) - 1)])
+    until = np.where(last, reach, np.append(step[1:], 0))
+    if (step[~first] > begin[~first] + overlap).any():
+        raise ValueError("chunks out of step")
+    return start[(start >= step[lane]) & (start < until[lane])], int((~first).sum())
+
+
+def _ids(buf: np.ndarray, off: np.ndarray, rank_file: str, chunk: int, overlap: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(ids, begins of pre-tokens, ids before each pre-token) of a slice."""
+    start, _ = stitched_starts(buf, off, chunk, overlap)
+    ids, n = _memory(rank_file).ids(buf, start)
+    return ids, start, c.running(n)
+
+
+def _packed(ids: np.ndarray, start: np.ndarray, upto: np.ndarray, off: np.ndarray) -> list[bytes]:
+    """Ids of each text as little-endian unsigned 32-bit integers."""
+    raw, ends = ids.astype("<u4").tobytes(), (4 * upto[np.searchsorted(start, off)]).tolist()
+    return [raw[a:b] for a, b in zip(ends, ends[1:])]
+
+
+def _encode_column(df: DataFrame, text: str, rank_file: str, chunk: int, overlap: int, keep_text: bool) -> DataFrame:
+    """df and ids."""
     at = df.columns.index(text)
-    schema = df.select("*", F.lit(None).cast("binary").alias("ids")).schema
+    out = df if keep_text else df.drop(text)
+    schema = out.select("*", F.lit(None).cast("binary").alias("ids")).schema
 
     def run(batches):
-        pieces = tiktoken_pieces(rank_file)
         for batch in batches:
-            for i, _, off in c.slices(batch.column(at)):
-                part = batch.slice(i, len(off) - 1)
-                ids = pa.array(pieces(_texts(part.column(at))), pa.binary())
-                yield pa.RecordBatch.from_arrays([*part.columns, ids], [*batch.schema.names, "ids"])
+            for i, buf, off in c.slices(batch.column(at), BATCH_BYTES):
+                some = batch.slice(i, len(off) - 1)
+                ids = pa.array(_packed(*_ids(buf, off, rank_file, chunk, overlap), off), pa.binary())
+                yield pa.RecordBatch.from_arrays([*[x for k, x in enumerate(some.columns) if keep_text or k != at], ids], schema.names)
 
     return df.mapInArrow(run, schema)
 
 
-def _head_and_tail(chunks: DataFrame, pattern: str, size: int, overlap: int) -> DataFrame:
-    """chunks and, as positions in the document, the breaks in both overlaps."""
+# ---------------------------------------------------------------- segments
+
+
+def _segments(df: DataFrame, text: str, size: int, overlap: int) -> DataFrame:
+    """(row, k, start, own, sound, rest, segment): a row for each segment of each text.
+    `own` are its bytes up to the next, `sound` those in which breaks count. The other
+    columns stand beside the first."""
+    rest = [x for x in df.columns if x != text]
+    # the id of a row follows from the files and their order, so a task run again gives it again
+    rows = df.select(F.monotonically_increasing_id().alias("row"), F.struct(F.lit(0).alias("_"), *[F.col(f"`{x}`") for x in rest]).alias("rest"), F.col(f"`{text}`").alias("whole"))
+    schema = rows.select("row", F.lit(0).alias("k"), F.lit(0).cast("long").alias("start"), F.lit(0).alias("own"), F.lit(0).alias("sound"), F.when(F.col("row") >= 0, F.col("rest")).alias("rest"), F.col("whole").alias("segment")).schema
 
     def run(batches):
-        pat = regex.compile(pattern)
         for batch in batches:
-            names = batch.schema.names
-            k, n = (batch.column(names.index(x)).to_pylist() for x in ("k", "n_chunks"))
-            head, tail = [], []
-            for i, t in enumerate(batch.column(names.index("chunk")).to_pylist()):
-                at = breaks(t, pat, k[i] == n[i] - 1)
-                head.append((at[at <= overlap] + k[i] * size).tolist() if k[i] else [])
-                tail.append((at[(at > size) & (at <= size + overlap)] + k[i] * size).tolist() if k[i] < n[i] - 1 else [])
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(head, pa.list_(pa.int64())), pa.array(tail, pa.list_(pa.int64()))], [*names, "head", "tail"])
+            for i in range(batch.num_rows):
+                t = batch.column(2)[i].as_buffer().to_pybytes()
+                begin = chunk_starts(t, size, overlap)
+                for j, (a, b) in enumerate(zip(begin, [*begin[1:], len(t)])):
+                    end, rest = _reach(t, b, overlap), batch.column(1).slice(i, 1) if j == 0 else pa.nulls(1, batch.schema.types[1])
+                    numbers = [pa.array([j], pa.int32()), pa.array([a], pa.int64()), pa.array([b - a], pa.int32()), pa.array([end - a - (MARGIN if end < len(t) else 0)], pa.int32())]
+                    yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, 1), *numbers, rest, pa.array([t[a:end]], pa.binary()).cast(pa.string())], schema.names)
 
-    arrays = chunks.select("*", *[F.lit(None).cast("array<bigint>").alias(x) for x in ("head", "tail")])
-    return chunks.mapInArrow(run, arrays.schema)
+    return rows.mapInArrow(run, schema)
 
 
-def _encode_long(df: DataFrame, text: str, rank_file: str, pattern: str, size: int, overlap: int) -> DataFrame:
-    """Like `_encode_column`, for texts of more than one chunk."""
-    rest = [x for x in df.columns if x != text]
-    n = F.expr(f"cast((char_length(`{text}`) + {size - 1}) div {size} as int)")
-    # the id of a row follows from the files and their order, so a task run again gives it again
-    rows = df.select(F.monotonically_increasing_id().alias("row"), F.struct(F.lit(0).alias("_"), *[F.col(f"`{x}`") for x in rest]).alias("rest"), F.col(f"`{text}`").alias("whole"), n.alias("n_chunks"))
-    chunks = rows.select("*", F.explode(F.sequence(F.lit(0), F.col("n_chunks") - 1)).alias("k"))
-    chunks = chunks.select("row", "k", "n_chunks", F.when(F.col("k") == 0, F.col("rest")).alias("rest"), F.substring("whole", F.col("k") * size + 1, F.lit(size + overlap)).alias("chunk"))
-    marked = _head_and_tail(chunks.repartition("row", "k"), pattern, size, overlap)
-    order = Window.partitionBy("row").orderBy("k")
-    marked = marked.withColumn("at", F.when(F.col("k") == 0, F.lit(0)).otherwise(F.array_min(F.array_intersect("head", F.lag("tail").over(order)))))
-    marked = marked.withColumn("lost", F.max(F.col("at").isNull()).over(Window.partitionBy("row"))).withColumn("until", F.lead("at").over(order))
-    owned = F.expr(f"substring(chunk, cast(at - k * {size} + 1 as int), cast(coalesce(until, at + char_length(chunk)) - at as int))")
-    nominal = F.substring("chunk", 1, size)
-    ready = marked.select("row", "k", "rest", "lost", nominal.alias("nominal"), F.when(~F.col("lost"), owned).alias("owned"))
-    coded = _encode_column(ready, "owned", rank_file)
-    parts = F.array_sort(F.collect_list(F.struct("k", "ids", "nominal")))
-    docs = coded.groupBy("row", "lost").agg(F.max_by("rest", F.col("rest").isNotNull()).alias("rest"), parts.alias("parts"))
-    docs = docs.select("lost", *[F.col(f"rest.`{x}`").alias(x) for x in rest], F.array_join("parts.nominal", "").alias(text), F.aggregate("parts.ids", F.lit(b""), lambda a, b: F.concat(a, b)).alias("ids"))
-    whole = _encode_column(docs.filter("lost").select(*df.columns), text, rank_file)
-    return docs.filter("not lost").select(*df.columns, "ids").unionByName(whole)
-
-
-def encode(df: DataFrame, rank_file: str, text: str = "text", pattern: str | None = None, chunk: int = CHUNK, overlap: int = OVERLAP) -> DataFrame:
-    """df with a column ids: binary, little-endian unsigned 32-bit integers."""
-    if pattern is None:
-        import public_tokenizers
-
-        pattern = public_tokenizers.PATTERN
+_MARKS = "array<struct<at:bigint,n:bigint>>"
+
+
+def _coded_segments(segments: DataFrame, rank_file: str, chunk: int, overlap: int) -> DataFrame:
+    """segments with all their ids, and their breaks in the overlap with the segment
+    before (head) and behind (tail): place in the text, and number of ids before it."""
+    col = {x: i for i, x in enumerate(segments.columns)}
+    schema = segments.select("*", F.lit(None).cast("binary").alias("ids"), *[F.lit(None).cast(_MARKS).alias(x) for x in ("head", "tail")]).schema
+    kind = pa.list_(pa.struct([("at", pa.int64()), ("n", pa.int64())]))
+
+    def run(batches):
+        for batch in batches:
+            for i, buf, off in c.slices(batch.column(col["segment"]), BATCH_BYTES):
+                some = batch.slice(i, len(off) - 1)
+                ids, begin, upto = _ids(buf, off, rank_file, chunk, overlap)
+                end = np.append(begin[1:], len(buf))
+                fit = np.flatnonzero(~_after_space(buf, end))
+                marks: tuple[list, list] = ([], [])
+                for j, (k, start, own, sound) in enumerate(zip(*(some.column(col[x]).to_pylist() for x in ("k", "start", "own", "sound")))):
+                    a = int(off[j])
+                    before = upto[np.searchsorted(begin, a)]
+                    for out, lo, hi in ((marks[0], a, a + overlap - MARGIN if k else a), (marks[1], a + own, a + sound)):
+                        pick = fit[np.searchsorted(end[fit], lo, side="right") : np.searchsorted(end[fit], hi, side="right")]
+                        out.append([{"at": start + int(end[p]) - a, "n": int(upto[p + 1] - before)} for p in pick.tolist()])
+                yield pa.RecordBatch.from_arrays([*some.columns, pa.array(_packed(ids, begin, upto, off), pa.binary()), *(pa.array(x, kind) for x in marks)], schema.names)
+
+    return segments.mapInArrow(run, schema)
+
+
+def _join_segments(docs: DataFrame, keep_text: bool) -> DataFrame:
+    """(rest, text, ids) of (rest, parts): ids are cut where segments fall in step."""
+    schema = docs.select("rest", F.lit("").alias("text"), F.lit(None).cast("binary").alias("ids")).schema
+
+    def run(batches):
+        for batch in batches:
+            for i in range(batch.num_rows):
+                parts = sorted(batch.column(1)[i].as_py(), key=lambda p: p["k"])
+                ids, text, since = [], [], 0
+                for p, q in zip(parts, [*parts[1:], None]):
+                    until, then = len(p["ids"]) // 4, 0
+                    if q is not None:
+                        heads = {m["at"]: m["n"] for m in q["head"]}
+                        until, then = next((m["n"], heads[m["at"]]) for m in p["tail"] if m["at"] in heads)
+                    ids.append(p["ids"][4 * since : 4 * until])
+                    text.append(p["segment"].encode()[: p["own"]] if keep_text else b"")
+                    since = then
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, 1), pa.array([b"".join(text)], pa.binary()).cast(pa.string()), pa.array([b"".join(ids)], pa.binary())], schema.names)
+
+    return docs.mapInArrow(run, schema)
+
+
+def _encode_long(df: DataFrame, text: str, rank_file: str, chunk: int, segment: int, overlap: int, keep_text: bool) -> DataFrame:
+    """Like `_encode_column`, for texts of more than one segment."""
+    dealt = _segments(df, text, segment, overlap).repartition("row", "k")
+    coded = _coded_segments(dealt, rank_file, chunk, overlap)
+    part = F.struct("k", "own", "ids", "head", "tail", *(["segment"] if keep_text else []))
+    # the ids of a text are one value in the end, so its segments meet in one task
+    docs = coded.groupBy("row").agg(F.max_by("rest", F.col("k") == 0).alias("rest"), F.collect_list(part).alias("parts")).select("rest", "parts")
+    whole = _join_segments(docs, keep_text)
+    return whole.select(*[F.col("text").alias(text) if x == text else F.col(f"rest.`{x}`").alias(x) for x in df.columns if keep_text or x != text], "ids")
+
+
+def encode(df: DataFrame, rank_file: str, text: str = "text", chunk: int = CHUNK, segment: int = SEGMENT, overlap: int = OVERLAP, keep_text: bool = True) -> DataFrame:
+    """df with a column ids: binary, little-endian unsigned 32-bit integers; without
+    the text, unless it is to be kept."""
     df = df.drop("ids")
     names = c.fresh(df, *(f"c{k}" for k in range(len(df.columns))))
     plain, t = df.toDF(*names), names[df.columns.index(text)]
-    long = F.coalesce(F.char_length(t), F.lit(0)) > chunk
-    coded = _encode_column(plain.filter(~long), t, rank_file).unionByName(_encode_long(plain.filter(long), t, rank_file, pattern, chunk, overlap))
-    return coded.toDF(*df.columns, "ids")
+    long = F.coalesce(F.octet_length(t), F.lit(0)) > segment
+    coded = _encode_column(plain.filter(~long), t, rank_file, chunk, overlap, keep_text).unionByName(_encode_long(plain.filter(long), t, rank_file, chunk, segment, overlap, keep_text))
+    return coded.toDF(*(x for x in df.columns if keep_text or x != text), "ids")
 
 
 def decode(df: DataFrame, rank_file: str, ids: str = "ids") -> DataFrame:
@@ -200,10 +284,15 @@ def decode(df: DataFrame, rank_file: str, ids: str = "ids") -> DataFrame:
     schema = df.select("*", F.lit(None).cast("binary").alias("decoded")).schema
 
     def run(batches):
-        raw = tiktoken_encoding(rank_file).decode_bytes
+        words = _vocabulary(rank_file)
         for batch in batches:
-            done = [raw(np.frombuffer(x, "<u4").tolist()) if x else b"" for x in batch.column(at).to_pylist()]
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(done, pa.binary())], [*batch.schema.names, "decoded"])
+            for i, buf, off in c.byte_slices(batch.column(at), BATCH_BYTES):
+                got = words.take(pa.array(np.frombuffer(buf.tobytes(), "<u4")))
+                ends = np.frombuffer(got.buffers()[1], np.int64, len(got) + 1, got.offset * 8)[off // 4] if len(got) else np.zeros(len(off), np.int64)
+                raw = got.buffers()[2].to_pybytes() if len(got) and got.buffers()[2] is not None else b""
+                some = batch.slice(i, len(off) - 1)
+                done = [raw[a:b] for a, b in zip(ends.tolist(), ends[1:].tolist())]
+                yield pa.RecordBatch.from_arrays([*some.columns, pa.array(done, pa.binary())], schema.names)
 
     return df.mapInArrow(run, schema)
 
@@ -213,7 +302,7 @@ def op8_chunked_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
     ranks = public_tokenizers.path("byte_bpe_50k.tiktoken")
-    coded = encode(c.table(spark, sf_dir, "documents").select("doc_id", "text"), ranks).drop("text")
+    coded = encode(c.table(spark, sf_dir, "documents").select("doc_id", "text"), ranks, keep_text=False)
     return decode(coded, ranks).select(
         "doc_id", F.expr("cast(octet_length(ids) div 4 as bigint)").alias("n_tokens"), F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256")
     )

@@ -86,11 +86,20 @@ def slices(column: pa.Array | pa.ChunkedArray, limit: int = SLICE):
 
     A null counts as an empty text.
     """
+    yield from _slices(column, pa.large_string(), "", limit)
+
+
+def byte_slices(column: pa.Array | pa.ChunkedArray, limit: int = SLICE):
+    """The same for a column of binary values."""
+    yield from _slices(column, pa.large_binary(), b"", limit)
+
+
+def _slices(column: pa.Array | pa.ChunkedArray, kind: pa.DataType, empty: str | bytes, limit: int):
     if isinstance(column, pa.ChunkedArray):
         column = column.combine_chunks() if column.num_chunks != 1 else column.chunk(0)
-    column = column.cast(pa.large_string())
+    column = column.cast(kind)
     if column.null_count:
-        column = column.fill_null("")
+        column = column.fill_null(empty)
     n = len(column)
     if not n:
         return

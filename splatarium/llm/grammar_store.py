@@ -2,11 +2,14 @@
 
 Documents are dealt by ranges of doc_id and sorted, so the files hold them in
 ascending order. Each task cuts its documents into shards of bounded size. In a
-shard, frequent pairs of neighbouring ids are replaced by nonterminals, again
-and again; no pair reaches over the end of a document. The most frequent pairs
-of a round are replaced together: Re-Pair's greedy order but for pairs that
-compete for the same id, and for pairs that share a slot of the counting table,
-of which one is replaced.
+shard, frequent pairs of neighbouring ids are replaced by nonterminals, round
+after round, until no pair is left that stands `LEAST` times or more; no pair
+reaches over the end of a document, and every pair is counted by itself.
+
+It is Re-Pair but for the order: a round replaces all frequent pairs together, not
+the most frequent one alone, which makes some ten rounds of many thousands. Where their places overlap, every
+second one of a run is taken. A long line of pairs is counted in a hash table,
+in which the pairs of one slot take turns over the rounds; a short one by sorting.
 
 A shard is one binary value; Spark's Parquet writer commits the shards, so an
 executor that is lost leaves no half a file. Layout, little endian:
@@ -22,31 +25,31 @@ decoded from its own symbols, a position in it by adding up lengths.
 
 Defined cases: a null text is empty; every document ends with the end id, so
 none is without ids; null doc_ids come first; rows that share a doc_id stand in
-the order of their texts; an empty table gives no shards.
+the order of a hash of their texts; an empty table gives no shards.
 """
 
 from __future__ import annotations
 
 import functools
-from itertools import chain
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from . import common as c
-from .bpe import cut
+from . import pretokens
 
 MAGIC = b"RPG2"
 SHARD_IDS = 1 << 20
-ROUNDS, PAIRS_A_ROUND, LEAST = 4, 2048, 12
-_SLOT_BITS = 18
+#: A pair gets a rule if it stands so often in what is left of a shard.
+LEAST = 12
+#: Slots of the counting table, and the positions that are sorted instead when there are no more.
+_SLOT_BITS, SORTED = 18, 1 << 17
 #: Bytes of text encoded at once; a longer text is encoded alone.
 ENCODE_BYTES = 8 << 20
-#: Remembered pieces of one worker; all are forgotten when there are more.
-REMEMBERED = 800_000
 
 
 @functools.cache
@@ -58,93 +61,41 @@ def _byte_names() -> dict[int, str]:
     return {b: chr(b) for b in plain} | {b: chr(256 + k) for k, b in enumerate(rest)}
 
 
-class _Ids:
-    """Strings and their ids: a number for each string, ids end to end."""
-
-    def __init__(self):
-        self.number: dict[str, int] = {}
-        self.flat, self.start = np.zeros(0, np.uint32), np.zeros(1, np.int64)
-
-    def add(self, strings: list[str], ids: np.ndarray, counts: np.ndarray) -> None:
-        self.number.update(zip(strings, range(len(self.number), len(self.number) + len(strings))))
-        self.flat = np.concatenate([self.flat, ids.astype(np.uint32)])
-        self.start = np.concatenate([self.start, self.start[-1] + np.cumsum(counts)])
-
-    def numbers(self, strings: list[str]) -> np.ndarray:
-        return np.fromiter(map(self.number.__getitem__, strings), np.int64, len(strings))
-
-    def ids(self, numbers: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """(ids of the numbered strings end to end, how many each has)."""
-        start = self.start[numbers]
-        n = self.start[numbers + 1] - start
-        return self.flat[np.repeat(start - (np.cumsum(n) - n), n) + np.arange(int(n.sum()))], n
-
-
 class JsonEncoder:
     """Texts encoded by the tokenizers library from its JSON file.
 
-    A text is cut at spaces between other characters, where the pattern always
-    breaks. Each different piece of a batch is looked up once; new pieces are
-    split by the library's pattern, and each new pre-token goes to the
-    library's BPE model once. With `added`, a text that holds one of the file's
-    added tokens goes to the library whole, which gives those their ids as it
-    does by default; else their strings are ordinary text.
+    Texts are cut into pre-tokens, and each different one goes to the library's
+    BPE model once. With `added`, a text that holds one of the file's added
+    tokens goes to the library whole, which gives those their ids as it does by
+    default; else their strings are ordinary text.
     """
 
     def __init__(self, path: str, added: bool = False):
-        import public_tokenizers
-        import regex
         from tokenizers import Tokenizer
 
-        self.split = regex.compile(public_tokenizers.PATTERN).findall
         self.whole = Tokenizer.from_file(path)
-        self.merge, self.names = self.whole.model.tokenize, _byte_names()
+        merge, names = self.whole.model.tokenize, _byte_names()
         self.added = [t.content for t in self.whole.get_added_tokens_decoder().values()] if added else []
-        self.pieces, self.tokens = _Ids(), _Ids()
-
-    def _token_numbers(self, tokens: list[str]) -> np.ndarray:
-        new = list(set(tokens).difference(self.tokens.number))
-        if new:
-            got = [[t.id for t in self.merge(p.encode().decode("latin-1").translate(self.names))] for p in new]
-            self.tokens.add(new, np.array(list(chain.from_iterable(got)), np.uint32), np.array([len(x) for x in got], np.int64))
-        return self.tokens.numbers(tokens)
-
-    def _learn(self, new: list[str]) -> None:
-        """Adds pieces, each given without the space before it. Put together they
-        break where they meet, so the pattern runs once over all of them."""
-        tokens = self.split(" " + " ".join(new))
-        ids, n = self.tokens.ids(self._token_numbers(tokens))
-        token_ends = np.cumsum(np.fromiter(map(len, tokens), np.int64, len(tokens)))
-        piece_ends = np.cumsum(np.fromiter(map(len, new), np.int64, len(new)) + 1)
-        upto = c.running(n)[np.searchsorted(token_ends, piece_ends) + 1]
-        self.pieces.add(new, ids, np.diff(upto, prepend=0))
-
-    def __call__(self, texts: list[str]) -> list[bytes]:
-        """Ids of each text as little-endian unsigned 32-bit integers."""
-        held = [any(a in t for a in self.added) for t in texts]
-        if any(held):
-            plain = iter(self._plain([t for t, h in zip(texts, held) if not h]))
-            return [np.array(self.whole.encode(t, add_special_tokens=False).ids, "<u4").tobytes() if h else next(plain) for t, h in zip(texts, held)]
-        return self._plain(texts)
-
-    def _plain(self, texts: list[str]) -> list[bytes]:
-        """The same, for texts that hold no added token that counts."""
-        if not texts:
-            return []
-        if max(len(self.pieces.number), len(self.tokens.number)) > REMEMBERED:
-            self.pieces, self.tokens = _Ids(), _Ids()
-        cuts = [cut(t) for t in texts]
-        heads = [self.split(x[0]) for x in cuts]
-        head_ids, n = self.tokens.ids(self._token_numbers(list(chain.from_iterable(heads))))
-        head_ends = 4 * c.running(n)[np.cumsum([len(x) for x in heads])]
-        coded = pa.array(list(chain.from_iterable(x[1:] for x in cuts)), pa.large_string()).dictionary_encode()
-        different = coded.dictionary.to_pylist()
-        if new := [p for p in different if p not in self.pieces.number]:
-            self._learn(new)
-        ids, n = self.pieces.ids(self.pieces.numbers(different)[coded.indices.to_numpy()])
-        ends = 4 * c.running(n)[np.cumsum([len(x) - 1 for x in cuts])]
-        head, rest = head_ids.astype("<u4").tobytes(), ids.astype("<u4").tobytes()
-        return [head[a:b] + rest[x:y] for a, b, x, y in zip([0, *head_ends[:-1].tolist()], head_ends.tolist(), [0, *ends[:-1].tolist()], ends.tolist())]
+        self.memory = pretokens.Memory(lambda new: [[t.id for t in merge(p.encode().decode("latin-1").translate(names))] for p in new])
+
+    def __call__(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """(ids of all texts end to end, number of ids of each); a null is an empty text."""
+        flat, counts = [], []
+        for _, buf, off in c.slices(texts, ENCODE_BYTES):
+            start = pretokens.starts(buf, off)
+            ids, n = self.memory.ids(buf, start)
+            upto = c.running(n)[np.searchsorted(start, off)]
+            flat.append(ids)
+            counts.append(np.diff(upto))
+        ids, counts = (np.concatenate(x) if x else np.zeros(0, np.uint32) for x in (flat, counts))
+        held = [pc.match_substring(texts, t).fill_null(False).to_numpy(zero_copy_only=False) for t in self.added]
+        held = np.flatnonzero(np.any(held, axis=0)) if held else []
+        if len(held):
+            parts = np.split(ids, np.cumsum(counts)[:-1])
+            for k in held.tolist():
+                parts[k] = np.array(self.whole.encode(texts[k].as_py(), add_special_tokens=False).ids, np.uint32)
+            ids, counts = np.concatenate(parts), np.array([len(x) for x in parts])
+        return ids, counts
 
 
 @functools.cache
@@ -153,44 +104,75 @@ def json_encoder(path: str, added: bool = False) -> JsonEncoder:
     return JsonEncoder(path, added)
 
 
+def _slots(left: np.ndarray, right: np.ndarray, turn: int) -> np.ndarray:
+    return ((left * np.uint32(40503 + 2 * turn) ^ right * np.uint32(2654435761 + 4 * turn)) >> np.uint32(32 - _SLOT_BITS)).astype(np.int32)
+
+
+def _by_sorting(left: np.ndarray, right: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(left and right of each frequent pair, where such pairs stand, which one it is)."""
+    key = left.astype(np.uint64) << np.uint64(32) | right
+    line = np.sort(key)
+    begin = np.flatnonzero(np.concatenate([[True], line[1:] != line[:-1]]))
+    pair = line[begin[np.diff(np.append(begin, len(line))) >= LEAST]]
+    if not len(pair):
+        return left[:0], right[:0], begin[:0], begin[:0]
+    got = np.minimum(np.searchsorted(pair, key), len(pair) - 1)
+    at = np.flatnonzero(pair[got] == key)
+    return (pair >> np.uint64(32)).astype(np.uint32), pair.astype(np.uint32), at, got[at]
+
+
+def _by_table(left: np.ndarray, right: np.ndarray, slot: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """The same for the pairs that stand last in their slot of a table; each is
+    counted by itself. The others have their turn in another round."""
+    shown = np.zeros(1 << _SLOT_BITS, np.int32)
+    shown[slot] = np.arange(len(slot), dtype=np.int32)
+    of = shown[slot]
+    at = np.flatnonzero((left[of] == left) & (right[of] == right))
+    best = np.flatnonzero(np.bincount(slot[at], minlength=len(shown)) >= LEAST)
+    rule_of = np.full(len(shown), -1, np.int32)
+    rule_of[best] = np.arange(len(best))
+    got = rule_of[slot[at]]
+    return left[shown[best]], right[shown[best]], at[got >= 0], got[got >= 0]
+
+
 def re_pair(ids: np.ndarray, ends: np.ndarray, terminals: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(symbols, rules, flags of last symbols) for ids; ends flags last ids."""
-    seq, rules, first = ids.astype(np.uint32), [], terminals
-    for _ in range(ROUNDS):
-        if len(seq) < 2:
-            break
+    """(symbols, rules, flags of last symbols) for ids; ends flags last ids.
+
+    Rounds go on until no pair stands `LEAST` times or more in what is left.
+    """
+    seq, rules, first, turn = ids.astype(np.uint32), [], terminals, 0
+    while len(seq) > 1:
         left, right = seq[:-1], seq[1:]
-        slot = ((left * np.uint32(40503) ^ right * np.uint32(2654435761)) >> np.uint32(32 - _SLOT_BITS)).astype(np.int32)
+        slot = _slots(left, right, turn)
+        turn += 1
         slot[ends[:-1]] = 1 << _SLOT_BITS  # over the end of a document
-        often = np.bincount(slot, minlength=(1 << _SLOT_BITS) + 1)
+        often = np.bincount(slot, minlength=(1 << _SLOT_BITS) + 1)  # as many as any pair of the slot, at least
         often[-1] = 0
-        best = np.flatnonzero(often >= LEAST)
-        best = best[np.argsort(-often[best], kind="stable")[:PAIRS_A_ROUND]]
-        if not len(best):
+        maybe = np.flatnonzero((often >= LEAST)[slot])
+        if not len(maybe):
+            break
+        found = _by_table(left[maybe], right[maybe], slot[maybe]) if len(maybe) > SORTED else None
+        if found is None or not len(found[2]):
+            found = _by_sorting(left[maybe], right[maybe])
+        a, b, where, got = found
+        if not len(where):
             break
-        rule_of = np.full(len(often), -1, np.int16)
-        rule_of[best] = np.arange(len(best))
-        got = rule_of[slot]
-        where = np.flatnonzero(got >= 0)
-        got = got[where]
-        # a slot speaks for the pair that stands in it first
-        at = np.zeros(len(best), np.int64)
-        at[got[::-1]] = where[::-1]
-        pairs = np.stack([left[at], right[at]], axis=1)
-        same = (left[where] == pairs[got, 0]) & (right[where] == pairs[got, 1])
-        where, got = where[same], got[same]
+        where = maybe[where]
         # where matches overlap, every second one of a run is taken
         run = np.concatenate([[0], np.flatnonzero(np.diff(where) != 1) + 1])
         nth = np.arange(len(where)) - np.repeat(run, np.diff(np.append(run, len(where))))
         where, got = where[nth % 2 == 0], got[nth % 2 == 0]
+        used = np.flatnonzero(np.bincount(got, minlength=len(a)))
+        number = np.zeros(len(a), np.uint32)
+        number[used] = np.arange(first, first + len(used), dtype=np.uint32)
         seq, ends = seq.copy(), ends.copy()
-        seq[where] = got.astype(np.uint32) + np.uint32(first)
+        seq[where] = number[got]
         ends[where] = ends[where + 1]
         keep = np.ones(len(seq), bool)
         keep[where + 1] = False
         seq, ends = seq[keep], ends[keep]
-        rules.append(pairs.astype(np.int64))
-        first += len(best)
+        rules.append(np.stack([a[used], b[used]], axis=1).astype(np.int64))
+        first += len(used)
     return seq, np.concatenate(rules) if rules else np.zeros((0, 2), np.int64), ends
 
 
@@ -201,10 +183,8 @@ def expansion_lengths(rules: np.ndarray, terminals: int) -> np.ndarray:
     return np.array(length, np.int64)
 
 
-def pack(doc_ids: list[int | None], parts: list[bytes], terminals: int) -> bytes:
-    """A shard of documents, each given by its ids as little-endian 32-bit integers."""
-    counts = np.array([len(p) // 4 for p in parts], np.int64)
-    ids = np.frombuffer(b"".join(parts), "<u4")
+def pack(doc_ids: list[int | None], ids: np.ndarray, counts: np.ndarray, terminals: int) -> bytes:
+    """A shard of documents: ids of all of them end to end, and how many each has."""
     ends = np.zeros(len(ids), bool)
     ends[np.cumsum(counts) - 1] = True
     seq, rules, last = re_pair(ids, ends, terminals)
@@ -236,17 +216,11 @@ class Shard:
         self.rules, self.length = take("<u4", 2 * r).reshape(r, 2), take("<u4", r).astype(np.int64)
         self.symbols = take("<u2" if self.terminals + r <= 65536 else "<u4", s)
         self.offset = np.concatenate([[0], np.cumsum(self.length)])
-        self.flat = np.zeros(self.offset[-1], np.uint32)  # expansions of all rules, end to end
-        for k, pair in enumerate(self.rules.tolist()):
-            a = self.offset[k]
-            for x in pair:
-                if x < self.terminals:
-                    self.flat[a] = x
-                    a += 1
-                else:
-                    n = self.length[x - self.terminals]
-                    self.flat[a : a + n] = self.flat[self.offset[x - self.terminals] :][:n]
-                    a += n
+        made: list[bytes] = []  # the expansion of each rule
+        one = self.rules.astype("<u4")
+        for k, (x, y) in enumerate(self.rules.tolist()):
+            made.append((one[k, 0].tobytes() if x < self.terminals else made[x - self.terminals]) + (one[k, 1].tobytes() if y < self.terminals else made[y - self.terminals]))
+        self.flat = np.frombuffer(b"".join(made), "<u4")
 
     def expand(self, symbols: np.ndarray) -> np.ndarray:
         symbols = symbols.astype(np.int64)
@@ -271,30 +245,40 @@ def write_shards(df: DataFrame, tokenizer: str, doc_id: str = "doc_id", text: st
     read from what was written. part and shard ascend with doc_id. With `added`,
     the tokenizer's added tokens get their ids; else they are ordinary text."""
     docs = df.select(F.col(f"`{doc_id}`").cast("long").alias("doc_id"), F.coalesce(F.col(f"`{text}`"), F.lit("")).alias("text"))
-    dealt = docs.repartitionByRange("doc_id").sortWithinPartitions("doc_id", "text")
-    end = np.array([end_id], "<u4").tobytes()
+    # rows without doc_id, or with the same one, are dealt out by their texts
+    dealt = docs.repartitionByRange("doc_id", F.xxhash64("text")).sortWithinPartitions("doc_id", F.xxhash64("text"), "text")
 
     def run(batches):
         encode, part, number = json_encoder(tokenizer, added), TaskContext.get().partitionId(), 0
-        ids, parts, held = [], [], 0
+        doc_ids, parts, counts, held = [], [], [], 0
 
         def flush():
             nonlocal number, held
-            data = pack(ids, parts, terminals)
-            row = pa.RecordBatch.from_pydict({"part": pa.array([part], pa.int32()), "shard": pa.array([number], pa.int32()), "n_docs": pa.array([len(ids)], pa.int64()), "n_ids": pa.array([held // 4], pa.int64()), "data": pa.array([data], pa.binary())})
-            ids.clear(), parts.clear()
+            data = pack(doc_ids, np.concatenate(parts), np.array(counts), terminals)
+            row = pa.RecordBatch.from_pydict({"part": pa.array([part], pa.int32()), "shard": pa.array([number], pa.int32()), "n_docs": pa.array([len(doc_ids)], pa.int64()), "n_ids": pa.array([held], pa.int64()), "data": pa.array([data], pa.binary())})
+            doc_ids.clear(), parts.clear(), counts.clear()
             number, held = number + 1, 0
             return row
 
         for batch in batches:
             for at, _, off in c.slices(batch.column(1), ENCODE_BYTES):
                 some = batch.slice(at, len(off) - 1)
-                for i, x in zip(some.column(0).to_pylist(), encode(some.column(1).to_pylist())):
-                    ids.append(i), parts.append(x + end)
-                    held += len(x) + 4
-                    if held >= 4 * shard_ids:
+                ids, n = encode(some.column(1))
+                # the end id behind the ids of every document
+                ids = np.insert(ids, np.cumsum(n), np.uint32(end_id))
+                n, names, a, first = n + 1, some.column(0).to_pylist(), 0, 0
+                upto = np.cumsum(n)
+                while a < len(n):
+                    # as many documents as fill the shard, one at least
+                    b = min(len(n), int(np.searchsorted(upto, first + shard_ids - held)) + 1)
+                    doc_ids += names[a:b]
+                    parts.append(ids[first : upto[b - 1]])
+                    counts += n[a:b].tolist()
+                    held += int(upto[b - 1]) - first
+                    a, first = b, int(upto[b - 1])
+                    if held >= shard_ids:
                         yield flush()
-        if ids:
+        if doc_ids:
             yield flush()
 
     return c.saved(dealt.mapInArrow(run, "part int, shard int, n_docs bigint, n_ids bigint, data binary"), "token-shards")

@@ -1,13 +1,17 @@
+import collections
 import hashlib
 import random
 import zlib
 
 import numpy as np
 import public_tokenizers as P
+import pyarrow as pa
+import pyarrow.parquet as pq
 import pytest
+import regex
 from tokenizers import Tokenizer
 
-from splatarium.llm import bpe, chat_format, grammar_store, tiff, warc
+from splatarium.llm import bpe, chat_format, common, grammar_store, pretokens, tiff, warc
 
 RANKS, JSON = P.path("byte_bpe_50k.tiktoken"), P.path("byte_bpe_50k.json")
 PARTS = ["a", "B", "é", "文", " ", "  ", "\n", "\n\n", "\t", "\xa0", "'s", "'re", "'", "1", "22", ".", "!?", "😀", "\x1c", "́", "<|endoftext|>", "'ll ", " 's", "\x85"]
@@ -19,23 +23,56 @@ def texts():
     return ["".join(r.choice(PARTS) for _ in range(r.choice([0, 1, 3, 30, 800, 3000]))) for _ in range(150)] + ["a" * 5000, " " * 3000, "\n " * 2000, "x y" * 900]
 
 
-def test_bpe_chunks(spark, texts):
-    rows = [(i, t, i) for i, t in enumerate(texts)] + [(None, None, 1), (7, "twice " * 500, 2), (7, "twice " * 500, 2)]
+def test_pretokens(texts):
+    """Breaks by classes are those of the pattern, also where texts share a slice."""
+    r, find = random.Random(3), regex.compile(P.PATTERN).findall
+    assert pretokens.PATTERN == P.PATTERN
+    some = ["".join(r.choice(kind) for _ in range(r.choice([0, 1, 2, 3, 8, 40]))) for kind in (PARTS, "ab 1.'s\nt", ["'", "s", "ll", "ve", " ", "''", "ama", "\r\n", "\u3000", "½"]) for _ in range(1500)]
+    for limit in (1, 60, 1 << 20):
+        for _, buf, off in common.slices(pa.array(texts + some), limit):
+            want = [(int(a), t) for a, b in zip(off, off[1:]) for t in find(bytes(buf[a:b]).decode())]
+            at, ends = [], {}
+            for a, t in want:
+                at.append(ends.get(a, a))
+                ends[a] = at[-1] + len(t.encode())
+            assert pretokens.starts(buf, off).tolist() == at
+
+
+def test_chunks_fall_in_step(texts):
+    """Stitched chunks give the pre-tokens of the whole text; most chunks of ordinary text are stitched."""
+    r = random.Random(4)
+    some = texts + ["".join(r.choice(["'", "s", "''", " ", "'s", "é", "文", "\u3000", "。", "1"]) for _ in range(r.choice([50, 900, 3000]))) for _ in range(100)]
+    for chunk, overlap in ((64, 40), (100, 48), (600, 64)):
+        for _, buf, off in common.slices(pa.array(some), 1 << 16):
+            assert bpe.stitched_starts(buf, off, chunk, overlap)[0].tolist() == pretokens.starts(buf, off).tolist()
+    docs = pq.read_table("/root/testdata/sf0.01/documents.parquet")["text"]
+    stitches = sum(bpe.stitched_starts(buf, off)[1] for _, buf, off in common.slices(docs))
+    full = sum(max(0, len(t.encode()) - 1) // bpe.CHUNK for t in docs.to_pylist() if t)
+    assert stitches == full > 100
+
+
+@pytest.mark.parametrize("segment", [1 << 20, 600])
+def test_bpe_chunks(spark, texts, segment):
+    rows = [(i, t, i) for i, t in enumerate(texts)] + [(None, None, 1), (7, "twice " * 500, 2), (7, "twice " * 500, 2), (8, "long, é " * 9000, 3)]
     df = spark.createDataFrame(rows, "doc_id long, text string, ids long")
-    out = bpe.decode(bpe.encode(df, RANKS, chunk=600, overlap=64), RANKS).collect()
+    out = bpe.decode(bpe.encode(df, RANKS, chunk=200, segment=segment, overlap=64), RANKS).collect()
     plain = bpe.tiktoken_encoding(RANKS).encode_ordinary
     key = lambda r: (str(r[0]), r[1] or "")
     want = sorted(((i, t, np.array(plain(t or ""), "<u4").tobytes(), (t or "").encode()) for i, t, _ in rows), key=key)
     assert sorted(((r.doc_id, r.text, bytes(r.ids), bytes(r.decoded)) for r in out), key=key) == want
+    bare = bpe.encode(df, RANKS, chunk=200, segment=segment, overlap=64, keep_text=False)
+    assert bare.columns == ["doc_id", "ids"] and sorted(bytes(r.ids) for r in bare.collect()) == sorted(x[2] for x in want)
     assert bpe.encode(df.limit(0), RANKS).count() == 0
 
 
-def test_stitches_are_used(spark):
-    """Ordinary text falls in step, so it is not put together again."""
-    text = " ".join(f"word{k}, and" for k in range(400))
-    df = spark.createDataFrame([(1, text)], "doc_id long, text string")
-    chunks = bpe._head_and_tail(df.selectExpr("0 AS k", "2 AS n_chunks", "substring(text, 1, 664) AS chunk"), P.PATTERN, 600, 64).first()
-    assert len(chunks.tail) > 5 and all(600 < t <= 664 for t in chunks.tail)
+def test_op8_on_documents(spark):
+    """The whole query against the library, text by text."""
+    plain = bpe.tiktoken_encoding(RANKS).encode_ordinary
+    want = {}
+    for r in spark.read.parquet("/root/testdata/sf0.001/documents.parquet").collect():
+        ids = plain(r.text or "")
+        want[r.doc_id] = (len(ids), hashlib.sha256(np.array(ids, "<u4").tobytes()).hexdigest(), hashlib.sha256((r.text or "").encode()).hexdigest())
+    assert {r.doc_id: tuple(r)[1:] for r in bpe.op8_chunked_bpe(spark, "/root/testdata/sf0.001").collect()} == want
 
 
 def test_shards_against_the_library(spark, texts):
@@ -51,7 +88,7 @@ def test_shards_against_the_library(spark, texts):
     assert [r.start for r in got] == np.cumsum([0, *map(len, ids)])[:-1].tolist()
     data = bytes(shards.orderBy("part", "shard").first().data)
     shard = grammar_store.Shard(data)
-    assert len(shard.rules) and shard.document(1).tolist() == ids[1] and shard.length.sum() == len(shard.flat)
+    assert len(shard.rules) and int((np.diff(shard.first) > 0).sum()) == len(shard.doc_ids) and shard.document(1).tolist() == ids[1] and shard.length.sum() == len(shard.flat)
     assert grammar_store.read_documents(grammar_store.write_shards(shards.selectExpr("n_ids AS doc_id", "'' AS text").limit(0), JSON)).count() == 0
     with pytest.raises(ValueError):
         grammar_store.Shard(b"nothing here, really nothing")
@@ -70,12 +107,29 @@ def test_op3_added_tokens(spark, texts, tmp_path):
     assert [r.start for r in got] == np.cumsum([0, *map(len, ids)])[:-1].tolist()
 
 
-@pytest.mark.parametrize("seed", range(4))
-def test_re_pair_round_trip(seed):
+def pairs(symbols, starts):
+    """How often each pair of neighbours stands in what is left of a shard."""
+    ends = set((starts[1:] - 1).tolist())
+    return collections.Counter((a, b) for k, (a, b) in enumerate(zip(symbols.tolist(), symbols[1:].tolist())) if k not in ends)
+
+
+@pytest.mark.parametrize("sorted_upto", [0, 1 << 17])
+@pytest.mark.parametrize("seed", range(5))
+def test_re_pair_round_trip(monkeypatch, seed, sorted_upto):
+    monkeypatch.setattr(grammar_store, "SORTED", sorted_upto)
     g = np.random.default_rng(seed)
-    docs = [g.integers(0, (2, 5, 300, 50257)[seed], int(n)).astype("<u4").tobytes() for n in g.integers(1, 900, 60)]
-    s = grammar_store.Shard(grammar_store.pack(list(range(60)), docs, 50257))
-    assert [s.document(k).astype("<u4").tobytes() for k in range(60)] == docs and (seed > 1 or len(s.symbols) < sum(map(len, docs)) / 8)
+    sizes = [int(n) for n in g.integers(1, 900, 60)]
+    docs = [g.integers(0, (2, 5, 300, 50257, 9)[seed], n).astype(np.uint32) for n in sizes]
+    if seed == 4:  # copies, and one symbol again and again
+        docs = [docs[0]] * 40 + [np.full(n, 7, np.uint32) for n in sizes[40:]]
+    s = grammar_store.Shard(grammar_store.pack([*range(59), None], np.concatenate(docs), np.array([len(d) for d in docs]), 50257))
+    assert all((s.document(k) == docs[k]).all() for k in range(60)) and s.null.tolist() == [0] * 59 + [1]
+    # it went on until no pair is frequent, and no rule stands for a pair that never was
+    assert max(pairs(s.symbols, s.starts).values(), default=0) < grammar_store.LEAST
+    first = pairs(np.concatenate(docs), np.cumsum([0, *map(len, docs)]))
+    assert all(first[tuple(r)] >= grammar_store.LEAST for r in s.rules.tolist() if max(r) < 50257)
+    assert seed > 1 or len(s.symbols) < sum(map(len, docs)) / 7  # random ids; the rules are few and long
+    assert seed != 4 or len(s.symbols) < 60 * 12
 
 
 def test_tiff_codecs():
