@@ -40,7 +40,7 @@ def encoding(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     ids as little-endian unsigned 32-bit integers."""
     import public_tokenizers
 
-    coded = bpe.encode(docs, public_tokenizers.path("byte_bpe_50k.tiktoken"))
+    coded = bpe.encode(docs, public_tokenizers.path("byte_bpe_50k.tiktoken"), keep_text=False)
     return coded.select("doc_id", "lang", "source", F.expr("cast(octet_length(ids) div 4 as bigint)").alias("n_tokens"), "ids")
 
 
