@@ -11,16 +11,22 @@ reaches a threshold. The join is exact and goes like this.
    each set that it links to; sets with fewer shared signatures than that link
    with nothing. Frequent shingles do little harm here, since whole segments
    have to agree.
-3. Classes that share signatures with the same smallest class are a family;
-   a family is cut by hash into groups of bounded size. Each group keeps the
-   union of its members' shingles, and for each shingle the members that hold
-   it: one block of columns of the token-group matrix.
-4. A class queries the groups of its own family and of other families that it
-   shares enough signatures with. The overlap with a group's union bounds the
-   overlap with any member; only groups whose bound reaches the threshold are
-   opened. Queries stream past a group, so no task holds a family.
-5. Of the links, one to each component inside the group is written. Connected
-   components over those give the class ids.
+3. Classes that share signatures with the same smallest class are a family. A
+   family is parted by set size, into strata of which only neighbours can link,
+   and a stratum by hash into groups of bounded size. A large family has so many
+   groups that no task holds much of it.
+4. A tile is a pair of groups that may link: a group and itself, or another of
+   the same or the next stratum. The first group of a tile is a block of the
+   token-group matrix: the union of its members' shingles, and for each shingle
+   the members that hold it. The overlap of a set with the union bounds the
+   overlap with every member; the group is opened for the sets alone whose bound
+   reaches the threshold. Sets that share enough signatures with another family
+   ask its groups in the same way. Every pair of groups meets once, so a family
+   of F different sets costs F * F / GROUP_MEMBERS rows, spread over all tasks;
+   no pair of documents is ever a row.
+5. Each tile gives, for each of its sets that link, how many documents it links
+   with and the smallest set that it reaches in the tile. Connected components
+   over those give the class ids.
 
 Shingles are 64-bit hashes. Defined cases: a text without words, or null, has
 the empty set and links with nothing; fewer words than a shingle has make one
@@ -43,9 +49,15 @@ from pyspark.sql import functions as F
 from . import common as c
 from .graph import components
 
-#: A group's members and shingles stay under these; a larger set is alone.
-GROUP_MEMBERS = 4096
+#: A group's members and shingles stay about under these; a larger set is alone.
+GROUP_MEMBERS = 2048
 GROUP_SHINGLES = 1 << 21
+#: A stratum has a group for so many members, until it has so many groups.
+SOME_MEMBERS, MANY_GROUPS = 100, 24
+#: Sets of other families that ask a group come in blocks of about so many.
+ASKING = 1024
+#: Holders of shingles that are added up at once.
+_EXPANDED = 1 << 22
 _LEVELS = 4
 _SHRINK = 0.65
 
@@ -191,54 +203,75 @@ def _signature_rows(df: DataFrame, words: int, percent: int) -> DataFrame:
     return df.mapInArrow(run, "sig bigint, doc_id bigint, need int")
 
 
-class _Group:
-    """One block of the token-group matrix: union, and holders of each shingle."""
-
-    def __init__(self, ids: list[int], weights: list[int], sets: list[np.ndarray], percent: int):
-        self.ids, self.percent = np.array(ids), percent
-        self.weights, self.sizes = np.array(weights), np.array([len(s) for s in sets])
-        flat = np.concatenate(sets)
-        order = np.argsort(flat, kind="stable")
-        flat, self.holder = flat[order], np.repeat(np.arange(len(sets), dtype=np.int32), self.sizes)[order]
-        self.start = np.flatnonzero(np.concatenate([[True], flat[1:] != flat[:-1]]))
-        self.union, self.start = flat[self.start], np.append(self.start, len(flat))
-        self.least = int(self.sizes.min())
-        self.comp = np.arange(len(ids))
-        self.links = [self.open(s) for s in sets]
-        for i, linked in enumerate(self.links):
-            for j in np.unique(self.comp[linked]):
-                if j != self.comp[i]:
-                    self.comp[self.comp == max(j, self.comp[i])] = min(j, self.comp[i])
-
-    def open(self, q: np.ndarray) -> np.ndarray:
-        """Positions of the members that link with q; none if the bound says so."""
-        at = np.minimum(np.searchsorted(self.union, q), len(self.union) - 1)
-        at = at[self.union[at] == q]
-        if 100 * len(at) < self.percent * max(len(q), self.least):
-            return at[:0]
-        begin, many = self.start[at], self.start[at + 1] - self.start[at]
-        held = self.holder[np.repeat(begin - (np.cumsum(many) - many), many) + np.arange(many.sum())]
-        both = np.bincount(held, minlength=len(self.ids))
-        return np.flatnonzero(100 * both >= self.percent * (len(q) + self.sizes - both))
-
-    def rows(self, rid: int, linked: np.ndarray):
-        """(rid, smallest member, documents) for each component that rid links to."""
-        for k in np.unique(self.comp[linked]):
-            them = linked[self.comp[linked] == k]
-            others = them[self.ids[them] != rid]
-            if len(others):
-                yield rid, int(self.ids[others].min()), int(self.weights[others].sum())
+def linked_sets(members: list[np.ndarray], asking: list[np.ndarray], percent: int) -> np.ndarray:
+    """Which members link with which asking sets: a matrix of flags.
+
+    The members are one group: its union bounds the overlaps, and sets whose
+    bound is too small don't open it.
+    """
+    sizes, asked = np.array([len(x) for x in members]), np.array([len(x) for x in asking])
+    flat, holder = np.concatenate(members), np.repeat(np.arange(len(members)), sizes)
+    order = np.argsort(flat, kind="stable")
+    flat, holder = flat[order], holder[order]
+    start = np.flatnonzero(np.concatenate([[True], flat[1:] != flat[:-1]]))
+    union, many = flat[start], np.diff(np.append(start, len(flat)))
+    q, row = np.concatenate(asking), np.repeat(np.arange(len(asking)), asked)
+    at = np.minimum(np.searchsorted(union, q), len(union) - 1)
+    held = union[at] == q
+    bound = np.bincount(row[held], minlength=len(asking))
+    held &= (100 * bound >= percent * np.maximum(asked, sizes.min()))[row]
+    at, row = at[held], row[held]
+    out = np.zeros((len(members), len(asking)), bool)
+    upto = np.searchsorted(row, np.arange(len(asking) + 1))  # of each asking set
+    work = c.running(many[at])[upto]
+    a = 0
+    while a < len(asking):
+        b = max(a + 1, int(np.searchsorted(work, work[a] + _EXPANDED, side="right")) - 1)
+        some = slice(upto[a], upto[b])
+        n = many[at[some]]
+        pick = np.repeat(start[at[some]] - (np.cumsum(n) - n), n) + np.arange(int(n.sum()))
+        both = np.bincount(np.repeat(row[some] - a, n) * len(members) + holder[pick], minlength=(b - a) * len(members)).reshape(b - a, len(members)).T
+        out[:, a:b] = 100 * both >= percent * (sizes[:, None] + asked[None, a:b] - both)
+        a = b
+    return out
+
+
+def tile_links(first: list[tuple], second: list[tuple], asking: list[tuple], percent: int) -> list[tuple[int, int, int]]:
+    """(id, smallest id that it reaches in the tile, documents that it links with)
+    for (id, documents, set) of a group and of another group, or of sets that ask.
+
+    Without either, the group links within itself. Where sets ask, only theirs are
+    counted: the group's own members ask elsewhere.
+    """
+    other = second or asking or first
+    links = linked_sets([x[2] for x in first], [x[2] for x in other], percent)
+    if other is first:
+        np.fill_diagonal(links, False)
+    ids = np.array([x[0] for x in first] + ([x[0] for x in other] if other is not first else []))
+    n = links @ np.array([x[1] for x in other])
+    if other is not first:
+        n = np.concatenate([n * (not asking), np.array([x[1] for x in first]) @ links])
+    shift = len(first) if other is not first else 0
+    group = np.arange(len(ids))
+    for i in np.flatnonzero(links.any(axis=1)).tolist():
+        found = np.unique(np.append(group[shift + np.flatnonzero(links[i])], group[i]))
+        if len(found) > 1:
+            group[np.isin(group, found)] = found[0]
+    least = np.full(len(ids), np.iinfo(np.int64).max)
+    np.minimum.at(least, group, ids)
+    used = np.concatenate([links.any(axis=1), links.any(axis=0)]) if shift else links.any(axis=1)
+    return [(int(ids[k]), int(least[group[k]]), int(n[k])) for k in np.flatnonzero(used).tolist()]
 
 
 def _match(batches, percent: int):
-    """Rows come by group: members first, then queries. Yields link rows."""
-    key, members, group, out = None, [], None, []
+    """Rows come tile by tile. Yields what `tile_links` gives."""
+    key, sides, out = None, ([], [], []), []
 
     def close():
-        nonlocal group
-        group = _Group(*map(list, zip(*members)), percent)
-        for i, linked in enumerate(group.links):
-            out.extend(group.rows(members[i][0], linked))
+        if sides[0] and (sides[1] or sides[2] or len(sides[0]) > 1 and key[1:3] == key[3:5]):
+            out.extend(tile_links(*sides, percent))
+        for x in sides:
+            x.clear()
 
     def flush():
         cols = zip(*out) if out else ((), (), ())
@@ -247,24 +280,15 @@ def _match(batches, percent: int):
         return made
 
     for batch in batches:
-        fam, part, role, rid, weight, raw = (batch.column(k) for k in range(6))
-        fam, part, role, rid, weight = (x.to_pylist() for x in (fam, part, role, rid, weight))
-        for i in range(len(rid)):
-            if (fam[i], part[i]) != key:
-                if members and group is None:
-                    close()
-                key, members, group = (fam[i], part[i]), [], None
-            s = np.frombuffer(raw[i].as_buffer(), np.uint64)
-            if role[i] == 0:
-                members.append((rid[i], weight[i], s))
-                continue
-            if group is None:
+        raw = batch.column(8)
+        for i, (*tile, side, rid, weight) in enumerate(zip(*(batch.column(k).to_pylist() for k in range(8)))):
+            if tile != key:
                 close()
-            out.extend(group.rows(rid[i], group.open(s)))
+                key = tile
+            sides[side].append((rid, weight, np.frombuffer(raw[i].as_buffer(), np.uint64)))
         if len(out) > 50_000:
             yield flush()
-    if members and group is None:
-        close()
+    close()
     yield flush()
 
 
@@ -309,30 +333,43 @@ def jaccard_join(df: DataFrame, doc_id: str = "doc_id", text: str = "text", word
     hubs = shared.groupBy("sig").agg(F.min("rid").alias("hub"), F.max("rid").alias("other")).filter("hub < other").select("sig", "hub")
     family = shared.join(hubs, "sig").groupBy("rid").agg(F.min("hub").alias("fam"))
 
-    # families cut into groups
-    members = c.saved(family.join(classes.groupBy("rid").agg(F.max("n_shingles").alias("size"), F.sum("copies").alias("copies")), "rid"), "members")
-    cut = F.greatest(F.ceil(F.count(F.lit(1)) / GROUP_MEMBERS), F.ceil(F.sum("size") / GROUP_SHINGLES)).cast("int")
-    parts = c.saved(members.groupBy("fam").agg(cut.alias("parts")), "families")
-    placed = members.join(parts, "fam").withColumn("part", F.pmod(F.xxhash64("rid"), F.col("parts")).cast("int"))
-
-    # which groups each class asks
-    at = shared.join(members.select("rid", "fam"), "rid")  # (rid, sig, need, fam)
+    # families cut into strata and groups; sizes that link differ by one stratum at most
+    members = family.join(classes.groupBy("rid").agg(F.max("n_shingles").alias("size"), F.sum("copies").alias("copies")), "rid")
+    members = c.saved(members.withColumn("s", F.floor(F.ln("size") / math.log(100.01 / percent)).cast("int")), "members")
+    count = F.count(F.lit(1))
+    cut = F.greatest(F.ceil(count / GROUP_MEMBERS), F.ceil(F.sum("size") / GROUP_SHINGLES), F.least(F.ceil(count / SOME_MEMBERS), F.lit(MANY_GROUPS))).cast("int")
+    parts = c.saved(members.groupBy("fam", "s").agg(cut.alias("parts")), "families")
+    near = lambda by, name: parts.select("fam", (F.col("s") + by).alias("s"), F.col("parts").alias(name))
+    strata = parts.join(near(-1, "above"), ["fam", "s"], "left").join(near(1, "below"), ["fam", "s"], "left")
+    placed = members.join(strata, ["fam", "s"]).withColumn("i", F.pmod(F.xxhash64("rid"), F.col("parts")).cast("int"))
+
+    # the sets that ask groups of other families
+    at = shared.join(members.select("rid", "fam", "s"), "rid")  # (rid, sig, need, fam, s)
     mixed = at.groupBy("sig").agg(F.min("fam").alias("f1"), F.max("fam").alias("f2")).filter("f1 < f2").select("sig")
     mixed = c.saved(at.join(mixed, "sig"), "mixed")
-    across = mixed.select("sig", "rid", "need", F.col("fam").alias("mine")).join(mixed.select("sig", "fam").distinct(), "sig").filter("mine <> fam")
-    across = across.groupBy("rid", "fam").agg(F.count(F.lit(1)).alias("n"), F.min("need").alias("least")).filter("n >= least").select("rid", "fam")
-    across = across.join(parts, "fam").select("rid", "fam", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), F.lit(1).alias("role"))
-    inside = placed.filter("parts > 1").select("rid", "fam", F.col("part").alias("own"), F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"))
-    inside = inside.filter("own <> part").select("rid", "fam", "part", F.lit(1).alias("role"))
-    roles = placed.select("rid", "fam", "part", F.lit(0).alias("role")).unionByName(inside).unionByName(across)
-    aims = roles.groupBy("rid").agg(F.collect_list(F.struct("fam", "part", "role")).alias("aims"))
+    across = mixed.select("sig", "rid", "need", F.col("fam").alias("mine"), F.col("s").alias("own")).join(mixed.select("sig", "fam").distinct(), "sig").filter("mine <> fam")
+    across = across.groupBy("rid", "own", "fam").agg(F.count(F.lit(1)).alias("n"), F.min("need").alias("least")).filter("n >= least").select("rid", "own", "fam")
+    across = c.saved(across.join(parts, "fam").filter("abs(s - own) <= 1"), "across")
+    blocks = c.saved(across.groupBy("fam", "s").agg(F.ceil(count / ASKING).cast("int").alias("blocks")), "blocks")
+
+    # every set's place in tiles (fam, s, i, t, j): of the first group, of the second, or asking
+    upto = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1)).alias("j")
+    tile = lambda s, i, t, j, side: ["rid", "fam", s.alias("s"), i.alias("i"), t.alias("t"), j.alias("j"), side.cast("int").alias("side")]
+    s, i, j, none = F.col("s"), F.col("i"), F.col("j"), F.lit(-1)
+    inside = placed.select("rid", "fam", "s", "i", upto("parts")).select(*tile(s, F.least(i, j), s, F.greatest(i, j), i > j))
+    above = placed.filter("above is not null").select("rid", "fam", "s", "i", upto("above")).select(*tile(s, i, s + 1, j, F.lit(0)))
+    below = placed.filter("below is not null").select("rid", "fam", "s", "i", upto("below")).select(*tile(s - 1, j, s, i, F.lit(1)))
+    heard = placed.select("rid", "fam", "s", "i").join(blocks, ["fam", "s"]).select("rid", "fam", "s", "i", upto("blocks")).select(*tile(s, i, none, j, F.lit(0)))
+    asks = across.join(blocks, ["fam", "s"]).withColumn("i", F.pmod(F.xxhash64("rid"), F.col("blocks")).cast("int")).select("rid", "fam", "s", "i", upto("parts")).select(*tile(s, j, none, i, F.lit(2)))
+    roles = functools.reduce(DataFrame.unionByName, (inside, above, below, heard, asks))
+    aims = roles.groupBy("rid").agg(F.collect_list(F.struct("fam", "s", "i", "t", "j", "side")).alias("aims"))
     aims = aims.join(members.select("rid", "copies"), "rid").select(F.col("rid").alias("doc_id"), F.struct("copies", "aims").alias("aims"))
 
-    # shingles of those documents alone; queries stream past the groups
+    # shingles of those documents alone
     asked = _with_shingles(docs.join(aims, "doc_id").select("doc_id", "text", "aims"), words)
     asked = asked.select("doc_id", "shingles", F.col("aims.copies").alias("copies"), F.explode("aims.aims").alias("aim"))
-    asked = asked.select("aim.fam", "aim.part", "aim.role", F.col("doc_id").alias("rid"), "copies", "shingles").filter(F.length("shingles") > 0)
-    dealt = asked.repartition("fam", "part").sortWithinPartitions("fam", "part", "role", "rid")
+    asked = asked.select("aim.*", F.col("doc_id").alias("rid"), "copies", "shingles").filter(F.length("shingles") > 0)
+    dealt = asked.repartition("fam", "s", "i", "t", "j").sortWithinPartitions("fam", "s", "i", "t", "j", "side", "rid")
     links = c.saved(dealt.mapInArrow(lambda batches: _match(batches, percent), "a bigint, b bigint, n bigint"), "links")
 
     labels = components(links).select(F.col("node").alias("rid"), "label")

@@ -1,4 +1,5 @@
 import collections
+import itertools
 import re
 
 import numpy as np
@@ -128,12 +129,57 @@ def test_jaccard_join(spark, words, percent):
 
 
 def test_jaccard_small_groups(spark, monkeypatch):
-    """Families cut into many groups find the same."""
-    monkeypatch.setattr(jaccard_join, "GROUP_MEMBERS", 3)
+    """Families cut into many groups and blocks of asking sets find the same."""
     docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
     rows = [(r.doc_id, r.text) for r in docs.collect()]
-    got = {r.doc_id: (r.n_shingles, r.component_id, r.n_links) for r in jaccard_join.jaccard_join(docs).collect()}
-    assert got == brute_links(rows, 3, 90)
+    want = {percent: brute_links(rows, 3, percent) for percent in (90, 60)}
+    for members, asking in ((3, 2), (2048, 1)):
+        monkeypatch.setattr(jaccard_join, "GROUP_MEMBERS", members)
+        monkeypatch.setattr(jaccard_join, "SOME_MEMBERS", members)
+        monkeypatch.setattr(jaccard_join, "ASKING", asking)
+        for percent in want:
+            got = {r.doc_id: (r.n_shingles, r.component_id, r.n_links) for r in jaccard_join.jaccard_join(docs, percent=percent).collect()}
+            assert got == want[percent]
+
+
+@pytest.mark.parametrize("seed", range(6))
+def test_tiles(seed, monkeypatch):
+    """Links within a group, between groups, and of asking sets, against all pairs."""
+    g = np.random.default_rng(seed)
+    monkeypatch.setattr(jaccard_join, "_EXPANDED", int(g.integers(1, 500)))
+    base = [np.unique(g.integers(0, 60, int(g.integers(1, 30)))) for _ in range(4)]
+    sets = [np.unique(np.append(b[g.random(len(b)) > 0.1], g.integers(0, 60, 2))).astype(np.uint64) for b in base for _ in range(9)]
+    rows = [(int(k), int(g.integers(1, 5)), x) for k, x in zip(g.permutation(len(sets)), sets)]
+    link = lambda x, y: 100 * len(np.intersect1d(x[2], y[2])) >= 70 * len(np.union1d(x[2], y[2]))
+    for first, second, asking in ((rows, [], []), (rows[:20], rows[20:], []), (rows[:15], [], rows[15:])):
+        other = second or asking or first
+        pairs = [(x, y) for x in first for y in other if x[0] != y[0] and link(x, y)]
+        n, reach = collections.Counter(), {r[0]: r[0] for r in rows}
+        for x, y in pairs:
+            n[x[0]] += 0 if asking else y[1]
+            n[y[0]] += x[1] if other is not first else 0
+        for _ in rows:
+            for x, y in pairs:
+                reach[x[0]] = reach[y[0]] = min(reach[x[0]], reach[y[0]])
+        want = sorted((k, reach[k], n[k]) for k in n)
+        assert sorted(jaccard_join.tile_links(first, second, asking, 70)) == want
+
+
+@pytest.mark.parametrize("order", range(6))
+def test_jaccard_every_order(spark, order):
+    """A null, an equal and a near row in every order, in one task."""
+    text = " ".join(f"t{k}" for k in range(40))
+    rows = list(itertools.permutations([(None, text), (5, text), (3, text + " z")]))[order]
+    got = [(r.doc_id, r.component_id, r.n_links) for r in jaccard_join.jaccard_join(spark.createDataFrame(rows, "doc_id long, text string").coalesce(1)).collect()]
+    assert sorted(got, key=str) == sorted([(None, 3, 2), (5, 3, 2), (3, 3, 2)], key=str)
+
+
+def test_jaccard_very_long(spark):
+    """Texts of 200,000 different words, near and far."""
+    words = [f"w{k}" for k in range(200_000)]
+    rows = [(1, " ".join(words)), (2, " ".join(words[:199_000])), (3, " ".join(words[100_000:])), (4, "w0 w1 w2 w3")]
+    got = {r.doc_id: (r.n_shingles, r.component_id, r.n_links) for r in jaccard_join.jaccard_join(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == {1: (199_998, 1, 1), 2: (198_998, 1, 1), 3: (99_998, 3, 0), 4: (2, 4, 0)}
 
 
 def test_jaccard_edges(spark):
