@@ -5,15 +5,17 @@ strips and tiles that are plain, PackBits, LZW or deflate, undoes the horizontal
 predictor, and gives the samples of each page row by row. It handles 8-bit
 samples, one or more to a pixel, chunky. The writer makes such files.
 
-A text is stored as a grey image 192 pixels wide: all rows but the last two are
-deflate tiles with the predictor, the row before the last is a PackBits strip,
-and the last row is an LZW strip with the predictor. So each file of three rows
-or more has three pages and needs every decoder.
-
-Defined cases: a null or empty file has no pages; a file that is no TIFF, or
-is broken or uses what is not supported, has no pages and the reason stands in
-`error`; a directory that comes round again ends the walk. A null text is empty,
-and its image is one row of spaces.
+A text is stored as a grey image 192 pixels wide. Its rows are dealt evenly to the
+three codecs: the first third to pages of deflate tiles with the predictor, the next
+to pages of PackBits strips, the last to pages of LZW strips with the predictor. A
+page has at most `PAGE_ROWS` rows, so a long text has more pages.
+
+Defined cases: a null or empty file has no pages; a file that is no TIFF, or is
+broken or uses what is not supported, has the pages before the fault and then a row
+without page number, in which `error` says what is wrong; so has a page of more than
+`MAX_SAMPLES`, which no value could hold. A directory that comes round again ends
+the walk. A null text is empty, and its image is one row of spaces. Repeated rows
+come out repeated. Columns of df that are named like new ones are replaced.
 """
 
 from __future__ import annotations
@@ -34,8 +36,11 @@ WIDTH, HEIGHT, BITS, COMPRESSION, PHOTOMETRIC, STRIP_OFFSETS, SAMPLES, ROWS_PER_
 PLANAR, PREDICTOR, TILE_WIDTH, TILE_HEIGHT, TILE_OFFSETS, TILE_BYTES = 284, 317, 322, 323, 324, 325
 TYPE_BYTES = {1: 1, 2: 1, 3: 2, 4: 4, 5: 8, 6: 1, 7: 1, 8: 2, 9: 4, 10: 8, 11: 4, 12: 8}
 NONE, LZW, DEFLATE, OLD_DEFLATE, PACKBITS = 1, 5, 8, 32946, 32773
-ROW, TILE_ROWS = 192, 64
-MAX_PIXELS = 1 << 30
+ROW, TILE_ROWS, STRIP_ROWS, PAGE_ROWS = 192, 64, 64, 1 << 16
+#: Samples of a page that fit in one binary value.
+MAX_SAMPLES = (1 << 31) - 64
+#: Bytes of files or pages in one batch.
+BATCH_BYTES = 4 << 20
 
 
 # ------------------------------------------------------------------- codecs
@@ -83,7 +88,7 @@ def packbits_decode(data: bytes, size: int) -> bytes:
 
 def lzw_encode(data: bytes) -> bytes:
     """TIFF's LZW: most significant bit first, widths grow one code early."""
-    value, bits = 256, 9
+    value, bits, out = 256, 9, bytearray()
     table = _SINGLE.copy()
     width, following, word = 9, 258, b""
     for k in range(len(data)):
@@ -92,6 +97,10 @@ def lzw_encode(data: bytes) -> bytes:
             word = longer
             continue
         value, bits = value << width | table[word], bits + width
+        if bits > 512:  # whole bytes go out
+            bits, whole = bits % 8, bits // 8
+            out += (value >> bits).to_bytes(whole, "big")
+            value &= (1 << bits) - 1
         table[longer] = following
         following += 1
         word = data[k : k + 1]
@@ -108,7 +117,7 @@ def lzw_encode(data: bytes) -> bytes:
             width += 1
     value, bits = value << width | 257, bits + width
     pad = -bits % 8
-    return (value << pad).to_bytes((bits + pad) // 8, "big")
+    return bytes(out) + (value << pad).to_bytes((bits + pad) // 8, "big")
 
 
 def lzw_decode(data: bytes, size: int) -> bytes:
@@ -127,6 +136,8 @@ def lzw_decode(data: bytes, size: int) -> bytes:
         if code == 257 or left <= 0:
             break
         if before is None:
+            if code > 255:
+                raise ValueError("LZW code out of range")
             word = table[code]
         elif code < len(table):
             word = table[code]
@@ -170,23 +181,25 @@ def _values(data: bytes, order: str, entry: int) -> tuple[int, ...]:
     letter = {1: "B", 3: "H", 4: "I"}.get(kind)
     if letter is None:
         return ()
+    if at + n > len(data):
+        raise ValueError("a field reaches over the end of the file")
     return struct.unpack_from(f"{order}{count}{letter}", data, at)
 
 
-def read_pages(data: bytes) -> list[dict]:
-    """Width, height, samples per pixel, compression, predictor, tiled and samples of every page."""
+def read_pages(data: bytes):
+    """Yields width, height, samples per pixel, compression, predictor, tiled and
+    samples of one page after another. What is broken raises some exception."""
     order = {b"II": "<", b"MM": ">"}.get(bytes(data[:2]))
     if order is None or len(data) < 8 or struct.unpack_from(order + "H", data, 2)[0] != 42:
         raise ValueError("not a TIFF file")
-    pages, seen = [], set()
+    seen = set()
     at = struct.unpack_from(order + "I", data, 4)[0]
     while at and at not in seen:
         seen.add(at)
         n = struct.unpack_from(order + "H", data, at)[0]
         tags = {struct.unpack_from(order + "H", data, at + 2 + 12 * k)[0]: at + 2 + 12 * k for k in range(n)}
-        pages.append(_page(data, order, tags))
+        yield _page(data, order, tags)
         at = struct.unpack_from(order + "I", data, at + 2 + 12 * n)[0]
-    return pages
 
 
 def _page(data: bytes, order: str, tags: dict[int, int]) -> dict:
@@ -196,22 +209,29 @@ def _page(data: bytes, order: str, tags: dict[int, int]) -> dict:
             raise ValueError(f"tag {tag} is missing")
         return got[0] if got else default
 
+    def some(tag: int) -> tuple[int, ...]:
+        if tag not in tags:
+            raise ValueError(f"tag {tag} is missing")
+        return _values(data, order, tags[tag])
+
     w, h, spp = one(WIDTH), one(HEIGHT), one(SAMPLES, 1)
     kind, predictor = one(COMPRESSION, NONE), one(PREDICTOR, 1)
     if set(_values(data, order, tags[BITS]) if BITS in tags else (1,)) != {8} or one(PLANAR, 1) != 1 or predictor not in (1, 2):
         raise ValueError("only 8-bit chunky samples are supported")
-    if not 0 < w * h * spp <= MAX_PIXELS:
-        raise ValueError("size of the page")
     tiled = TILE_OFFSETS in tags
     if tiled:
-        bw, bh = one(TILE_WIDTH), one(TILE_HEIGHT)
-        offsets, sizes = _values(data, order, tags[TILE_OFFSETS]), _values(data, order, tags[TILE_BYTES])
+        bw, bh, offsets, sizes = one(TILE_WIDTH), one(TILE_HEIGHT), some(TILE_OFFSETS), some(TILE_BYTES)
     else:
-        bw, bh = w, min(one(ROWS_PER_STRIP, h), h)
-        offsets, sizes = _values(data, order, tags[STRIP_OFFSETS]), _values(data, order, tags[STRIP_BYTES])
+        bw, bh, offsets, sizes = w, min(one(ROWS_PER_STRIP, h), h), some(STRIP_OFFSETS), some(STRIP_BYTES)
+    if not (0 < w * h * spp <= MAX_SAMPLES and 0 < bw * bh * spp <= MAX_SAMPLES):
+        raise ValueError(f"a page of {w} x {h} x {spp} samples in blocks of {bw} x {bh}")
     across = -(-w // bw)
+    if len(offsets) != len(sizes) or len(offsets) != across * -(-h // bh):
+        raise ValueError("number of strips or tiles")
+    if tiled and (bw > 2 * w + 1024 or bh > 2 * h + 1024):
+        raise ValueError("tiles far larger than the page")
     image = np.zeros((h, w, spp), np.uint8)
-    for k, (a, n) in enumerate(zip(offsets, sizes, strict=True)):
+    for k, (a, n) in enumerate(zip(offsets, sizes)):
         y, x = k // across * bh, k % across * bw
         rows = bh if tiled else min(bh, h - y)
         raw = _decode(data[a : a + n], kind, rows * bw * spp)
@@ -272,14 +292,16 @@ def text_to_tiff(text: str | None) -> bytes:
     raw = (text or "").encode()
     raw += b" " * (-len(raw) % ROW or (0 if raw else ROW))
     image = np.frombuffer(raw, np.uint8).reshape(-1, ROW, 1)
-    pages = [(image[:-2], DEFLATE, 2, (TILE_ROWS, ROW), 1)] if len(image) > 2 else []
-    pages += [(image[-2:-1], PACKBITS, 1, None, 1)] if len(image) > 1 else []
-    return write_pages([*pages, (image[-1:], LZW, 2, None, 1)])
+    n, pages, a = len(image), [], 0
+    for b, how in ((n // 3, (DEFLATE, 2, (TILE_ROWS, ROW), 1)), (n // 3 + (n + 1) // 3, (PACKBITS, 1, None, STRIP_ROWS)), (n, (LZW, 2, None, STRIP_ROWS))):
+        pages += [(image[k : min(k + PAGE_ROWS, b)], *how) for k in range(a, b, PAGE_ROWS)]
+        a = b
+    return write_pages(pages)
 
 
-def feature(pages: list[bytes]) -> str:
-    """Mean, variance and a 64-bit difference hash of all samples of a file."""
-    x = np.frombuffer(b"".join(pages), np.uint8)
+def feature(samples: bytes) -> str:
+    """Mean, variance and a 64-bit difference hash of the samples of a page."""
+    x = np.frombuffer(samples, np.uint8)
     if not len(x):
         return ""
     # 65 equal cells of the sample sequence; a bit tells if the next cell is brighter
@@ -287,13 +309,14 @@ def feature(pages: list[bytes]) -> str:
     run = c.running(x)
     mean = (run[edge[1:]] - run[edge[:-1]]) * 1_000_000 // np.maximum(np.diff(edge), 1)
     bits = sum(1 << k for k in np.flatnonzero(mean[1:] > mean[:-1]).tolist())
-    total, squares = int(run[-1]), int(np.dot(x.astype(np.int64), x.astype(np.int64)))
+    total, squares = int(run[-1]), sum(int(np.dot(y, y)) for y in (x[k : k + (1 << 20)].astype(np.int64) for k in range(0, len(x), 1 << 20)))
     return f"{total / len(x):.4f}:{squares / len(x) - (total / len(x)) ** 2:.4f}:{bits:016x}"
 
 
 # ---------------------------------------------------------------- operators
 
-_PAGE = "struct<width:int,height:int,samples_per_pixel:int,compression:int,predictor:int,tiled:boolean,samples:binary>"
+_PAGE = {"page": pa.int32(), "width": pa.int32(), "height": pa.int32(), "samples_per_pixel": pa.int32(), "compression": pa.int32(), "predictor": pa.int32(), "tiled": pa.bool_(), "samples": pa.binary(), "feature": pa.string(), "error": pa.string()}
+_PAGE_TYPES = dict(zip(_PAGE, ("int", "int", "int", "int", "int", "int", "boolean", "binary", "string", "string")))
 
 
 def texts_to_tiff(df: DataFrame, text: str = "text", media: str = "media") -> DataFrame:
@@ -311,47 +334,61 @@ def texts_to_tiff(df: DataFrame, text: str = "text", media: str = "media") -> Da
     return df.mapInArrow(run, df.select("*", F.lit(None).cast("binary").alias(media)).schema)
 
 
-def decode_files(df: DataFrame, media: str = "media") -> DataFrame:
-    """df with pages (an array in file order), feature and error of each file."""
-    df = df.drop("pages", "feature", "error")
-    at = df.columns.index(media)
-    kind = pa.list_(pa.struct([("width", pa.int32()), ("height", pa.int32()), ("samples_per_pixel", pa.int32()), ("compression", pa.int32()), ("predictor", pa.int32()), ("tiled", pa.bool_()), ("samples", pa.binary())]))
-    schema = df.select("*", F.lit(None).cast(f"array<{_PAGE}>").alias("pages"), F.lit("").alias("feature"), F.lit(None).cast("string").alias("error")).schema
+def tiff_pages(df: DataFrame, media: str = "media") -> DataFrame:
+    """One row per page: df's columns without the file, page (from 0), its
+    description, samples, feature and error. A file without pages gives no row,
+    and a broken one ends with a row without page."""
+    kept = [x for x in df.columns if x not in {media, *_PAGE}]
+    df = df.select(*[F.col(f"`{x}`") for x in kept], F.col(f"`{media}`"))
+    schema = df.select(*[F.col(f"`{x}`") for x in kept], *[F.lit(None).cast(kind).alias(x) for x, kind in _PAGE_TYPES.items()]).schema
 
     def run(batches):
         for batch in batches:
-            for a in range(0, batch.num_rows, 500):
-                some = batch.slice(a, 500)
-                pages, errors = [], []
-                for data in some.column(at).to_pylist():
+            of, rows, held = [], [], 0
+
+            def made():
+                cols = [x.take(pa.array(of, pa.int64())) for x in batch.columns[:-1]]
+                return pa.RecordBatch.from_arrays([*cols, *(pa.array([r.get(x) for r in rows], kind) for x, kind in _PAGE.items())], schema.names)
+
+            for i in range(batch.num_rows):
+                file = batch.column(len(kept))[i].as_buffer()
+                if file is None or not file.size:
+                    continue
+                pages, n = read_pages(file.to_pybytes()), 0
+                while True:
                     try:
-                        pages.append(read_pages(data) if data else [])
-                        errors.append(None)
-                    except (ValueError, struct.error, zlib.error, KeyError) as e:
-                        pages.append([])
-                        errors.append(str(e))
-                marks = [feature([p["samples"] for p in x]) for x in pages]
-                yield pa.RecordBatch.from_arrays([*some.columns, pa.array(pages, kind), pa.array(marks), pa.array(errors, pa.string())], [*batch.schema.names, "pages", "feature", "error"])
+                        p = next(pages, None)
+                    except Exception as e:  # whatever a broken file leads to
+                        p = {"error": f"{type(e).__name__}: {e}"}
+                    if p is None:
+                        break
+                    of.append(i)
+                    rows.append(p if "error" in p else {**p, "page": n, "feature": feature(p["samples"])})
+                    n, held = n + 1, held + len(p.get("samples", b""))
+                    if held >= BATCH_BYTES:
+                        yield made()
+                        of, rows, held = [], [], 0
+                    if "error" in p:
+                        break
+            if of:
+                yield made()
 
     return df.mapInArrow(run, schema)
 
 
-def tiff_pages(df: DataFrame, media: str = "media") -> DataFrame:
-    """One row per page: df's columns without the file, page (from 0), its
-    description and samples; where df has columns of these names, theirs are
-    replaced. Files without pages give no row."""
-    files = decode_files(df, media)
-    new = {media, "page", "pages", "feature", "error", *(x.partition(":")[0] for x in _PAGE[len("struct<") : -1].split(","))}
-    keep = [F.col(f"`{x}`") for x in df.columns if x not in new]
-    return files.select(*keep, F.posexplode("pages").alias("page", "p")).select(*keep, "page", "p.*")
-
-
 def op5_tiff_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All of `documents` as TIFF files; everything is taken from decoded pages."""
     docs = c.table(spark, sf_dir, "documents").select("doc_id", "text")
-    stored = texts_to_tiff(docs).select("doc_id", F.coalesce(F.octet_length("text"), F.lit(0)).cast("long").alias("n_bytes"), "media")
-    read = decode_files(stored).withColumn("payload", F.aggregate("pages.samples", F.lit(b""), lambda a, b: F.concat(a, b)))
+    stored = texts_to_tiff(docs).select(
+        F.monotonically_increasing_id().alias("row"), "doc_id", F.coalesce(F.octet_length("text"), F.lit(0)).cast("long").alias("n_bytes"),
+        F.octet_length("media").cast("long").alias("media_bytes"), F.sha2("media", 256).alias("media_sha256"), "media",
+    )
+    pages = tiff_pages(stored)
+    # the pages of a document, of which there are few, put together again
+    parts = F.array_sort(F.collect_list(F.when(F.col("page").isNotNull(), F.struct("page", "samples", "feature"))))
+    read = pages.groupBy("row", "doc_id", "n_bytes", "media_bytes", "media_sha256").agg(parts.alias("parts"), F.max("error").alias("error"))
+    read = read.withColumn("payload", F.aggregate("parts.samples", F.lit(b""), lambda a, b: F.concat(a, b)))
     return read.select(
         "doc_id", "n_bytes", F.octet_length("payload").cast("long").alias("payload_bytes"), F.sha2("payload", 256).alias("payload_sha256"), F.crc32(F.substring("payload", -16, 16)).alias("tail_crc32"),
-        F.octet_length("media").cast("long").alias("media_bytes"), F.sha2("media", 256).alias("media_sha256"), "feature", F.size("pages").alias("n_pages"),
+        "media_bytes", "media_sha256", F.array_join("parts.feature", "|").alias("feature"), F.size("parts").alias("n_pages"), "error",
     )

@@ -148,7 +148,7 @@ def test_tiff_pages_of_all_kinds(order, kind):
         for tile in (None, (16, 32)):
             for spp in (1, 3):
                 image = g.integers(0, 40, (37, 50, spp)).astype(np.uint8)
-                got = tiff.read_pages(tiff.write_pages([(image, kind, predictor, tile, 7), (image[:5], kind, predictor, tile, 2)], order))
+                got = list(tiff.read_pages(tiff.write_pages([(image, kind, predictor, tile, 7), (image[:5], kind, predictor, tile, 2)], order)))
                 assert [p["samples"] for p in got] == [image.tobytes(), image[:5].tobytes()] and got[0]["tiled"] == bool(tile)
 
 
@@ -162,21 +162,57 @@ def test_tiff_operator(spark):
         raw = (t or "").encode()
         raw += b" " * (-len(raw) % 192 or (0 if raw else 192))
         assert b"".join(bytes(p.samples) for p in pages if p.doc_id == i) == raw
-    broken = spark.createDataFrame([(1, bytearray(b"II*\0\x08\0\0\0")), (2, None), (3, bytearray(b"xx")), (4, bytearray())], "doc_id long, media binary")
-    out = {r.doc_id: r for r in tiff.decode_files(broken).collect()}
-    assert not any(r.pages for r in out.values()) and out[1].error and out[3].error and out[2].error is None
+    assert pages[0].error is None and "e" not in {p.error for p in pages}
+    share = collections.Counter()
+    for p in pages:
+        if p.doc_id == 5:
+            share[p.compression] += len(p.samples)
+    assert max(share.values()) - min(share.values()) <= 192
+    good = tiff.text_to_tiff("good " * 300)
+    broken = spark.createDataFrame([(1, bytearray(b"II*\0\x08\0\0\0")), (2, None), (3, bytearray(b"xx")), (4, bytearray()), (5, bytearray(good)), (6, bytearray(good[:-30]))], "doc_id long, media binary")
+    out = collections.defaultdict(list)
+    for r in tiff.tiff_pages(broken).collect():
+        out[r.doc_id].append((r.page, r.error is not None))
+    assert sorted(out) == [1, 3, 5, 6] and out[1] == out[3] == [(None, True)] and [p for p, _ in out[5]] == [0, 1, 2]
+    assert [p for p, _ in out[6]][-1] is None and out[6][-1][1]
     got = {r.doc_id: r for r in tiff.op5_tiff_pages(spark, "/root/testdata/sf0.001").collect()}
     for r in spark.read.parquet("/root/testdata/sf0.001/documents.parquet").collect():
         raw = (r.text or "").encode()
         pad = raw + b" " * (-len(raw) % 192 or (0 if raw else 192))
         g = got[r.doc_id]
+        assert g.error is None and g.n_pages == min(3, len(pad) // 192)
         assert (g.n_bytes, g.payload_bytes, g.payload_sha256, g.tail_crc32) == (len(raw), len(pad), hashlib.sha256(pad).hexdigest(), zlib.crc32(pad[-16:]))
 
 
+@pytest.mark.parametrize("kind", [tiff.NONE, tiff.LZW, tiff.DEFLATE, tiff.PACKBITS])
+def test_tiff_broken_files(kind):
+    """Cut and flipped files give pages or an error of the kinds that are reported, in bounded time."""
+    g = np.random.default_rng(kind)
+    image = g.integers(0, 9, (70, 50, 1)).astype(np.uint8)
+    data = tiff.write_pages([(image, kind, 2, (16, 32), 7), (image[:9], kind, 1, None, 4)])
+    for k in range(400):
+        bad = bytearray(data[: int(g.integers(0, len(data)))] if k % 4 == 0 else data)
+        for at in g.integers(0, max(1, len(bad)), int(g.integers(1, 6))).tolist() if bad else []:
+            bad[at] = int(g.integers(0, 256))
+        if k % 2 and len(bad) > 400:  # in the directories, which stand at the end of each page
+            bad[-int(g.integers(1, 250))] = int(g.integers(0, 256))
+        try:
+            assert all(len(p["samples"]) == p["width"] * p["height"] * p["samples_per_pixel"] for p in tiff.read_pages(bytes(bad)))
+        except Exception as e:
+            assert not isinstance(e, (MemoryError, RecursionError, AssertionError))
+
+
+def test_tiff_long_text_has_more_pages(spark, monkeypatch):
+    monkeypatch.setattr(tiff, "PAGE_ROWS", 10)
+    text = "line of a long text " * 1000
+    pages = list(tiff.read_pages(tiff.text_to_tiff(text)))
+    assert len(pages) == 12 and b"".join(p["samples"] for p in pages).rstrip() == text.encode().rstrip()
+
+
 def test_tiff_loop_ends():
     data = bytearray(tiff.write_pages([(np.zeros((2, 3, 1), np.uint8), tiff.NONE, 1, None, 2)]))
     data[-4:] = data[4:8]  # the last directory points to the first
-    assert len(tiff.read_pages(bytes(data))) == 1
+    assert len(list(tiff.read_pages(bytes(data)))) == 1
 
 
 def test_chat(spark):
