@@ -45,21 +45,24 @@ CHUNK, SEGMENT, OVERLAP = 4096, 32768, 256
 #: A break closer to the end of a chunk than this might not be one in the whole text.
 MARGIN = 16
 #: Bytes of texts that are worked on at once.
-BATCH_BYTES = 4 << 20
+BATCH_BYTES = 1 << 20
 
 #: Places at which every tokenisation breaks, whatever stands before.
 _SURE = regex.compile(r"\p{L}(?=\P{L})|\S(?=\s)")
 
 
+def _ranks(path: str) -> dict[bytes, int]:
+    with open(path, "rb") as f:
+        return {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
+
+
 @functools.cache
 def tiktoken_encoding(path: str):
     """The library's encoding for a rank file; without special tokens."""
     import public_tokenizers
     import tiktoken
 
-    with open(path, "rb") as f:
-        ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
-    return tiktoken.Encoding("ranks", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
+    return tiktoken.Encoding("ranks", pat_str=public_tokenizers.PATTERN, mergeable_ranks=_ranks(path), special_tokens={})
 
 
 @functools.cache
@@ -71,10 +74,9 @@ def _memory(path: str) -> pretokens.Memory:
 
 @functools.cache
 def _vocabulary(path: str) -> pa.Array:
-    """The bytes of every id."""
-    e = tiktoken_encoding(path)
-    known = dict(zip(e._mergeable_ranks.values(), e._mergeable_ranks))
-    return pa.array([known.get(k, b"") for k in range(e.n_vocab)], pa.large_binary())
+    """The bytes of every id; none for numbers that are no id."""
+    known = {k: raw for raw, k in _ranks(path).items()}
+    return pa.array([known.get(k, b"") for k in range(max(known) + 1)], pa.large_binary())
 
 
 # ------------------------------------------------------------------ chunks

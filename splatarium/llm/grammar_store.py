@@ -49,7 +49,7 @@ LEAST = 12
 #: Slots of the counting table, and the positions that are sorted instead when there are no more.
 _SLOT_BITS, SORTED = 18, 1 << 17
 #: Bytes of text encoded at once; a longer text is encoded alone.
-ENCODE_BYTES = 8 << 20
+ENCODE_BYTES = 4 << 20
 
 
 @functools.cache

@@ -23,7 +23,7 @@ from . import common as c
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 _LETTER, _NUMBER, _SPACE, _OTHER = range(4)
 #: A worker forgets its pre-tokens when there are more, or more characters in them.
-REMEMBERED, REMEMBERED_CHARS = 600_000, 24 << 20
+REMEMBERED, REMEMBERED_CHARS = 400_000, 16 << 20
 
 
 @functools.cache
