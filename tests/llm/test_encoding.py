@@ -1,4 +1,5 @@
 import collections
+import gzip
 import hashlib
 import random
 import zlib
@@ -243,9 +244,13 @@ def test_warc(spark, tmp_path):
     archives = warc.write_archives(df, archive_bytes=900)
     assert archives.count() > 1
     got = warc.assemble(warc.read_records(archives)).collect()
-    seen = sorted((r.metadata.fields["page-id"], r.response.kind, r.response.length, r.metadata.fields["refers-to-page-id"], bytes(r.response.payload or b"")) for r in got)
-    want = sorted((str(i) if i is not None else "", "revisit" if len(h or "") >= 1000 and i != 5 else "response", len((h or "").encode()), "5" if len(h or "") >= 1000 and i != 5 else "", b"" if len(h or "") >= 1000 and i != 5 else (h or "").encode()) for i, _, h in rows)
-    assert seen == want and all(r.request is not None for r in got)
+    seen = sorted((r.metadata[0].fields["page-id"][0], r.response.kind, r.response.length, bytes(r.response.payload or b"")) for r in got)
+    revisit = lambda i, h: len(h or "") >= 1000 and i != 5
+    want = sorted((str(i) if i is not None else "", "revisit" if revisit(i, h) else "response", len((h or "").encode()), b"" if revisit(i, h) else (h or "").encode()) for i, _, h in rows)
+    assert seen == want and all(len(r.requests) == 1 for r in got)
+    # every revisit names a response that is there, of the largest page
+    pages = {r.capture: r.metadata[0].fields["page-id"][0] for r in got}
+    assert len(pages) == len(rows) and {pages[r.response.refers_to] for r in got if r.response.kind == "revisit"} == {"5"}
     # the same from a plain file, with a record that names no capture
     data = b"".join(b for r in archives.orderBy("name").collect() for b in [bytes(r.data)])
     (tmp_path / "one.warc.gz").write_bytes(data)
@@ -253,3 +258,51 @@ def test_warc(spark, tmp_path):
     again = warc.assemble(warc.read_records(warc.read_files(spark, str(tmp_path)))).collect()
     assert len(again) == len(rows) + 1 and sum(r.response is None for r in again) == 1
     assert warc.assemble(warc.read_records(warc.write_archives(df.limit(0)))).count() == 0
+
+
+def record(kind, rid, block, *more):
+    lines = ["WARC/1.1", f"WARC-Type: {kind}", f"WARC-Record-ID: <urn:{rid}>", *more, f"Content-Length: {len(block)}"]
+    return "\r\n".join(lines).encode() + b"\r\n\r\n" + block + b"\r\n\r\n"
+
+
+def test_warc_of_others(spark):
+    """Repeated fields, several requests, a record of two captures, odd digests, damage."""
+    http = "Content-Type: application/http; msgtype=response"
+    good = [
+        record("warcinfo", "i", b"software: x\r\n", "Content-Type: application/warc-fields"),
+        record("response", "a", b"HTTP/1.1 200 OK\r\n\r\nhello", http, "WARC-Payload-Digest: sha1:not base 32 at all, but 32 long!"),
+        record("request", "q2", b"GET / HTTP/1.1\r\n\r\n", "WARC-Concurrent-To: <urn:a>", http),
+        record("request", "q1", b"GET /x HTTP/1.1\r\n\r\n", "WARC-Concurrent-To: <urn:a>", http),
+        record("metadata", "m", b"outlink: one\r\noutlink: two\r\n  folded\r\nvia: z", "WARC-Concurrent-To: <urn:a>", "WARC-Concurrent-To: <urn:b>", "Content-Type: application/warc-fields"),
+        record("response", "b", b"HTTP/1.1 200 OK\r\n\r\n", http, "WARC-Payload-Digest: sha1:" + "0" * 40),
+        record("resource", "r", b"plain"),
+    ]
+    cut = gzip.compress(good[1])[:-12]
+    flipped = bytearray(gzip.compress(good[5]))
+    flipped[len(flipped) // 2] ^= 255
+    bad = [record("response", "c", b"x", http).replace(b"Content-Length: 1", b"Content-Length: one"), b"WARC/1.0\r\nWARC-Type: response\r\nWARC-Re", record("response", "d", b"HTTP/1.1 200 OK\r\n\r\nlong", http)[:-9]]
+    files = [b"".join(map(gzip.compress, good)), b"".join(good), cut, bytes(flipped) + gzip.compress(good[0]), *bad, b"", None, b"no archive"]
+    df = spark.createDataFrame([(str(k), None if x is None else bytearray(x)) for k, x in enumerate(files)], "name string, data binary")
+    for one in (files[0], files[1]):
+        got = {r.capture: r for r in warc.assemble(warc.read_records(df.filter(df.data == one))).collect()}
+        assert sorted(got) == ["urn:a", "urn:b"] and [q.record_id for q in got["urn:a"].requests] == ["urn:q1", "urn:q2"] and not got["urn:b"].requests
+        assert all(r.metadata[0].fields == {"outlink": ["one", "two folded"], "via": ["z"]} for r in got.values())
+        assert bytes(got["urn:a"].response.payload) == b"hello" and got["urn:a"].response.digest is None and got["urn:b"].response.digest == "0" * 40
+    for k, n in ((2, 0), (3, 1), (4, 0), (5, 0), (6, 0), (7, 0), (8, 0), (9, 0)):
+        rows = warc.read_records(df.filter(df.name == str(k))).collect()
+        assert sum(r.error is None for r in rows) == n and (k in (7, 8)) == (not any(r.error for r in rows)), k
+    assert warc.assemble(warc.read_records(df.filter("name in ('2', '4', '5', '6')"))).count() == 0
+
+
+def test_warc_broken_files():
+    """Cut and flipped archives give rows or errors, never an exception."""
+    g = np.random.default_rng(1)
+    plain = b"".join(record("response", k, b"HTTP/1.1 200 OK\r\n\r\n" + b"x" * 50 * k, "Content-Type: application/http") for k in range(6))
+    packed = b"".join(gzip.compress(plain[a : a + 200]) for a in range(0, len(plain), 200))
+    for data in (plain, packed):
+        for k in range(300):
+            bad = bytearray(data[: int(g.integers(0, len(data)))] if k % 3 == 0 else data)
+            for at in g.integers(0, max(1, len(bad)), int(g.integers(1, 8))).tolist() if bad else []:
+                bad[at] = int(g.integers(0, 256))
+            for row in warc.parse_records(bytes(bad)):
+                assert len(warc._record_row(*row)) == len(warc._RECORD_KINDS)
