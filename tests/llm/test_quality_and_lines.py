@@ -67,15 +67,46 @@ def test_apply_rules_keeps_columns(spark):
 
 def test_line_dedup(spark):
     rows = [(i, "menu\nbody %d\n\nx" % i if i % 2 else "body %d\n" % i, "h" if i < 30 else None, i, i) for i in range(60)] + [(99, None, "h", 0, 0), (98, "menu", "few", 0, 0)]
+    long = "\n".join(f"line {k}" for k in range(100_000))
+    rows += [(97, long + "\nmenu", "few", 0, 0), (96, long, "other", 0, 0), (95, "", "other", 0, 0)]
     df = spark.createDataFrame(rows, "doc_id long, text string, source string, n_lines long, page long")
-    got = {r.doc_id: r for r in line_dedup.drop_boilerplate(df).collect()}
+    got = {r.doc_id: r for r in line_dedup.drop_boilerplate(df, host="source").collect()}
     assert got[1].text == "body 1\n" and got[1].n_lines == 4 and got[1].n_dropped == 2 and got[1].page == 1
-    assert got[2].text == "body 2\n" and got[99].text is None and got[98].text == "menu"
-    assert line_dedup.drop_boilerplate(df.limit(0)).count() == 0
+    assert got[2].text == "body 2\n" and got[99].text is None and got[98].text == "" and got[97].text == long and got[96].text == long and got[95].text == ""
+    assert line_dedup.drop_boilerplate(df.limit(0), host="source").count() == 0
     plan = line_dedup.op7_site_line_frequency(spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
     assert not re.search("Python|Arrow|Pandas", plan)
 
 
+def test_line_at_exactly_the_share(spark):
+    """2 of 40 pages are 5 percent and stay; 2 of 39 are more. Repeated rows are pages, repeated lines of a page are not."""
+    rows = [(i, "both\nboth" if i % 40 < 2 else f"only {i}", f"h{i // 40}") for i in range(79)] + [(100, "same", "twice"), (100, "same", "twice")]
+    got = collections.defaultdict(list)
+    for r in line_dedup.drop_boilerplate(spark.createDataFrame(rows, "doc_id long, text string, host string")).collect():
+        got[r.doc_id].append((r.text, r.n_dropped))
+    assert got[0] == [("both\nboth", 0)] and got[40] == [("", 2)] and got[50] == [("only 50", 0)] and got[100] == [("", 1)] * 2
+
+
+def test_host_pages(spark):
+    html = "<!DOCTYPE html><HTML><head><title>T &amp;lt; t</title><STYLE type='x'>p{}</style ><script>if (a<b) \"</p>\"</script></head><body ><p>one <b>bo</b>ld<br/>two &lt;&quot;&nbsp;\t\n\n  three</p><!-- <p>no</p> --><li\nclass=x>li"
+    rows = [(1, "HTTPS://user:pw@Www.Ex.com:80/a?b", html, 5), (2, "no url", "a < b", 5), (3, None, None, 5), (4, "http:///x", "", 5)]
+    got = line_dedup.host_pages(spark.createDataFrame(rows, "page_id long, url string, html string, host long")).collect()
+    assert {r.page_id: (r.host, r.text) for r in got} == {1: ("www.ex.com", 'T &lt; t\none bold\ntwo <"\n  three\nli'.replace("\n  ", "\n")), 2: (None, "a < b"), 3: (None, None), 4: (None, "")}
+
+
+@pytest.mark.parametrize("percent", [5, 30])
+def test_lines_of_documents_against_sql(spark, percent):
+    """The operator on another table, with its sources as sites."""
+    import duckdb
+
+    sf = "/root/testdata/sf0.01"
+    got = line_dedup.drop_boilerplate(spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "source", "text"), host="source", percent=percent).toPandas()
+    want = duckdb.sql(line_dedup.frequency_sql(f"SELECT doc_id, source AS host, text FROM '{sf}/documents.parquet'", percent)).df().rename(columns={"host": "source"})
+    cols = sorted(got.columns)
+    a, b = (x[cols].astype({"n_lines": "int64", "n_dropped": "int64"}).astype(str).sort_values(cols, ignore_index=True) for x in (got, want))
+    assert a.equals(b) and got.n_dropped.sum() > 0 or percent == 30
+
+
 def test_pipeline_lines_of_small_sources(spark):
     """The share decides in a source of few pages too; a line on one page stays."""
     import corpus_pipeline
