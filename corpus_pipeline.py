@@ -21,7 +21,7 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def site_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drops lines that are frequent in their source, however few pages it has;
     n_chars follows the text."""
-    cleaned = line_dedup.drop_boilerplate(docs, min_pages=1)
+    cleaned = line_dedup.drop_boilerplate(docs, host="source")
     return cleaned.withColumn("n_chars", F.char_length("text").cast("long")).select(*docs.columns)
 
 
