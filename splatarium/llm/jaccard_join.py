@@ -53,7 +53,7 @@ from .graph import components
 GROUP_MEMBERS = 2048
 GROUP_SHINGLES = 1 << 21
 #: A stratum has a group for so many members, until it has so many groups.
-SOME_MEMBERS, MANY_GROUPS = 100, 24
+SOME_MEMBERS, MANY_GROUPS = 64, 32
 #: Sets of other families that ask a group come in blocks of about so many.
 ASKING = 1024
 #: Holders of shingles that are added up at once.

@@ -1,23 +1,31 @@
 """Operator 1: quality rules by distribution divergence.
 
-One pass over the texts counts, for every document, its words, symbols,
-repeated lines and repeated word windows, and two histograms: of character
-classes, and of common function words. A second pass over those counts alone
-(no texts) adds them up per language into reference distributions and rejects
-documents whose Jensen-Shannon distance to the reference of their language is
-too large. Both histograms are compared only from a minimum length on, since
-short texts are far from any reference by chance.
+1. Common words. Words are counted in every language; those that make up at least
+   a `COMMON`-th of a language's words are its common words, `COMMON` at most.
+2. Counts. One pass over the texts counts, for every document, its words, symbols,
+   repeated lines and repeated word windows, and two histograms: of character
+   classes by Unicode category, and of its language's common words and all others.
+3. Verdicts. The histograms of a language's documents that pass the base rules add
+   up to its references. A document goes whose Jensen-Shannon distance to either
+   is too large. Both are compared only from a minimum length on, since short
+   texts are far from any reference by chance.
+
+Texts are not shuffled; common words and references come back to the documents by
+joins on the language, of a row for each language, which Spark broadcasts while
+they are small.
 
 Defined cases: a null text is empty (no words, so the base rules fail it); a
 null language is a language of its own; a language without any document that
 passes the base rules has no reference, and nothing in it is rejected by
 distance. Rows are never merged: repeated rows come out repeated. Other
-columns, whatever their names, are carried along by `apply_rules`.
+columns, whatever their names, are carried along by `apply_rules`; counts replace
+columns of their names.
 """
 
 from __future__ import annotations
 
 import functools
+import unicodedata
 from dataclasses import dataclass
 
 import numpy as np
@@ -27,19 +35,14 @@ from pyspark.sql import functions as F
 
 from . import common as c
 
-#: The most common function words of the four languages.
-COMMON_WORDS = {
-    "en": "the of and to in is that it was for on are as with be by this from at he or an not you".split(),
-    "fr": "de la le et les des en un une du que est pour qui dans par sur pas au il ce se avec sont".split(),
-    "de": "der die und in den von zu das mit sich des auf für ist im dem nicht ein eine als auch es an werden".split(),
-    "es": "de la que el en y a los del se las por un para con no una su al lo como más o pero".split(),
-}
-#: All of them in one list, each once; the histogram has one more bin for all other words.
-VOCABULARY = sorted({w for words in COMMON_WORDS.values() for w in words})
-#: Character classes, by byte: the first byte of a character decides.
-CLASSES = ("lower", "upper", "digit", "space", "sentence mark", "other mark", "2-byte", "3-byte", "4-byte")
+#: A word is common that makes up one of so many of a language's words.
+COMMON = 250
+#: Character classes: Unicode categories, white space, and the marks of sentences apart from other punctuation.
+CLASSES = ("Ll", "Lu", "other letter", "mark", "number", "space", "sentence mark", "other punctuation", "symbol", "other")
+SENTENCE_MARKS = ".,;:!?'\"()-¿¡«»“”‘’…–—、。"
 SYMBOLS = b"#*$%&|<>"
 WINDOW = 8
+_UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
 @dataclass(frozen=True)
@@ -47,24 +50,25 @@ class Rules:
     min_words: int = 20
     max_repeat_percent: int = 30
     #: Jensen-Shannon distances (base 2, so 0 to 1) from which a document goes.
-    max_char_distance: float = 0.32
-    max_word_distance: float = 0.335
+    max_char_distance: float = 0.3
+    max_word_distance: float = 0.3
     #: Lengths below which a histogram says nothing.
     min_chars: int = 250
     min_words_for_histogram: int = 100
 
 
-def _byte_classes() -> np.ndarray:
-    k = np.full(256, 5, np.int64)
-    k[97:123], k[65:91], k[48:58] = 0, 1, 2
-    k[list(c.SPACE)] = 3
-    k[list(b".,;:!?'\"()-")] = 4
-    k[0x80:0xC0] = -1  # continues a character
-    k[0xC0:0xE0], k[0xE0:0xF0], k[0xF0:] = 6, 7, 8
-    return k
+@functools.cache
+def _classes() -> np.ndarray:
+    """The class of every code point."""
+    by = {"Ll": 0, "Lu": 1, "Lt": 2, "Lm": 2, "Lo": 2, "M": 3, "N": 4, "Z": 5, "P": 7, "S": 8, "C": 9}
+    names = [unicodedata.category(chr(k)) for k in range(0x110000)]
+    short = {x: by[x] if x in by else by[x[0]] for x in set(names)}
+    out = np.fromiter((short[x] for x in names), np.uint8, len(names))
+    out[list(c.SPACE)] = 5
+    out[[ord(x) for x in SENTENCE_MARKS]] = 6
+    return out
 
 
-_CLASS = _byte_classes()
 _SYMBOL = np.zeros(256, bool)
 _SYMBOL[list(SYMBOLS)] = True
 _STEP = c.mix(np.arange(101, 101 + WINDOW, dtype=np.uint64)) | np.uint64(1)
@@ -80,25 +84,22 @@ def _repeated(key: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return order[first | later], order[later]
 
 
-@functools.cache
-def _common_word_table() -> tuple[np.ndarray, np.ndarray]:
-    raw = [w.encode() for w in VOCABULARY]
-    end = np.cumsum([len(w) for w in raw])
-    start = end - [len(w) for w in raw]
-    h = c.span_hashes(np.frombuffer(b"".join(raw), np.uint8), start, end)
-    order = np.argsort(h)
-    return h[order], order
+def _hashes(words: list[str]) -> np.ndarray:
+    raw = [w.encode() for w in words]
+    end = np.cumsum([len(w) for w in raw], dtype=np.int64)
+    return c.span_hashes(np.frombuffer(b"".join(raw), np.uint8), end - np.array([len(w) for w in raw], np.int64), end) if raw else np.zeros(0, np.uint64)
 
 
-def count_slice(buf: np.ndarray, off: np.ndarray) -> dict[str, np.ndarray]:
-    """The counts of every text of one slice."""
+def count_slice(buf: np.ndarray, off: np.ndarray, common: list[list[str]], which: np.ndarray) -> tuple[dict[str, np.ndarray], list[np.ndarray]]:
+    """The counts of every text of one slice, and its histograms of common words;
+    `which` is the place in `common` of each text's list."""
     n = len(off) - 1
     inside, start, end, words = c.word_spans(buf, off)
     row = np.repeat(np.arange(n), words)
-    kind = _CLASS[buf]
+    first = (buf & 0xC0) != 0x80  # bytes that begin a character
     out = {
         "n_words": words.astype(np.int64),
-        "word_chars": c.per_row(c.running(inside & (kind >= 0)), off),
+        "word_chars": c.per_row(c.running(inside & first), off),
         "n_symbols": c.per_row(c.running(_SYMBOL[buf]), off),
     }
     # lines
@@ -123,40 +124,64 @@ def count_slice(buf: np.ndarray, off: np.ndarray) -> dict[str, np.ndarray]:
         covered += np.bincount(hit, minlength=len(h) + 1) - np.bincount(hit + WINDOW, minlength=len(h) + 1)
     out["n_repeat_words"] = c.add_edges(row[np.cumsum(covered)[:-1] > 0], n)
     # histograms
-    at = np.flatnonzero(kind >= 0)
-    out["hist_chars"] = c.per_row(c.running(kind >= 0), off)
-    cell = np.repeat(np.arange(n) * len(CLASSES), np.diff(off))[at] + kind[at]
-    out["char_hist"] = c.add_edges(cell, n * len(CLASSES))
+    chars = c.running(first)[off]
+    out["hist_chars"] = np.diff(chars)
+    text = np.frombuffer(buf.tobytes().decode().encode("utf-32-le"), np.uint32)
+    out["char_hist"] = c.add_edges(np.repeat(np.arange(n) * len(CLASSES), np.diff(chars)) + _classes()[text], n * len(CLASSES))
     low = c.span_hashes(c.LOWER[buf], start, end) if len(start) else h
-    keys, names = _common_word_table()
-    bins = len(names) + 1
-    place = np.minimum(np.searchsorted(keys, low), len(keys) - 1)
-    which = np.where(keys[place] == low, names[place], len(names))
-    out["word_hist"] = c.add_edges(row * bins + which, n * bins)
-    return out
+    begin = np.cumsum(words) - words
+    hists: list[np.ndarray] = [np.zeros(0, np.int64)] * n
+    for k, some in enumerate(common):
+        rows = np.flatnonzero(which == k)
+        bins, keys = len(some) + 1, _hashes(some)
+        order = np.argsort(keys)
+        at = np.repeat(begin[rows] - (np.cumsum(words[rows]) - words[rows]), words[rows]) + np.arange(int(words[rows].sum()))
+        place = np.full(len(at), bins - 1)
+        if len(some):
+            near = np.minimum(np.searchsorted(keys[order], low[at]), len(keys) - 1)
+            place = np.where(keys[order][near] == low[at], order[near], bins - 1)
+        made = c.add_edges(np.repeat(np.arange(len(rows)), words[rows]) * bins + place, len(rows) * bins).reshape(len(rows), bins)
+        for r, x in zip(rows.tolist(), made):
+            hists[r] = x
+    return out, hists
 
 
 _COUNTS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
 _COLUMNS = (*_COUNTS, "hist_chars")
+_NEW = (*_COLUMNS, "char_hist", "word_hist")
+
+
+def common_words(df: DataFrame, text: str = "text", lang: str = "lang") -> DataFrame:
+    """(common_lang, common): the common words of each language, in lower case (of A
+    to Z), the most frequent first. Counts combine on the map side."""
+    words = F.regexp_extract_all(F.translate(F.col(f"`{text}`"), _UPPER, _LOWER), F.lit(f"({c.WORD})"), F.lit(1))
+    counts = df.select(F.col(f"`{lang}`").alias("lang"), F.explode(words).alias("word")).groupBy("lang", "word").agg(F.count(F.lit(1)).alias("n"))
+    total = df.groupBy(F.col(f"`{lang}`").alias("of")).agg(F.sum(c.n_words(F.col(f"`{text}`"))).alias("total"))
+    often = counts.join(total, F.col("lang").eqNullSafe(F.col("of"))).filter(F.col("n") * COMMON >= F.col("total"))
+    order = F.array_sort(F.collect_list(F.struct((-F.col("n")).alias("n"), "word")))
+    return c.saved(often.groupBy(F.col("lang").alias("common_lang")).agg(order["word"].alias("common")), "common-words")
 
 
-def count_texts(df: DataFrame, text: str = "text", carry: tuple[str, ...] = ()) -> DataFrame:
-    """`carry` and the counts and histograms of every text; one pass, no shuffle."""
-    df = df.select(*[F.col(f"`{k}`") for k in carry], F.col(f"`{text}`").alias(c.fresh(df, "whole_text")[0]))
-    schema = ", ".join(
-        [f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema.fields[:-1]]
-        + [f"{k} bigint" for k in _COLUMNS]
-        + ["char_hist array<bigint>", "word_hist array<bigint>"]
-    )
+def count_texts(df: DataFrame, words: DataFrame, text: str = "text", lang: str = "lang", carry: tuple[str, ...] = ()) -> DataFrame:
+    """`carry` and the counts and histograms of every text; one pass, no shuffle of texts."""
+    carry = tuple(k for k in carry if k not in _NEW)
+    whole, kept = c.fresh(df.select(*[F.col(f"`{k}`") for k in carry]), "whole_text", "common_words")
+    df = df.join(words, F.col(f"`{lang}`").eqNullSafe(F.col("common_lang")), "left")
+    df = df.select(*[F.col(f"`{k}`") for k in carry], F.col(f"`{text}`").alias(whole), F.coalesce("common", F.array().cast("array<string>")).alias(kept))
+    schema = df.select(*carry, *[F.lit(0).cast("long").alias(k) for k in _COLUMNS], *[F.array(F.lit(0).cast("long")).alias(k) for k in ("char_hist", "word_hist")]).schema
 
     def run(batches):
         for batch in batches:
-            for at, buf, off in c.slices(batch.column(batch.num_columns - 1)):
-                n, got = len(off) - 1, count_slice(buf, off)
-                cols = [batch.column(k).slice(at, n) for k in range(batch.num_columns - 1)]
+            m = batch.num_columns - 2
+            for at, buf, off in c.slices(batch.column(m)):
+                n = len(off) - 1
+                lists = list(map(tuple, batch.column(m + 1).slice(at, n).to_pylist()))
+                names = {x: k for k, x in enumerate(dict.fromkeys(lists))}
+                got, hists = count_slice(buf, off, list(map(list, names)), np.array([names[x] for x in lists]))
+                cols = [batch.column(k).slice(at, n) for k in range(m)]
                 cols += [pa.array(got[k], pa.int64()) for k in _COLUMNS]
-                cols += [c.fixed_list(got[k], np.full(n, len(got[k]) // n), pa.int64()) for k in ("char_hist", "word_hist")]
-                yield pa.RecordBatch.from_arrays(cols, [*batch.schema.names[:-1], *_COLUMNS, "char_hist", "word_hist"])
+                cols += [c.fixed_list(got["char_hist"], np.full(n, len(CLASSES)), pa.int64()), c.fixed_list(np.concatenate(hists), np.array([len(x) for x in hists]), pa.int64())]
+                yield pa.RecordBatch.from_arrays(cols, schema.names)
 
     return df.mapInArrow(run, schema)
 
@@ -174,9 +199,6 @@ def js_distance(p, sp, q, sq):
     return F.when((sp > 0) & (sq > 0), F.sqrt(F.greatest(total / (2 * np.log(2.0)), F.lit(0.0))))
 
 
-_HISTS = (("char_hist", len(CLASSES)), ("word_hist", len(VOCABULARY) + 1))
-
-
 def with_base(counted: DataFrame, rules: Rules = Rules()) -> DataFrame:
     failed = (F.col("n_words") < rules.min_words) | (100 * F.col("n_repeat_words") > rules.max_repeat_percent * F.col("n_words"))
     return counted.withColumn("base_failed", failed)
@@ -184,12 +206,13 @@ def with_base(counted: DataFrame, rules: Rules = Rules()) -> DataFrame:
 
 def language_references(counted: DataFrame, lang: str = "lang", rules: Rules = Rules()) -> DataFrame:
     """One row per language: both histograms summed over all documents that
-    pass the base rules. The sums combine on the map side."""
-    sums = [F.sum(F.col(h)[k]).alias(f"{h}_{k}") for h, n in _HISTS for k in range(n)]
-    refs = with_base(counted, rules).filter(~F.col("base_failed")).groupBy(F.col(f"`{lang}`").alias("ref_lang")).agg(*sums)
-    out = [F.array(*[F.col(f"{h}_{k}") for k in range(n)]).alias(f"ref_{h}") for h, n in _HISTS]
-    out += [sum(F.col(f"{h}_{k}") for k in range(n)).alias(f"sum_{h}") for h, n in _HISTS]
-    return c.saved(refs.select("ref_lang", *out), "references")
+    pass the base rules, and their totals. The sums combine on the map side."""
+    passed = with_base(counted, rules).filter(~F.col("base_failed"))
+    cells = [passed.select(F.col(f"`{lang}`").alias("ref_lang"), F.lit(h).alias("hist"), F.posexplode(h).alias("bin", "n")) for h in ("char_hist", "word_hist")]
+    sums = cells[0].unionByName(cells[1]).groupBy("ref_lang", "hist", "bin").agg(F.sum("n").alias("n"))
+    one = lambda h: F.array_sort(F.collect_list(F.when(F.col("hist") == h, F.struct("bin", "n"))))["n"].alias(f"ref_{h}")
+    total = lambda h: F.sum(F.when(F.col("hist") == h, F.col("n"))).alias(f"sum_{h}")
+    return c.saved(sums.groupBy("ref_lang").agg(*[f(h) for f in (one, total) for h in ("char_hist", "word_hist")]), "references")
 
 
 def with_verdicts(counted: DataFrame, refs: DataFrame, lang: str = "lang", rules: Rules = Rules()) -> DataFrame:
@@ -204,25 +227,82 @@ def with_verdicts(counted: DataFrame, refs: DataFrame, lang: str = "lang", rules
     joined = joined.withColumn("char_distance", F.when(F.col("hist_chars") >= rules.min_chars, chars))
     joined = joined.withColumn("word_distance", F.when(F.col("n_words") >= rules.min_words_for_histogram, words))
     near = (F.coalesce("char_distance", F.lit(0.0)) <= rules.max_char_distance) & (F.coalesce("word_distance", F.lit(0.0)) <= rules.max_word_distance)
-    return joined.withColumn("kept", ~F.col("base_failed") & near).drop("ref_lang", "hist_chars", *(f"{a}{h}" for a in ("", "ref_", "sum_") for h, _ in _HISTS))
+    return joined.withColumn("kept", ~F.col("base_failed") & near).drop("ref_lang", "hist_chars", *(f"{a}{h}" for a in ("", "ref_", "sum_") for h in ("char_hist", "word_hist")))
 
 
 def apply_rules(df: DataFrame, text: str = "text", lang: str = "lang", rules: Rules = Rules()) -> DataFrame:
     """The rows of df that the rules keep, with all their columns.
 
-    Two passes over the texts: the first leaves a row per language, the second
-    decides. Neither shuffles a text.
+    Texts are counted once, and written beside their counts.
     """
     names = c.fresh(df, *(f"c{k}" for k in range(len(df.columns))))
     plain = df.toDF(*names)
     text, lang = (names[df.columns.index(x)] for x in (text, lang))
-    refs = language_references(count_texts(plain, text, carry=(lang,)), lang, rules)
-    return with_verdicts(count_texts(plain, text, carry=tuple(names)), refs, lang, rules).filter("kept").select(*[F.col(a).alias(b) for a, b in zip(names, df.columns)])
+    counted = c.saved(count_texts(plain, common_words(plain, text, lang), text, lang, carry=tuple(names)), "counted")
+    return with_verdicts(counted, language_references(counted, lang, rules), lang, rules).filter("kept").select(*[F.col(a).alias(b) for a, b in zip(names, df.columns)])
 
 
 def op1_quality_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Counts and verdicts for all of `documents`. The counts are written once
-    (numbers only) and read twice."""
-    counted = c.saved(count_texts(c.table(spark, sf_dir, "documents"), carry=("doc_id", "lang")), "quality-counts")
+    (numbers only) and read twice. Distances are rounded, as their last digits
+    depend on the order of sums."""
+    docs = c.table(spark, sf_dir, "documents")
+    counted = c.saved(count_texts(docs, common_words(docs), carry=("doc_id", "lang")), "quality-counts")
     out = with_verdicts(counted, language_references(counted))
-    return out.select("doc_id", *_COUNTS, "base_failed", "kept", "char_distance", "word_distance")
+    return out.select("doc_id", *_COUNTS, "base_failed", "kept", F.round("char_distance", 6).alias("char_distance"), F.round("word_distance", 6).alias("word_distance"))
+
+
+def _op1_sql(rules: Rules = Rules()) -> str:
+    marks = "".join(f"\\{x}" if x in "()-?.'\"" else x for x in SENTENCE_MARKS).replace("'", "''")
+    space = r"\x20\x09-\x0D"
+    classes = [r"\p{Ll}", r"\p{Lu}", r"\p{Lt}\p{Lm}\p{Lo}", r"\p{M}", r"\p{N}"]
+    n = lambda inner: f"len(regexp_extract_all(t, '[{inner}]'))"
+    # all sentence marks are punctuation
+    hist = [n(x) for x in classes] + [n(rf"{space}\p{{Z}}"), n(marks), n(r"\p{P}") + " - " + n(marks), n(r"\p{S}")]
+    hist += ["length(t) - (" + " + ".join(hist) + ")"]
+    js = "sqrt(greatest(sum(CASE WHEN a > 0 THEN a * ln(a) ELSE 0 END + CASE WHEN b > 0 THEN b * ln(b) ELSE 0 END - CASE WHEN a + b > 0 THEN (a + b) * ln((a + b) / 2) ELSE 0 END) / (2 * ln(2)), 0))"
+    return rf"""
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, lang, coalesce(text, '') AS t FROM documents),
+w AS (SELECT *, regexp_extract_all(t, '[^{space}]+') AS ws FROM d),
+pos AS (SELECT r, unnest(range(1, len(ws) - {WINDOW - 2})) AS i, ws FROM w WHERE len(ws) >= {WINDOW}),
+win AS (SELECT r, i, array_to_string(ws[i : i + {WINDOW - 1}], ' ') AS x FROM pos),
+hit AS (SELECT r, i FROM (SELECT r, i, count(*) OVER (PARTITION BY r, x) AS n FROM win) WHERE n > 1),
+gap AS (SELECT r, i, lead(i) OVER (PARTITION BY r ORDER BY i) AS after FROM hit),
+rep AS (SELECT r, sum(least(coalesce(after - i, {WINDOW}), {WINDOW}))::BIGINT AS n FROM gap GROUP BY r),
+ln AS (SELECT r, unnest(string_split(t, chr(10))) AS line FROM d),
+dup AS (SELECT r, (count(*) - count(DISTINCT line))::BIGINT AS n FROM ln WHERE regexp_matches(line, '[^{space}]') GROUP BY r),
+base AS (
+  SELECT w.r, doc_id, lang, len(ws)::BIGINT AS n_words, length(array_to_string(ws, ''))::BIGINT AS word_chars,
+    len(regexp_extract_all(t, '[#*$%&|<>]'))::BIGINT AS n_symbols, coalesce(dup.n, 0)::BIGINT AS n_dup_lines, coalesce(rep.n, 0)::BIGINT AS n_repeat_words, length(t)::BIGINT AS chars,
+    [{", ".join(hist)}] AS char_hist FROM w LEFT JOIN rep USING (r) LEFT JOIN dup USING (r)
+),
+b AS (SELECT *, n_words < {rules.min_words} OR 100 * n_repeat_words > {rules.max_repeat_percent} * n_words AS base_failed FROM base),
+words AS (SELECT r, lang, translate(unnest(ws), '{_UPPER}', '{_LOWER}') AS word FROM w),
+totals AS (SELECT lang, count(*) AS total FROM words GROUP BY lang),
+common AS (SELECT x.lang, word FROM words x JOIN totals y ON x.lang IS NOT DISTINCT FROM y.lang GROUP BY x.lang, word, total HAVING count(*) * {COMMON} >= total),
+cells AS (
+  SELECT b.r, b.lang, 'c' AS h, u.k::VARCHAR AS bin, b.char_hist[u.k]::BIGINT AS n FROM b, (SELECT unnest(range(1, {len(CLASSES) + 1})) AS k) u
+  UNION ALL
+  SELECT b.r, b.lang, 'w', coalesce(k.word, ''), count(*) FROM b JOIN words x USING (r) LEFT JOIN common k ON k.word = x.word AND k.lang IS NOT DISTINCT FROM b.lang GROUP BY ALL
+),
+refs AS (SELECT cells.lang, h, bin, sum(cells.n) AS n FROM cells JOIN b USING (r) WHERE NOT base_failed GROUP BY ALL),
+ref_totals AS (SELECT lang, h, sum(n) AS n FROM refs GROUP BY ALL),
+own AS (SELECT r, h, sum(n) AS n FROM cells GROUP BY ALL HAVING sum(n) > 0),
+pairs AS (
+  SELECT o.r, o.h, coalesce(c.n, 0) / o.n AS a, coalesce(f.n, 0) / t.n AS b
+  FROM own o JOIN b ON b.r = o.r JOIN ref_totals t ON t.lang IS NOT DISTINCT FROM b.lang AND t.h = o.h AND t.n > 0
+  JOIN (SELECT lang, h, bin FROM cells GROUP BY ALL) s ON s.lang IS NOT DISTINCT FROM b.lang AND s.h = o.h
+  LEFT JOIN refs f ON f.lang IS NOT DISTINCT FROM s.lang AND f.h = s.h AND f.bin = s.bin LEFT JOIN cells c ON c.r = o.r AND c.h = s.h AND c.bin = s.bin
+),
+far AS (SELECT r, h, {js} AS d FROM pairs GROUP BY r, h),
+out AS (
+  SELECT b.*, CASE WHEN chars >= {rules.min_chars} THEN fc.d END AS char_distance, CASE WHEN n_words >= {rules.min_words_for_histogram} THEN fw.d END AS word_distance
+  FROM b LEFT JOIN far fc ON fc.r = b.r AND fc.h = 'c' LEFT JOIN far fw ON fw.r = b.r AND fw.h = 'w'
+)
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
+  NOT base_failed AND coalesce(char_distance, 0) <= {rules.max_char_distance} AND coalesce(word_distance, 0) <= {rules.max_word_distance} AS kept,
+  round(char_distance, 6) AS char_distance, round(word_distance, 6) AS word_distance FROM out
+"""
+
+
+OP1_SQL = _op1_sql()

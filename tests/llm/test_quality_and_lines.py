@@ -1,6 +1,9 @@
 import collections
 import itertools
+import math
+import random
 import re
+import unicodedata
 
 import numpy as np
 import pyarrow as pa
@@ -35,7 +38,7 @@ def brute_counts(text):
 
 def test_counts(spark):
     df = frame(spark, TEXTS).repartition(3)
-    got = {r.doc_id: (r.n_words, r.word_chars, r.n_symbols, r.n_dup_lines, r.n_repeat_words) for r in quality_rules.count_texts(df, carry=("doc_id",)).collect()}
+    got = {r.doc_id: (r.n_words, r.word_chars, r.n_symbols, r.n_dup_lines, r.n_repeat_words) for r in quality_rules.count_texts(df, quality_rules.common_words(df), carry=("doc_id",)).collect()}
     assert got == {i: brute_counts(t) for i, t in enumerate(TEXTS)}
 
 
@@ -58,10 +61,75 @@ def test_js_distance(spark):
     assert got[0] == pytest.approx(1) and got[1] == pytest.approx(0) and got[2] is None
 
 
+def brute_verdicts(rows, rules=quality_rules.Rules()):
+    """kept and both distances of (text, lang) rows, from counters and plain arithmetic."""
+    low = lambda w: "".join(chr(ord(ch) + 32) if "A" <= ch <= "Z" else ch for ch in w)
+
+    def kind(ch):
+        cat = unicodedata.category(ch)
+        if ch in " \t\n\x0b\x0c\r" or cat[0] == "Z":
+            return "space"
+        if ch in quality_rules.SENTENCE_MARKS:
+            return "sentence"
+        return cat if cat in ("Ll", "Lu") else cat[0]
+
+    words = [[low(w) for w in WORD.findall(t or "")] for t, _ in rows]
+    total, often = collections.Counter(), collections.defaultdict(collections.Counter)
+    for ws, (_, lang) in zip(words, rows):
+        total[lang] += len(ws)
+        often[lang].update(ws)
+    common = {lang: {w for w, n in x.items() if n * quality_rules.COMMON >= total[lang]} for lang, x in often.items()}
+    hists = [(collections.Counter(map(kind, t or "")), collections.Counter(w if w in common[lang] else None for w in ws)) for ws, (t, lang) in zip(words, rows)]
+    counts = [brute_counts(t) for t, _ in rows]
+    failed = [c[0] < rules.min_words or 100 * c[4] > rules.max_repeat_percent * c[0] for c in counts]
+    refs = collections.defaultdict(lambda: (collections.Counter(), collections.Counter()))
+    for h, bad, (_, lang) in zip(hists, failed, rows):
+        for x, y in zip(refs[lang], h):
+            x.update({} if bad else y)
+
+    def distance(p, q):
+        sp, sq = sum(p.values()), sum(q.values())
+        if not sp or not sq:
+            return None
+        out = 0.0
+        for k in set(p) | set(q):
+            a, b = p[k] / sp, q[k] / sq
+            out += sum(x * math.log2(2 * x / (a + b)) / 2 for x in (a, b) if x)
+        return math.sqrt(max(out, 0.0))
+
+    made = []
+    for (t, lang), h, bad, c in zip(rows, hists, failed, counts):
+        chars = distance(h[0], refs[lang][0]) if len(t or "") >= rules.min_chars else None
+        wordy = distance(h[1], refs[lang][1]) if c[0] >= rules.min_words_for_histogram else None
+        made.append((not bad and (chars or 0) <= rules.max_char_distance and (wordy or 0) <= rules.max_word_distance, chars, wordy))
+    return made
+
+
+@pytest.mark.parametrize("sf", ["", "0.001"])
+def test_verdicts(spark, sf):
+    """Common words, references, guards, distances and verdicts against plain Python."""
+    if sf:
+        rows = [(r.doc_id, r.text, r.lang) for r in spark.read.parquet(f"/root/testdata/sf{sf}/documents.parquet").collect()]
+    else:
+        r = random.Random(8)
+        good = [" ".join(r.choice(["the", "of", "a", "sea", "House", "ship", "old", "Ünder", "文"]) + r.choice(["", "", ".", ","]) for _ in range(n)) for n in (19, 20, 99, 100, 150, 400, 800, 800)]
+        odd = [" ".join(r.choice(["#x#", "$1", "||", "QQ"]) + str(k) for k in range(n)) for n in (40, 99, 100, 600)]
+        texts = [*good, *odd, *TEXTS, good[-1], " ".join(f"t{k}" for k in range(300_000))]
+        rows = [(k, t, (None, "en", "xx")[k % 3] if k < 24 else f"own{k}") for k, t in enumerate(texts)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string").repartition(3)
+    counted = common.saved(quality_rules.count_texts(df, quality_rules.common_words(df), carry=("doc_id", "lang")), "counted")
+    got = {r.doc_id: r for r in quality_rules.with_verdicts(counted, quality_rules.language_references(counted)).collect()}
+    for (i, _, _), (kept, chars, words) in zip(rows, brute_verdicts([r[1:] for r in rows])):
+        assert got[i].kept == kept and got[i].char_distance == (None if chars is None else pytest.approx(chars, abs=1e-9)) and got[i].word_distance == (None if words is None else pytest.approx(words, abs=1e-9))
+    assert sf or 2 < sum(r.kept for r in got.values()) < len(got)
+
+
 def test_apply_rules_keeps_columns(spark):
-    df = frame(spark, TEXTS).withColumnRenamed("n_chars", "n_words")
+    df = frame(spark, [*TEXTS, " ".join(f"word{k} of the house" for k in range(30))]).withColumnRenamed("n_chars", "n_words").withColumnRenamed("source", "common")
     out = quality_rules.apply_rules(df)
-    assert out.columns == df.columns and {r.doc_id for r in out.collect()} == {6, 7} & {r.doc_id for r in out.collect()}
+    assert out.columns == df.columns and sorted(r.doc_id for r in out.collect()) == [11]
+    twice = quality_rules.apply_rules(df.filter("doc_id = 11").unionByName(df.filter("doc_id = 11")))
+    assert [(r.doc_id, r.n_words) for r in twice.collect()] == [(11, 7)] * 2
     assert quality_rules.apply_rules(df.limit(0)).count() == 0
 
 
