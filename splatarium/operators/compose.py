@@ -3,13 +3,15 @@
 from __future__ import annotations
 
 import functools
-import uuid
+import itertools
+import math
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..plans.values import TransformValues
 from ..scene_format import POS, SceneFormat
+from ..sources.scratch import saved
 from .transform import apply_transform
 
 
@@ -32,32 +34,27 @@ def compose_with_transforms(scenes: list[tuple[DataFrame, SceneFormat]], transfo
     return concatenate([(df if t is None else apply_transform(df, t, f), f) for (df, f), t in zip(scenes, transforms)])
 
 
-def near_pairs(df: DataFrame, order: list[str], threshold: float) -> DataFrame:
-    """(a, b): order keys, as structs, of rows closer than the threshold, a first.
+_P = [f"p{c}" for c in POS]
+_COARSE, _FINE = [f"c{c}" for c in POS], [f"f{c}" for c in POS]
+#: The edge of a fine cell, as a share of the threshold: two points of one cell are always nearer than it.
+_EDGE = (1 - 1e-6) / math.sqrt(3)
 
-    Space is cut into cells of the threshold's size, and each row is held against
-    the rows of its own cell and of the 26 around it: an equi-join on the cell.
-    """
-    cell = [F.floor(F.col(c) / threshold).cast("long").alias(f"c{c}") for c in POS]
-    rows = df.select(F.struct(*order).alias("key"), *POS, *cell)
-    shifts = [(i, j, k) for i in (-1, 0, 1) for j in (-1, 0, 1) for k in (-1, 0, 1)]
-    around = F.array(*[F.struct(*[F.lit(s).cast("long").alias(f"d{c}") for s, c in zip(d, POS)]) for d in shifts])
-    near = rows.select(F.col("key").alias("b"), *[F.col(c).alias(f"b{c}") for c in POS], *[F.col(f"c{c}") for c in POS], F.explode(around).alias("d"))
-    near = near.select("b", *[f"b{c}" for c in POS], *[(F.col(f"c{c}") + F.col(f"d.d{c}")).alias(f"c{c}") for c in POS])
-    pairs = rows.join(near, [f"c{c}" for c in POS]).filter(F.col("key") < F.col("b"))
-    d2 = sum((F.col(c) - F.col(f"b{c}")) * (F.col(c) - F.col(f"b{c}")) for c in POS[1:]) + (F.col("x") - F.col("bx")) * (F.col("x") - F.col("bx"))
-    return pairs.filter(d2 < threshold * threshold).select(F.col("key").alias("a"), "b")
-
-
-def _saved(df: DataFrame) -> DataFrame:
-    """A table of this round, in the shared folder if the cluster names one."""
-    spark = df.sparkSession
-    folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if not folder:
-        return df.persist()
-    path = f"{folder}/rounds/{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+
+def _placed(df: DataFrame, order: list[str], threshold: float) -> DataFrame:
+    """(key, position, coarse cell, fine cell) of each row."""
+    cell = lambda c, edge: F.floor(F.col(c) / edge).cast("long")
+    return df.select(F.struct(*order).alias("key"), *[F.col(c).alias(p) for c, p in zip(POS, _P)], *[cell(c, threshold).alias(x) for c, x in zip(POS, _COARSE)], *[cell(c, threshold * _EDGE).alias(x) for c, x in zip(POS, _FINE)])
+
+
+def _near(some: DataFrame, points: DataFrame, threshold: float, when: Column) -> DataFrame:
+    """(of, key) for the points near each of some: `some` goes to its own and the
+    26 coarse cells around. Of `some` a fine cell has one, so a point meets a
+    bounded number of them, however many points lie together."""
+    shifts = F.array(*[F.array(*map(F.lit, d)) for d in itertools.product((-1, 0, 1), repeat=3)])
+    spread = some.select(F.col("key").alias("of"), *[F.col(p).alias(f"o{p}") for p in _P], *_COARSE, F.explode(shifts).alias("d"))
+    spread = spread.select("of", *[f"o{p}" for p in _P], *[(F.col(c) + F.col("d")[k]).alias(c) for k, c in enumerate(_COARSE)])
+    d2 = [(F.col(p) - F.col(f"o{p}")) * (F.col(p) - F.col(f"o{p}")) for p in _P]
+    return points.join(spread, _COARSE).filter(when & (d2[0] + d2[1] + d2[2] < threshold * threshold)).select("of", "key")
 
 
 def deduplicate(df: DataFrame, threshold: float = 1e-6, method: str = "first", order: list[str] | None = None) -> DataFrame:
@@ -68,9 +65,10 @@ def deduplicate(df: DataFrame, threshold: float = 1e-6, method: str = "first", o
     the row order, which have to be unique together; gid by default.
 
     Exact copies come first: of the rows at one position all but one go at once,
-    by aggregation, so a heap of equal rows makes no pairs. Then pairs come from
-    cells, and `first` is settled in rounds: rows none of whose earlier
-    neighbours is undecided are decided together.
+    by aggregation. Fine cells are so small that their points are all near one
+    another: only the last (or first undecided) point of each can stay, so only
+    these are held against the points around. `first` is settled in rounds: a
+    point that no undecided earlier one is near stays, and what is near it goes.
     """
     if method == "average":
         raise NotImplementedError("method 'average'")
@@ -82,28 +80,22 @@ def deduplicate(df: DataFrame, threshold: float = 1e-6, method: str = "first", o
     # -0.0 and 0.0 are one position
     spot = [(F.col(c) + 0.0).alias(f"p{c}") for c in POS]
     key = F.struct(*order)
-    keep = df.groupBy(*spot).agg((F.min if method == "first" else F.max)(key).alias("key")).select("key")
-    keep = keep.select(*[F.col(f"key.{o}").alias(o) for o in order])
-    points = _saved(df.join(keep, order, "left_semi").select(*order, *POS))
-    pairs = _saved(near_pairs(points, order, threshold))
+    alone = df.groupBy(*spot).agg((F.min if method == "first" else F.max)(key).alias("key")).select("key.*")
+    points = saved(_placed(df.join(alone, order, "left_semi"), order, threshold))
+    one_of_each = lambda rows, f: rows.join(rows.groupBy(*_FINE).agg(f("key").alias("key")).select("key"), "key", "left_semi")
     if method == "last":
-        gone = pairs.select(F.col("a").alias("key")).distinct()
+        last = one_of_each(points, F.max)
+        stays = last.join(_near(last, points, threshold, F.col("key") > F.col("of")).select(F.col("of").alias("key")).distinct(), "key", "left_anti").select("key")
     else:
-        # a before b: b goes if some a near it stays
-        gone, open_pairs = None, pairs
-        settled = []
-        while True:
-            blocked = open_pairs.select(F.col("b").alias("a")).distinct()
-            stays = open_pairs.join(blocked, "a", "left_anti").select("a").distinct()
-            lost = _saved(open_pairs.join(stays, "a", "left_semi").select("b").distinct())
-            if not lost.limit(1).count():
-                break
-            settled.append(lost.select(F.col("b").alias("key")))
-            left = open_pairs.join(lost, "b", "left_anti").join(lost.select(F.col("b").alias("a")), "a", "left_anti").select("a", "b")
-            open_pairs = _saved(left)
-        gone = functools.reduce(DataFrame.unionByName, settled) if settled else pairs.select(F.col("a").alias("key")).limit(0)
-    gone = gone.select(*[F.col(f"key.{o}").alias(o) for o in order])
-    return df.join(points.select(*order), order, "left_semi").join(gone, order, "left_anti")
+        settled, left = [], points
+        while left.limit(1).count():
+            first = saved(one_of_each(left, F.min))
+            late = _near(first, left, threshold, F.col("key") < F.col("of")).select(F.col("of").alias("key")).distinct()
+            settled.append(saved(first.join(late, "key", "left_anti")))
+            gone = _near(settled[-1], left, threshold, F.lit(True)).select("key").distinct()  # the point itself too
+            left = saved(left.join(gone, "key", "left_anti"))
+        stays = functools.reduce(DataFrame.unionByName, [x.select("key") for x in settled]) if settled else points.select("key")
+    return df.join(stays.select("key.*"), order, "left_semi")
 
 
 def merge_scenes(scenes: list[tuple[DataFrame, SceneFormat]], transforms=None, deduplicate_threshold: float | None = None) -> tuple[DataFrame, SceneFormat]:

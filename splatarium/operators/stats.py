@@ -46,11 +46,50 @@ def centroid(df: DataFrame) -> DataFrame:
     return df.agg(*[F.avg(c).alias(f"mean_{c}") for c in POS])
 
 
+#: Cells of one step of the search for a percentile.
+CELLS = 4096
+
+
+def percentiles(df: DataFrame, value: Column, shares: dict[str, float], steps: int = 2) -> DataFrame:
+    """One row, a column for each name in shares: exact percentiles with linear
+    interpolation, nulls for a scene without values; NaN is none.
+
+    The rows at the wanted ranks are found by counting: cells between the smallest
+    and the largest value, then cells within the cells that hold those rows, at
+    last the values in what is left. Each step is an aggregate whose result is a
+    few rows for each cell, so memory does not depend on the number of rows.
+    """
+    base = df.select(value.cast("double").alias("v")).filter("v is not null and not isnan(v)")
+    ends = base.agg(F.min("v").alias("lo"), F.max("v").alias("hi"), F.count(F.lit(1)).alias("n"))
+    # two ranks for each share, and where between them it lies
+    at = {name: F.lit(float(s)) * (F.col("n") - 1) for name, s in shares.items()}
+    ranks = [F.struct(F.lit(name).alias("name"), F.lit(up).alias("up"), F.least(F.floor(x) + up, F.col("n") - 1).alias("rank"), (x - F.floor(x)).alias("part")) for name, x in at.items() for up in (0, 1)]
+    wanted = ends.filter("n > 0").select("lo", "hi", F.explode(F.array(*ranks)).alias("r")).select("r.*", "lo", "hi")
+    keys = ("name", "up", "part")
+
+    def reached(counts: DataFrame) -> DataFrame:
+        run = F.sum("n").over(Window.partitionBy(*keys).orderBy("cell"))
+        return counts.withColumn("before", run - F.col("n")).filter("rank >= before and rank < before + n").withColumn("rank", F.col("rank") - F.col("before"))
+
+    cell = lambda: F.when(F.col("hi") > F.col("lo"), F.least(F.floor((F.col("v") - F.col("lo")) / (F.col("hi") - F.col("lo")) * CELLS), F.lit(CELLS - 1))).otherwise(0)
+    found = lambda: (F.count(F.lit(1)).alias("n"), F.min("v").alias("low"), F.max("v").alias("high"))
+    first = _with_row(base, ends).groupBy(cell().alias("cell")).agg(*found())
+    wanted = reached(first.crossJoin(F.broadcast(wanted.drop("lo", "hi")))).select(*keys, "rank", F.col("low").alias("lo"), F.col("high").alias("hi"))
+    for _ in range(steps - 1):
+        inside = base.join(F.broadcast(wanted), F.col("v").between(F.col("lo"), F.col("hi")))
+        wanted = reached(inside.groupBy(*keys, "rank", cell().alias("cell")).agg(*found())).select(*keys, "rank", F.col("low").alias("lo"), F.col("high").alias("hi"))
+    inside = base.join(F.broadcast(wanted), F.col("v").between(F.col("lo"), F.col("hi")))
+    last = reached(inside.groupBy(*keys, "rank", F.col("v").alias("cell")).agg(F.count(F.lit(1)).alias("n")))
+    pick = lambda name, what, up: F.max(F.when((F.col("name") == name) & (F.col("up") == up), F.col(what)))
+    return last.agg(*[(pick(name, "cell", 0) + (pick(name, "cell", 1) - pick(name, "cell", 0)) * pick(name, "part", 0)).alias(name) for name in shares])
+
+
 def recommended_max_scale(df: DataFrame, percentile: float = 99.5, approximate: bool = False) -> DataFrame:
     """One row, max_scale: a percentile of the largest scale of each row, exact
     with linear interpolation; or approximate, with a sketch of fixed size."""
-    share = F.lit(percentile / 100)
-    return df.agg((F.percentile_approx(largest_scale(), share, F.lit(10_000)) if approximate else F.percentile(largest_scale(), share)).alias("max_scale"))
+    if approximate:
+        return df.agg(F.percentile_approx(largest_scale(), F.lit(percentile / 100), F.lit(10_000)).alias("max_scale"))
+    return percentiles(df, largest_scale(), {"max_scale": percentile / 100})
 
 
 def _with_row(df: DataFrame, row: DataFrame) -> DataFrame:
@@ -92,7 +131,9 @@ def histogram(df: DataFrame, values: dict[str, Column], config: HistogramConfig
     """
     n = config.n_bins
     rows = _long(df, values)
-    ends = rows.agg(F.min("v").alias("lo"), F.max("v").alias("hi"))
+    every = [v.cast("double") for v in values.values()]
+    lows, highs = F.array(*map(F.min, every)), F.array(*map(F.max, every))
+    ends = df.agg(F.array_min(lows).alias("lo"), F.array_max(highs).alias("hi"))
     given = lambda v, c: F.lit(float(v)) if v is not None else F.coalesce(F.col(c), F.lit(0.0 if c == "lo" else 1.0))
     ends = ends.select(given(config.min_value, "lo").alias("lo"), given(config.max_value, "hi").alias("hi"))
     width = F.when(F.col("hi") > F.col("lo"), (F.col("hi") - F.col("lo")) / n).otherwise(1.0 / n)
@@ -112,10 +153,12 @@ def histogram(df: DataFrame, values: dict[str, Column], config: HistogramConfig
 
 
 def statistics(df: DataFrame, values: dict[str, Column], sample: bool = False) -> DataFrame:
-    """(channel, n, mean, std, min, max); std of the population, or of a sample."""
-    return _long(df, values).groupBy("channel").agg(
-        F.count(F.lit(1)).alias("n"), F.avg("v").alias("mean"), (F.stddev_samp if sample else F.stddev_pop)("v").alias("std"), F.min("v").alias("min"), F.max("v").alias("max")
-    )
+    """(channel, n, mean, std, min, max); std of the population, or of a sample.
+    All channels are columns of one aggregate, whose row is taken apart at the end."""
+    kinds = {"n": F.count, "mean": F.avg, "std": F.stddev_samp if sample else F.stddev_pop, "min": F.min, "max": F.max}
+    row = df.agg(*[F.struct(*[f(v.cast("double")).alias(k) for k, f in kinds.items()]).alias(f"c{i}") for i, v in enumerate(values.values())])
+    parts = F.array(*[F.struct(F.lit(name).alias("channel"), F.col(f"c{i}").alias("s")) for i, name in enumerate(values)])
+    return row.select(F.explode(parts).alias("p")).select("p.channel", "p.s.*").filter("n > 0")
 
 
 def colour_values() -> dict[str, Column]:
@@ -204,6 +247,10 @@ def color_profile(mean: float, std: float, profile: str = "neutral") -> ColorVal
 
 # ----------------------------------------------------- automatic corrections
 
+#: The published limits and goals of the corrections.
+LIMITS = {"contrast": (0.5, 3.0), "blacks": (-0.2, 0.2), "brightness": (0.5, 2.5), "gain": (0.5, 2.0), "temperature": (-1.0, 1.0), "tint": (-1.0, 1.0), "enhanced": (0.5, 2.0)}
+SPAN, LEAST_SPAN, LEAST_LIGHT, PATCH, TINY = 0.95, 0.01, 0.01, 0.95, 1e-8
+
 
 @dataclass(frozen=True)
 class Correction:
@@ -219,73 +266,71 @@ class Correction:
         return ColorValues(brightness=self.brightness, contrast=self.contrast, temperature=self.temperature, tint=self.tint, shadows=self.blacks)
 
 
-def _clip(v: float, lo: float, hi: float) -> float:
-    return min(max(v, lo), hi)
+def _within(name: str, c: Column) -> Column:
+    return sc.clip(c, *LIMITS[name])
+
 
+def corrections(df: DataFrame, contrast_clip: float = 0.1, light_clip: float = 1.0, midtone: float = 0.45, white: str = "gray_world") -> DataFrame:
+    """One row with all automatic corrections: contrast, blacks, brightness,
+    exposure, temperature, tint, gain_r, gain_g, gain_b.
 
-def _percentiles(df: DataFrame, values: list[Column], shares: list[float]) -> list[list[float]] | None:
-    """Exact percentiles on the driver: a few numbers. None for an empty scene."""
-    row = df.agg(*[F.percentile(v, F.array(*map(F.lit, shares))).alias(f"p{k}") for k, v in enumerate(values)]).first()
-    return None if row[0] is None else [list(r) for r in row]
+    One search gives all percentiles of luminance, and one aggregate the means
+    between two of them (or above one), from which everything else follows.
+    Clips are in percent. A scene without rows, of one tone, or too dark for a
+    correction is left as it is.
+    """
+    if white not in ("gray_world", "white_patch"):
+        raise ValueError(f"no method {white!r}")
+    lum = sc.luminance(cols(RGB))
+    shares = {"_a": contrast_clip / 100, "_b": 1 - contrast_clip / 100, "_c": light_clip / 100, "_d": 1 - light_clip / 100, "_w": PATCH}
+    beside = _with_row(df.select(*RGB, lum.alias("_lum")), percentiles(df, lum, shares))
+    trimmed = F.col("_lum").between(F.col("_c"), F.col("_d"))
+    toned = trimmed if white == "gray_world" else F.col("_lum") >= F.col("_w")
+    row = beside.agg(F.avg(F.when(trimmed, F.col("_lum"))).alias("light"), *[F.avg(F.when(toned, F.col(c))).alias(f"m_{c}") for c in RGB], *[F.max(k).alias(k) for k in ("_a", "_b")])
+    span, means = F.col("_b") - F.col("_a"), cols([f"m_{c}" for c in RGB])
+    goal = (means[0] + means[1] + means[2]) / 3 if white == "gray_world" else F.greatest(*means)
+    row = row.withColumn("contrast", F.when(span >= LEAST_SPAN, _within("contrast", SPAN / span)).otherwise(1.0))
+    row = row.withColumn("blacks", F.when(span >= LEAST_SPAN, _within("blacks", -F.col("_a") * F.col("contrast"))).otherwise(0.0))
+    row = row.withColumn("brightness", F.when(F.col("light") >= LEAST_LIGHT, _within("brightness", midtone / F.col("light"))).otherwise(1.0))
+    row = row.withColumn("exposure", F.log2("brightness"))
+    row = row.withColumns({f"gain_{c}": F.when(goal >= LEAST_LIGHT, _within("gain", goal / (m + TINY))).otherwise(1.0) for c, m in zip(RGB, means)})
+    r, g, b = cols([f"gain_{c}" for c in RGB])
+    warm, green = (r / (b + TINY) - 1) / 2, (1 - g / ((r + b) / 2 + TINY)) / 2
+    lit = goal >= LEAST_LIGHT
+    return row.select("contrast", "blacks", "brightness", "exposure", F.when(lit, _within("temperature", warm)).otherwise(0.0).alias("temperature"), F.when(lit, _within("tint", green)).otherwise(0.0).alias("tint"), "gain_r", "gain_g", "gain_b")
 
 
 def auto_contrast(df: DataFrame, clip_percent: float = 0.1, per_channel: bool = False) -> Correction:
-    shares = [clip_percent / 100, 1 - clip_percent / 100]
-    found = _percentiles(df, cols(RGB) if per_channel else [sc.luminance(cols(RGB))], shares)
-    if found is None:
+    if not per_channel:
+        row = corrections(df, contrast_clip=clip_percent).first()
+        return Correction(contrast=row["contrast"], blacks=row["blacks"])
+    parts = [percentiles(df, F.col(c), {f"{c}0": clip_percent / 100, f"{c}1": 1 - clip_percent / 100}) for c in RGB]
+    row = parts[0].crossJoin(parts[1]).crossJoin(parts[2]).first()  # of one row each
+    if row["r0"] is None:
         return Correction()
-    if per_channel:
-        gains = [1 / (b - a) if b - a > 0.01 else 1.0 for a, b in found]
-        return Correction(contrast=sum(gains) / 3, gains=tuple(gains))
-    (a, b), = found
-    if b - a < 0.01:
-        return Correction()
-    contrast = _clip(0.95 / (b - a), 0.5, 3.0)
-    return Correction(contrast=contrast, blacks=_clip(-a * contrast, -0.2, 0.2))
-
-
-def _trimmed_means(df: DataFrame, clip_percent: float, values: list[Column]) -> list[float] | None:
-    """Means of values over the rows whose luminance is between two percentiles."""
-    lum = sc.luminance(cols(RGB))
-    found = _percentiles(df, [lum], [clip_percent / 100, 1 - clip_percent / 100])
-    if found is None:
-        return None
-    row = df.filter(lum.between(*found[0])).agg(*[F.avg(v) for v in values]).first()
-    return None if row[0] is None else list(row)
+    spans = [row[f"{c}1"] - row[f"{c}0"] for c in RGB]
+    gains = tuple(1 / s if s > LEAST_SPAN else 1.0 for s in spans)
+    return Correction(contrast=sum(gains) / 3, gains=gains)
 
 
 def auto_exposure(df: DataFrame, target_midtone: float = 0.45, clip_percent: float = 1.0) -> Correction:
-    mean = _trimmed_means(df, clip_percent, [sc.luminance(cols(RGB))])
-    if mean is None or mean[0] < 0.01:
-        return Correction()
-    k = _clip(target_midtone / mean[0], 0.5, 2.5)
-    return Correction(brightness=k, exposure=math.log2(k))
+    row = corrections(df, light_clip=clip_percent, midtone=target_midtone).first()
+    return Correction(brightness=row["brightness"], exposure=row["exposure"])
 
 
 def auto_white_balance(df: DataFrame, clip_percent: float = 1.0, method: str = "gray_world") -> Correction:
-    if method == "gray_world":
-        means = _trimmed_means(df, clip_percent, cols(RGB))
-        goal = sum(means) / 3 if means else 0.0
-    elif method == "white_patch":
-        lum = sc.luminance(cols(RGB))
-        found = _percentiles(df, [lum], [0.95])
-        means = list(df.filter(lum >= found[0][0]).agg(*map(F.avg, RGB)).first()) if found else None
-        goal = max(means) if means else 0.0
-    else:
-        raise ValueError(f"no method {method!r}")
-    if goal < 0.01:
-        return Correction()
-    r, g, b = gains = tuple(_clip(goal / (m + 1e-8), 0.5, 2.0) for m in means)
-    return Correction(temperature=_clip((r / (b + 1e-8) - 1) / 2, -1, 1), tint=_clip((1 - g / ((r + b) / 2 + 1e-8)) / 2, -1, 1), gains=gains)
+    row = corrections(df, light_clip=clip_percent, white=method).first()
+    return Correction(temperature=row["temperature"], tint=row["tint"], gains=(row["gain_r"], row["gain_g"], row["gain_b"]))
 
 
 def auto_enhance(df: DataFrame, strength: float = 1.0, preserve_warmth: bool = True) -> Correction:
-    """Exposure, contrast and white balance, blended by strength."""
-    light, span, white = auto_exposure(df), auto_contrast(df, 0.5), auto_white_balance(df)
+    """Exposure, contrast and white balance, blended by strength; all from one row."""
+    row = corrections(df, contrast_clip=0.5).first()
+    within = lambda v, name: min(max(v, LIMITS[name][0]), LIMITS[name][1])
     k = strength * (0.5 if preserve_warmth else 1.0)
     return Correction(
-        brightness=_clip(1 + (light.brightness - 1) * strength, 0.5, 2.0), contrast=_clip(1 + (span.contrast - 1) * strength * 0.7, 0.5, 2.0),
-        temperature=_clip(white.temperature * k, -1, 1), tint=_clip(white.tint * k, -1, 1), exposure=light.exposure,
+        brightness=within(1 + (row["brightness"] - 1) * strength, "enhanced"), contrast=within(1 + (row["contrast"] - 1) * strength * 0.7, "enhanced"),
+        temperature=within(row["temperature"] * k, "temperature"), tint=within(row["tint"] * k, "tint"), exposure=row["exposure"],
     )
 
 

@@ -9,7 +9,7 @@ from __future__ import annotations
 from collections.abc import Callable
 
 import numpy as np
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import rotation as rot
@@ -20,6 +20,8 @@ from ..operators.filters import Filter, Tests
 from ..operators.transform import Transform
 from ..scene import Scene, process
 from ..scene_format import BANDS, OPACITY, POS, QUAT, RGB, SCALE, cols, pre_activate
+from ..sources import ply
+from ..sources.scratch import scratch_path
 from . import fixtures as fx
 from .pipeline import GroupedPipeline, Pipeline
 from .presets import get_color_preset
@@ -316,23 +318,19 @@ register("format_to_log_sh", f"""SELECT {KEYS}, {', '.join(f'round(ln(greatest({
 )
 register("format_pre_activate", f"""SELECT gid, {', '.join(f'round(least(greatest(exp({c}), 1e-4), 100), 10) AS {c}' for c in SCALE)}, round(1/(1+exp(-opacity)), 10) AS opacity,
   {', '.join(f'round({c}/sqrt(qw*qw+qx*qx+qy*qy+qz*qz), 10) AS {c}' for c in QUAT)} FROM ({E})""")(lambda spark, sf: _out(pre_activate(fx.scene_e(spark, sf).df), ["gid"], (*SCALE, OPACITY, *QUAT)))
-#: interpolate_tables leaves rows near a tie of two centers out; interpolate_tables_whole has all.
-_OFF = "abs(opacity-0.2) > 0.001 AND abs(opacity-0.45) > 0.001 AND abs(opacity-0.75) > 0.001"
 _CENTERS, _VALUES = (0.1, 0.3, 0.6, 0.9), (1.0, 4.0, 2.0, 8.0)
+# at a tie the first center wins, in both
+_TABLES_SQL = f"""SELECT {KEYS}, round(CASE WHEN opacity < 0.3 THEN (opacity-0.1)/(0.3-0.1+1e-8)*3+1 WHEN opacity < 0.6 THEN (opacity-0.3)/(0.6-0.3+1e-8)*(-2)+4 ELSE (opacity-0.6)/(0.9-0.6+1e-8)*6+2 END, 5) AS linear,
+  CASE WHEN round(opacity-0.2, 12) <= 0 THEN 1.0::DOUBLE WHEN round(opacity-0.45, 12) <= 0 THEN 4.0::DOUBLE WHEN round(opacity-0.75, 12) <= 0 THEN 2.0::DOUBLE ELSE 8.0::DOUBLE END AS nearest FROM ({L})"""
 
 
-def _interpolated(df: DataFrame) -> DataFrame:
-    return df.select(*fx.KEYS_L, F.round(sc.linear_interp(F.col(OPACITY), _CENTERS, _VALUES), 5).alias("linear"), sc.nearest(F.col(OPACITY), _CENTERS, _VALUES).alias("nearest"))
+@register("interpolate_tables_whole", _TABLES_SQL)
+@register("interpolate_tables", _TABLES_SQL)
+def _interpolated(spark, sf):
+    table = lambda f: f(F.col(OPACITY), _CENTERS, _VALUES)
+    return fx.scene_l(spark, sf).df.select(*fx.KEYS_L, F.round(table(sc.linear_interp), 5).alias("linear"), table(sc.nearest).alias("nearest"))
 
 
-register("interpolate_tables", f"""SELECT {KEYS}, round(CASE WHEN opacity < 0.3 THEN (opacity-0.1)/(0.3-0.1+1e-8)*3+1 WHEN opacity < 0.6 THEN (opacity-0.3)/(0.6-0.3+1e-8)*(-2)+4 ELSE (opacity-0.6)/(0.9-0.6+1e-8)*6+2 END, 5) AS linear,
-  CASE WHEN opacity <= 0.2 THEN 1.0::DOUBLE WHEN opacity <= 0.45 THEN 4.0::DOUBLE WHEN opacity <= 0.75 THEN 2.0::DOUBLE ELSE 8.0::DOUBLE END AS nearest FROM ({L}) WHERE {_OFF}""")(
-    lambda spark, sf: _interpolated(fx.scene_l(spark, sf).df.filter(_OFF))
-)
-# over the whole table: at a tie the first center wins, in both
-register("interpolate_tables_whole", f"""SELECT {KEYS}, round(CASE WHEN opacity < 0.3 THEN (opacity-0.1)/(0.3-0.1+1e-8)*3+1 WHEN opacity < 0.6 THEN (opacity-0.3)/(0.6-0.3+1e-8)*(-2)+4 ELSE (opacity-0.6)/(0.9-0.6+1e-8)*6+2 END, 5) AS linear,
-  CASE WHEN round(opacity-0.2, 12) <= 0 THEN 1.0::DOUBLE WHEN round(opacity-0.45, 12) <= 0 THEN 4.0::DOUBLE WHEN round(opacity-0.75, 12) <= 0 THEN 2.0::DOUBLE ELSE 8.0::DOUBLE END AS nearest FROM ({L})""")(lambda spark, sf: _interpolated(fx.scene_l(spark, sf).df))
-
 # ---------------------------------------------------------------- aggregates
 
 _BOUNDS = [f"min({c}) AS min_{c}, max({c}) AS max_{c}, max({c})-min({c}) AS size_{c}, (max({c})+min({c}))/2 AS center_{c}" for c in POS]
@@ -394,10 +392,26 @@ _AUTO = f"""WITH l AS (SELECT *, {LUM} AS lum FROM ({L})), q AS (SELECT quantile
 
 @register("auto_corrections", _AUTO)
 def _auto(spark, sf):
-    df = fx.scene_l(spark, sf).df
-    white = stats.auto_white_balance(df)
-    row = (stats.auto_contrast(df).contrast, stats.auto_exposure(df).brightness, white.temperature, white.tint)
-    return spark.range(1).select(*[F.round(F.lit(float(x)), 5).alias(n) for x, n in zip(row, ("contrast", "brightness", "temperature", "tint"))])
+    row = stats.corrections(fx.scene_l(spark, sf).df)
+    return row.select(*[F.round(n, 5).alias(n) for n in ("contrast", "brightness", "temperature", "tint")])
+
+
+# -------------------------------------------------------------------- files
+
+_FILED = (*POS, *SCALE, *QUAT, OPACITY, *RGB)
+_AS_FLOAT = lambda c: f"CAST(CAST({c} AS FLOAT) AS DOUBLE)"
+
+
+@register("ply_round_trip", f"""SELECT CAST(row_number() OVER (ORDER BY gid)-1 AS BIGINT) AS place, {', '.join(f'round({_AS_FLOAT(c)}, 10) AS {c}' for c in _FILED)},
+  {', '.join(f'round({_AS_FLOAT(f"shn_1_{c}")}, 10) AS band_{c}' for c in RGB)} FROM ({E})""")
+def _ply(spark, sf):
+    """Written as one PLY file's pieces, put into files of a shared folder, and read in ranges."""
+    scene = fx.scene_e(spark, sf)
+    folder = scratch_path(spark)
+    n = Window.orderBy("file")  # a row for each file
+    before = ply.export_ply(scene, folder).select(F.regexp_extract("file", "[^/]+$", 0).alias("name"), (F.sum("n").over(n) - F.col("n")).alias("before"))
+    back = ply.read_ply(spark, folder, scene.format, split_bytes=20_000).df.withColumn("name", F.regexp_extract("file", "[^/]+$", 0)).join(before, "name")
+    return back.select((F.col("gid") + F.col("before")).alias("place"), *[_rounded(F.col(c).cast("double")).alias(c) for c in _FILED], *[_rounded(F.col(BANDS)[1][c].cast("double")).alias(f"band_{c}") for c in RGB])
 
 
 # ------------------------------------------------------- scenes and pipelines

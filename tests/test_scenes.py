@@ -195,6 +195,25 @@ def test_statistics(scene, pdf):
         stats.color_profile(0.4, 0.2, "none")
 
 
+@pytest.mark.parametrize("kind", ["even", "ties", "far", "one", "equal", "none"])
+def test_percentiles(spark, kind):
+    g = np.random.default_rng(3)
+    x = {"even": g.random(5000), "ties": g.integers(0, 9, 3000) / 7, "far": np.append(g.exponential(1, 4000), [1e12, -1e9]), "one": np.array([2.5]), "equal": np.full(50, 0.1), "none": np.zeros(0)}[kind]
+    df = spark.createDataFrame([(float(v),) for v in x] + [(None,), (math.nan,)], "v double").repartition(3)
+    shares = {"a": 0.0, "b": 0.001, "c": 0.5, "d": 0.995, "e": 1.0, "f": 0.37}
+    row = stats.percentiles(df, F.col("v"), shares).first()
+    for name, s in shares.items():
+        assert row[name] is None if kind == "none" else row[name] == pytest.approx(np.quantile(x, s), rel=1e-12, abs=1e-12)
+
+
+def test_corrections_of_odd_scenes(spark, scene):
+    """No rows, one tone, and black: nothing is corrected."""
+    for df in (scene.df.limit(0), scene.df.withColumns({c: F.lit(0.0) for c in RGB})):
+        assert stats.auto_enhance(df).to_color_values().is_neutral() and stats.auto_contrast(df) == stats.Correction() and stats.auto_contrast(df, per_channel=True).contrast == 1
+    grey = scene.df.withColumns({c: F.lit(0.5) for c in RGB})
+    assert stats.auto_contrast(grey).contrast == 1 and stats.auto_exposure(grey).brightness == pytest.approx(0.9) and stats.auto_white_balance(grey).temperature == pytest.approx(0, abs=1e-6)
+
+
 def test_fit(scene, pdf):
     target = learn.moments(scene.color(ColorValues(brightness=0.8, contrast=1.1)).df)
     v, loss = learn.fit_color(scene.df, target, ("brightness", "contrast"), epochs=60)
@@ -230,6 +249,25 @@ def test_deduplicate(spark):
         compose.deduplicate(basic, method="x")
 
 
+@pytest.mark.parametrize("seed", range(4))
+@pytest.mark.parametrize("method", ["first", "last"])
+def test_deduplicate_clumps(spark, seed, method):
+    """Clumps, chains and equal points against the definition, one row after another."""
+    g = np.random.default_rng(seed)
+    x = np.concatenate([g.random((40, 3)) * 3, g.normal(size=(120, 3)) * 0.05, np.outer(np.arange(60) * 0.15, [1, 0.5, 0.2]), np.zeros((5, 3)), -g.random((20, 3)) * 0.4])
+    x = x[g.permutation(len(x))].round(3)
+    df = spark.createDataFrame(pd.DataFrame(x, columns=POS).assign(gid=np.arange(len(x)))).repartition(3)
+    near = ((x[:, None] - x[None]) ** 2).sum(-1) < 0.2 * 0.2
+    if method == "last":
+        want = [i for i in range(len(x)) if not near[i, i + 1 :].any()]
+    else:
+        want = []
+        for i in range(len(x)):
+            if not near[i, want].any():
+                want.append(i)
+    assert gids(compose.deduplicate(df, 0.2, method)) == set(want)
+
+
 def test_compose(scene):
     pair = (scene.df, scene.format)
     both, _ = compose.merge_scenes([pair, pair], deduplicate_threshold=1e-6)
@@ -254,18 +292,40 @@ def test_pipelines(scene):
     assert gids(g(scene, "or")) == gids(scene.filter_within_sphere(2.0)) | gids(scene.filter_min_opacity(0.9))
 
 
-def test_ply(spark, scene, tmp_path):
-    df = scene.df.withColumn("shn", F.array(*[F.struct((F.col("r") + k).alias("r"), F.col("g"), F.col("b")) for k in range(3)]))
+def test_ply(spark, scene, tmp_path, monkeypatch):
+    df = scene.df.withColumn("shn", F.array(*[F.struct(F.col("r").alias("r"), F.col("x").alias("g"), (F.col("b") * k).alias("b")) for k in (1, 2)]))
+    want = rows(df, *COLS).astype(np.float32)
+    bands = rows(df.select("gid", *[F.col("shn")[k][c].alias(f"{k}{c}") for k in (0, 1) for c in "rgb"]), *[f"{k}{c}" for k in (0, 1) for c in "rgb"]).astype(np.float32)
     parts = ply.write_ply(Scene(df, scene.format), str(tmp_path / "parts"), one_file=True)
-    (file,) = ply.save_parts(parts, str(tmp_path / "files"))
-    back = ply.read_ply(spark, file, scene.format)
-    assert np.allclose(rows(back, *COLS), rows(scene, *COLS), atol=1e-6) and back.df.count() == N
-    one = back.df.orderBy("gid").first()
-    assert len(one.shn) == 3 and one.shn[2].r == pytest.approx(one.r + 2, abs=1e-5)
+    (file,) = ply.save_parts(parts, str(tmp_path / "one"))
+    many = ply.save_parts(ply.write_ply(Scene(df, scene.format), str(tmp_path / "more")), str(tmp_path / "many"))
+    assert sum(ply.parse_header(open(f, "rb").read())[1] for f in many) == N
+    monkeypatch.setattr(ply, "RANGE_ROWS", 70)  # the tasks get it by value, with the function
+    for split in (1 << 20, 100):
+        back = ply.read_ply(spark, file, scene.format, split_bytes=split)
+        assert np.array_equal(rows(back, *COLS), want)
+        assert np.array_equal(rows(back.df.select("gid", *[F.col("shn")[k][c].alias(f"{k}{c}") for k in (0, 1) for c in "rgb"]), *[f"{k}{c}" for k in (0, 1) for c in "rgb"]), bands)
+    exported = ply.export_ply(scene, f"file://{tmp_path}/out")
+    assert exported.agg(F.sum("n")).first()[0] == N == ply.read_ply(spark, f"{tmp_path}/out", scene.format).df.count()
+    assert ply.read_ply(spark, f"{tmp_path}/out", scene.format).df.filter("shn is not null").count() == 0
+    empty = ply.save_parts(ply.write_ply(Scene(scene.df.limit(0), scene.format), str(tmp_path / "none"), one_file=True), str(tmp_path / "empty"))
+    assert ply.read_ply(spark, empty[0]).df.count() == 0
     with pytest.raises(ValueError):
         ply.parse_header(b"obj\n")
 
 
+def test_ply_ranges_are_shared(spark, scene, tmp_path):
+    """Ranges of one large file lie in several partitions."""
+    big = scene.df.crossJoin(spark.range(60).select(F.col("id").alias("k"))).withColumn("gid", F.col("gid") + F.col("k") * N).drop("k")
+    (file,) = ply.save_parts(ply.write_ply(Scene(big, scene.format), str(tmp_path / "p"), one_file=True), str(tmp_path / "f"))
+    got = list(ply._ranges([pd.DataFrame({"path": [file]})]))
+    assert sum(int(g["n"].sum()) for g in got) == 60 * N
+    cut = pd.DataFrame({"path": [file, file], "first": [0, 9000], "n": [9000, 9000]})
+    back = pd.concat(list(ply._read_ranges([cut])))
+    assert len(back) == 60 * N and back["gid"].tolist() == list(range(60 * N))
+    assert ply.read_ply(spark, file, scene.format, split_bytes=1000).df.agg(F.sum("gid")).first()[0] == 60 * N * (60 * N - 1) // 2
+
+
 def test_tables(scene):
     x = F.col("x")
     got = rows(scene.df.select("gid", sc.linear_interp(x, (0, 1, 2), (0, 10, 0)).alias("l"), sc.nearest(x, (-1, 0, 1), (5, 6, 7)).alias("n")), "l", "n")
