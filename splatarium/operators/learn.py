@@ -1,22 +1,27 @@
-"""Fitting grading parameters to a target by aggregates.
+"""Fitting parameters to a target by aggregates.
 
-Rows stay where they are. Colours are counted once on a grid of cells, whose
-number does not depend on the number of rows; every step of the optimiser then
-works on those cells. The cells are means of the rows in them, so for a grid fine
-enough the moments are those of the rows.
+Rows stay where they are. Colours, opacities and what filters look at are counted
+once on a grid of cells, whose number does not depend on the number of rows; a
+transform needs sums of products alone. Every step of the optimiser then works on
+those numbers. The cells are means of the rows in them, so for a grid fine enough
+the moments are those of the rows.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass, replace
 
 import numpy as np
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions import rotation as rot
 from ..functions import scalar as sc
-from ..plans.values import ColorValues, specs
-from ..scene_format import RGB, cols
+from ..plans.values import ColorValues, FilterValues, OpacityValues, TransformValues, specs
+from ..scene_format import OPACITY, POS, RGB, SceneFormat, cols
+from .filters import largest_scale
+from .transform import rotation_from_6d
 
 GRID = 24
 
@@ -121,18 +126,115 @@ def fit_color(
         return out + regularization * neutrality_loss(v, params)
 
     kinds = [specs(start)[p] for p in params]
-    p = np.array([getattr(start, k) for k in params], float)
-    best, best_loss = p, loss(p)
+    best, least = _descend(loss, [getattr(start, k) for k in params], epochs, rate, lambda p: np.array([k.validate(x) for k, x in zip(kinds, p)]))
+    return replace(start, **dict(zip(params, best.tolist()))), least
+
+
+def _descend(loss: Callable[[np.ndarray], float], start, epochs: int, rate: float, within: Callable[[np.ndarray], np.ndarray] = lambda p: p) -> tuple[np.ndarray, float]:
+    """(best parameters, their loss): Adam with gradients by central differences, its
+    rate falling to a tenth."""
+    p = np.array(start, float)
+    best, least = p, loss(p)
     m, s = np.zeros_like(p), np.zeros_like(p)
     for t in range(1, epochs + 1):
         grad = np.array([(loss(p + e) - loss(p - e)) / 2e-4 for e in np.eye(len(p)) * 1e-4])
         m, s = 0.9 * m + 0.1 * grad, 0.999 * s + 0.001 * grad**2
-        p = p - rate * (m / (1 - 0.9**t)) / (np.sqrt(s / (1 - 0.999**t)) + 1e-8)
-        p = np.array([k.validate(x) for k, x in zip(kinds, p)])
+        p = within(p - rate * 0.1 ** (t / epochs) * (m / (1 - 0.9**t)) / (np.sqrt(s / (1 - 0.999**t)) + 1e-8))
         now = loss(p)
-        if now < best_loss:
-            best, best_loss = p, now
-    return replace(start, **dict(zip(params, best.tolist()))), best_loss
+        if now < least:
+            best, least = p, now
+    return best, least
+
+
+# ------------------------------------------------- transforms, opacity, filters
+
+
+def position_moments(df: DataFrame, target: tuple[str, str, str]) -> tuple[float, np.ndarray, np.ndarray, np.ndarray, np.ndarray, float]:
+    """(rows, sum x, sum y, sum x x', sum y x', sum y y) of positions x and the
+    targets y beside them: all that a squared distance needs, from one aggregate."""
+    x, y = cols(POS), cols(target)
+    sums = {f"x{i}": x[i] for i in range(3)} | {f"y{i}": y[i] for i in range(3)}
+    sums |= {f"xx{i}{j}": x[i] * x[j] for i in range(3) for j in range(3)} | {f"yx{i}{j}": y[i] * x[j] for i in range(3) for j in range(3)}
+    row = df.dropna(subset=[*POS, *target]).agg(F.count(F.lit(1)).alias("n"), F.sum(sum((c * c for c in y[1:]), y[0] * y[0])).alias("yy"), *[F.sum(c).alias(k) for k, c in sums.items()]).first()
+    take = lambda k, *shape: np.array([row[f"{k}{''.join(map(str, i))}"] or 0.0 for i in np.ndindex(*shape)]).reshape(shape)
+    return float(row["n"]), take("x", 3), take("y", 3), take("xx", 3, 3), take("yx", 3, 3), row["yy"] or 0.0
+
+
+def fit_transform(df: DataFrame, target: tuple[str, str, str], params: tuple[str, ...] = ("scale", "rotation", "translation"), start: TransformValues = TransformValues(), epochs: int = 600, rate: float = 0.1) -> tuple[TransformValues, float]:
+    """(values, mean squared distance) of the transform that moves positions to the
+    targets in three other columns. Rotations are free in six numbers, from which an
+    orthogonal matrix follows by Gram-Schmidt. What is not in `params` stays."""
+    n, sx, sy, xx, yx, yy = position_moments(df, target)
+    if not n:
+        return start, 0.0
+    center = np.zeros(3) if start.center is None else np.asarray(start.center, float)
+    turn = rot.quaternion_to_rotation_matrix(start.rotation)
+    parts = {"scale": start.scale_vector.astype(float), "rotation": turn[:, :2].T.reshape(6), "translation": np.asarray(start.translation, float)}
+    sizes = {k: len(parts[k]) for k in params}
+
+    def unpack(p: np.ndarray) -> dict[str, np.ndarray]:
+        at = np.cumsum([0, *sizes.values()])
+        return parts | {k: p[a:b] for k, a, b in zip(sizes, at, at[1:])}
+
+    def loss(p: np.ndarray) -> float:
+        v = unpack(p)
+        m = rotation_from_6d(v["rotation"]) * v["scale"]
+        t = v["translation"] + center - m @ center
+        return float((np.sum((m @ xx) * m) + n * t @ t + yy + 2 * t @ (m @ sx) - 2 * np.sum(m * yx) - 2 * t @ sy) / n)
+
+    best, least = _descend(loss, np.concatenate([parts[k] for k in params]), epochs, rate)
+    v = unpack(best)
+    turned = rot.rotation_matrix_to_quaternion(rotation_from_6d(v["rotation"])) if "rotation" in params else start.rotation
+    return TransformValues(tuple(v["scale"].tolist()), tuple(np.asarray(turned).tolist()), tuple(v["translation"].tolist()), start.center), max(least, 0.0)
+
+
+def fit_opacity(df: DataFrame, mean: float, fmt: SceneFormat = SceneFormat(), start: OpacityValues = OpacityValues(), epochs: int = 200, rate: float = 0.05, grid: int = 1024) -> tuple[OpacityValues, float]:
+    """(values, squared difference of means): the scale that brings the mean of
+    (linear) opacities to a target."""
+    o = sc.sigmoid(F.col(OPACITY)) if fmt.logit_opacity else F.col(OPACITY)
+    cells = df.select(o.alias("o")).filter("o is not null and not isnan(o)").groupBy(F.least(F.floor(F.col("o") * grid), F.lit(grid - 1)).alias("at")).agg(F.avg("o").alias("o"), F.count(F.lit(1)).alias("n")).collect()
+    if not cells:
+        return start, 0.0
+    o, n = np.array([r["o"] for r in cells]), np.array([r["n"] for r in cells], float)
+
+    def loss(p: np.ndarray) -> float:
+        # the same as `operators.opacity.scaled`
+        now = np.clip(o * p[0] if p[0] <= 1 else o + (1 - o) * ((p[0] - 1) * 0.5), 0, 1)
+        return float((n @ now / n.sum() - mean) ** 2)
+
+    best, least = _descend(loss, [start.scale], epochs, rate, lambda p: np.array([specs(start)["scale"].validate(p[0])]))
+    return OpacityValues(float(best[0])), least
+
+
+def fit_filter(df: DataFrame, wanted: Column, params: tuple[str, ...] = ("min_opacity", "max_scale", "sphere_radius"), start: FilterValues = FilterValues(min_opacity=0.1, max_scale=1.0, sphere_radius=1.0), sharpness: tuple[float, float, float] = (10.0, 10.0, 10.0), epochs: int = 300, rate: float = 0.05, grid: int = 16) -> tuple[FilterValues, float]:
+    """(values, mean squared difference): thresholds whose soft weight (see
+    `operators.filters.soft_weight`) comes near a wanted weight from 0 to 1.
+
+    Opacity, largest scale and distance from the sphere's center are counted on a
+    grid between their smallest and largest values: grid^3 cells at most.
+    """
+    center = [F.lit(float(c)) for c in start.sphere_center]
+    p = cols(POS)
+    d = [(a - c) * (a - c) for a, c in zip(p, center)]
+    names = ("o", "s", "d")
+    rows = df.select(F.col(OPACITY).alias("o"), largest_scale().alias("s"), F.sqrt(d[0] + d[1] + d[2]).alias("d"), wanted.cast("double").alias("w")).dropna()
+    ends = rows.agg(*[f(c).alias(f"{k}_{c}") for c in names for k, f in (("lo", F.min), ("hi", F.max))])
+    at = [F.when(F.col(f"hi_{c}") > F.col(f"lo_{c}"), F.least(F.floor((F.col(c) - F.col(f"lo_{c}")) / (F.col(f"hi_{c}") - F.col(f"lo_{c}")) * grid), F.lit(grid - 1))).otherwise(0).alias(f"at_{c}") for c in names]
+    counted = rows.crossJoin(F.broadcast(ends)).groupBy(*at).agg(*[F.avg(c).alias(c) for c in names], F.avg("w").alias("w"), F.count(F.lit(1)).alias("n")).collect()
+    if not counted:
+        return start, 0.0
+    x = {k: np.array([r[k] for r in counted], float) for k in (*names, "w", "n")}
+    soft = lambda v: 1 / (1 + np.exp(-np.clip(v, -60, 60)))
+
+    def loss(q: np.ndarray) -> float:
+        v = {k: getattr(start, k) for k in ("min_opacity", "max_scale", "sphere_radius")} | dict(zip(params, q.tolist()))
+        w = soft((x["o"] - v["min_opacity"]) * sharpness[0]) if v["min_opacity"] > 0 else 1.0
+        w = w * (soft((v["max_scale"] - x["s"]) * sharpness[1]) if v["max_scale"] < 100 else 1.0)
+        w = w * (soft((v["sphere_radius"] - x["d"]) * sharpness[2]) if np.isfinite(v["sphere_radius"]) else 1.0)
+        return float(x["n"] @ (w - x["w"]) ** 2 / x["n"].sum())
+
+    best, least = _descend(loss, [getattr(start, k) for k in params], epochs, rate, lambda q: np.maximum(q, 1e-6))
+    return replace(start, **dict(zip(params, best.tolist()))), least
 
 
 def balanced_loss_weights(contrast_weight: float = 0.5, regularization: float = 0.1) -> dict[str, float]:

@@ -52,6 +52,7 @@ COLOR_PRESETS: dict[str, C] = {
     "desaturate_strong": C(saturation=0.3),
     "enhance_colors": C(saturation=1.25, vibrance=1.3, contrast=1.08),
 }
+#: The published opacity changes.
 OPACITY_PRESETS: dict[str, OpacityValues] = {
     "fade_subtle": OpacityValues.fade(0.9),
     "fade_mild": OpacityValues.fade(0.8),
@@ -66,11 +67,13 @@ OPACITY_PRESETS: dict[str, OpacityValues] = {
     "translucent": OpacityValues.fade(0.6),
     "semi_transparent": OpacityValues.fade(0.4),
 }
+#: The published filters.
 FILTER_PRESETS: dict[str, FilterValues] = {
     "strict": FilterValues(min_opacity=0.5, max_scale=1.0, sphere_radius=10.0),
     "quality": FilterValues(min_opacity=0.3, max_scale=2.0),
     "cleanup": FilterValues(min_opacity=0.1, max_scale=5.0),
 }
+#: The published transforms.
 TRANSFORM_PRESETS: dict[str, TransformValues] = {
     "double_size": TransformValues.from_scale(2.0),
     "half_size": TransformValues.from_scale(0.5),

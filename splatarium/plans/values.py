@@ -188,6 +188,7 @@ class FilterValues:
         return not self.invert and self.sphere_radius == INF and all(s is None for s in shapes) and (self.min_opacity, self.max_opacity, self.min_scale, self.max_scale) == (0.0, 1.0, 0.0, 100.0)
 
     def learn(self, *params: str) -> tuple[FilterValues, tuple[str, ...]]:
+        """A start for `operators.learn.fit_filter`, and what is free in it."""
         return self, params or ("min_opacity", "max_scale", "sphere_radius")
 
 
@@ -256,6 +257,7 @@ class TransformValues:
         return cls.from_axis_angle_rad(axis, math.radians(angle), center)
 
     def learn(self, *params: str) -> tuple[TransformValues, tuple[str, ...]]:
+        """A start for `operators.learn.fit_transform`, and what is free in it."""
         return self, params or ("scale", "rotation", "translation")
 
 

@@ -6,6 +6,7 @@ from __future__ import annotations
 from dataclasses import dataclass, replace
 
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from . import scene_format as sf
 from .operators import colour, compose, filters, opacity, stats, transform
@@ -50,6 +51,14 @@ class Scene:
     def opacity(self, v: OpacityValues) -> Scene:
         return self._df(opacity.apply_opacity(self.df, v, self.format))
 
+    # the smooth forms, in any order and number
+    def smooth_color(self, v: ColorValues) -> Scene:
+        return self._df(colour.learnable_color(self.df, v))
+
+    def soft_filter(self, **how) -> Scene:
+        """Linear opacities times a weight from 0 to 1; see `filters.soft_weight`."""
+        return self._df(self.df.withColumn(sf.OPACITY, F.col(sf.OPACITY) * filters.soft_weight(**how)))
+
     # rows
     def filter(self, v: FilterValues | filters.Filter | filters.Tests) -> Scene:
         if isinstance(v, FilterValues):

@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from splatarium.functions import scalar as sc
-from splatarium.operators import colour, compose, filters, learn, stats, transform
+from splatarium.operators import colour, compose, filters, learn, stats, transform, verify
 from splatarium.operators.filters import Filter, Tests
 from splatarium.plans.pipeline import GroupedPipeline, Pipeline, Stage
 from splatarium.plans.values import ColorValues, FilterValues, HistogramConfig, OpacityValues, TransformValues
@@ -249,6 +249,55 @@ def test_deduplicate(spark):
         compose.deduplicate(basic, method="x")
 
 
+def test_fit_transform(scene, pdf):
+    want = TransformValues((2.0, 0.5, 1.5), TransformValues.from_rotation_euler(20, -35, 60).rotation, (1.0, -2.0, 0.5), (0.3, 0.1, -0.2))
+    moved = scene.transform(want).df.select("gid", *[F.col(c).alias(f"to_{c}") for c in POS])
+    pairs, to = scene.df.join(moved, "gid"), ("to_x", "to_y", "to_z")
+    got, loss = learn.fit_transform(pairs, to, start=TransformValues(center=(0.3, 0.1, -0.2)))
+    assert loss < 1e-4 and np.allclose(got.to_matrix(), want.to_matrix(), atol=0.02) and got.center == want.center
+    x, m = pdf[list(POS)].to_numpy(), want.to_matrix()
+    y = x @ m[:3, :3].T + m[:3, 3]
+    moved_alone, loss = learn.fit_transform(pairs, to, params=("translation",))
+    assert np.allclose(moved_alone.translation, (y - x).mean(0), atol=0.01) and moved_alone.scale == (1.0, 1.0, 1.0) and loss == pytest.approx(((x + moved_alone.translation - y) ** 2).sum(1).mean(), rel=1e-6)
+    assert learn.fit_transform(pairs.limit(0), to) == (TransformValues(), 0.0)
+
+
+def test_fit_opacity_and_filter(scene, pdf):
+    for scale in (0.6, 1.4):
+        after = scene.opacity(OpacityValues(scale)).df.agg(F.avg(OPACITY)).first()[0]
+        got, loss = learn.fit_opacity(scene.df, after)
+        assert got.scale == pytest.approx(scale, abs=0.01) and loss < 1e-6
+        logit = scene.to_log()
+        assert learn.fit_opacity(logit.df, after, logit.format)[0].scale == pytest.approx(scale, abs=0.01)
+    want = filters.soft_weight(opacity=0.4, scale=0.45, shape="sphere", radius=2.5)
+    start = FilterValues(min_opacity=0.2, max_scale=0.7, sphere_radius=1.0)
+    got, loss = learn.fit_filter(scene.df, want, start=start, grid=64)
+    assert loss < 1e-4 and (got.min_opacity, got.max_scale, got.sphere_radius) == pytest.approx((0.4, 0.45, 2.5), abs=0.03)
+    kept, _ = learn.fit_filter(scene.df, want, params=("sphere_radius",), start=start)
+    assert (kept.min_opacity, kept.max_scale) == (0.2, 0.7)
+    assert learn.fit_filter(scene.df.limit(0), want, start=start) == (start, 0.0) and learn.fit_opacity(scene.df.limit(0), 0.5) == (OpacityValues(), 0.0)
+
+
+def test_smooth_chain(scene, pdf):
+    """Smooth steps follow one another on one scene, in any order."""
+    a = scene.smooth_color(ColorValues(brightness=1.2)).transform(TransformValues.from_translation(1, 0, 0)).opacity(OpacityValues(0.5)).soft_filter(opacity=0.3)
+    b = scene.opacity(OpacityValues(0.5)).soft_filter(opacity=0.3).transform(TransformValues.from_translation(1, 0, 0)).smooth_color(ColorValues(brightness=1.2))
+    verify.assert_equivalent(a, b, 0, 0)
+    o = pdf[OPACITY].to_numpy() * 0.5
+    assert np.allclose(rows(a, OPACITY)[:, 0], o / (1 + np.exp(-(o - 0.3) * 10))) and np.allclose(rows(a, "x")[:, 0], pdf["x"] + 1)
+
+
+def test_equivalence(scene):
+    verify.assert_equivalent(scene, scene.translate((1, 0, 0)).translate((-1, 0, 0)))
+    verify.assert_equivalent(Scene(scene.df.withColumn("x", F.lit(math.nan))), Scene(scene.df.withColumn("x", F.lit(math.nan))), 0, 0)
+    for other in (scene.translate((1e-3, 0, 0)), Scene(scene.df.limit(N - 1)), Scene(scene.df.unionByName(scene.df.limit(1))), Scene(scene.df.withColumn("r", F.lit(None).cast("double"))), scene.to_log()):
+        with pytest.raises(AssertionError):
+            verify.assert_equivalent(scene, other)
+    verify.assert_equivalent(scene, scene.translate((1e-3, 0, 0)), check_all=False)
+    with pytest.raises(AssertionError):
+        verify.assert_same_format(scene, scene.to_sh())
+
+
 @pytest.mark.parametrize("seed", range(4))
 @pytest.mark.parametrize("method", ["first", "last"])
 def test_deduplicate_clumps(spark, seed, method):
