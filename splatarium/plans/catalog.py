@@ -39,8 +39,7 @@ def register(name: str, sql: str | None = None):
     def put_in(f):
         QUERIES[name] = f
         if sql:
-            # the same rounding as `_rounded`
-            ORACLE_SQL[name] = sql.replace(", 10)", f" + {_OFF_TIES!r}, 6)")
+            ORACLE_SQL[name] = _same_rounding(sql)
         return f
 
     return put_in
@@ -51,7 +50,20 @@ _OFF_TIES = 1.23456e-07
 
 
 def _rounded(c):
-    return F.round((F.col(c) if isinstance(c, str) else c) + _OFF_TIES, 6)
+    """Six digits by plain arithmetic; `round` of a double goes through decimal numbers."""
+    return F.floor(((F.col(c) if isinstance(c, str) else c) + _OFF_TIES) * 1e6 + 0.5) / 1e6
+
+
+def _same_rounding(sql: str) -> str:
+    """The same in SQL for every round(v, 10), which stands for it."""
+    while (end := sql.find(", 10)")) >= 0:
+        begin, depth = end, 1
+        while depth:
+            begin -= 1
+            depth += (sql[begin] == ")") - (sql[begin] == "(")
+        inner = sql[begin + 1 : end]
+        sql = f"{sql[: begin - len('round')]}floor(({inner} + {_OFF_TIES!r}) * 1e6::DOUBLE + 0.5) / 1e6::DOUBLE{sql[end + len(', 10)') :]}"
+    return sql
 
 
 def _out(df: DataFrame, keys, values, digits: int = 10) -> DataFrame:
@@ -73,9 +85,22 @@ def _affine(m, names, shift=(0, 0, 0)) -> list[str]:
 
 
 def _hamilton(q, names) -> list[str]:
-    """Literal q times a row's quaternion, from the 4x4 matrix of a left product."""
-    m = np.stack([rot.quaternion_multiply(q, e) for e in np.eye(4)], axis=1)
-    return ["(" + " + ".join(f"{_n(a)}*{c}" for a, c in zip(row, names)) + ")" for row in m]
+    """Literal q times a row's quaternion, written out."""
+    w, x, y, z = q
+    rows = [(w, -x, -y, -z), (x, w, -z, y), (y, z, w, -x), (z, -y, x, w)]
+    return ["(" + " + ".join(f"{_n(a)}*{c}" for a, c in zip(row, names)) + ")" for row in rows]
+
+
+# Numbers for the SQL, worked out by themselves: matrix exponentials of the rotation
+# vectors, products of 4x4 matrices, and quaternions as eigenvectors.
+#: The inverse rotations of the boxes and ellipsoids (0.3, -0.2, 0.5) and of the frustum (0.1, 0.2, 0.05).
+_SHAPE_TURN = ((0.859533898558663, 0.4398676329582309, 0.26022671404809444), (-0.49799153700292204, 0.8353156052067086, 0.23292116428443663), (-0.11491695393636674, -0.329794337692255, 0.9370324372849181))
+_FRUSTUM_TURN = ((0.9788428062071255, 0.059519973493763895, -0.1957655063893064), (-0.03960732051223487, 0.9937772959432722, 0.10410545725138103), (0.20074366963468865, -0.0941491307606165, 0.9751091837730886))
+#: Matrix and quaternion of transform_srt, and of transform_steps.
+_SRT_MATRIX = ((0.6938588993097978, -0.4673250396482803, 0.11685747312189146, 0.890193662240488), (1.3632659731868455, 0.09710617010449868, -1.0581732309131235, 1.1314634061871074), (1.288435374475382, 0.14892178835002393, 1.0566994579133875, 2.416068342458974))
+_SRT_TURN = (0.7492676583070113, 0.33475767510630355, -0.18895540828361257, 0.5392876123673934)
+_STEPS_MATRIX = ((0.9859225562148001, -1.2858742826179321, 1.1723839142741137, 0.031930587856608794), (4.040283389007855, 4.251475294998789, 1.2653331389488551, -1.3441016950394762), (-0.5509517158424106, 0.29077023096382987, 0.7822434912452417, -0.31069833588209583))
+_STEPS_TURN = (0.8636816521707773, 0.023122343247532293, 0.3291559077703491, 0.38101935557944766)
 
 
 LUM = "(0.299*r + 0.587*g + 0.114*b)"
@@ -89,24 +114,21 @@ _ALWAYS = "opacity >= 0 AND opacity <= 1 AND greatest(sx,sy,sz) >= 0 AND greates
 _SPHERE = lambda r, c=(0, 0, 0): f"((x-{_n(c[0])})*(x-{_n(c[0])}) + (y-{_n(c[1])})*(y-{_n(c[1])}) + (z-{_n(c[2])})*(z-{_n(c[2])}) <= {_n(r * r)})"
 
 
-def _local_sql(center, rotation):
-    m = np.eye(3) if rotation is None else rot.axis_angle_to_rotation_matrix(rotation).T
-    return _affine(m, [f"({c}-{_n(o)})" for c, o in zip(POS, center)])
+def _local_sql(center, turn):
+    return _affine(turn, [f"({c}-{_n(o)})" for c, o in zip(POS, center)])
 
 
-def _box_sql(lo, hi, rotation=None):
-    center, half = (np.array(lo) + hi) / 2, (np.array(hi) - lo) / 2
-    return "(" + " AND ".join(f"abs({p}) <= {_n(h)}" for p, h in zip(_local_sql(center, rotation), half)) + ")"
+def _box_sql(center, half, turn):
+    return "(" + " AND ".join(f"abs({p}) <= {_n(h)}" for p, h in zip(_local_sql(center, turn), half)) + ")"
 
 
-def _ellipsoid_sql(center, radii, rotation=None):
-    return "(" + " + ".join(f"({p}/{_n(r)})*({p}/{_n(r)})" for p, r in zip(_local_sql(center, rotation), radii)) + " <= 1)"
+def _ellipsoid_sql(center, radii, turn):
+    return "(" + " + ".join(f"({p}/{_n(r)})*({p}/{_n(r)})" for p, r in zip(_local_sql(center, turn), radii)) + " <= 1)"
 
 
-def _frustum_sql(position, rotation, fov, aspect, near, far):
-    x, y, z = _local_sql(position, rotation)
-    ty = np.tan(fov / 2)
-    return f"({z} < {_n(-near)} AND {z} > {_n(-far)} AND abs({x}) <= -{z}*{_n(ty * aspect)} AND abs({y}) <= -{z}*{_n(ty)})"
+def _frustum_sql(position, turn, half_angle, aspect, near, far):
+    x, y, z = _local_sql(position, turn)
+    return f"({z} < {_n(-near)} AND {z} > {_n(-far)} AND abs({x}) <= -{z}*tan({_n(half_angle)})*{_n(aspect)} AND abs({y}) <= -{z}*tan({_n(half_angle)}))"
 
 
 _ROT = (0.3, -0.2, 0.5)
@@ -114,9 +136,9 @@ _FILTERS: dict[str, tuple[FilterValues, str]] = {
     "filter_thresholds": (FilterValues(min_opacity=0.3, max_opacity=0.9, min_scale=0.2, max_scale=0.8), "opacity >= 0.3 AND opacity <= 0.9 AND greatest(sx,sy,sz) >= 0.2 AND greatest(sx,sy,sz) <= 0.8"),
     "filter_sphere": (FilterValues(sphere_radius=4.0, sphere_center=(1.0, 0.5, -0.5)), f"{_ALWAYS} AND {_SPHERE(4.0, (1.0, 0.5, -0.5))}"),
     "filter_box": (FilterValues(box_min=(-3.0, -4.05, -2.5), box_max=(2.0, 1.0, 4.5)), f"{_ALWAYS} AND x BETWEEN -3.0 AND 2.0 AND y BETWEEN -4.05 AND 1.0 AND z BETWEEN -2.5 AND 4.5"),
-    "filter_rotated_box": (FilterValues(box_min=(-3.03, -2.07, -2.51), box_max=(2.01, 3.03, 4.04), box_rot=_ROT), f"{_ALWAYS} AND {_box_sql((-3.03, -2.07, -2.51), (2.01, 3.03, 4.04), _ROT)}"),
-    "filter_ellipsoid": (FilterValues(ellipsoid_center=(0.51, 0.12, 0.03), ellipsoid_radii=(3.03, 4.07, 2.52), ellipsoid_rot=_ROT), f"{_ALWAYS} AND {_ellipsoid_sql((0.51, 0.12, 0.03), (3.03, 4.07, 2.52), _ROT)}"),
-    "filter_frustum": (FilterValues(frustum_pos=(0.5, 0.3, 6.07), frustum_rot=(0.1, 0.2, 0.05), frustum_fov=0.9, frustum_aspect=1.3, frustum_near=1.03, frustum_far=9.02), f"{_ALWAYS} AND {_frustum_sql((0.5, 0.3, 6.07), (0.1, 0.2, 0.05), 0.9, 1.3, 1.03, 9.02)}"),
+    "filter_rotated_box": (FilterValues(box_min=(-3.03, -2.07, -2.51), box_max=(2.01, 3.03, 4.04), box_rot=_ROT), f"{_ALWAYS} AND {_box_sql((-0.51, 0.48, 0.765), (2.52, 2.55, 3.275), _SHAPE_TURN)}"),
+    "filter_ellipsoid": (FilterValues(ellipsoid_center=(0.51, 0.12, 0.03), ellipsoid_radii=(3.03, 4.07, 2.52), ellipsoid_rot=_ROT), f"{_ALWAYS} AND {_ellipsoid_sql((0.51, 0.12, 0.03), (3.03, 4.07, 2.52), _SHAPE_TURN)}"),
+    "filter_frustum": (FilterValues(frustum_pos=(0.5, 0.3, 6.07), frustum_rot=(0.1, 0.2, 0.05), frustum_fov=0.9, frustum_aspect=1.3, frustum_near=1.03, frustum_far=9.02), f"{_ALWAYS} AND {_frustum_sql((0.5, 0.3, 6.07), _FRUSTUM_TURN, 0.45, 1.3, 1.03, 9.02)}"),
     "filter_combined": (FilterValues(min_opacity=0.3, max_scale=0.9, sphere_radius=4.0, box_min=(-5.0, -5.0, 0.0), box_max=(5.0, 5.0, 5.0)), f"opacity >= 0.3 AND opacity <= 1 AND greatest(sx,sy,sz) <= 0.9 AND {_SPHERE(4.0)} AND x BETWEEN -5 AND 5 AND y BETWEEN -5 AND 5 AND z BETWEEN 0 AND 5"),
     "filter_outside_sphere": (FilterValues(sphere_radius=4.0, invert=True), f"NOT ({_ALWAYS} AND {_SPHERE(4.0)})"),
     "filter_merged_spheres": (FilterValues(sphere_radius=5.0) + FilterValues(sphere_radius=3.0, sphere_center=(2.0, 0.0, 0.0), min_opacity=0.2), f"{_ALWAYS} AND opacity >= 0.2 AND {_SPHERE(3.0, (2.0, 0.0, 0.0))}"),
@@ -177,15 +199,15 @@ def _transform_sql(source: str, keys: str, m, q, size, log=False) -> str:
 
 _ALL = (*POS, *QUAT, *SCALE)
 _SRT = TransformValues((2.0, 0.5, 1.5), tuple(rot.euler_to_quaternion((0.4, -0.7, 1.1)).tolist()), (1.0, 2.0, 3.0), (0.5, -0.5, 0.25))
-register("transform_srt", _transform_sql(L, KEYS, _SRT.to_matrix(), _SRT.rotation, _SRT.scale))(lambda spark, sf: _out(fx.scene_l(spark, sf).transform(_SRT).df, fx.KEYS_L, _ALL))
-register("transform_log_scale", _transform_sql(E, "gid", _SRT.to_matrix(), _SRT.rotation, _SRT.scale, True))(lambda spark, sf: _out(fx.scene_e(spark, sf).transform(_SRT).df, ["gid"], _ALL))
+register("transform_srt", _transform_sql(L, KEYS, _SRT_MATRIX, _SRT_TURN, (2.0, 0.5, 1.5)))(lambda spark, sf: _out(fx.scene_l(spark, sf).transform(_SRT).df, fx.KEYS_L, _ALL))
+register("transform_log_scale", _transform_sql(E, "gid", _SRT_MATRIX, _SRT_TURN, (2.0, 0.5, 1.5), True))(lambda spark, sf: _out(fx.scene_e(spark, sf).transform(_SRT).df, ["gid"], _ALL))
 register("transform_translate", f"SELECT {KEYS}, round(x+1, 10) AS x, round(y+2, 10) AS y, round(z-3, 10) AS z FROM ({L})")(lambda spark, sf: _out(fx.scene_l(spark, sf).translate((1, 2, -3)).df, fx.KEYS_L, POS))
 _STEPS = Transform().scale(2.0, (1, 0, 0)).rotate_axis_angle_deg((0, 1, 1), 40).translate((0.5, 0, -1)).rotate_euler((0.1, 0.2, 0.3), (0, 1, 0)).scale((1.0, 3.0, 0.5))
-register("transform_steps", _transform_sql(L, KEYS, *_STEPS.compile()))(lambda spark, sf: _out(_STEPS(fx.scene_l(spark, sf).df), fx.KEYS_L, _ALL))
+register("transform_steps", _transform_sql(L, KEYS, _STEPS_MATRIX, _STEPS_TURN, (2.0, 6.0, 1.0)))(lambda spark, sf: _out(_STEPS(fx.scene_l(spark, sf).df), fx.KEYS_L, _ALL))
 _SUM = TransformValues.from_rotation_euler(10, 20, 30) + TransformValues.from_scale((1.0, 2.0, 4.0)) + TransformValues.from_translation(1, 1, 1)
 register("transform_merged", _transform_sql(L, KEYS, _SUM.to_matrix(), _SUM.rotation, _SUM.scale))(lambda spark, sf: _out(fx.scene_l(spark, sf).transform(_SUM).df, fx.KEYS_L, _ALL))
 _M4 = np.array([[0.8, -0.6, 0.0, 1.0], [0.6, 0.8, 0.0, -2.0], [0.0, 0.0, 1.0, 0.5], [0, 0, 0, 1]])
-register("transform_matrix", _transform_sql(L, KEYS, _M4, rot.rotation_matrix_to_quaternion(_M4), (1, 1, 1)))(lambda spark, sf: _out(fx.scene_l(spark, sf).transform_matrix(_M4).df, fx.KEYS_L, _ALL))
+register("transform_matrix", _transform_sql(L, KEYS, _M4, (0.9486832980505138, 0.0, 0.0, 0.31622776601683794), (1, 1, 1)))(lambda spark, sf: _out(fx.scene_l(spark, sf).transform_matrix(_M4).df, fx.KEYS_L, _ALL))
 
 
 @register("rotation_of_rows", f"""SELECT {KEYS}, {_r(('w', 'ex', 'ey', 'ez', 'm01', 'm22'))} FROM (
@@ -420,7 +442,7 @@ _FLIP = TransformValues.from_rotation_euler(0, 0, 90)
 
 
 @register("compose_scenes", f"""SELECT 0 AS scene_id, {KEYS}, {_r(POS)} FROM ({L}) UNION ALL
-  SELECT 1, {KEYS}, {', '.join(f'round({e}, 10)' for e in _affine(_FLIP.to_matrix()[:3, :3], POS))} FROM ({L}) WHERE opacity >= 0.9""")
+  SELECT 1, {KEYS}, round(-y, 10), round(x, 10), round(z, 10) FROM ({L}) WHERE opacity >= 0.9""")
 def _compose(spark, sf):
     a = fx.scene_l(spark, sf)
     b = Scene(a.df.filter("opacity >= 0.9"), a.format)
@@ -443,11 +465,11 @@ def _dedup_first(spark, sf):
 
 
 _GRADE = Pipeline().min_opacity(0.2).within_sphere(5.5).translate((1, 0, 0)).rotate_euler((0, 0, 90)).scale(2.0).brightness(1.2).contrast(1.1).saturation(1.3)
-_GV = TransformValues.from_translation(1, 0, 0) + TransformValues.from_rotation_euler(0, 0, 90) + TransformValues.from_scale(2.0)
 
 
 def _grade_sql() -> str:
-    inner = f"SELECT * REPLACE ({', '.join(f'{e} AS {c}' for e, c in zip(_affine(_GV.to_matrix()[:3, :3], POS, _GV.to_matrix()[:3, 3]), POS))}) FROM ({L}) WHERE {_ALWAYS} AND opacity >= 0.2 AND {_SPHERE(5.5)}"
+    # moved by 1 along x, turned by 90 degrees about z, twice as large
+    inner = f"SELECT * REPLACE (-2*y AS x, 2*(x+1) AS y, 2*z AS z) FROM ({L}) WHERE {_ALWAYS} AND opacity >= 0.2 AND {_SPHERE(5.5)}"
     return _stages(inner, KEYS, _value_stages(ColorValues(brightness=1.2, contrast=1.1, saturation=1.3)), (*POS, *RGB))
 
 
