@@ -57,6 +57,16 @@ def saved(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def release(*tables: DataFrame) -> None:
+    """Deletes tables that `saved` wrote and that nothing reads any more."""
+    for df in tables:
+        for file in df.inputFiles()[:1]:
+            folder = file.rpartition("/")[0]
+            if f"/llm/{df.sparkSession.sparkContext.applicationId}/" in folder:
+                path = df.sparkSession._jvm.org.apache.hadoop.fs.Path(folder)
+                path.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def fresh(df: DataFrame, *names: str) -> list[str]:
     """Working column names that clash with none of df's columns."""
     taken = {c.lower() for c in df.columns}

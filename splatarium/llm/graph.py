@@ -25,7 +25,9 @@ def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
         far = labels.select(F.col("node").alias("mid"), F.col("label").alias("jump"))
         made = near.join(far, F.col("label") == F.col("mid")).select("node", "old", F.least("label", "jump").alias("label"))
         made = c.saved(made, "labels")
+        c.release(labels)
         moved = made.filter(F.col("old") != F.col("label")).limit(1).count()
         labels = made.select("node", "label")
         if not moved:
+            c.release(both)
             return labels

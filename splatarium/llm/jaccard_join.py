@@ -325,11 +325,14 @@ def jaccard_join(df: DataFrame, doc_id: str = "doc_id", text: str = "text", word
     pairs = _signature_rows(docs, words, percent).select("*", F.lag("doc_id").over(by_sig).alias("before"), F.lead("doc_id").over(by_sig).alias("after"))
     shared = pairs.filter("before is not null or after is not null").select("sig", "doc_id", "need")
     shared = c.saved(shared.join(names, "doc_id").groupBy("sig", "rid").agg(F.min("need").alias("need")), "shared")
+    written = shared
     for _ in range(2):  # a set that goes leaves others with less
         two = shared.groupBy("sig").agg(F.min("rid").alias("a"), F.max("rid").alias("b")).filter("a < b").select("sig")
         shared = shared.join(two, "sig")
         enough = shared.groupBy("rid").agg(F.count(F.lit(1)).alias("n"), F.min("need").alias("least")).filter("n >= least").select("rid")
-        shared = c.saved(shared.join(enough, "rid").select("sig", "rid", "need"), "shared")
+        before, shared = written, c.saved(shared.join(enough, "rid").select("sig", "rid", "need"), "shared")
+        c.release(before)
+        written = shared
     hubs = shared.groupBy("sig").agg(F.min("rid").alias("hub"), F.max("rid").alias("other")).filter("hub < other").select("sig", "hub")
     family = shared.join(hubs, "sig").groupBy("rid").agg(F.min("hub").alias("fam"))
 
@@ -372,6 +375,7 @@ def jaccard_join(df: DataFrame, doc_id: str = "doc_id", text: str = "text", word
     dealt = asked.repartition("fam", "s", "i", "t", "j").sortWithinPartitions("fam", "s", "i", "t", "j", "side", "rid")
     links = c.saved(dealt.mapInArrow(lambda batches: _match(batches, percent), "a bigint, b bigint, n bigint"), "links")
 
+    c.release(shared, members, parts, mixed, across, blocks)
     labels = components(links).select(F.col("node").alias("rid"), "label")
     counted = links.groupBy(F.col("a").alias("rid")).agg(F.sum("n").alias("linked"))
     named = classes.join(labels, "rid", "left").join(counted, "rid", "left")

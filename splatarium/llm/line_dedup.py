@@ -18,8 +18,9 @@ execution splits a host that holds much of the corpus.
 
 Defined cases: a null text has no lines and stays null; lines without a word
 are never dropped, and rejoining keeps their places; null is a host of its
-own; every row counts as a page, repeated rows too; a line on one page only is
-never dropped, nor one at exactly the share. All columns of the input are
+own; rows of a host with equal texts are one page, so copies of a page don't make
+its lines boilerplate, and a null text is none; a line on one page only is never
+dropped, nor one at exactly the share. All columns of the input are
 returned. A url without a scheme and a host, or null, has a null host; markup
 without text gives an empty text, and null html a null text.
 """
@@ -77,8 +78,9 @@ def boilerplate(df: DataFrame, host: str, text: str, percent: int) -> DataFrame:
     """(host, lines): hashes of the boilerplate lines of each host that has any."""
     lines = F.array_distinct(F.split(F.col(f"`{text}`"), "\n", -1))
     worded = F.filter(lines, lambda x: x.rlike(c.WORD))
-    seen = df.select(F.col(f"`{host}`").alias("host"), F.explode(worded).alias("line")).groupBy("host", F.xxhash64("line").alias("line")).agg(F.count(F.lit(1)).alias("pages"))
-    total = df.groupBy(F.col(f"`{host}`").alias("of_host")).agg(F.count(F.lit(1)).alias("all_pages"))
+    page = F.xxhash64(F.col(f"`{text}`")).alias("page")
+    seen = df.select(F.col(f"`{host}`").alias("host"), page, F.explode(worded).alias("line")).select("host", "page", F.xxhash64("line").alias("line")).distinct().groupBy("host", "line").agg(F.count(F.lit(1)).alias("pages"))
+    total = df.filter(F.col(f"`{text}`").isNotNull()).select(F.col(f"`{host}`").alias("of_host"), page).distinct().groupBy("of_host").agg(F.count(F.lit(1)).alias("all_pages"))
     often = seen.filter("pages > 1").join(total, F.col("host").eqNullSafe(F.col("of_host"))).filter(100 * F.col("pages") > percent * F.col("all_pages"))
     return often.groupBy("host").agg(F.collect_set("line").alias("lines"))
 
@@ -112,14 +114,14 @@ def frequency_sql(pages: str, percent: int) -> str:
     return rf"""
 WITH pages_ AS (SELECT row_number() OVER () AS page, * FROM ({pages})),
 lines AS (
-  SELECT page, host, u.pos, u.line FROM (
-    SELECT page, host, unnest(list_zip(range(1, len(l) + 1), l)) AS z FROM (SELECT *, string_split(text, chr(10)) AS l FROM pages_ WHERE text IS NOT NULL)
+  SELECT page, host, text, u.pos, u.line FROM (
+    SELECT page, host, text, unnest(list_zip(range(1, len(l) + 1), l)) AS z FROM (SELECT *, string_split(text, chr(10)) AS l FROM pages_ WHERE text IS NOT NULL)
   ), LATERAL (SELECT z[1] AS pos, z[2] AS line) u
 ),
-totals AS (SELECT host, count(*) AS n FROM pages_ GROUP BY host),
+totals AS (SELECT host, count(DISTINCT text) AS n FROM pages_ GROUP BY host),
 often AS (
   SELECT l.host, l.line FROM lines l JOIN totals t ON l.host IS NOT DISTINCT FROM t.host
-  WHERE regexp_matches(l.line, '[^\x20\x09-\x0D]') GROUP BY l.host, l.line, t.n HAVING 100 * count(DISTINCT l.page) > {percent} * t.n AND count(DISTINCT l.page) > 1
+  WHERE regexp_matches(l.line, '[^\x20\x09-\x0D]') GROUP BY l.host, l.line, t.n HAVING 100 * count(DISTINCT l.text) > {percent} * t.n AND count(DISTINCT l.text) > 1
 ),
 marked AS (SELECT l.*, o.line IS NOT NULL AS gone FROM lines l LEFT JOIN often o ON l.host IS NOT DISTINCT FROM o.host AND l.line = o.line),
 joined AS (

@@ -17,8 +17,8 @@ to every task. Scoring reads every document once, without a shuffle.
 
 Defined cases: a null text is empty and has only share features; a document
 without label is scored as any other; labels that are null count as 0 for toxic
-and as 1 for quality; a label whose document is missing is not used; without any
-labelled document, or with one grade only, all documents are of the top grade.
+and as 1 for quality; a label whose document is missing is not used, and of documents
+that share its id one is taken, by a hash of the text; without any labelled document, or with one grade only, all documents are of the top grade.
 Repeated rows are scored alike.
 """
 
@@ -53,6 +53,9 @@ class Fit:
     steps: int = 400
     rate: float = 0.1
     ridge: float = 5e-5
+    #: It ends when the last so many steps gained less than this share.
+    patience: int = 25
+    least_gain: float = 1e-3
     #: A word has to stand in so many sampled documents to get a weight.
     least_documents: int = 3
 
@@ -100,45 +103,67 @@ def _sigmoid(x: np.ndarray) -> np.ndarray:
     return 1 / (1 + np.exp(-np.clip(x, -40, 40)))
 
 
-def fit(rows: list[tuple[np.ndarray, np.ndarray]], grades: np.ndarray, how: Fit = Fit()) -> tuple[np.ndarray, np.ndarray]:
-    """(weights, thresholds) by Adam on the mean log likelihood with a ridge.
+class Likelihood:
+    """The mean negative log likelihood of graded rows, with a ridge, and its gradient.
 
-    Thresholds are the first one and the logarithms of the gaps, so they stay
-    in order. Grades weigh inversely to the root of how often they occur.
+    Parameters are the weights of the features that stand in enough rows, then the
+    first threshold and the logarithms of the gaps, so thresholds stay in order.
+    Grades weigh inversely to the root of how often they occur.
     """
-    counts = np.array([len(f) for f, _ in rows])
-    place, value = np.concatenate([f for f, _ in rows]), np.concatenate([v for _, v in rows])
-    row = np.repeat(np.arange(len(rows)), counts)
-    often = np.bincount(place, minlength=SIZE) >= how.least_documents
-    row, place, value = row[often[place]], place[often[place]], value[often[place]]
-    used, at = np.unique(place, return_inverse=True)
-    share = np.bincount(grades, minlength=GRADES) / len(grades)
-    weight = 1 / np.sqrt(np.maximum(share, 1e-9))[grades]
-    weight /= weight.sum()
-    x = np.zeros(len(used) + GRADES - 1)
-    x[len(used) :] = [-1.0, 0.0]
-    m, v = np.zeros_like(x), np.zeros_like(x)
-    for step in range(1, how.steps + 1):
-        w, raw = x[: len(used)], x[len(used) :]
-        gaps = np.exp(raw[1:])
-        theta = np.concatenate([[raw[0]], raw[0] + np.cumsum(gaps)])
-        score = np.bincount(row, value * w[at], len(rows))
+
+    def __init__(self, rows: list[tuple[np.ndarray, np.ndarray]], grades: np.ndarray, how: Fit):
+        counts = np.array([len(f) for f, _ in rows])
+        place, value = np.concatenate([f for f, _ in rows]), np.concatenate([v for _, v in rows])
+        row = np.repeat(np.arange(len(rows)), counts)
+        often = np.bincount(place, minlength=SIZE) >= how.least_documents
+        self.row, place, self.value = row[often[place]], place[often[place]], value[often[place]]
+        self.used, self.at = np.unique(place, return_inverse=True)
+        self.grades, self.ridge, self.n = grades, how.ridge, len(rows)
+        share = np.bincount(grades, minlength=GRADES) / len(grades)
+        weight = 1 / np.sqrt(np.maximum(share, 1e-9))[grades]
+        self.weight = weight / weight.sum()
+
+    def start(self) -> np.ndarray:
+        return np.concatenate([np.zeros(len(self.used)), [-1.0, 0.0]])
+
+    def split(self, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(weights, thresholds)."""
+        k = len(self.used)
+        return x[:k], np.concatenate([[x[k]], x[k] + np.cumsum(np.exp(x[k + 1 :]))])
+
+    def __call__(self, x: np.ndarray) -> tuple[float, np.ndarray]:
+        w, theta = self.split(x)
+        grades, weight, k = self.grades, self.weight, len(w)
+        score = np.bincount(self.row, self.value * w[self.at], self.n)
         edges = np.concatenate([[-np.inf], theta, [np.inf]])
-        upper, lower = _sigmoid(edges[grades + 1] - score), _sigmoid(edges[grades] - score)
-        upper, lower = np.where(grades == GRADES - 1, 1.0, upper), np.where(grades == 0, 0.0, lower)
+        upper = np.where(grades == GRADES - 1, 1.0, _sigmoid(edges[grades + 1] - score))
+        lower = np.where(grades == 0, 0.0, _sigmoid(edges[grades] - score))
         p = np.maximum(upper - lower, 1e-12)
         up, down = upper * (1 - upper) / p, lower * (1 - lower) / p
-        d_score = weight * (up - down)  # of the negative log likelihood
-        d_theta = np.array([np.sum(weight * (down * (grades - 1 == k) - up * (grades == k))) for k in range(GRADES - 1)])
+        d_theta = np.array([np.sum(weight * (down * (grades - 1 == j) - up * (grades == j))) for j in range(GRADES - 1)])
         grad = np.empty_like(x)
-        grad[: len(used)] = np.bincount(at, value * d_score[row], len(used)) + how.ridge * w
-        grad[len(used)] = d_theta.sum()
-        grad[len(used) + 1 :] = d_theta[::-1].cumsum()[::-1][1:] * gaps
+        grad[:k] = np.bincount(self.at, self.value * (weight * (up - down))[self.row], k) + self.ridge * w
+        grad[k] = d_theta.sum()
+        grad[k + 1 :] = d_theta[::-1].cumsum()[::-1][1:] * np.exp(x[k + 1 :])
+        return float(-np.sum(weight * np.log(p)) + self.ridge / 2 * w @ w), grad
+
+
+def fit(rows: list[tuple[np.ndarray, np.ndarray]], grades: np.ndarray, how: Fit = Fit()) -> tuple[np.ndarray, np.ndarray]:
+    """(weights, thresholds) by Adam, until the likelihood hardly changes any more."""
+    likelihood = Likelihood(rows, grades, how)
+    x = likelihood.start()
+    m, v, losses = np.zeros_like(x), np.zeros_like(x), []
+    for step in range(1, how.steps + 1):
+        loss, grad = likelihood(x)
+        losses.append(loss)
+        if step > how.patience and losses[-1 - how.patience] - loss < how.least_gain * abs(loss):
+            break
         m, v = 0.9 * m + 0.1 * grad, 0.999 * v + 0.001 * grad**2
         x = x - how.rate * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.999**step)) + 1e-8)
+    w, theta = likelihood.split(x)
     weights = np.zeros(SIZE)
-    weights[used] = x[: len(used)]
-    return weights, np.concatenate([[x[len(used)]], x[len(used)] + np.cumsum(np.exp(x[len(used) + 1 :]))])
+    weights[likelihood.used] = w
+    return weights, theta
 
 
 def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, how: Fit = Fit()) -> tuple[np.ndarray, np.ndarray]:
@@ -147,7 +172,9 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, how: Fit = F
     fits, on the bounded sample; the driver gets the model, of fixed size."""
     grade = F.when(F.coalesce("toxic", F.lit(0)) > 0, 0).when(F.coalesce("quality", F.lit(1)) == 0, 1).otherwise(2)
     some = labels.select(F.col("doc_id").alias("of"), grade.alias("grade")).dropna().orderBy(F.xxhash64("of"), "of", "grade").limit(sample)
-    found = docs.join(F.broadcast(some), F.col("doc_id") == F.col("of")).select("doc_id", "text", "grade")  # at most `sample` rows of two numbers
+    found = docs.join(F.broadcast(some), F.col("doc_id") == F.col("of"))  # at most `sample` rows of two numbers
+    # one row for each sampled label, however many documents have its id; combined on the map side
+    found = found.groupBy("doc_id", "grade").agg(F.max_by("text", F.xxhash64("text")).alias("text")).select("doc_id", "text", "grade")
 
     def make(batches):
         for batch in batches:

@@ -85,10 +85,25 @@ def targets(sized: DataFrame, mix: Mix = Mix()) -> DataFrame:
     return c.saved(s.select("sid", "source", "source_size", "target", "len", "blocks", "lo", "hi"), "targets")
 
 
+def _before(sums: DataFrame, group: list[str], at: str, amount: str) -> DataFrame:
+    """sums with `before`: the amount at smaller places `at` (0 to 65535) of its group.
+
+    In two steps, over 256 places and then over 256 sums of such, so no task meets
+    more than that of a group.
+    """
+    high = [*group, "_high"]
+    s = sums.withColumn("_high", F.expr(f"{at} div 256"))
+    upto = F.sum(amount).over(Window.partitionBy(*high).orderBy(at)) - F.col(amount)
+    blocks = s.groupBy(*high).agg(F.sum(amount).alias("_all"))
+    blocks = blocks.withColumn("_first", F.sum("_all").over(Window.partitionBy(*group).orderBy("_high")) - F.col("_all")).drop("_all")
+    return s.withColumn("_inner", upto).join(blocks, high).withColumn("before", F.col("_inner") + F.col("_first")).drop("_inner", "_first", "_high", amount)
+
+
 def schedule(spark: SparkSession, sources: DataFrame, mix: Mix = Mix()) -> DataFrame:
     """(sid, block, times): how often the mix takes each block."""
     total = sources.agg(F.coalesce(F.max("hi"), F.lit(0)).alias("k")).first()["k"]  # one number
-    assert total < POINTS, "more slots than points; raise block_words"
+    if total >= POINTS:
+        raise ValueError(f"{total} slots are more than the {POINTS} points of the schedule; blocks have to be longer")
     slots = spark.range(total).select(F.col("id").alias("k"), F.expr(f"(id * {GOLDEN} % {POINTS}) * {max(total, 1)} div {POINTS}").alias("at"))
     # intervals are found through cells of the line, an equi-join with few rows
     width = max(1, -(-total // 4096))
@@ -108,8 +123,7 @@ def mix_sources(sized: DataFrame, mix: Mix = Mix()) -> DataFrame:
     times = schedule(sized.sparkSession, sources, mix)
     docs = sized.join(sources.drop("lo", "hi"), sized["source"].eqNullSafe(sources["source"])).drop(sources["source"])
     docs = docs.withColumn("range", F.conv(F.substring("h", 1, 4), 16, 10).cast("int"))
-    before = docs.groupBy("sid", "range").agg(F.sum("size").alias("n"))
-    before = before.withColumn("before", F.sum("n").over(Window.partitionBy("sid").orderBy("range")) - F.col("n")).drop("n")
+    before = _before(docs.groupBy("sid", "range").agg(F.sum("size").alias("n")), ["sid"], "range", "n")
     inner = F.sum("size").over(Window.partitionBy("sid", "range").orderBy("h", "doc_id", "size").rowsBetween(Window.unboundedPreceding, 0)) - F.col("size")
     placed = docs.withColumn("inner", inner).join(before, ["sid", "range"]).withColumn("start", F.col("inner") + F.col("before"))
     full = placed.filter("size > 0").withColumn("block", F.explode(F.sequence(F.expr("start div len"), F.expr("(start + size - 1) div len"))))
@@ -123,7 +137,9 @@ def mix_sources(sized: DataFrame, mix: Mix = Mix()) -> DataFrame:
 
 def mixed_rows(df: DataFrame, doc_id: str = "doc_id", source: str = "source", text: str = "text", mix: Mix = Mix()) -> DataFrame:
     """The rows of the mix, all columns of df: each document once for every time
-    the mix takes the block that it begins in, so never, once or twice."""
+    the mix takes the block that it begins in, so never, once or twice. Rows that
+    share a doc_id, which only a faulty table has, are all taken as often as the
+    one of them that is taken most."""
     took = mix_sources(sizes(df, doc_id, source, text, mix), mix).groupBy("doc_id").agg(F.max("copies").cast("int").alias("copies")).filter("copies > 0")
     names = c.fresh(df, *(f"c{k}" for k in range(len(df.columns))))
     plain = df.toDF(*names)

@@ -147,12 +147,12 @@ def test_line_dedup(spark):
 
 
 def test_line_at_exactly_the_share(spark):
-    """2 of 40 pages are 5 percent and stay; 2 of 39 are more. Repeated rows are pages, repeated lines of a page are not."""
-    rows = [(i, "both\nboth" if i % 40 < 2 else f"only {i}", f"h{i // 40}") for i in range(79)] + [(100, "same", "twice"), (100, "same", "twice")]
+    """2 of 40 pages are 5 percent and stay; 2 of 39 are more. Copies are one page, and repeated lines of a page count once."""
+    rows = [(i, f"both\nboth\nown {i}" if i % 40 < 2 else f"only {i}", f"h{i // 40}") for i in range(79)] + [(100, "same", "twice"), (100, "same", "twice"), (101, None, "twice")]
     got = collections.defaultdict(list)
     for r in line_dedup.drop_boilerplate(spark.createDataFrame(rows, "doc_id long, text string, host string")).collect():
         got[r.doc_id].append((r.text, r.n_dropped))
-    assert got[0] == [("both\nboth", 0)] and got[40] == [("", 2)] and got[50] == [("only 50", 0)] and got[100] == [("", 1)] * 2
+    assert got[0] == [("both\nboth\nown 0", 0)] and got[40] == [("own 40", 2)] and got[50] == [("only 50", 0)] and got[100] == [("same", 0)] * 2 and got[101] == [(None, 0)]
 
 
 def test_host_pages(spark):
@@ -330,6 +330,17 @@ def test_mix(spark):
     assert source_mix.mix_sources(source_mix.sizes(df.limit(0))).count() == 0
 
 
+def test_mix_edges(spark):
+    """A very long text, a source of a third of all rows, null ids, repeated rows, and no rows at all."""
+    rows = [(k, "hot", "w " * (1 + k % 5)) for k in range(400)] + [(None, "n", "a b")] * 3 + [(5000, "long", "x " * 300_000)] + [(7, "twice", "a b c")] * 2
+    df = spark.createDataFrame(rows, "doc_id long, source string, text string")
+    out = source_mix.mix_sources(source_mix.sizes(df)).toPandas()
+    assert len(out) == len(rows) and (out.taken <= 2 * out["size"]).all()
+    for _, part in out.groupby("source"):
+        assert abs(part.taken.sum() - part.target.iloc[0]) <= 0.02 * part.target.iloc[0] + 3
+    assert source_mix.mixed_rows(df.limit(0)).count() == 0
+
+
 def test_ordinal_held_out(spark):
     sf = "/root/testdata/sf0.1"
     docs = spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text")
@@ -342,6 +353,81 @@ def test_ordinal_held_out(spark):
     assert good.expected_grade.mean() - bad.expected_grade.mean() > 1
 
 
+def brute_features(text):
+    """The features of a text as a dict, from strings and regular expressions."""
+    raw = (text or "").encode()
+    words = [w.lower() for w in re.findall(rb"[0-9A-Za-z\x80-\xff]+", raw)]
+
+    def place(w, stem):
+        h = common.span_hashes(np.frombuffer(w, np.uint8), np.array([0]), np.array([len(w)]))
+        return int((common.mix(h + np.uint64(1)) if stem else h)[0] >> np.uint64(64 - ordinal_quality.BITS))
+
+    places = {place(w, False) for w in words} | {place(w[: ordinal_quality.STEM], True) for w in words if len(w) > ordinal_quality.STEM}
+    out = dict.fromkeys(places, 1 / max(len(places), 1) ** ordinal_quality.SCALE)
+    size, letters = max(len(raw), 1), max(sum(map(len, words)), 1)
+    level = lambda x: min(max(int(x * 10), 0), 9)
+    kinds = [
+        level(math.sqrt(sum(ch in b"#*$%&|<>{}[]=_^~!?" for ch in raw) / size) * 1.5), level(sum(65 <= ch < 91 for ch in raw) / letters), level(len(places) / max(2 * len(words), 1)),
+        min(int(math.log2(size)) // 2, 9), level(math.sqrt(raw.count(b"|") / size) * 3),
+    ]
+    return out | {(1 << ordinal_quality.BITS) + k * 10 + x: 1.0 for k, x in enumerate(kinds)}
+
+
+def test_ordinal_query_on_documents(spark):
+    """op4's scores against sums over dicts, with the model of its own training."""
+    sf = "/root/testdata/sf0.001"
+    docs, labels = (spark.read.parquet(f"{sf}/{t}.parquet") for t in ("documents", "labels"))
+    weights, theta = ordinal_quality.train(docs.select("doc_id", "text"), labels)
+    assert len(theta) == 2 and theta[0] < theta[1]
+    got = {r.doc_id: r for r in ordinal_quality.op4_ordinal_quality(spark, sf).collect()}
+    for r in docs.collect():
+        s = sum(v * float(np.float32(weights[f])) for f, v in brute_features(r.text).items())
+        above = [1 / (1 + math.exp(-(s - t))) for t in theta]
+        g = got.pop(r.doc_id)
+        assert g.expected_grade == pytest.approx(sum(above), abs=1e-5) and g.top_probability == pytest.approx(above[1], abs=1e-5)
+        assert g.kept == (g.top_probability >= 0.5)
+    assert not got
+
+
+@pytest.mark.parametrize("seed", range(3))
+def test_ordinal_likelihood(seed):
+    """The likelihood against one row after another, its gradient against differences, and the fit against plain descent."""
+    g = np.random.default_rng(seed)
+    how = ordinal_quality.Fit(least_documents=1, ridge=0.01, steps=3000, rate=0.02, least_gain=0)
+    rows = [(g.choice(12, 4, replace=False).astype(np.int64), g.random(4)) for _ in range(60)]
+    grades = np.array([int(np.clip(round(f.min() / 3 + g.normal() * 0.4), 0, 2)) for f, _ in rows])
+    model = ordinal_quality.Likelihood(rows, grades, how)
+    x = g.normal(size=len(model.start())) * 0.5
+    loss, grad = model(x)
+    w, (a, b) = x[:-2], (x[-2], x[-2] + math.exp(x[-1]))
+    sig = lambda v: 1 / (1 + math.exp(-v))
+    rate = 1 / np.sqrt(np.bincount(grades, minlength=3) / len(grades))
+    total, parts = 0.0, 0.0
+    for (f, v), k in zip(rows, grades):
+        s = sum(v[j] * w[list(model.used).index(f[j])] for j in range(4))
+        p = (sig(a - s), sig(b - s) - sig(a - s), 1 - sig(b - s))[k]
+        total, parts = total - rate[k] * math.log(p), parts + rate[k]
+    assert loss == pytest.approx(total / parts + 0.005 * float(w @ w), rel=1e-9)
+    for j in range(len(x)):
+        e = np.eye(len(x))[j] * 1e-6
+        assert grad[j] == pytest.approx((model(x + e)[0] - model(x - e)[0]) / 2e-6, abs=1e-6)
+    weights, theta = ordinal_quality.fit(rows, grades, how)
+    plain = model.start()
+    for _ in range(20_000):
+        plain = plain - 0.3 * model(plain)[1]
+    fitted = np.concatenate([weights[model.used], [theta[0], math.log(theta[1] - theta[0])]])
+    assert model(fitted)[0] <= model(plain)[0] + 1e-4
+
+
+def test_ordinal_one_row_for_a_label(spark):
+    """Documents that share a labelled id come to the fit once, and a very long text is no matter."""
+    docs = spark.createDataFrame([(1, "good words here")] * 50 + [(1, "others")] * 50 + [(2, "bad " * 400_000), (3, None)], "doc_id long, text string").repartition(4)
+    labels = spark.createDataFrame([(1, 1, 0), (2, 0, 1), (3, 0, 0)], "doc_id long, quality int, toxic int")
+    a, b = (ordinal_quality.train(d, labels) for d in (docs, docs.repartition(2)))
+    assert np.array_equal(a[0], b[0]) and np.array_equal(a[1], b[1])
+    assert ordinal_quality.score(docs.limit(0), a).count() == 0 and ordinal_quality.train(docs.limit(0), labels)[1].tolist() == [-40.0, -40.0]
+
+
 def test_ordinal_edges(spark):
     df = spark.createDataFrame([(1, None, 5.0), (1, None, 5.0), (2, "", 1.0)], "doc_id long, text string, selected double")
     labels = spark.createDataFrame([(1, 1, 0), (9, 0, 1)], "doc_id long, quality int, toxic int")

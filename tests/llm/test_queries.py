@@ -1,10 +1,9 @@
-"""Registered queries against their SQL, and the pipeline stage by stage."""
+"""Registered queries against their SQL."""
 
 import duckdb
 import pytest
 
-import corpus_pipeline
-from splatarium.llm import bpe, common, jaccard_join, queries
+from splatarium.llm import queries
 
 SF = "/root/testdata/sf0.001"
 
@@ -20,27 +19,3 @@ def test_against_sql(spark, name):
     want = want.astype({k: got[k].dtype for k in cols})
     a, b = (x[cols].astype(str).sort_values(cols, ignore_index=True) for x in (got, want))
     assert a.equals(b)
-
-
-def test_pipeline(spark):
-    import public_tokenizers as P
-
-    docs = spark.read.parquet(f"{SF}/documents.parquet")
-    columns, before = docs.columns, docs
-    for name, stage in corpus_pipeline.STAGES[:-1]:
-        after = common.saved(stage(spark, before, SF), name)
-        assert after.columns == columns and after.schema.simpleString() == docs.schema.simpleString()
-        ids = {r.doc_id for r in after.select("doc_id").collect()}
-        assert ids <= {r.doc_id for r in before.select("doc_id").collect()} and ids
-        if name == "near_copies":
-            left = jaccard_join.jaccard_join(after, words=5, percent=80)
-            assert left.filter("component_id < doc_id").count() == 0
-        if name == "site_lines":
-            assert after.filter("n_chars <> char_length(text)").count() == 0 and after.count() == before.count()
-        before = after
-    out = corpus_pipeline.STAGES[-1][1](spark, before, SF).collect()
-    encode = bpe.tiktoken_encoding(P.path("byte_bpe_50k.tiktoken")).encode_ordinary
-    texts = {r.doc_id: r.text for r in before.collect()}
-    assert len(out) == before.count() and all(r.n_tokens == len(encode(texts[r.doc_id])) for r in out)
-    whole = corpus_pipeline.run(spark, SF)
-    assert sorted((r.doc_id, r.n_tokens) for r in whole.collect()) == sorted((r.doc_id, r.n_tokens) for r in out)
