@@ -7,7 +7,7 @@ samples, one or more to a pixel, chunky. The writer makes such files.
 
 A text is stored as a grey image 192 pixels wide. Its rows are dealt evenly to the
 three codecs: the first third to pages of deflate tiles with the predictor, the next
-to pages of PackBits strips, the last to pages of LZW strips with the predictor. A
+to pages of PackBits strips, the last to pages of LZW strips. A
 page has at most `PAGE_ROWS` rows, so a long text has more pages.
 
 Defined cases: a null or empty file has no pages; a file that is no TIFF, or is
@@ -20,6 +20,7 @@ come out repeated. Columns of df that are named like new ones are replaced.
 
 from __future__ import annotations
 
+import functools
 import re
 import struct
 import zlib
@@ -86,72 +87,84 @@ def packbits_decode(data: bytes, size: int) -> bytes:
     return b"".join(out)
 
 
+_CLEAR, _END, _FIRST, _FULL = 256, 257, 258, 4095
+
+
+@functools.cache
+def _widths() -> np.ndarray:
+    """Bits of the first, second and further codes after a clear; they grow one code early."""
+    return np.ceil(np.log2(np.arange(_FIRST, _FULL + 2) + 1)).astype(np.int64).clip(9, 12)
+
+
+def _packed_bits(codes: list[int], widths: np.ndarray) -> bytes:
+    """Codes of up to 12 bits one behind another, the most significant bit first."""
+    end = np.cumsum(widths)
+    start, size = end - widths, (int(end[-1]) + 7) // 8
+    at, value = start >> 3, np.array(codes, np.int64) << (24 - widths - (start & 7))
+    bits = sum(np.bincount(at + k, value >> 16 - 8 * k & 255, size + 3) for k in range(3))
+    return bits[:size].astype(np.uint8).tobytes()
+
+
 def lzw_encode(data: bytes) -> bytes:
-    """TIFF's LZW: most significant bit first, widths grow one code early."""
-    value, bits, out = 256, 9, bytearray()
-    table = _SINGLE.copy()
-    width, following, word = 9, 258, b""
-    for k in range(len(data)):
-        longer = word + data[k : k + 1]
-        if longer in table:
-            word = longer
-            continue
-        value, bits = value << width | table[word], bits + width
-        if bits > 512:  # whole bytes go out
-            bits, whole = bits % 8, bits // 8
-            out += (value >> bits).to_bytes(whole, "big")
-            value &= (1 << bits) - 1
-        table[longer] = following
-        following += 1
-        word = data[k : k + 1]
-        if following == 4095:
-            value, bits = value << 12 | 256, bits + 12
-            table = _SINGLE.copy()
-            width, following = 9, 258
-        elif following + 1 > 1 << width:
-            width += 1
-    if word:
-        value, bits = value << width | table[word], bits + width
-        following += 1
-        if following + 1 > 1 << width and width < 12:
-            width += 1
-    value, bits = value << width | 257, bits + width
-    pad = -bits % 8
-    return bytes(out) + (value << pad).to_bytes((bits + pad) // 8, "big")
+    """TIFF's LZW."""
+    codes, widths = [_CLEAR], [np.array([9])]
+    if data:
+        follows: dict[int, int] = {}
+        rest, following, held = iter(data), _FIRST, 0
+        held = next(rest)
+        for byte in rest:
+            key = held << 8 | byte
+            if key in follows:
+                held = follows[key]
+                continue
+            codes.append(held)
+            follows[key] = following
+            following += 1
+            held = byte
+            if following == _FULL:
+                codes.append(_CLEAR)
+                widths.append(_widths()[: _FULL - _FIRST + 1])
+                follows.clear()
+                following = _FIRST
+        codes.append(held)
+        widths.append(_widths()[: following - _FIRST + 2])
+    else:
+        widths.append(np.array([9]))
+    return _packed_bits([*codes, _END], np.concatenate(widths))
 
 
 def lzw_decode(data: bytes, size: int) -> bytes:
-    base = [*_SINGLE, b"", b""]
-    table, width, acc, bits, before, out, left = base[:], 9, 0, 0, None, [], size
-    for byte in data:
-        acc, bits = acc << 8 | byte, bits + 8
-        if bits < width:
-            continue
-        bits -= width
-        code = acc >> bits
-        acc &= (1 << bits) - 1
-        if code == 256:
-            table, width, before = base[:], 9, None
-            continue
-        if code == 257 or left <= 0:
-            break
-        if before is None:
-            if code > 255:
+    bits, widths = 8 * len(data), _widths()
+    offsets = np.concatenate([[0], np.cumsum(widths)])
+    raw = np.frombuffer(data + b"\0\0\0", np.uint8).astype(np.int32)
+    three = raw[:-2] << 16 | raw[1:-1] << 8 | raw[2:]
+    at, out, left = 0, [], size
+    while left > 0:
+        # all codes up to the next clear, whose widths are known
+        m = min(int(np.searchsorted(offsets, bits - at, side="right")) - 1, len(widths))
+        off = at + offsets[:m]
+        codes = three[off >> 3] >> (24 - widths[:m] - (off & 7)) & ((1 << widths[:m]) - 1)
+        stop = np.flatnonzero((codes == _CLEAR) | (codes == _END))
+        if not len(stop) and m == len(widths):
+            raise ValueError("LZW table is full")
+        k = int(stop[0]) if len(stop) else m
+        if k:
+            first, *rest = codes[:k].tolist()
+            if first > 255:
                 raise ValueError("LZW code out of range")
-            word = table[code]
-        elif code < len(table):
-            word = table[code]
-            table.append(before + word[:1])
-        elif code == len(table):
-            word = before + before[:1]
-            table.append(word)
-        else:
-            raise ValueError("LZW code out of range")
-        out.append(word)
-        left -= len(word)
-        before = word
-        if len(table) + 1 >= 1 << width and width < 12:
-            width += 1
+            table, word = [*_SINGLE, b"", b""], bytes([first])
+            words = [word]
+            for n, code in enumerate(rest, _FIRST):
+                if code > n:
+                    raise ValueError("LZW code out of range")
+                before, word = word, table[code] if code < n else word + word[:1]
+                table.append(before + word[:1])
+                words.append(word)
+            out.append(b"".join(words))
+            left -= len(out[-1])
+        if not len(stop) or codes[k] == _END:
+            break
+        at += int(offsets[k + 1])
     return b"".join(out)
 
 
@@ -293,7 +306,7 @@ def text_to_tiff(text: str | None) -> bytes:
     raw += b" " * (-len(raw) % ROW or (0 if raw else ROW))
     image = np.frombuffer(raw, np.uint8).reshape(-1, ROW, 1)
     n, pages, a = len(image), [], 0
-    for b, how in ((n // 3, (DEFLATE, 2, (TILE_ROWS, ROW), 1)), (n // 3 + (n + 1) // 3, (PACKBITS, 1, None, STRIP_ROWS)), (n, (LZW, 2, None, STRIP_ROWS))):
+    for b, how in ((n // 3, (DEFLATE, 2, (TILE_ROWS, ROW), 1)), (n // 3 + (n + 1) // 3, (PACKBITS, 1, None, STRIP_ROWS)), (n, (LZW, 1, None, STRIP_ROWS))):
         pages += [(image[k : min(k + PAGE_ROWS, b)], *how) for k in range(a, b, PAGE_ROWS)]
         a = b
     return write_pages(pages)
