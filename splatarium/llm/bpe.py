@@ -304,7 +304,7 @@ def op8_chunked_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
     ranks = public_tokenizers.path("byte_bpe_50k.tiktoken")
-    coded = encode(c.table(spark, sf_dir, "documents").select("doc_id", "text"), ranks, keep_text=False)
+    coded = encode(c.table(spark, sf_dir, "documents", spread=True).select("doc_id", "text"), ranks, keep_text=False)
     return decode(coded, ranks).select(
         "doc_id", F.expr("cast(octet_length(ids) div 4 as bigint)").alias("n_tokens"), F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256")
     )

@@ -403,4 +403,4 @@ def one_of_each(df: DataFrame, doc_id: str = "doc_id", text: str = "text", words
 
 
 def op6_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return jaccard_join(c.table(spark, sf_dir, "documents"))
+    return jaccard_join(c.table(spark, sf_dir, "documents", spread=True))

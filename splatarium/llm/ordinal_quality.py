@@ -228,6 +228,6 @@ def score(df: DataFrame, model: tuple[np.ndarray, np.ndarray], text: str = "text
 
 def op4_ordinal_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Scores all of `documents` with a model fitted on `labels`."""
-    docs = c.table(spark, sf_dir, "documents").select("doc_id", "text")
+    docs = c.table(spark, sf_dir, "documents", spread=True).select("doc_id", "text")
     model = train(docs, c.table(spark, sf_dir, "labels"))
     return score(docs, model).select("doc_id", "expected_grade", "top_probability", F.col("selected").alias("kept"))

@@ -246,7 +246,7 @@ def op1_quality_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Counts and verdicts for all of `documents`. The counts are written once
     (numbers only) and read twice. Distances are rounded, as their last digits
     depend on the order of sums."""
-    docs = c.table(spark, sf_dir, "documents")
+    docs = c.table(spark, sf_dir, "documents", spread=True)
     counted = c.saved(count_texts(docs, common_words(docs), carry=("doc_id", "lang")), "quality-counts")
     out = with_verdicts(counted, language_references(counted))
     return out.select("doc_id", *_COUNTS, "base_failed", "kept", F.round("char_distance", 6).alias("char_distance"), F.round("word_distance", 6).alias("word_distance"))

@@ -391,7 +391,7 @@ def tiff_pages(df: DataFrame, media: str = "media") -> DataFrame:
 
 def op5_tiff_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All of `documents` as TIFF files; everything is taken from decoded pages."""
-    docs = c.table(spark, sf_dir, "documents").select("doc_id", "text")
+    docs = c.table(spark, sf_dir, "documents", spread=True).select("doc_id", "text")
     stored = texts_to_tiff(docs).select(
         F.monotonically_increasing_id().alias("row"), "doc_id", F.coalesce(F.octet_length("text"), F.lit(0)).cast("long").alias("n_bytes"),
         F.octet_length("media").cast("long").alias("media_bytes"), F.sha2("media", 256).alias("media_sha256"), "media",

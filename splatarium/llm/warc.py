@@ -273,7 +273,7 @@ def assemble(records: DataFrame) -> DataFrame:
 def op10_warc_transactions(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All of `pages`, written as archives and assembled again. A revisit's page is
     found through the identifier of the response that it refers to."""
-    captures = assemble(read_records(write_archives(c.table(spark, sf_dir, "pages"))))
+    captures = assemble(read_records(write_archives(c.table(spark, sf_dir, "pages", spread=True))))
     page = F.get(F.try_element_at(F.get("metadata", 0)["fields"], F.lit("page-id")), 0).try_cast("long")
     found = c.saved(captures.select("capture", page.alias("page_id"), "response.kind", "response.length", F.coalesce("response.payload_sha1", "response.digest").alias("digest"), "response.refers_to"), "captures")
     # the responses that are referred to: one row for each payload that occurs again
