@@ -46,6 +46,8 @@ CHUNK, SEGMENT, OVERLAP = 4096, 32768, 256
 MARGIN = 16
 #: Bytes of texts that are worked on at once.
 BATCH_BYTES = 1 << 20
+#: Pre-tokens that a worker remembers; an executor may have workers that encode and others that decode.
+REMEMBERED = 250_000
 
 #: Places at which every tokenisation breaks, whatever stands before.
 _SURE = regex.compile(r"\p{L}(?=\P{L})|\S(?=\s)")
@@ -69,7 +71,7 @@ def tiktoken_encoding(path: str):
 def _memory(path: str) -> pretokens.Memory:
     """One for each worker, which remembers from task to task."""
     encode = tiktoken_encoding(path).encode_ordinary
-    return pretokens.Memory(lambda new: list(map(encode, new)))
+    return pretokens.Memory(lambda new: list(map(encode, new)), REMEMBERED)
 
 
 @functools.cache

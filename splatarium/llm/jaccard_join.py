@@ -57,7 +57,7 @@ SOME_MEMBERS, MANY_GROUPS = 64, 32
 #: Sets of other families that ask a group come in blocks of about so many.
 ASKING = 1024
 #: Holders of shingles that are added up at once.
-_EXPANDED = 1 << 22
+_EXPANDED = 1 << 20
 _LEVELS = 4
 _SHRINK = 0.65
 

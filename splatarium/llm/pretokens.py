@@ -22,8 +22,8 @@ from . import common as c
 #: Fixed value: the pattern whose breaks `starts` finds by classes.
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 _LETTER, _NUMBER, _SPACE, _OTHER = range(4)
-#: A worker forgets its pre-tokens when there are more, or more characters in them.
-REMEMBERED, REMEMBERED_CHARS = 400_000, 16 << 20
+#: A worker forgets its pre-tokens when there are more; and when there are more characters in them than this for each.
+REMEMBERED, CHARS_EACH = 400_000, 40
 
 
 @functools.cache
@@ -74,8 +74,8 @@ def starts(buf: np.ndarray, off: np.ndarray) -> np.ndarray:
 class Memory:
     """Ids of pre-tokens; `encode` gives the ids of each of a list of new ones."""
 
-    def __init__(self, encode):
-        self.encode = encode
+    def __init__(self, encode, remembered: int = REMEMBERED):
+        self.encode, self.remembered = encode, remembered
         self.forget()
 
     def forget(self) -> None:
@@ -86,7 +86,7 @@ class Memory:
         """(ids end to end, number of ids of each pre-token)."""
         if not len(start):
             return np.zeros(0, np.uint32), np.zeros(0, np.int64)
-        if len(self.number) > REMEMBERED or self.chars > REMEMBERED_CHARS:
+        if len(self.number) > self.remembered or self.chars > CHARS_EACH * self.remembered:
             self.forget()
         ends = np.append(start, len(buf)).astype(np.int64)
         coded = pa.LargeStringArray.from_buffers(len(start), pa.py_buffer(ends), pa.py_buffer(np.ascontiguousarray(buf))).dictionary_encode()

@@ -37,6 +37,8 @@ from . import common as c
 
 #: A word is common that makes up one of so many of a language's words.
 COMMON = 250
+#: Parts in which the words of one language meet its total.
+PARTS = 256
 #: Character classes: Unicode categories, white space, and the marks of sentences apart from other punctuation.
 CLASSES = ("Ll", "Lu", "other letter", "mark", "number", "space", "sentence mark", "other punctuation", "symbol", "other")
 SENTENCE_MARKS = ".,;:!?'\"()-¿¡«»“”‘’…–—、。"
@@ -154,10 +156,15 @@ _NEW = (*_COLUMNS, "char_hist", "word_hist")
 def common_words(df: DataFrame, text: str = "text", lang: str = "lang") -> DataFrame:
     """(common_lang, common): the common words of each language, in lower case (of A
     to Z), the most frequent first. Counts combine on the map side."""
-    words = F.regexp_extract_all(F.translate(F.col(f"`{text}`"), _UPPER, _LOWER), F.lit(f"({c.WORD})"), F.lit(1))
+    words = F.regexp_extract_all(F.col(f"`{text}`"), F.lit(f"({c.WORD})"), F.lit(1))
     counts = df.select(F.col(f"`{lang}`").alias("lang"), F.explode(words).alias("word")).groupBy("lang", "word").agg(F.count(F.lit(1)).alias("n"))
+    # each different word is put into lower case, not each word
+    counts = counts.groupBy("lang", F.translate("word", _UPPER, _LOWER).alias("word")).agg(F.sum("n").alias("n"))
     total = df.groupBy(F.col(f"`{lang}`").alias("of")).agg(F.sum(c.n_words(F.col(f"`{text}`"))).alias("total"))
-    often = counts.join(total, F.col("lang").eqNullSafe(F.col("of"))).filter(F.col("n") * COMMON >= F.col("total"))
+    # a language may have most of the words: they meet its total in many parts
+    total = total.select("of", "total", F.explode(F.sequence(F.lit(0), F.lit(PARTS - 1))).alias("of_part"))
+    part = F.pmod(F.xxhash64("word"), F.lit(PARTS)).cast("int")
+    often = counts.withColumn("part", part).join(total, F.col("lang").eqNullSafe(F.col("of")) & (F.col("part") == F.col("of_part"))).filter(F.col("n") * COMMON >= F.col("total"))
     order = F.array_sort(F.collect_list(F.struct((-F.col("n")).alias("n"), "word")))
     return c.saved(often.groupBy(F.col("lang").alias("common_lang")).agg(order["word"].alias("common")), "common-words")
 
