@@ -3,6 +3,8 @@
 Each stage is a function (spark, docs, sf_dir) -> DataFrame over all that its
 predecessor kept; all but the last return the columns of `documents`. Between
 stages the rows are written as Parquet in the shared folder and read again.
+Every stage gives an empty table for an empty one, and further columns of docs,
+whatever their names, are carried along by all but the last.
 """
 
 from __future__ import annotations
@@ -14,30 +16,36 @@ from splatarium.llm import bpe, common, jaccard_join, line_dedup, quality_rules,
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drops documents that the quality rules reject."""
+    """Drops documents that the quality rules reject. Documents without 20 words go, so
+    null and empty texts do; a null language is a language of its own; repeated rows are
+    judged alike and stay apart."""
     return quality_rules.apply_rules(docs)
 
 
 def site_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drops lines that are frequent in their source, however few pages it has;
-    n_chars follows the text."""
+    n_chars follows the text. No document goes; a null text stays null, with a null
+    n_chars; a null source is a source; copies of a text count as one page."""
     cleaned = line_dedup.drop_boilerplate(docs, host="source")
     return cleaned.withColumn("n_chars", F.char_length("text").cast("long")).select(*docs.columns)
 
 
 def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of documents that link at 0.8 on five-word shingles, one of each group stays."""
+    """Of documents that link at 0.8 on five-word shingles, one of each group stays: the
+    one with the smallest doc_id. Documents without words, and rows without doc_id,
+    link with nothing and stay; of rows that share a doc_id one stays."""
     return jaccard_join.one_of_each(docs, words=5, percent=80)
 
 
 def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents as often as the mix of sources takes them: not, once or twice."""
+    """Documents as often as the mix of sources takes them: not, once or twice.
+    Documents without words are never taken; a null source is the last one."""
     return source_mix.mixed_rows(docs)
 
 
 def encoding(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token ids of every document of the mix: doc_id, lang, source, n_tokens and
-    ids as little-endian unsigned 32-bit integers."""
+    ids as little-endian unsigned 32-bit integers. A null or empty text has no ids."""
     import public_tokenizers
 
     coded = bpe.encode(docs, public_tokenizers.path("byte_bpe_50k.tiktoken"), keep_text=False)
@@ -46,7 +54,8 @@ def encoding(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 STAGES = [("quality", quality), ("site_lines", site_lines), ("near_copies", near_copies), ("mixing", mixing), ("encoding", encoding)]
 
-#: Distances, component search and BPE are beyond SQL; tests hold run() against brute force.
+#: Component search and BPE are beyond SQL; tests/llm/test_pipeline.py holds run(), and each
+#: stage, against a version in plain Python.
 ORACLE_SQL = None
 
 
