@@ -79,7 +79,9 @@ def boilerplate(df: DataFrame, host: str, text: str, percent: int) -> DataFrame:
     lines = F.array_distinct(F.split(F.col(f"`{text}`"), "\n", -1))
     worded = F.filter(lines, lambda x: x.rlike(c.WORD))
     page = F.xxhash64(F.col(f"`{text}`")).alias("page")
-    seen = df.select(F.col(f"`{host}`").alias("host"), page, F.explode(worded).alias("line")).select("host", "page", F.xxhash64("line").alias("line")).distinct().groupBy("host", "line").agg(F.count(F.lit(1)).alias("pages"))
+    # the hash of a page comes before its lines are taken apart, so no line carries the page along
+    pages = df.select(F.col(f"`{host}`").alias("host"), page, worded.alias("lines"))
+    seen = pages.select("host", "page", F.explode("lines").alias("line")).select("host", "page", F.xxhash64("line").alias("line")).distinct().groupBy("host", "line").agg(F.count(F.lit(1)).alias("pages"))
     total = df.filter(F.col(f"`{text}`").isNotNull()).select(F.col(f"`{host}`").alias("of_host"), page).distinct().groupBy("of_host").agg(F.count(F.lit(1)).alias("all_pages"))
     often = seen.filter("pages > 1").join(total, F.col("host").eqNullSafe(F.col("of_host"))).filter(100 * F.col("pages") > percent * F.col("all_pages"))
     return often.groupBy("host").agg(F.collect_set("line").alias("lines"))
