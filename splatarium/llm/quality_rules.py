@@ -240,13 +240,19 @@ def with_verdicts(counted: DataFrame, refs: DataFrame, lang: str = "lang", rules
 def apply_rules(df: DataFrame, text: str = "text", lang: str = "lang", rules: Rules = Rules()) -> DataFrame:
     """The rows of df that the rules keep, with all their columns.
 
-    Texts are counted once, and written beside their counts.
+    Texts are counted twice, once for the references and once for the verdicts, so
+    that only numbers are written in between: a copy of the texts beside their
+    counts would take as much disk as the corpus.
     """
     names = c.fresh(df, *(f"c{k}" for k in range(len(df.columns))))
     plain = df.toDF(*names)
     text, lang = (names[df.columns.index(x)] for x in (text, lang))
-    counted = c.saved(count_texts(plain, common_words(plain, text, lang), text, lang, carry=tuple(names)), "counted")
-    return with_verdicts(counted, language_references(counted, lang, rules), lang, rules).filter("kept").select(*[F.col(a).alias(b) for a, b in zip(names, df.columns)])
+    words = common_words(plain, text, lang)
+    numbers = c.saved(count_texts(plain, words, text, lang, carry=(lang,)), "quality-counts")
+    refs = language_references(numbers, lang, rules)
+    c.release(numbers)
+    counted = count_texts(plain, words, text, lang, carry=tuple(names))
+    return with_verdicts(counted, refs, lang, rules).filter("kept").select(*[F.col(a).alias(b) for a, b in zip(names, df.columns)])
 
 
 def op1_quality_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
