@@ -20,6 +20,7 @@ QUERIES = {
 ORACLE_SQL: dict[str, str] = {
     "op1_quality_divergence": quality_rules.OP1_SQL,
     "op2_chat_format": chat_format.OP2_SQL,
+    "op6_ngram_jaccard_join": jaccard_join.OP6_SQL,
     "op7_site_line_frequency": line_dedup.OP7_SQL,
     "op9_source_mix": source_mix.OP9_SQL,
     "op10_warc_transactions": warc.OP10_SQL,
