@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import bpe, chat_format, grammar_store, jaccard_join, line_dedup, ordinal_quality, periodic, quality_rules, source_mix, tiff, warc
+from . import bpe, chat_format, filter_audit, grammar_store, jaccard_join, line_dedup, ordinal_quality, periodic, quality_rules, source_mix, tiff, warc
 
 QUERIES = {
     "op1_quality_divergence": quality_rules.op1_quality_divergence,
@@ -15,6 +15,7 @@ QUERIES = {
     "op8_chunked_bpe": bpe.op8_chunked_bpe,
     "op9_source_mix": source_mix.op9_source_mix,
     "op10_warc_transactions": warc.op10_warc_transactions,
+    "op11_filter_audit": filter_audit.op11_filter_audit,
     "op13_periodic_runs": periodic.op13_periodic_runs,
 }
 
@@ -25,4 +26,5 @@ ORACLE_SQL: dict[str, str] = {
     "op7_site_line_frequency": line_dedup.OP7_SQL,
     "op9_source_mix": source_mix.OP9_SQL,
     "op10_warc_transactions": warc.OP10_SQL,
+    "op11_filter_audit": filter_audit.OP11_SQL,
 }
