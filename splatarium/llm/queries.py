@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import bpe, chat_format, filter_audit, grammar_store, jaccard_join, line_dedup, ordinal_quality, periodic, quality_rules, source_mix, tiff, warc
+from . import attention_lm, bpe, chat_format, filter_audit, grammar_store, jaccard_join, line_dedup, ordinal_quality, periodic, quality_rules, source_mix, tiff, warc
 
 QUERIES = {
     "op1_quality_divergence": quality_rules.op1_quality_divergence,
@@ -16,6 +16,7 @@ QUERIES = {
     "op9_source_mix": source_mix.op9_source_mix,
     "op10_warc_transactions": warc.op10_warc_transactions,
     "op11_filter_audit": filter_audit.op11_filter_audit,
+    "op12_attention_lm": attention_lm.op12_attention_lm,
     "op13_periodic_runs": periodic.op13_periodic_runs,
 }
 
