@@ -26,7 +26,7 @@ def site_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drops lines that are frequent in their source, however few pages it has;
     n_chars follows the text. No document goes; a null text stays null, with a null
     n_chars; a null source is a source; copies of a text count as one page."""
-    cleaned = line_dedup.drop_boilerplate(docs, host="source")
+    cleaned = line_dedup.drop_boilerplate(docs, host="source", copies_once=True)
     return cleaned.withColumn("n_chars", F.char_length("text").cast("long")).select(*docs.columns)
 
 

@@ -33,7 +33,6 @@ import functools
 
 import numpy as np
 import pyarrow as pa
-import regex
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -49,9 +48,6 @@ BATCH_BYTES = 1 << 20
 #: Pre-tokens that a worker remembers; an executor may have workers that encode and others that decode.
 REMEMBERED = 250_000
 
-#: Places at which every tokenisation breaks, whatever stands before.
-_SURE = regex.compile(r"\p{L}(?=\P{L})|\S(?=\s)")
-
 
 def _ranks(path: str) -> dict[bytes, int]:
     with open(path, "rb") as f:
@@ -84,6 +80,14 @@ def _vocabulary(path: str) -> pa.Array:
 # ------------------------------------------------------------------ chunks
 
 
+def _breaks_surely(raw: bytes) -> bool:
+    """Is there a place at which every tokenisation breaks, whatever stands before: a letter
+    before something else, or white space behind something else?"""
+    kind = pretokens.tiktoken_classes()[np.frombuffer(raw.decode("utf-8", "ignore").encode("utf-32-le"), np.uint32)]
+    changes = kind[1:] != kind[:-1]
+    return bool((changes & ((kind[:-1] == pretokens.LETTER) | (kind[1:] == pretokens.SPACE))).any())
+
+
 def chunk_starts(raw: bytes, size: int, overlap: int = OVERLAP) -> list[int]:
     """Byte positions in a text at which its chunks begin."""
     starts, at = [0], size
@@ -92,7 +96,7 @@ def chunk_starts(raw: bytes, size: int, overlap: int = OVERLAP) -> list[int]:
         while a < len(raw) and raw[a] & 0xC0 == 0x80:
             a += 1  # not inside a character
         # the character after a sure place has to be there as well
-        if _SURE.search(raw[a : a + overlap - MARGIN].decode("utf-8", "ignore")):
+        if _breaks_surely(raw[a : a + overlap - MARGIN]):
             starts.append(a)
         at += size
     return starts
@@ -128,12 +132,12 @@ def stitched_starts(buf: np.ndarray, off: np.ndarray, size: int = CHUNK, overlap
         first += [True] + [False] * (len(own) - 1)
         sound += [x if x == b else x - MARGIN for x in reach[-len(own) :]]
     if len(begin) == len(off) - 1:
-        return pretokens.starts(buf, off), 0
+        return pretokens.starts(buf, off, pretokens.tiktoken_classes()), 0
     begin, reach, first, sound = map(np.array, (begin, reach, first, sound))
     # the chunks one behind another, with what stands in two of them twice
     upto = c.running(reach - begin)
     lanes = np.frombuffer(b"".join(raw[a:b] for a, b in zip(begin.tolist(), reach.tolist())), np.uint8)
-    found = pretokens.starts(lanes, upto)
+    found = pretokens.starts(lanes, upto, pretokens.tiktoken_classes())
     lane = np.searchsorted(upto, found, side="right") - 1
     shift = begin[lane] - upto[lane]
     start, end = found + shift, np.append(found[1:], len(lanes)) + shift

@@ -82,7 +82,7 @@ class JsonEncoder:
         """(ids of all texts end to end, number of ids of each); a null is an empty text."""
         flat, counts = [], []
         for _, buf, off in c.slices(texts, ENCODE_BYTES):
-            start = pretokens.starts(buf, off)
+            start = pretokens.starts(buf, off, pretokens.tokenizers_classes())
             ids, n = self.memory.ids(buf, start)
             upto = c.running(n)[np.searchsorted(start, off)]
             flat.append(ids)

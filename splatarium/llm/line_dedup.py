@@ -7,7 +7,9 @@ line on another host stays unless it is frequent there too.
 
 `host_pages` makes pages fit for that: the host out of the url, and the lines of
 text out of the markup. Any table with a column of hosts (or sources) and one of
-texts will do as well.
+texts will do as well. Copies of a page are pages like others; with `copies_once`, rows of
+a host with equal texts count as one page, for tables in which whole texts are copied.
+Lines are compared by 64-bit hashes.
 
 A page has few lines, so few lines can be frequent: with an average of a lines
 a page, at most a / share lines of a host are boilerplate. That is what makes
@@ -18,9 +20,10 @@ execution splits a host that holds much of the corpus.
 
 Defined cases: a null text has no lines and stays null; lines without a word
 are never dropped, and rejoining keeps their places; null is a host of its
-own; rows of a host with equal texts are one page, so copies of a page don't make
-its lines boilerplate, and a null text is none; a line on one page only is never
-dropped, nor one at exactly the share. All columns of the input are
+own; every row with a text is a page (a null text is none), so a mirrored page counts as
+often as it is there, but with `copies_once` only once; a line on fewer than
+`LEAST_PAGES` pages is never dropped, since every line of a host's only page would be
+frequent, nor is one at exactly the share. All columns of the input are
 returned. A url without a scheme and a host, or null, has a null host; markup
 without text gives an empty text, and null html a null text.
 """
@@ -39,6 +42,8 @@ def _any_case(*names: str) -> str:
 
 #: In the query, a line on more than so many percent of a host's pages goes.
 PERCENT = 10
+#: Pages that a boilerplate line stands on at least.
+LEAST_PAGES = 2
 # Patterns that Java and DuckDB read alike.
 _END = r"(?:[ \t\r\n/][^>]*)?>"
 #: The host after scheme and user, without the port.
@@ -74,20 +79,23 @@ def host_pages(pages: DataFrame, url: str = "url", html: str = "html") -> DataFr
     return c.saved(pages.select(*rest, host_of(F.col(f"`{url}`")).alias("host"), text_of(F.col(f"`{html}`")).alias("text")), "host-pages")
 
 
-def boilerplate(df: DataFrame, host: str, text: str, percent: int) -> DataFrame:
+def boilerplate(df: DataFrame, host: str, text: str, percent: int, copies_once: bool = False) -> DataFrame:
     """(host, lines): hashes of the boilerplate lines of each host that has any."""
     lines = F.array_distinct(F.split(F.col(f"`{text}`"), "\n", -1))
     worded = F.filter(lines, lambda x: x.rlike(c.WORD))
     page = F.xxhash64(F.col(f"`{text}`")).alias("page")
     # the hash of a page comes before its lines are taken apart, so no line carries the page along
-    pages = df.select(F.col(f"`{host}`").alias("host"), page, worded.alias("lines"))
-    seen = pages.select("host", "page", F.explode("lines").alias("line")).select("host", "page", F.xxhash64("line").alias("line")).distinct().groupBy("host", "line").agg(F.count(F.lit(1)).alias("pages"))
-    total = df.filter(F.col(f"`{text}`").isNotNull()).select(F.col(f"`{host}`").alias("of_host"), page).distinct().groupBy("of_host").agg(F.count(F.lit(1)).alias("all_pages"))
-    often = seen.filter("pages > 1").join(total, F.col("host").eqNullSafe(F.col("of_host"))).filter(100 * F.col("pages") > percent * F.col("all_pages"))
+    pages = df.filter(F.col(f"`{text}`").isNotNull()).select(F.col(f"`{host}`").alias("host"), page, worded.alias("lines"))
+    seen = pages.select("host", "page", F.explode("lines").alias("line")).select("host", "page", F.xxhash64("line").alias("line"))
+    total = pages.select(F.col("host").alias("of_host"), "page")
+    if copies_once:
+        seen, total = seen.distinct(), total.distinct()
+    seen, total = seen.groupBy("host", "line").agg(F.count(F.lit(1)).alias("pages")), total.groupBy("of_host").agg(F.count(F.lit(1)).alias("all_pages"))
+    often = seen.filter(F.col("pages") >= LEAST_PAGES).join(total, F.col("host").eqNullSafe(F.col("of_host"))).filter(100 * F.col("pages") > percent * F.col("all_pages"))
     return often.groupBy("host").agg(F.collect_set("line").alias("lines"))
 
 
-def drop_boilerplate(df: DataFrame, host: str = "host", text: str = "text", percent: int = 5) -> DataFrame:
+def drop_boilerplate(df: DataFrame, host: str = "host", text: str = "text", percent: int = 5, copies_once: bool = False) -> DataFrame:
     """df with its boilerplate lines dropped, and n_lines and n_dropped.
 
     Two new columns; where df has columns of these names, theirs are replaced.
@@ -95,7 +103,7 @@ def drop_boilerplate(df: DataFrame, host: str = "host", text: str = "text", perc
     names = c.fresh(df, *(f"c{k}" for k in range(len(df.columns))))
     plain = df.toDF(*names)
     h, t = (names[df.columns.index(x)] for x in (host, text))
-    lists = c.saved(boilerplate(plain, h, t, percent), "boilerplate")
+    lists = c.saved(boilerplate(plain, h, t, percent, copies_once), "boilerplate")
     joined = plain.join(lists, F.col(h).eqNullSafe(F.col("host")), "left")
     all_lines = F.split(F.col(t), "\n", -1)
     left = F.when(F.col("lines").isNull(), all_lines).otherwise(F.filter(all_lines, lambda x: ~F.array_contains("lines", F.xxhash64(x))))
@@ -111,8 +119,9 @@ def op7_site_line_frequency(spark: SparkSession, sf_dir: str) -> DataFrame:
     return drop_boilerplate(host_pages(c.table(spark, sf_dir, "pages")), percent=PERCENT)
 
 
-def frequency_sql(pages: str, percent: int) -> str:
+def frequency_sql(pages: str, percent: int, copies_once: bool = False) -> str:
     """The same in SQL over a select of (id, host, text) with other columns."""
+    n, of = ("count(DISTINCT text)", "count(DISTINCT l.text)") if copies_once else ("count(text)", "count(DISTINCT l.page)")
     return rf"""
 WITH pages_ AS (SELECT row_number() OVER () AS page, * FROM ({pages})),
 lines AS (
@@ -120,10 +129,10 @@ lines AS (
     SELECT page, host, text, unnest(list_zip(range(1, len(l) + 1), l)) AS z FROM (SELECT *, string_split(text, chr(10)) AS l FROM pages_ WHERE text IS NOT NULL)
   ), LATERAL (SELECT z[1] AS pos, z[2] AS line) u
 ),
-totals AS (SELECT host, count(DISTINCT text) AS n FROM pages_ GROUP BY host),
+totals AS (SELECT host, {n} AS n FROM pages_ GROUP BY host),
 often AS (
   SELECT l.host, l.line FROM lines l JOIN totals t ON l.host IS NOT DISTINCT FROM t.host
-  WHERE regexp_matches(l.line, '[^\x20\x09-\x0D]') GROUP BY l.host, l.line, t.n HAVING 100 * count(DISTINCT l.text) > {percent} * t.n AND count(DISTINCT l.text) > 1
+  WHERE regexp_matches(l.line, '[^\x20\x09-\x0D]') GROUP BY l.host, l.line, t.n HAVING 100 * {of} > {percent} * t.n AND {of} >= {LEAST_PAGES}
 ),
 marked AS (SELECT l.*, o.line IS NOT NULL AS gone FROM lines l LEFT JOIN often o ON l.host IS NOT DISTINCT FROM o.host AND l.line = o.line),
 joined AS (

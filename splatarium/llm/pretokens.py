@@ -3,6 +3,7 @@
 The usual pattern (contractions, letters, numbers, other marks, each with a space
 before it if there is one; white space) breaks where the class of a character
 changes, so its breaks are found for many texts at once from an array of classes.
+Unicode's classes differ from version to version, so each library is asked for its own.
 
 Each different pre-token of a batch is looked up once, and a new one goes to a
 tokenizer's library once; the ids of a text are gathered from those.
@@ -15,31 +16,45 @@ from itertools import chain
 
 import numpy as np
 import pyarrow as pa
-import regex
 
 from . import common as c
 
 #: Fixed value: the pattern whose breaks `starts` finds by classes.
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
-_LETTER, _NUMBER, _SPACE, _OTHER = range(4)
+LETTER, _NUMBER, SPACE, _OTHER = range(4)
 #: A worker forgets its pre-tokens when there are more; and when there are more characters in them than this for each.
 REMEMBERED, CHARS_EACH = 400_000, 40
 
 
-@functools.cache
-def _classes() -> np.ndarray:
-    """The class of every code point."""
+def _class_table(members) -> np.ndarray:
+    """The class of every code point; members(class, all) gives those of a class."""
     out = np.full(0x110000, _OTHER, np.uint8)
     every = "".join(map(chr, chain(range(0xD800), range(0xE000, 0x110000))))
-    for kind, what in ((_LETTER, r"\p{L}+"), (_NUMBER, r"\p{N}+"), (_SPACE, r"\s+")):
-        for m in regex.finditer(what, every):
-            out[ord(every[m.start()]) : ord(every[m.end() - 1]) + 1] = kind
+    for kind, inside, outside in ((LETTER, r"\p{L}", r"\P{L}"), (_NUMBER, r"\p{N}", r"\P{N}"), (SPACE, r"\s", r"\S")):
+        out[np.frombuffer(members(inside, outside, every).encode("utf-32-le"), np.uint32)] = kind
     return out
 
 
-def starts(buf: np.ndarray, off: np.ndarray) -> np.ndarray:
-    """Byte positions in buf at which pre-tokens begin, over all texts of a slice;
-    a pre-token never reaches over the end of its text."""
+@functools.cache
+def tiktoken_classes() -> np.ndarray:
+    """The classes as tiktoken has them: it encodes what a pattern matches and skips the rest."""
+    import tiktoken
+
+    one = {bytes([k]): k for k in range(256)}
+    return _class_table(lambda inside, _, every: bytes(tiktoken.Encoding("class", pat_str=inside, mergeable_ranks=one, special_tokens={}).encode_ordinary(every)).decode())
+
+
+@functools.cache
+def tokenizers_classes() -> np.ndarray:
+    """The classes as tokenizers has them."""
+    from tokenizers import Regex, normalizers
+
+    return _class_table(lambda _, outside, every: normalizers.Replace(Regex(outside + "+"), "").normalize_str(every))
+
+
+def starts(buf: np.ndarray, off: np.ndarray, classes: np.ndarray) -> np.ndarray:
+    """Byte positions in buf at which pre-tokens begin, over all texts of a slice, by
+    the classes of one of the libraries; a pre-token never reaches over the end of its text."""
     if not len(buf):
         return np.zeros(0, np.int64)
     ascii = int(buf.max()) < 128
@@ -51,8 +66,8 @@ def starts(buf: np.ndarray, off: np.ndarray) -> np.ndarray:
         at = c.running(size)  # of each character, in bytes
         first = np.searchsorted(at, off[:-1])
     n = len(text)
-    kind = _classes()[text]
-    space, edge = kind == _SPACE, np.zeros(n + 1, bool)
+    kind = classes[text]
+    space, edge = kind == SPACE, np.zeros(n + 1, bool)
     edge[first] = True
     edge[n] = True
     start = edge[:n].copy()

@@ -36,7 +36,25 @@ def test_pretokens(texts):
             for a, t in want:
                 at.append(ends.get(a, a))
                 ends[a] = at[-1] + len(t.encode())
-            assert pretokens.starts(buf, off).tolist() == at
+            assert pretokens.starts(buf, off, pretokens.tiktoken_classes()).tolist() == at == pretokens.starts(buf, off, pretokens.tokenizers_classes()).tolist()
+
+
+def test_every_code_point():
+    """Ids are the libraries' for all code points: before a contraction, a letter, a digit
+    and a space, and behind a letter."""
+    every = "".join(chr(k) for k in range(0x110000) if not 0xD800 <= k < 0xE000)
+    lines = ["".join(f"\n{ch}'s{ch}a{ch}1{ch} a{ch}{ch}" for ch in every[a : a + 2048]) for a in range(0, len(every), 2048)]
+    texts = pa.array(lines)
+    want = bpe.tiktoken_encoding(RANKS).encode_ordinary_batch(lines)
+    for _, buf, off in common.slices(texts):
+        ids, start, upto = bpe._ids(buf, off, RANKS, bpe.CHUNK, bpe.OVERLAP)
+        for got in np.split(ids, upto[np.searchsorted(start, off[1:-1])]):
+            assert got.tolist() == want.pop(0)
+    assert not want
+    ids, counts = grammar_store.json_encoder(JSON)(texts)
+    want = Tokenizer.from_file(JSON).encode_batch(lines, add_special_tokens=False)
+    for got, w in zip(np.split(ids, np.cumsum(counts)[:-1]), want, strict=True):
+        assert got.tolist() == w.ids
 
 
 def test_chunks_fall_in_step(texts):
@@ -45,7 +63,7 @@ def test_chunks_fall_in_step(texts):
     some = texts + ["".join(r.choice(["'", "s", "''", " ", "'s", "é", "文", "\u3000", "。", "1"]) for _ in range(r.choice([50, 900, 3000]))) for _ in range(100)]
     for chunk, overlap in ((64, 40), (100, 48), (600, 64)):
         for _, buf, off in common.slices(pa.array(some), 1 << 16):
-            assert bpe.stitched_starts(buf, off, chunk, overlap)[0].tolist() == pretokens.starts(buf, off).tolist()
+            assert bpe.stitched_starts(buf, off, chunk, overlap)[0].tolist() == pretokens.starts(buf, off, pretokens.tiktoken_classes()).tolist()
     docs = pq.read_table("/root/testdata/sf0.01/documents.parquet")["text"]
     stitches = sum(bpe.stitched_starts(buf, off)[1] for _, buf, off in common.slices(docs))
     full = sum(max(0, len(t.encode()) - 1) // bpe.CHUNK for t in docs.to_pylist() if t)
