@@ -147,12 +147,42 @@ def test_line_dedup(spark):
 
 
 def test_line_at_exactly_the_share(spark):
-    """2 of 40 pages are 5 percent and stay; 2 of 39 are more. Copies are one page, and repeated lines of a page count once."""
+    """2 of 40 pages are 5 percent and stay; 2 of 39 are more. Copies are pages too, unless they are to count once, and repeated lines of a page count once."""
     rows = [(i, f"both\nboth\nown {i}" if i % 40 < 2 else f"only {i}", f"h{i // 40}") for i in range(79)] + [(100, "same", "twice"), (100, "same", "twice"), (101, None, "twice")]
-    got = collections.defaultdict(list)
-    for r in line_dedup.drop_boilerplate(spark.createDataFrame(rows, "doc_id long, text string, host string")).collect():
-        got[r.doc_id].append((r.text, r.n_dropped))
-    assert got[0] == [("both\nboth\nown 0", 0)] and got[40] == [("own 40", 2)] and got[50] == [("only 50", 0)] and got[100] == [("same", 0)] * 2 and got[101] == [(None, 0)]
+    for once in (False, True):
+        got = collections.defaultdict(list)
+        for r in line_dedup.drop_boilerplate(spark.createDataFrame(rows, "doc_id long, text string, host string"), copies_once=once).collect():
+            got[r.doc_id].append((r.text, r.n_dropped))
+        assert got[0] == [("both\nboth\nown 0", 0)] and got[40] == [("own 40", 2)] and got[50] == [("only 50", 0)] and got[100] == [("same", 0) if once else ("", 1)] * 2 and got[101] == [(None, 0)]
+
+
+def brute_frequent(rows, percent, once):
+    """(id, text) of (id, host, text) rows after their frequent lines went, page by page."""
+    out = []
+    for i, host, text in rows:
+        pages = [t for _, h, t in rows if h == host and t is not None]
+        pages = set(pages) if once else pages
+        on = lambda line: sum(line in t.split("\n") for t in pages)  # noqa: E731, B023
+        gone = lambda line: WORD.search(line) and on(line) > 1 and 100 * on(line) > percent * len(pages)  # noqa: E731, B023
+        out.append((i, text if text is None else "\n".join(x for x in text.split("\n") if not gone(x))))
+    return sorted(out, key=str)
+
+
+@pytest.mark.parametrize("once", [False, True])
+def test_mirrored_pages(spark, once):
+    """Hosts whose pages stand there several times, in plain Python and in SQL."""
+    import duckdb
+
+    r = random.Random(6)
+    pages = ["\n".join(r.choice(["menu", "foot", "", f"own {k}", f"own {k} b", " "]) for _ in range(6)) for k in range(25)] + [None, ""]
+    rows = [(i, r.choice(["a", "a", "b", "c", None]), r.choice(pages[: 8 if i % 2 else 27])) for i in range(120)]
+    df = spark.createDataFrame(rows, "id long, host string, text string")
+    got = line_dedup.drop_boilerplate(df, percent=10, copies_once=once).select("id", "host", "text", "n_lines", "n_dropped").toPandas()
+    assert sorted(((i, None if t is None else t) for i, t in zip(got.id.tolist(), got.text.where(got.text.notna(), None))), key=str) == brute_frequent(rows, 10, once)
+    table = df.toPandas()  # noqa: F841
+    want = duckdb.sql(line_dedup.frequency_sql("SELECT id, host, text FROM table", 10, once).replace("FROM table", 'FROM "table"')).df()[list(got.columns)]
+    a, b = (x.astype({"n_lines": "int64", "n_dropped": "int64"}).astype(str).replace("nan", "None").sort_values("id", ignore_index=True) for x in (got, want))
+    assert a.equals(b) and got.n_dropped.sum() > 20
 
 
 def test_host_pages(spark):
