@@ -6,6 +6,7 @@ import functools
 import itertools
 import math
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -57,6 +58,97 @@ def _near(some: DataFrame, points: DataFrame, threshold: float, when: Column) ->
     return points.join(spread, _COARSE).filter(when & (d2[0] + d2[1] + d2[2] < threshold * threshold)).select("of", "key")
 
 
+#: Points that a block holds at most, if its edge is longer than the least, in coarse cells.
+BLOCK, LEAST_EDGE = 200_000, 8
+_STAYS, _OPEN = 1, 0
+
+
+def _edge_of_blocks(points: DataFrame) -> int:
+    """The longest power-of-two edge, in coarse cells, at which no block has more than
+    BLOCK points: counts of the smallest blocks add up to those of larger ones."""
+    small = points.groupBy(*[F.expr(f"{c} div {LEAST_EDGE} - int({c} % {LEAST_EDGE} < 0)").alias(c) for c in _COARSE]).agg(F.count(F.lit(1)).alias("n"))
+    levels = small.select(F.explode(F.sequence(F.lit(0), F.lit(40))).alias("level"), *_COARSE, "n")
+    at = levels.groupBy("level", *[F.expr(f"shiftright({c}, level)").alias(c) for c in _COARSE]).agg(F.sum("n").alias("n"))
+    fits = [r["level"] for r in at.groupBy("level").agg(F.max("n").alias("n")).collect() if r["n"] <= BLOCK]
+    return LEAST_EDGE << max(fits, default=0)
+
+
+def _into_blocks(points: DataFrame, edge: int, own: bool) -> DataFrame:
+    """points with the block (bx, by, bz) of each, or with `mine` false those that lie so near a
+    border that they count in another block; own leaves those that lie in it out or not."""
+    block = lambda c, d: F.floor((F.col(c) + d) / F.lit(edge)).cast("long")
+    sides = [F.array_distinct(F.array(block(c, 0), block(c, -1), block(c, 1))) for c in _COARSE]
+    out = points
+    for c, side in zip(_COARSE, sides):
+        out = out.withColumn(f"b{c}", F.explode(side))
+    mine = functools.reduce(Column.__and__, [F.col(f"b{c}") == block(c, 0) for c in _COARSE])
+    return out.withColumn("mine", mine) if own else out.withColumn("mine", mine).filter("not mine")
+
+
+def _settle(points: DataFrame, threshold: float) -> DataFrame:
+    """(key) of the points that stay by the rule of `first`.
+
+    Space is cut into blocks of a bounded number of points. A task goes through a block in
+    the order of keys, with a hash of cells in memory: a point that an earlier staying one is
+    near goes, one that an earlier undecided one is near is left open, any other stays.
+    Undecided are at first only the points of other blocks within a cell of the border, so
+    what is left open are chains that cross borders; these go into another round, with what
+    stays around them. A chain is decided as far as it lies in one block in each round, and
+    the earliest open point of all is decided in every one, so rounds end. Memory holds the
+    points that stay, of which a cell has few, and a box around the open points of each fine
+    cell: what an open point of such a box might be near to is left open too.
+    """
+    edge = _edge_of_blocks(points)
+    least, kind = threshold * threshold, ("key", *_P, *_COARSE, *_FINE, "state")
+    around = list(itertools.product((-1, 0, 1), repeat=3))
+    names = [*kind[:-1], *(f"b{c}" for c in _COARSE), "mine", "state"]
+    at = {x: i for i, x in enumerate(names)}
+
+    def go(batches):
+        block, staying, open_ = None, {}, {}
+        columns = [at[x] for x in (*_P, *_COARSE, *_FINE, *(f"b{c}" for c in _COARSE), "mine", "state")]
+        for batch in batches:
+            taken, states = [], []
+            for i, (x, y, z, cx, cy, cz, fx, fy, fz, bx, by, bz, mine, state) in enumerate(zip(*(batch.column(k).to_pylist() for k in columns))):
+                if (bx, by, bz) != block:
+                    block, staying, open_ = (bx, by, bz), {}, {}
+                if state == _OPEN:
+                    cells = [(cx + dx, cy + dy, cz + dz) for dx, dy, dz in around]
+                    if any((px - x) * (px - x) + (py - y) * (py - y) + (pz - z) * (pz - z) < least for c in cells if c in staying for px, py, pz in staying[c]):
+                        continue
+                    boxes = (box for c in cells if c in open_ for box in open_[c].values())
+                    waits = not mine or any(max(a - x, 0.0, x - d) ** 2 + max(b - y, 0.0, y - e) ** 2 + max(c - z, 0.0, z - f) ** 2 < least for a, b, c, d, e, f in boxes)
+                    state = _OPEN if waits else _STAYS
+                    if mine:
+                        taken.append(i)
+                        states.append(state)
+                if state == _STAYS:
+                    staying.setdefault((cx, cy, cz), []).append((x, y, z))
+                else:
+                    own = open_.setdefault((cx, cy, cz), {})
+                    a, b, c, d, e, f = own.get((fx, fy, fz), (x, y, z, x, y, z))
+                    own[fx, fy, fz] = min(a, x), min(b, y), min(c, z), max(d, x), max(e, y), max(f, z)
+            if taken:
+                some = batch.take(pa.array(taken))
+                yield pa.RecordBatch.from_arrays([*(some.column(at[k]) for k in kind[:-1]), pa.array(states, pa.int32())], list(kind))
+
+    left = points.select(*kind[:-1], F.lit(_OPEN).alias("state"))
+    settled, border = [], None  # border: what stayed in the round before
+    while True:
+        dealt = _into_blocks(left, edge, own=True)
+        if border is not None:
+            dealt = dealt.unionByName(_into_blocks(border, edge, own=False))
+        by = [f"b{c}" for c in _COARSE]
+        ordered = dealt.select(*names).repartition(*by).sortWithinPartitions(*by, "key")
+        done = saved(ordered.mapInArrow(go, left.schema))
+        border, left = done.filter(F.col("state") == _STAYS), done.filter(F.col("state") == _OPEN)
+        settled.append(border.select("key"))
+        if len(settled) == 16:  # so that the plan stays small, however many rounds there are
+            settled = [saved(functools.reduce(DataFrame.unionByName, settled))]
+        if not left.limit(1).count():
+            return functools.reduce(DataFrame.unionByName, settled)
+
+
 def deduplicate(df: DataFrame, threshold: float = 1e-6, method: str = "first", order: list[str] | None = None) -> DataFrame:
     """Rows without near copies: distance below the threshold, exclusive.
 
@@ -65,10 +157,9 @@ def deduplicate(df: DataFrame, threshold: float = 1e-6, method: str = "first", o
     the row order, which have to be unique together; gid by default.
 
     Exact copies come first: of the rows at one position all but one go at once,
-    by aggregation. Fine cells are so small that their points are all near one
-    another: only the last (or first undecided) point of each can stay, so only
-    these are held against the points around. `first` is settled in rounds: a
-    point that no undecided earlier one is near stays, and what is near it goes.
+    by aggregation. For `last`, fine cells are so small that their points are all near one
+    another: only the last point of each can stay, so only these are held against the
+    points around. For `first`, blocks of space are settled by one task each, see `_settle`.
     """
     if method == "average":
         raise NotImplementedError("method 'average'")
@@ -87,14 +178,7 @@ def deduplicate(df: DataFrame, threshold: float = 1e-6, method: str = "first", o
         last = one_of_each(points, F.max)
         stays = last.join(_near(last, points, threshold, F.col("key") > F.col("of")).select(F.col("of").alias("key")).distinct(), "key", "left_anti").select("key")
     else:
-        settled, left = [], points
-        while left.limit(1).count():
-            first = saved(one_of_each(left, F.min))
-            late = _near(first, left, threshold, F.col("key") < F.col("of")).select(F.col("of").alias("key")).distinct()
-            settled.append(saved(first.join(late, "key", "left_anti")))
-            gone = _near(settled[-1], left, threshold, F.lit(True)).select("key").distinct()  # the point itself too
-            left = saved(left.join(gone, "key", "left_anti"))
-        stays = functools.reduce(DataFrame.unionByName, [x.select("key") for x in settled]) if settled else points.select("key")
+        stays = _settle(points, threshold)
     return df.join(stays.select("key.*"), order, "left_semi")
 
 

@@ -7,6 +7,7 @@ numbers joined to all rows, which Spark plans as a broadcast of that row.
 
 from __future__ import annotations
 
+import functools
 import math
 from dataclasses import dataclass, replace
 
@@ -46,42 +47,73 @@ def centroid(df: DataFrame) -> DataFrame:
     return df.agg(*[F.avg(c).alias(f"mean_{c}") for c in POS])
 
 
-#: Cells of one step of the search for a percentile.
-CELLS = 4096
+#: Cells of a power of two in the first step of a search, cells of an interval in each later
+#: one, and rows whose values are taken themselves at last.
+PER_BINADE, DIGIT, FEW = 64, 1 << 14, 20_000
+_BORDER = 1 << 18  # no cell of a finite number is beyond
 
 
-def percentiles(df: DataFrame, value: Column, shares: dict[str, float], steps: int = 2) -> DataFrame:
-    """One row, a column for each name in shares: exact percentiles with linear
-    interpolation, nulls for a scene without values; NaN is none.
+def _binade_cell(v: Column) -> Column:
+    """A number for v that never falls as v rises: its sign, its power of two and the first digit
+    behind it. Where log2 is off at a power of two, the digit makes up for it."""
+    a = F.abs(v)
+    power = F.floor(F.log2(a))
+    cell = power * (2 * PER_BINADE) + F.floor(a / F.pow(F.lit(2.0), power.cast("double")) * PER_BINADE) + _BORDER
+    return F.when(v == 0, 0).when(a == math.inf, F.signum(v).cast("long") * 2 * _BORDER).otherwise(F.signum(v).cast("long") * cell).cast("long")
 
-    The rows at the wanted ranks are found by counting: cells between the smallest
-    and the largest value, then cells within the cells that hold those rows, at
-    last the values in what is left. Each step is an aggregate whose result is a
-    few rows for each cell, so memory does not depend on the number of rows.
+
+def percentile_values(df: DataFrame, value: Column, shares: dict[str, float]) -> dict[str, float | None]:
+    """Exact percentiles with linear interpolation, None for a scene without values; NaN is none.
+
+    Radix selection: the first pass counts rows by the leading bits of their numbers, each
+    later one splits only the cells that hold a wanted rank by their next 14 bits. So
+    there are at most six passes, mostly two, and what the driver gets of each has a bound
+    that no values and no number of rows change; each is one aggregate with map-side sums.
     """
     base = df.select(value.cast("double").alias("v")).filter("v is not null and not isnan(v)")
-    ends = base.agg(F.min("v").alias("lo"), F.max("v").alias("hi"), F.count(F.lit(1)).alias("n"))
-    # two ranks for each share, and where between them it lies
-    at = {name: F.lit(float(s)) * (F.col("n") - 1) for name, s in shares.items()}
-    ranks = [F.struct(F.lit(name).alias("name"), F.lit(up).alias("up"), F.least(F.floor(x) + up, F.col("n") - 1).alias("rank"), (x - F.floor(x)).alias("part")) for name, x in at.items() for up in (0, 1)]
-    wanted = ends.filter("n > 0").select("lo", "hi", F.explode(F.array(*ranks)).alias("r")).select("r.*", "lo", "hi")
-    keys = ("name", "up", "part")
-
-    def reached(counts: DataFrame) -> DataFrame:
-        run = F.sum("n").over(Window.partitionBy(*keys).orderBy("cell"))
-        return counts.withColumn("before", run - F.col("n")).filter("rank >= before and rank < before + n").withColumn("rank", F.col("rank") - F.col("before"))
-
-    cell = lambda: F.when(F.col("hi") > F.col("lo"), F.least(F.floor((F.col("v") - F.col("lo")) / (F.col("hi") - F.col("lo")) * CELLS), F.lit(CELLS - 1))).otherwise(0)
-    found = lambda: (F.count(F.lit(1)).alias("n"), F.min("v").alias("low"), F.max("v").alias("high"))
-    first = _with_row(base, ends).groupBy(cell().alias("cell")).agg(*found())
-    wanted = reached(first.crossJoin(F.broadcast(wanted.drop("lo", "hi")))).select(*keys, "rank", F.col("low").alias("lo"), F.col("high").alias("hi"))
-    for _ in range(steps - 1):
-        inside = base.join(F.broadcast(wanted), F.col("v").between(F.col("lo"), F.col("hi")))
-        wanted = reached(inside.groupBy(*keys, "rank", cell().alias("cell")).agg(*found())).select(*keys, "rank", F.col("low").alias("lo"), F.col("high").alias("hi"))
-    inside = base.join(F.broadcast(wanted), F.col("v").between(F.col("lo"), F.col("hi")))
-    last = reached(inside.groupBy(*keys, "rank", F.col("v").alias("cell")).agg(F.count(F.lit(1)).alias("n")))
-    pick = lambda name, what, up: F.max(F.when((F.col("name") == name) & (F.col("up") == up), F.col(what)))
-    return last.agg(*[(pick(name, "cell", 0) + (pick(name, "cell", 1) - pick(name, "cell", 0)) * pick(name, "part", 0)).alias(name) for name in shares])
+
+    def counted(rows: DataFrame, cell: Column) -> list:
+        return sorted(rows.groupBy(cell.alias("cell")).agg(F.count(F.lit(1)).alias("n"), F.min("v").alias("low"), F.max("v").alias("high")).collect(), key=lambda r: r["cell"])
+
+    cells = counted(base, _binade_cell(F.col("v")))
+    n = sum(r["n"] for r in cells)
+    if not n:
+        return dict.fromkeys(shares)
+    at = {name: share * (n - 1) for name, share in shares.items()}
+    ranks = sorted({rank for x in at.values() for rank in (math.floor(x), min(math.floor(x) + 1, n - 1))})
+    found: dict[int, float] = {}
+    open_ = {rank: (0, -math.inf, math.inf) for rank in ranks}  # rows below an interval, and the interval
+    groups = {(-math.inf, math.inf): cells}
+    while open_:
+        for rank, (below, *span) in list(open_.items()):
+            for r in groups[tuple(span)]:
+                if rank < below + r["n"]:
+                    break
+                below += r["n"]
+            if r["low"] == r["high"]:
+                found[rank] = r["low"]
+                del open_[rank]
+            else:
+                open_[rank] = (below, r["low"], r["high"])
+        spans = sorted({x[1:] for x in open_.values()})
+        if not spans:
+            break
+        v = F.col("v")
+        inside = [v.between(lo, hi) for lo, hi in spans]
+        rows = base.filter(functools.reduce(Column.__or__, inside))
+        held = {(r["low"], r["high"]): r["n"] for g in groups.values() for r in g}
+        few = sum(held[x] for x in spans) <= FEW
+        digit = [F.least(F.floor((v - lo) / (hi - lo) * DIGIT), F.lit(DIGIT - 1)) + k * DIGIT for k, (lo, hi) in enumerate(spans)]
+        which = functools.reduce(lambda c, x: c.when(*x), zip(inside, digit), F)
+        got = counted(rows, v if few else which)
+        groups = {x: [r for r in got if x[0] <= r["low"] <= x[1]] for x in spans}
+    return {name: found[math.floor(x)] + (found[min(math.floor(x) + 1, n - 1)] - found[math.floor(x)]) * (x - math.floor(x)) if x > math.floor(x) else found[math.floor(x)] for name, x in at.items()}
+
+
+def percentiles(df: DataFrame, value: Column, shares: dict[str, float]) -> DataFrame:
+    """The same as one row, a column for each name in shares."""
+    got = percentile_values(df, value, shares)
+    return df.sparkSession.range(1).select(*[F.lit(got[name]).cast("double").alias(name) for name in shares])
 
 
 def recommended_max_scale(df: DataFrame, percentile: float = 99.5, approximate: bool = False) -> DataFrame:
@@ -274,7 +306,7 @@ def corrections(df: DataFrame, contrast_clip: float = 0.1, light_clip: float = 1
     """One row with all automatic corrections: contrast, blacks, brightness,
     exposure, temperature, tint, gain_r, gain_g, gain_b.
 
-    One search gives all percentiles of luminance, and one aggregate the means
+    One search, when this is called, gives all percentiles of luminance, and one aggregate the means
     between two of them (or above one), from which everything else follows.
     Clips are in percent. A scene without rows, of one tone, or too dark for a
     correction is left as it is.
@@ -283,14 +315,15 @@ def corrections(df: DataFrame, contrast_clip: float = 0.1, light_clip: float = 1
         raise ValueError(f"no method {white!r}")
     lum = sc.luminance(cols(RGB))
     shares = {"_a": contrast_clip / 100, "_b": 1 - contrast_clip / 100, "_c": light_clip / 100, "_d": 1 - light_clip / 100, "_w": PATCH}
-    beside = _with_row(df.select(*RGB, lum.alias("_lum")), percentiles(df, lum, shares))
-    trimmed = F.col("_lum").between(F.col("_c"), F.col("_d"))
-    toned = trimmed if white == "gray_world" else F.col("_lum") >= F.col("_w")
-    row = beside.agg(F.avg(F.when(trimmed, F.col("_lum"))).alias("light"), *[F.avg(F.when(toned, F.col(c))).alias(f"m_{c}") for c in RGB], *[F.max(k).alias(k) for k in ("_a", "_b")])
-    span, means = F.col("_b") - F.col("_a"), cols([f"m_{c}" for c in RGB])
+    at = {k: F.lit(v).cast("double") for k, v in percentile_values(df, lum, shares).items()}
+    beside = df.select(*RGB, lum.alias("_lum"))
+    trimmed = F.col("_lum").between(at["_c"], at["_d"])
+    toned = trimmed if white == "gray_world" else F.col("_lum") >= at["_w"]
+    row = beside.agg(F.avg(F.when(trimmed, F.col("_lum"))).alias("light"), *[F.avg(F.when(toned, F.col(c))).alias(f"m_{c}") for c in RGB])
+    span, means = at["_b"] - at["_a"], cols([f"m_{c}" for c in RGB])
     goal = (means[0] + means[1] + means[2]) / 3 if white == "gray_world" else F.greatest(*means)
     row = row.withColumn("contrast", F.when(span >= LEAST_SPAN, _within("contrast", SPAN / span)).otherwise(1.0))
-    row = row.withColumn("blacks", F.when(span >= LEAST_SPAN, _within("blacks", -F.col("_a") * F.col("contrast"))).otherwise(0.0))
+    row = row.withColumn("blacks", F.when(span >= LEAST_SPAN, _within("blacks", -at["_a"] * F.col("contrast"))).otherwise(0.0))
     row = row.withColumn("brightness", F.when(F.col("light") >= LEAST_LIGHT, _within("brightness", midtone / F.col("light"))).otherwise(1.0))
     row = row.withColumn("exposure", F.log2("brightness"))
     row = row.withColumns({f"gain_{c}": F.when(goal >= LEAST_LIGHT, _within("gain", goal / (m + TINY))).otherwise(1.0) for c, m in zip(RGB, means)})
@@ -304,8 +337,7 @@ def auto_contrast(df: DataFrame, clip_percent: float = 0.1, per_channel: bool =
     if not per_channel:
         row = corrections(df, contrast_clip=clip_percent).first()
         return Correction(contrast=row["contrast"], blacks=row["blacks"])
-    parts = [percentiles(df, F.col(c), {f"{c}0": clip_percent / 100, f"{c}1": 1 - clip_percent / 100}) for c in RGB]
-    row = parts[0].crossJoin(parts[1]).crossJoin(parts[2]).first()  # of one row each
+    row = {k: v for c in RGB for k, v in percentile_values(df, F.col(c), {f"{c}0": clip_percent / 100, f"{c}1": 1 - clip_percent / 100}).items()}
     if row["r0"] is None:
         return Correction()
     spans = [row[f"{c}1"] - row[f"{c}0"] for c in RGB]

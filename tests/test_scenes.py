@@ -195,10 +195,17 @@ def test_statistics(scene, pdf):
         stats.color_profile(0.4, 0.2, "none")
 
 
-@pytest.mark.parametrize("kind", ["even", "ties", "far", "one", "equal", "none"])
-def test_percentiles(spark, kind):
+@pytest.mark.parametrize("kind", ["even", "ties", "far", "one", "equal", "none", "huge", "powers", "digits"])
+def test_percentiles(spark, kind, monkeypatch):
+    monkeypatch.setattr(stats, "FEW", 50 if kind == "digits" else 20_000)
     g = np.random.default_rng(3)
-    x = {"even": g.random(5000), "ties": g.integers(0, 9, 3000) / 7, "far": np.append(g.exponential(1, 4000), [1e12, -1e9]), "one": np.array([2.5]), "equal": np.full(50, 0.1), "none": np.zeros(0)}[kind]
+    x = {"even": g.random(5000), "ties": g.integers(0, 9, 3000) / 7, "far": np.append(g.exponential(1, 4000), [1e12, -1e9]), "one": np.array([2.5]), "equal": np.full(50, 0.1), "none": np.zeros(0)} | {
+        # values that no cells of equal width tell apart, and neighbours of powers of two
+        "huge": np.concatenate([10.0 ** np.linspace(-300, 300, 999), -(10.0 ** np.linspace(-320, 300, 998)), [0.0, -0.0, 5e-324, 1.7e308, -1.7e308]]),
+        "powers": np.concatenate([[f(2.0**k, d) for d in (0, 9e9)] for k in range(-1070, 1023, 9) for f in (np.nextafter, lambda v, _: v)]),
+        "digits": 1 + g.random(4000) * 1e-9,
+    }
+    x = x[kind]
     df = spark.createDataFrame([(float(v),) for v in x] + [(None,), (math.nan,)], "v double").repartition(3)
     shares = {"a": 0.0, "b": 0.001, "c": 0.5, "d": 0.995, "e": 1.0, "f": 0.37}
     row = stats.percentiles(df, F.col("v"), shares).first()
@@ -317,6 +324,27 @@ def test_deduplicate_clumps(spark, seed, method):
     assert gids(compose.deduplicate(df, 0.2, method)) == set(want)
 
 
+@pytest.mark.parametrize("block", [40, 200_000])
+def test_deduplicate_blocks(spark, block, monkeypatch):
+    """Chains, clumps and far points over many borders of blocks, with keys in any order."""
+    monkeypatch.setattr(compose, "BLOCK", block)
+    g = np.random.default_rng(block)
+    x = np.concatenate([np.outer(np.arange(150) * 0.15, [1, 0.02, -0.3]), g.normal(size=(250, 3)) * 0.5, g.random((60, 3)) * 9 - 5])
+    for order in (np.arange(len(x)), g.permutation(len(x))):
+        p = x[order]
+        df = spark.createDataFrame(pd.DataFrame(p, columns=POS).assign(gid=np.arange(len(p)))).repartition(3)
+        assert gids(compose.deduplicate(df, 0.2)) == brute_first(p, 0.2)
+
+
+def test_deduplicate_a_long_line(spark, monkeypatch):
+    """A line of 100,000 points, each near its neighbours, settles in a fixed number of tables."""
+    tables, save = [], compose.saved
+    monkeypatch.setattr(compose, "saved", lambda df: tables.append(save(df)) or tables[-1])
+    line = spark.range(100_000).select(F.col("id").alias("gid"), (F.col("id") * 0.75).alias("x"), F.lit(0.0).alias("y"), F.lit(0.0).alias("z"))
+    got = compose.deduplicate(line, 1.0).agg(F.count("gid"), F.sum(F.col("gid") % 2)).first()
+    assert tuple(got) == (50_000, 0) and len(tables) == 2
+
+
 def test_compose(scene):
     pair = (scene.df, scene.format)
     both, _ = compose.merge_scenes([pair, pair], deduplicate_threshold=1e-6)
