@@ -20,7 +20,7 @@ from ..operators.filters import Filter, Tests
 from ..operators.transform import Transform
 from ..scene import Scene, process
 from ..scene_format import BANDS, OPACITY, POS, QUAT, RGB, SCALE, cols, pre_activate
-from ..sources import ply
+from ..sources import ply, ply_source
 from ..sources.scratch import scratch_path
 from . import fixtures as fx
 from .pipeline import GroupedPipeline, Pipeline
@@ -436,6 +436,25 @@ def _ply(spark, sf):
     return back.select((F.col("gid") + F.col("before")).alias("place"), *[_rounded(F.col(c).cast("double")).alias(c) for c in _FILED], *[_rounded(F.col(BANDS)[1][c].cast("double")).alias(f"band_{c}") for c in RGB])
 
 
+@register("ply_one_file", f"""SELECT CAST(row_number() OVER (ORDER BY gid)-1 AS BIGINT) AS gid, {', '.join(f'round({_AS_FLOAT(c)}, 10) AS {c}' for c in (*POS, OPACITY))} FROM ({E})""")
+def _ply_one(spark, sf):
+    """One file, put together by tasks, and four of its columns read by the data source."""
+    ply_source.register(spark)
+    file = f"{scratch_path(spark)}/scene.ply"
+    ply_source.write_one_file(fx.scene_e(spark, sf), file)
+    back = spark.read.format("ply").schema("gid bigint, " + ", ".join(f"{c} float" for c in (*POS, OPACITY))).option("rangeRows", 100).load(file)
+    return back.select("gid", *[_rounded(F.col(c).cast("double")).alias(c) for c in (*POS, OPACITY)])
+
+
+@register("ply_parts", f"""SELECT CAST(count(*) AS BIGINT) AS n, {', '.join(f'round(sum({_AS_FLOAT(c)}), 4) AS {c}' for c in _FILED)} FROM ({L})""")
+def _ply_parts(spark, sf):
+    """A folder of files that the data source's tasks write, and all of it read again."""
+    ply_source.register(spark)
+    folder = scratch_path(spark)
+    fx.scene_l(spark, sf).df.select(*_FILED).repartition(5).write.format("ply").mode("append").save(folder)
+    return spark.read.format("ply").load(folder).agg(F.count(F.lit(1)).alias("n"), *[F.round(F.sum(F.col(c).cast("double")), 4).alias(c) for c in _FILED])
+
+
 # ------------------------------------------------------- scenes and pipelines
 
 _FLIP = TransformValues.from_rotation_euler(0, 0, 90)

@@ -109,8 +109,13 @@ def read_ply(spark: SparkSession, path: str, fmt: SceneFormat = SceneFormat(rgb=
     large = files.filter(F.col("length") > split_bytes).select("path")  # contents of these are not read here
     dealt = large.mapInPandas(_ranges, "path string, first bigint, n bigint").repartition("path", "first")
     flat = small.unionByName(dealt.mapInPandas(_read_ranges, schema))
+    return Scene(with_bands(flat), fmt)
+
+
+def with_bands(df: DataFrame) -> DataFrame:
+    """df with harmonic bands in place of their coefficients end to end."""
     bands = F.transform(F.sequence(F.lit(0), (F.size("rest") / 3 - 1).cast("int")), lambda k: F.struct(*[F.get("rest", (k * 3 + i).cast("int")).alias(n) for i, n in enumerate("rgb")]))
-    return Scene(flat.withColumn(BANDS, F.when(F.size("rest") > 0, bands)).drop("rest"), fmt)
+    return df.withColumn(BANDS, F.when(F.size("rest") > 0, bands)).drop("rest")
 
 
 def _header(n: int, n_rest: int) -> bytes:

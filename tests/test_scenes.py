@@ -11,8 +11,8 @@ from splatarium.operators.filters import Filter, Tests
 from splatarium.plans.pipeline import GroupedPipeline, Pipeline, Stage
 from splatarium.plans.values import ColorValues, FilterValues, HistogramConfig, OpacityValues, TransformValues
 from splatarium.scene import Scene
-from splatarium.scene_format import OPACITY, POS, RGB, SCALE, SceneFormat
-from splatarium.sources import ply, tables
+from splatarium.scene_format import BANDS, OPACITY, POS, QUAT, RGB, SCALE, SceneFormat
+from splatarium.sources import ply, ply_source, tables
 
 COLS = [*POS, *SCALE, "qw", "qx", "qy", "qz", OPACITY, *RGB]
 N = 300
@@ -409,3 +409,36 @@ def test_tables(scene):
     xs = rows(scene, "x")[:, 0]
     assert np.allclose(got[:, 0], np.where(xs < 1, xs * 10, 10 - (xs - 1) * 10), atol=1e-5)
     assert np.allclose(got[:, 1], np.array([5, 6, 7])[np.abs(xs[:, None] - [-1, 0, 1]).argmin(1)])
+
+
+_FILED = (*POS, *SCALE, *QUAT, OPACITY, *RGB)
+
+
+def test_ply_source(spark, scene, tmp_path):
+    ply_source.register(spark)
+    file = f"file://{tmp_path}/one/scene.ply"
+    assert ply_source.write_one_file(scene, file) == N
+    read = spark.read.format("ply").option("rangeRows", 60)
+    back, want = read.load(file).orderBy("gid").toPandas(), scene.df.orderBy("gid").toPandas()
+    assert len(back) == N and all(np.allclose(back[c], want[c]) for c in (*POS, *SCALE, OPACITY, *RGB))
+    assert ply.read_ply(spark, f"{tmp_path}/one", scene.format).df.count() == N
+    some = spark.read.format("ply").schema("gid bigint, y float").option("rangeRows", 60).load(file)
+    assert some.columns == ["gid", "y"] and some.rdd.getNumPartitions() == -(-N // 60)
+    few = read.load(file).filter("gid >= 50 and gid < 70")
+    assert [r.gid for r in few.select("gid").orderBy("gid").collect()] == list(range(50, 70)) and few.rdd.getNumPartitions() == 1
+    # a folder of parts: appended, replaced, and nothing left of a write that fails
+    folder, rows = f"file://{tmp_path}/parts", scene.df.select(*_FILED)
+    for mode, n in (("append", N), ("append", 2 * N), ("overwrite", N)):
+        rows.repartition(3).write.format("ply").mode(mode).save(folder)
+        assert spark.read.format("ply").load(folder).count() == n
+    with pytest.raises(Exception):
+        rows.repartition(2).withColumn("x", F.when(F.col("x") > -1e9, F.raise_error(F.lit("no"))).cast("float")).write.format("ply").mode("append").save(folder)
+    assert spark.read.format("ply").load(folder).count() == N and not [p for p in (tmp_path / "parts").iterdir() if p.name.startswith("_")]
+    with pytest.raises(Exception, match="needs"):
+        rows.drop("x").write.format("ply").mode("append").save(folder)
+    with pytest.raises(Exception, match="no such columns"):
+        spark.read.format("ply").schema("foo float").load(folder).count()
+    bands = scene.df.withColumn("rest", F.array(*[F.lit(float(k)) for k in range(9)]))
+    bands.select(*_FILED, "rest").write.format("ply").mode("append").save(f"{folder}3")
+    one = ply_source.read_scene(spark.read.format("ply").load(f"{folder}3"), scene.format).df.first()
+    assert [tuple(b) for b in one[BANDS]] == [(0, 1, 2), (3, 4, 5), (6, 7, 8)]
