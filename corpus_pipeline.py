@@ -52,7 +52,26 @@ def encoding(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return coded.select("doc_id", "lang", "source", F.expr("cast(octet_length(ids) div 4 as bigint)").alias("n_tokens"), "ids")
 
 
-STAGES = [("quality", quality), ("site_lines", site_lines), ("near_copies", near_copies), ("mixing", mixing), ("encoding", encoding)]
+class _Stage:
+    """A stage that gives back the disk of the one before. A stage gets its docs from a table, so
+    what its predecessor wrote on the way there is read by nothing any more."""
+
+    before: tuple[int, list[str]] = (-1, [])
+
+    def __init__(self, place: int, work):
+        self.place, self.work = place, work
+        self.__name__, self.__doc__ = work.__name__, work.__doc__
+
+    def __call__(self, spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+        if _Stage.before[0] == self.place - 1:
+            common.release_paths(spark, _Stage.before[1])
+        with common.recorded() as made:
+            out = self.work(spark, docs, sf_dir)
+        _Stage.before = self.place, made
+        return out
+
+
+STAGES = [(f.__name__, _Stage(k, f)) for k, f in enumerate((quality, site_lines, near_copies, mixing, encoding))]
 
 #: Component search and BPE are beyond SQL; tests/llm/test_pipeline.py holds run(), and each
 #: stage, against a version in plain Python.
@@ -61,7 +80,10 @@ ORACLE_SQL = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages over `documents`."""
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    docs, done = spark.read.parquet(f"{sf_dir}/documents.parquet"), []
     for name, stage in STAGES[:-1]:
-        docs = common.saved(stage(spark, docs, sf_dir), f"stage-{name}")
+        with common.recorded() as table:
+            docs = common.saved(stage(spark, docs, sf_dir), f"stage-{name}")
+        common.release_paths(spark, done)
+        done = table
     return STAGES[-1][1](spark, docs, sf_dir)

@@ -5,6 +5,7 @@ hash arithmetic over whole Arrow string columns with numpy.
 from __future__ import annotations
 
 import atexit
+import contextlib
 import shutil
 import tempfile
 import uuid
@@ -49,6 +50,19 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/llm/{spark.sparkContext.applicationId}/{name}-{uuid.uuid4().hex[:12]}"
 
 
+_recorders: list[list[str]] = []
+
+
+@contextlib.contextmanager
+def recorded():
+    """Gives the list of the tables that `saved` writes meanwhile."""
+    _recorders.append([])
+    try:
+        yield _recorders[-1]
+    finally:
+        _recorders.pop()
+
+
 def saved(df: DataFrame, name: str) -> DataFrame:
     """Write df as a Parquet table in the shared folder and read it again.
 
@@ -58,6 +72,8 @@ def saved(df: DataFrame, name: str) -> DataFrame:
     spark = df.sparkSession
     path = scratch_path(spark, name)
     df.write.parquet(path)
+    if _recorders:
+        _recorders[-1].append(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
@@ -65,10 +81,14 @@ def release(*tables: DataFrame) -> None:
     """Deletes tables that `saved` wrote and that nothing reads any more."""
     for df in tables:
         for file in df.inputFiles()[:1]:
-            folder = file.rpartition("/")[0]
-            if f"/llm/{df.sparkSession.sparkContext.applicationId}/" in folder:
-                path = df.sparkSession._jvm.org.apache.hadoop.fs.Path(folder)
-                path.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(path, True)
+            release_paths(df.sparkSession, [file.rpartition("/")[0]])
+
+
+def release_paths(spark: SparkSession, folders: list[str]) -> None:
+    for folder in folders:
+        if f"/llm/{spark.sparkContext.applicationId}/" in folder:
+            path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+            path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def fresh(df: DataFrame, *names: str) -> list[str]:
