@@ -70,6 +70,19 @@ def axis_angle_to_quaternion(axis_angle) -> np.ndarray:
     return np.concatenate([[np.cos(angle / 2)], np.sin(angle / 2) * v / angle])
 
 
+def quaternion_to_axis_angle(q) -> np.ndarray:
+    """The logarithm of a rotation: its axis times its angle from 0 to pi. The half angle comes
+    from both parts of the quaternion, so it is exact near 0 and near pi as well."""
+    w, *v = normalize_quaternion(q)
+    v = np.array(v) * (-1.0 if w < 0 else 1.0)
+    s = np.linalg.norm(v)
+    return v * (2 * np.arctan2(s, abs(w)) / s if s > 0 else 2.0)
+
+
+def rotation_matrix_to_axis_angle(r) -> np.ndarray:
+    return quaternion_to_axis_angle(rotation_matrix_to_quaternion(r))
+
+
 def axis_angle_to_rotation_matrix(axis_angle) -> np.ndarray:
     return np.eye(3) if axis_angle is None else quaternion_to_rotation_matrix(axis_angle_to_quaternion(axis_angle))
 
@@ -143,3 +156,12 @@ def euler_columns(columns) -> list[Column]:
     w, x, y, z = columns
     pitch = F.greatest(F.lit(-1.0), F.least(F.lit(1.0), (w * y - z * x) * 2))
     return [F.atan2((w * x + y * z) * 2, 1 - (x * x + y * y) * 2), F.asin(pitch), F.atan2((w * z + x * y) * 2, 1 - (y * y + z * z) * 2)]
+
+
+def axis_angle_columns(columns) -> list[Column]:
+    """Axis times angle of each row's quaternion; a quaternion and its negative give the same."""
+    w, *v = columns
+    s = F.sqrt(v[0] * v[0] + v[1] * v[1] + v[2] * v[2])
+    norm = F.sqrt(w * w + s * s)
+    k = F.when(s > 0, F.atan2(s, F.abs(w)) * 2 / s).otherwise(F.lit(2.0) / norm) * F.when(w < 0, -1.0).otherwise(1.0)
+    return [F.when(norm > 0, c * k) for c in v]

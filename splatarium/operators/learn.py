@@ -4,11 +4,13 @@ Rows stay where they are. Colours, opacities and what filters look at are counte
 once on a grid of cells, whose number does not depend on the number of rows; a
 transform needs sums of products alone. Every step of the optimiser then works on
 those numbers. The cells are means of the rows in them, so for a grid fine enough
-the moments are those of the rows.
+the moments are those of the rows. Where a grid can't hold the parameters, as for
+shapes and whole chains, each step takes sums of products of derivatives over all rows.
 """
 
 from __future__ import annotations
 
+import functools
 from collections.abc import Callable
 from dataclasses import dataclass, replace
 
@@ -19,8 +21,8 @@ from pyspark.sql import functions as F
 from ..functions import rotation as rot
 from ..functions import scalar as sc
 from ..plans.values import ColorValues, FilterValues, OpacityValues, TransformValues, specs
-from ..scene_format import OPACITY, POS, RGB, SceneFormat, cols
-from .filters import largest_scale
+from ..scene_format import OPACITY, POS, QUAT, RGB, SCALE, SceneFormat, cols
+from .filters import largest_scale, soft_weight
 from .transform import rotation_from_6d
 
 GRID = 24
@@ -237,6 +239,150 @@ def fit_filter(df: DataFrame, wanted: Column, params: tuple[str, ...] = ("min_op
     return replace(start, **dict(zip(params, best.tolist()))), least
 
 
+# ------------------------------------------- least squares over rows of any scene
+
+Residuals = Callable[[DataFrame, dict[str, float]], tuple[DataFrame, list[Column]]]
+
+
+def normal_equations(df: DataFrame, residuals: Residuals, at: dict[str, float], h: float = 1e-5) -> tuple[np.ndarray, np.ndarray, float, int]:
+    """(J'J, J'r, r'r, rows) of residuals at given parameters, from one aggregate: the derivatives are
+    columns beside the residuals, central differences of the same expressions. Rows in
+    which any of them is null or NaN are left out."""
+    names, made = list(at), df
+    variants: list[list[str]] = []
+    for k, values in enumerate([at, *({**at, n: at[n] + d} for n in names for d in (h, -h))]):
+        made, columns = residuals(made, values)
+        variants.append([f"r{k}_{i}" for i in range(len(columns))])
+        made = made.withColumns(dict(zip(variants[-1], columns)))
+    base, steps = variants[0], variants[1:]
+    slopes = [[(F.col(a) - F.col(b)) / (2 * h) for a, b in zip(steps[2 * j], steps[2 * j + 1])] for j in range(len(names))]
+    rows = made.select(*base, *[c.alias(f"j{j}_{i}") for j, own in enumerate(slopes) for i, c in enumerate(own)])
+    sound = [F.col(c).isNotNull() & ~F.isnan(c) for c in rows.columns]
+    both = lambda a, b: F.sum(sum((F.col(a(i)) * F.col(b(i)) for i in range(1, len(base))), F.col(a(0)) * F.col(b(0))))
+    j, r = (lambda k: lambda i: f"j{k}_{i}"), (lambda i: base[i])
+    pairs = [(a, b) for a in range(len(names)) for b in range(a + 1)]
+    row = rows.filter(functools.reduce(Column.__and__, sound)).agg(both(r, r).alias("rr"), F.count(F.lit(1)).alias("n"), *[both(j(a), r).alias(f"g{a}") for a in range(len(names))], *[both(j(a), j(b)).alias(f"h{a}_{b}") for a, b in pairs]).first()
+    jj = np.zeros((len(names), len(names)))
+    for a, b in pairs:
+        jj[a, b] = jj[b, a] = row[f"h{a}_{b}"] or 0.0
+    return jj, np.array([row[f"g{a}"] or 0.0 for a in range(len(names))]), row["rr"] or 0.0, row["n"]
+
+
+def least_squares(df: DataFrame, residuals: Residuals, start: dict[str, float], within: dict[str, tuple[float, float]] | None = None, steps: int = 25) -> tuple[dict[str, float], float]:
+    """(parameters, mean square of the residuals) by Levenberg and Marquardt's method. A step is one
+    pass over the rows, and what comes back is a few sums, however many rows there are."""
+    within, p, damp = within or {}, dict(start), 1e-3
+    jj, g, rr, n = normal_equations(df, residuals, p)
+    for _ in range(steps):
+        if not n or rr <= 1e-18 * n:
+            break
+        move = np.linalg.lstsq(jj + damp * (np.diag(np.diag(jj)) + 1e-12 * np.eye(len(p))), -g, rcond=None)[0]
+        new = {k: float(np.clip(v + m, *within.get(k, (-np.inf, np.inf)))) for (k, v), m in zip(p.items(), move)}
+        jj2, g2, rr2, _ = normal_equations(df, residuals, new)
+        if rr2 < rr:
+            done = rr - rr2 <= 1e-12 * rr
+            p, jj, g, rr, damp = new, jj2, g2, rr2, max(damp / 9, 1e-12)
+            if done:
+                break
+        else:
+            damp *= 11
+            if damp > 1e10:
+                break
+    return p, rr / max(n, 1)
+
+
+@dataclass(frozen=True)
+class SoftShape:
+    """What `operators.filters.soft_weight` takes: thresholds, and one soft shape."""
+
+    opacity: float = 0.0
+    scale: float = 100.0
+    shape: str = "sphere"
+    center: tuple[float, float, float] = (0.0, 0.0, 0.0)
+    radius: float = 1.0
+    radii: tuple[float, float, float] = (1.0, 1.0, 1.0)
+    rotation: tuple[float, float, float] = (0.0, 0.0, 0.0)  # axis times angle
+    opacity_sharpness: float = 10.0
+    scale_sharpness: float = 10.0
+    sharpness: float = 10.0
+
+    def weight(self) -> Column:
+        return soft_weight(**vars(self))
+
+
+def _flat(of, params: tuple[str, ...]) -> dict[str, float]:
+    """Numbers of a record's fields, by name and place."""
+    return {f"{k}.{i}" if np.ndim(getattr(of, k)) else k: float(x) for k in params for i, x in enumerate(np.atleast_1d(getattr(of, k)))}
+
+
+def _filled(of, flat: dict[str, float]):
+    out: dict = {}
+    for name, x in flat.items():
+        k, _, i = name.partition(".")
+        if i:
+            out.setdefault(k, list(getattr(of, k)))[int(i)] = x
+        else:
+            out[k] = x
+    return replace(of, **{k: tuple(v) if isinstance(v, list) else v for k, v in out.items()})
+
+
+def fit_shape(df: DataFrame, wanted: Column, start: SoftShape, params: tuple[str, ...] = ("center", "radii"), steps: int = 25) -> tuple[SoftShape, float]:
+    """(shape, mean squared difference) of the soft sphere, ellipsoid or box, and of the thresholds beside
+    it, whose weights come nearest to wanted ones from 0 to 1. Any fields can be in `params`; three
+    for a center, radii (half sizes of a box) and a rotation each."""
+    flat = _flat(start, params)
+    within = {k: (1e-6, np.inf) for k in flat if k.startswith("rad")} | {k: (1e-9, np.inf) for k in flat if k in ("opacity", "scale")}
+    best, least = least_squares(df, lambda rows, p: (rows, [_filled(start, p).weight() - wanted.cast("double")]), flat, within, steps)
+    return _filled(start, best), least
+
+
+def fit_chain(
+    df: DataFrame, target: dict[str, str], color: ColorValues | None = None, opacity: OpacityValues | None = None, transform: TransformValues | None = None,
+    params: dict[str, tuple[str, ...]] | None = None, fmt: SceneFormat = SceneFormat(), steps: int = 25,
+) -> tuple[tuple[ColorValues | None, OpacityValues | None, TransformValues | None], float]:
+    """((colour, opacity, transform), mean square over rows) of a chain whose results come nearest to the
+    columns that target names for each of position, opacity and colour: all fitted together.
+
+    params has the fields to fit of "color", "opacity" and "transform". A rotation is fitted as
+    axis times angle, by which the transform's own rotation is followed.
+    """
+    from .colour import apply_color
+    from .opacity import apply_opacity
+    from .transform import apply_transform
+
+    start = {"color": color, "opacity": opacity, "transform": transform}
+    params = params or {"color": ("brightness", "contrast"), "opacity": ("scale",), "transform": ("translation",)}
+    turn = "transform" in params and "rotation" in params["transform"]
+    if transform is not None and np.ndim(transform.scale) == 0:
+        start["transform"] = transform = replace(transform, scale=tuple(transform.scale_vector.tolist()))
+    flat = {f"{part}:{k}": v for part, of in start.items() if of is not None for k, v in _flat(of, tuple(x for x in params.get(part, ()) if x != "rotation")).items()}
+    flat |= {f"turn:{i}": 0.0 for i in range(3)} if turn else {}
+    kept = [c for c in (*POS, OPACITY, *RGB, *QUAT, *SCALE) if c in df.columns]
+    rows = df.withColumns({f"from_{c}": F.col(c) for c in kept})
+
+    def chain(p: dict[str, float]):
+        out = {part: of and _filled(of, {k.partition(":")[2]: v for k, v in p.items() if k.startswith(f"{part}:")}) for part, of in start.items()}
+        if turn:
+            by = rot.axis_angle_to_quaternion([p[f"turn:{i}"] for i in range(3)])
+            out["transform"] = replace(out["transform"], rotation=tuple(rot.quaternion_multiply(by, transform.rotation).tolist()))
+        return out
+
+    def residuals(made: DataFrame, p: dict[str, float]):
+        v = chain(p)
+        made = made.withColumns({c: F.col(f"from_{c}") for c in kept})
+        if v["color"] is not None:
+            made = apply_color(made, v["color"], fmt)
+        if v["opacity"] is not None:
+            made = apply_opacity(made, v["opacity"], fmt)
+        if v["transform"] is not None:
+            made = apply_transform(made, v["transform"], fmt)
+        return made, [F.col(c) - F.col(t) for c, t in target.items()]
+
+    best, least = least_squares(rows, residuals, flat, steps=steps)
+    v = chain(best)
+    return (v["color"], v["opacity"], v["transform"]), least
+
+
 def balanced_loss_weights(contrast_weight: float = 0.5, regularization: float = 0.1) -> dict[str, float]:
     """Arguments of `fit_color` for a fit that keeps contrast and stays near neutral."""
     return {"contrast_weight": contrast_weight, "range_weight": 0.1, "regularization": regularization * 0.01}

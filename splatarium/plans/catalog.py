@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from ..functions import rotation as rot
 from ..functions import scalar as sc
-from ..operators import compose, filters, opacity, stats
+from ..operators import compose, filters, learn, opacity, stats
 from ..operators.colour import Color, ColorSteps
 from ..operators.filters import Filter, Tests
 from ..operators.transform import Transform
@@ -190,6 +190,14 @@ def _soft(spark, sf):
 # ---------------------------------------------------------------- transforms
 
 
+@register("rotation_axis_angle", f"""SELECT gid, round(qx*f, 10) AS ax, round(qy*f, 10) AS ay, round(qz*f, 10) AS az FROM (
+  SELECT gid, qx, qy, qz, CASE WHEN s > 0 THEN 2*atan2(s, abs(qw))/s ELSE 2/sqrt(qw*qw+s*s) END * CASE WHEN qw < 0 THEN -1 ELSE 1 END AS f FROM (SELECT *, sqrt(qx*qx+qy*qy+qz*qz) AS s FROM ({E})))""")
+def _axis_angle(spark, sf):
+    """The orientation of every row as axis times angle."""
+    made = rot.axis_angle_columns([F.col(c) for c in QUAT])
+    return fx.scene_e(spark, sf).df.select("gid", *[_rounded(c).alias(n) for n, c in zip(("ax", "ay", "az"), made)])
+
+
 def _transform_sql(source: str, keys: str, m, q, size, log=False) -> str:
     scales = [f"{c} + {_n(np.log(s))}" if log else f"{c}*{_n(s)}" for c, s in zip(SCALE, size)]
     inner = [f"{e} AS {c}" for e, c in zip(_affine(np.asarray(m)[:3, :3], POS, np.asarray(m)[:3, 3]), POS)]
@@ -346,7 +354,6 @@ _TABLES_SQL = f"""SELECT {KEYS}, round(CASE WHEN opacity < 0.3 THEN (opacity-0.1
   CASE WHEN round(opacity-0.2, 12) <= 0 THEN 1.0::DOUBLE WHEN round(opacity-0.45, 12) <= 0 THEN 4.0::DOUBLE WHEN round(opacity-0.75, 12) <= 0 THEN 2.0::DOUBLE ELSE 8.0::DOUBLE END AS nearest FROM ({L})"""
 
 
-@register("interpolate_tables_whole", _TABLES_SQL)
 @register("interpolate_tables", _TABLES_SQL)
 def _interpolated(spark, sf):
     table = lambda f: f(F.col(OPACITY), _CENTERS, _VALUES)
@@ -418,6 +425,32 @@ def _auto(spark, sf):
     return row.select(*[F.round(n, 5).alias(n) for n in ("contrast", "brightness", "temperature", "tint")])
 
 
+# ---------------------------------------------------------------- fitting
+
+# An ellipsoid that the weights of all rows come from, and what the fit finds from another one.
+_ELLIPSOID = "1/(1+exp(-(1-sqrt(power((x-0.5)/3, 2)+power((y+0.25)/2.5, 2)+power((z-1)/4, 2)))*10))"
+
+
+@register("fit_ellipsoid", f"SELECT CAST(count(*) AS BIGINT) AS n, 0.5 AS cx, -0.25 AS cy, 1.0 AS cz, 3.0 AS rx, 2.5 AS ry, 4.0 AS rz, round(sum(power({_ELLIPSOID}-1/(1+exp(-(1-sqrt(power(x/2, 2)+power(y/2, 2)+power(z/2, 2)))*10)), 2)), 3) AS loss_before FROM ({L})".replace("0.5 AS cx, -0.25 AS cy, 1.0 AS cz, 3.0 AS rx, 2.5 AS ry, 4.0 AS rz", ", ".join(f"CAST({v} AS DOUBLE) AS {k}" for k, v in (("cx", 0.5), ("cy", -0.25), ("cz", 1), ("rx", 3), ("ry", 2.5), ("rz", 4)))))
+def _fit_ellipsoid(spark, sf):
+    """A soft ellipsoid fitted to the weights of another one over all rows."""
+    rows = fx.scene_l(spark, sf).df.select(*POS, F.expr(_ELLIPSOID).alias("wanted"))
+    start = learn.SoftShape(shape="ellipsoid", radii=(2.0, 2.0, 2.0))
+    found, _ = learn.fit_shape(rows, F.col("wanted"), start)
+    d = start.weight() - F.col("wanted")
+    return rows.agg(F.count(F.lit(1)).alias("n"), *[F.lit(round(v, 6) + 0.0).alias(k) for k, v in zip(("cx", "cy", "cz", "rx", "ry", "rz"), (*found.center, *found.radii))], F.round(F.sum(d * d), 3).alias("loss_before"))
+
+
+@register("fit_chain", f"SELECT CAST(count(*) AS BIGINT) AS n, CAST(1.2 AS DOUBLE) AS brightness, CAST(0.8 AS DOUBLE) AS opacity, CAST(2 AS DOUBLE) AS tx, CAST(-1 AS DOUBLE) AS ty, CAST(0.5 AS DOUBLE) AS tz, round(sum(opacity*0.8), 4) AS total FROM ({L})")
+def _fit_chain(spark, sf):
+    """Colour, opacity and translation found together, from results beside the rows."""
+    rows = fx.scene_l(spark, sf).df.select(*POS, OPACITY, *RGB, *QUAT, *SCALE)
+    rows = rows.withColumns({**{f"to_{c}": F.col(c) + d for c, d in zip(POS, (2.0, -1.0, 0.5))}, f"to_{OPACITY}": F.col(OPACITY) * 0.8, **{f"to_{c}": F.least(F.col(c) * 1.2, F.lit(1.0)) for c in RGB}})
+    (colour_, opacity_, move), _ = learn.fit_chain(rows, {c: f"to_{c}" for c in (*POS, OPACITY, *RGB)}, ColorValues(), OpacityValues(0.9), TransformValues(), {"color": ("brightness",), "opacity": ("scale",), "transform": ("translation",)})
+    found = {"brightness": colour_.brightness, "opacity": opacity_.scale, **dict(zip(("tx", "ty", "tz"), move.translation))}
+    return rows.agg(F.count(F.lit(1)).alias("n"), *[F.lit(round(v, 6) + 0.0).alias(k) for k, v in found.items()], F.round(F.sum(f"to_{OPACITY}"), 4).alias("total"))
+
+
 # -------------------------------------------------------------------- files
 
 _FILED = (*POS, *SCALE, *QUAT, OPACITY, *RGB)

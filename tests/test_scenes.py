@@ -5,6 +5,7 @@ import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
+from splatarium.functions import rotation as rot
 from splatarium.functions import scalar as sc
 from splatarium.operators import colour, compose, filters, learn, stats, transform, verify
 from splatarium.operators.filters import Filter, Tests
@@ -442,3 +443,52 @@ def test_ply_source(spark, scene, tmp_path):
     bands.select(*_FILED, "rest").write.format("ply").mode("append").save(f"{folder}3")
     one = ply_source.read_scene(spark.read.format("ply").load(f"{folder}3"), scene.format).df.first()
     assert [tuple(b) for b in one[BANDS]] == [(0, 1, 2), (3, 4, 5), (6, 7, 8)]
+
+
+@pytest.mark.parametrize("angle", [0.0, 1e-300, 1e-9, 1e-4, 1.0, math.pi - 1e-9, math.pi])
+def test_axis_angle_there_and_back(spark, angle):
+    axis = np.array([0.6, -0.64, 0.48])
+    q = rot.axis_angle_to_quaternion(axis * angle) if angle >= 1e-8 else np.concatenate([[1.0], axis * angle / 2])
+    rows = spark.createDataFrame([tuple(map(float, s * k * q)) for s in (1, -1) for k in (1, 3)], list(QUAT))
+    got = [rot.quaternion_to_axis_angle(s * 3 * q) for s in (1, -1)] + [list(r) for r in rows.select(rot.axis_angle_columns(list(map(F.col, QUAT)))).collect()]
+    for v in got:
+        v = np.array(v) * (-1 if angle > 3.14159265 and v[0] < 0 else 1)  # a half turn has two axes
+        assert v == pytest.approx(axis * angle, abs=1e-12, rel=1e-7)
+    assert rot.axis_angle_to_rotation_matrix(rot.rotation_matrix_to_axis_angle(rot.axis_angle_to_rotation_matrix(axis * angle))) == pytest.approx(rot.axis_angle_to_rotation_matrix(axis * angle), abs=1e-7)
+    zero = spark.createDataFrame([(0.0, 0.0, 0.0, 0.0)], list(QUAT)).select(rot.axis_angle_columns(list(map(F.col, QUAT)))).first()
+    assert list(zero) == [None] * 3
+
+
+def test_normal_equations_against_numpy(spark):
+    x = np.random.default_rng(2).normal(size=(50, 2))
+    df = spark.createDataFrame(pd.DataFrame(x, columns=["a", "b"])).unionByName(spark.createDataFrame([(None, 1.0), (math.nan, 1.0)], "a double, b double"))
+    f = lambda p, a, b, exp, sin: [exp(a * p["u"]) - b * p["v"], sin(b * p["u"]) + a]
+    p = {"u": 0.3, "v": -1.2}
+    jj, g, rr, n = learn.normal_equations(df, lambda rows, q: (rows, f(q, F.col("a"), F.col("b"), F.exp, F.sin)), p)
+    a, b = x.T
+    r = np.concatenate(f(p, a, b, np.exp, np.sin))
+    j = np.stack([np.concatenate([a * np.exp(0.3 * a), b * np.cos(0.3 * b)]), np.concatenate([-b, 0 * b])], 1)
+    assert n == 50 and rr == pytest.approx(r @ r) and g == pytest.approx(j.T @ r, rel=1e-6) and jj == pytest.approx(j.T @ j, rel=1e-6)
+
+
+@pytest.mark.parametrize("shape", ["sphere", "box", "ellipsoid"])
+def test_fit_shape(spark, shape):
+    """Shifted, turned shapes are found again from soft weights."""
+    p = np.random.default_rng(4).normal(size=(1500, 3)) * 1.5
+    df = spark.createDataFrame(pd.DataFrame(p, columns=POS).assign(opacity=0.5, sx=0.1, sy=0.1, sz=0.1)).repartition(2).cache()
+    true = learn.SoftShape(shape=shape, center=(0.3, -0.2, 0.1), radius=1.4, radii=(1.5, 1.0, 2.0), rotation=(0.0, 0.0, 0.0) if shape == "sphere" else (0.2, -0.1, 0.3), sharpness=4.0)
+    start = learn.SoftShape(shape=shape, radius=1.0, radii=(1.3, 1.2, 1.7), sharpness=4.0)
+    got, least = learn.fit_shape(df, true.weight(), start, ("center", "radius") if shape == "sphere" else ("center", "radii", "rotation"), steps=15)
+    assert least < 1e-8 and got.center == pytest.approx(true.center, abs=1e-3)
+    assert (got.radius == pytest.approx(1.4, abs=1e-3)) if shape == "sphere" else (got.radii == pytest.approx(true.radii, abs=1e-3) and got.rotation == pytest.approx(true.rotation, abs=1e-3))
+
+
+def test_fit_chain(spark, scene):
+    """Colour, opacity and a turn fitted together give the targets again."""
+    v = ColorValues(brightness=1.1, saturation=0.8), OpacityValues(0.7), TransformValues(1.5, tuple(rot.axis_angle_to_quaternion([0.1, 0.2, -0.3])), (1.0, 0.0, -2.0))
+    done = scene.color(v[0]).opacity(v[1]).transform(v[2]).df.select("gid", *[F.col(c).alias(f"to_{c}") for c in (*POS, OPACITY, *RGB)])
+    rows = scene.df.join(done, "gid").cache()
+    fields = {"color": ("brightness", "saturation"), "opacity": ("scale",), "transform": ("scale", "rotation", "translation")}
+    got, least = learn.fit_chain(rows, {c: f"to_{c}" for c in (*POS, OPACITY, *RGB)}, ColorValues(), OpacityValues(0.9), TransformValues(), fields, scene.format, steps=12)
+    assert least < 1e-9 and got[0].brightness == pytest.approx(1.1, abs=1e-4) and got[0].saturation == pytest.approx(0.8, abs=1e-4) and got[1].scale == pytest.approx(0.7, abs=1e-4)
+    assert got[2].translation == pytest.approx((1, 0, -2), abs=1e-4) and got[2].scale_vector == pytest.approx([1.5] * 3, abs=1e-4) and got[2].rotation == pytest.approx(v[2].rotation, abs=1e-4)
