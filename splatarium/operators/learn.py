@@ -213,15 +213,16 @@ def fit_filter(df: DataFrame, wanted: Column, params: tuple[str, ...] = ("min_op
     `operators.filters.soft_weight`) comes near a wanted weight from 0 to 1.
 
     Opacity, largest scale and distance from the sphere's center are counted on a
-    grid between their smallest and largest values: grid^3 cells at most.
+    grid between their 0.1 and 99.9 percentiles: grid^3 cells at most.
     """
     center = [F.lit(float(c)) for c in start.sphere_center]
     p = cols(POS)
     d = [(a - c) * (a - c) for a, c in zip(p, center)]
     names = ("o", "s", "d")
     rows = df.select(F.col(OPACITY).alias("o"), largest_scale().alias("s"), F.sqrt(d[0] + d[1] + d[2]).alias("d"), wanted.cast("double").alias("w")).dropna()
-    ends = rows.agg(*[f(c).alias(f"{k}_{c}") for c in names for k, f in (("lo", F.min), ("hi", F.max))])
-    at = [F.when(F.col(f"hi_{c}") > F.col(f"lo_{c}"), F.least(F.floor((F.col(c) - F.col(f"lo_{c}")) / (F.col(f"hi_{c}") - F.col(f"lo_{c}")) * grid), F.lit(grid - 1))).otherwise(0).alias(f"at_{c}") for c in names]
+    # a sketch of fixed size gives the ends, so that a few far values don't put all others into one cell
+    ends = rows.agg(*[F.percentile_approx(c, F.lit(share), F.lit(10_000)).alias(f"{k}_{c}") for c in names for k, share in (("lo", 0.001), ("hi", 0.999))])
+    at = [F.when(F.col(f"hi_{c}") > F.col(f"lo_{c}"), sc.clip(F.floor((F.col(c) - F.col(f"lo_{c}")) / (F.col(f"hi_{c}") - F.col(f"lo_{c}")) * grid), 0, grid - 1)).otherwise(0).alias(f"at_{c}") for c in names]
     counted = rows.crossJoin(F.broadcast(ends)).groupBy(*at).agg(*[F.avg(c).alias(c) for c in names], F.avg("w").alias("w"), F.count(F.lit(1)).alias("n")).collect()
     if not counted:
         return start, 0.0

@@ -11,6 +11,7 @@ import functools
 import math
 from dataclasses import dataclass, replace
 
+import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -238,15 +239,42 @@ def dynamic_range(hist: DataFrame, low: float = 1.0, high: float = 99.0) -> Data
     return a.join(b, "channel").agg(F.avg(F.col("top") - F.col("value")).alias("value"))
 
 
+#: Of a soft histogram: cells of one sigma, moments of each, and sigmas beyond which a weight is nothing (2e-22).
+CELLS_OF_SIGMA, MOMENTS, REACH = 4, 10, 10
+
+
 def soft_histogram(df: DataFrame, values: dict[str, Column], n_bins: int = 64, lo: float = 0.0, hi: float = 1.0, sigma: float | None = None) -> DataFrame:
     """(channel, bin, weight): Gaussian weights to bin centers, adding up to 1.
-    Each row adds to an array of n_bins sums; nothing is joined."""
+
+    A row adds to the moments of the cell it lies in, whatever the number of bins; what the rows of
+    a cell weigh in a bin follows from these by the Taylor series of the Gaussian, whose
+    derivatives are Hermite polynomials. A row's weight is off by 1.09 / sqrt(10!) / 8 ^ 10
+    at most, which is 6e-13, since no row is farther than an eighth of sigma from its cell's middle.
+    """
     width = (hi - lo) / n_bins
     s = width / 2 if sigma is None else sigma
-    rows = _long(df, values)
-    one = lambda k: F.sum(F.exp(-F.pow((F.col("v") - (lo + (k + 0.5) * width)) / s, F.lit(2.0)) / 2)).alias(f"w{k}")
-    sums = rows.groupBy("channel").agg(*[one(k) for k in range(n_bins)])
-    out = sums.select("channel", F.posexplode(F.array(*[F.col(f"w{k}") for k in range(n_bins)])).alias("bin", "weight"))
+    first, step = lo - REACH * s, s / CELLS_OF_SIGMA
+    cell, middle = F.floor((F.col("v") - first) / step), first + (F.col("cell") + 0.5) * step
+    rows = _long(df, values).withColumn("cell", F.when((F.col("v") >= first) & (F.col("v") <= hi + REACH * s), cell).otherwise(-1))
+    d = (F.col("v") - middle) / s
+    powers = [F.lit(1.0)]
+    for _ in range(MOMENTS - 1):
+        powers.append(powers[-1] * F.col("d"))
+    cells = rows.withColumn("d", F.when(F.col("cell") >= 0, d).otherwise(0.0)).groupBy("channel", "cell").agg(*[F.sum(x).alias(f"m{k}") for k, x in enumerate(powers)])
+    # the bins in reach of a cell, and all bins with nothing for each channel
+    at = lambda x: F.floor((x - lo) / width)
+    low, high = F.greatest(at(middle - REACH * s), F.lit(0)), F.least(at(middle + REACH * s), F.lit(n_bins - 1))
+    near = cells.filter("cell >= 0").withColumns({"low": low, "high": high}).filter("low <= high").withColumn("bin", F.explode(F.sequence("low", "high")))
+    u = (middle - (lo + (F.col("bin") + 0.5) * width)) / s
+    series = F.lit(0.0)
+    for k in range(MOMENTS):
+        poly = F.lit(0.0)
+        for factor in reversed(np.polynomial.hermite_e.herme2poly([0] * k + [1]).tolist()):
+            poly = poly * F.col("u") + factor
+        series = series + poly * F.col(f"m{k}") * ((-1) ** k / math.factorial(k))
+    parts = near.withColumn("u", u).select("channel", F.col("bin").cast("int").alias("bin"), (series * F.exp(-F.col("u") * F.col("u") / 2)).alias("weight"))
+    none = cells.select("channel").distinct().select("channel", F.explode(F.sequence(F.lit(0), F.lit(n_bins - 1))).alias("bin"), F.lit(0.0).alias("weight"))
+    out = parts.unionByName(none).groupBy("channel", "bin").agg(F.greatest(F.sum("weight"), F.lit(0.0)).alias("weight"))
     total = F.sum("weight").over(Window.partitionBy("channel"))
     return out.withColumn("weight", F.col("weight") / (total + 1e-8))
 

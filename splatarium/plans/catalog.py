@@ -141,6 +141,9 @@ _FILTERS: dict[str, tuple[FilterValues, str]] = {
     "filter_frustum": (FilterValues(frustum_pos=(0.5, 0.3, 6.07), frustum_rot=(0.1, 0.2, 0.05), frustum_fov=0.9, frustum_aspect=1.3, frustum_near=1.03, frustum_far=9.02), f"{_ALWAYS} AND {_frustum_sql((0.5, 0.3, 6.07), _FRUSTUM_TURN, 0.45, 1.3, 1.03, 9.02)}"),
     "filter_combined": (FilterValues(min_opacity=0.3, max_scale=0.9, sphere_radius=4.0, box_min=(-5.0, -5.0, 0.0), box_max=(5.0, 5.0, 5.0)), f"opacity >= 0.3 AND opacity <= 1 AND greatest(sx,sy,sz) <= 0.9 AND {_SPHERE(4.0)} AND x BETWEEN -5 AND 5 AND y BETWEEN -5 AND 5 AND z BETWEEN 0 AND 5"),
     "filter_outside_sphere": (FilterValues(sphere_radius=4.0, invert=True), f"NOT ({_ALWAYS} AND {_SPHERE(4.0)})"),
+    "filter_outside_box": (FilterValues(box_min=(-3.0, -4.05, -2.5), box_max=(2.0, 1.0, 4.5), invert=True), f"NOT ({_ALWAYS} AND x BETWEEN -3.0 AND 2.0 AND y BETWEEN -4.05 AND 1.0 AND z BETWEEN -2.5 AND 4.5)"),
+    "filter_outside_ellipsoid": (FilterValues(ellipsoid_center=(0.51, 0.12, 0.03), ellipsoid_radii=(3.03, 4.07, 2.52), ellipsoid_rot=_ROT, invert=True), f"NOT ({_ALWAYS} AND {_ellipsoid_sql((0.51, 0.12, 0.03), (3.03, 4.07, 2.52), _SHAPE_TURN)})"),
+    "filter_outside_frustum": (FilterValues(frustum_pos=(0.5, 0.3, 6.07), frustum_rot=(0.1, 0.2, 0.05), frustum_fov=0.9, frustum_aspect=1.3, frustum_near=1.03, frustum_far=9.02, invert=True), f"NOT ({_ALWAYS} AND {_frustum_sql((0.5, 0.3, 6.07), _FRUSTUM_TURN, 0.45, 1.3, 1.03, 9.02)})"),
     "filter_merged_spheres": (FilterValues(sphere_radius=5.0) + FilterValues(sphere_radius=3.0, sphere_center=(2.0, 0.0, 0.0), min_opacity=0.2), f"{_ALWAYS} AND opacity >= 0.2 AND {_SPHERE(3.0, (2.0, 0.0, 0.0))}"),
 }
 for _name, (_v, _where) in _FILTERS.items():
@@ -169,6 +172,9 @@ register("tests_any", f"SELECT {KEYS}, {_r(POS)} FROM ({L}) WHERE {' OR '.join(_
 register("tests_mask", f"SELECT {KEYS}, {' AND '.join(_TESTS_SQL[:2])} AS mask_near FROM ({L})")(
     lambda spark, sf: Tests(_TESTS.ops[:2]).mask(fx.scene_l(spark, sf).df, "mask_near").select(*fx.KEYS_L, "mask_near")
 )
+register("tests_planes", f"SELECT {KEYS}, {_r(POS)} FROM ({L}) WHERE z >= -2.05 AND x <= 3.03")(
+    lambda spark, sf: _out(Tests().near_plane(-2.05).far_plane(3.03, "x")(fx.scene_l(spark, sf).df), fx.KEYS_L, POS)
+)
 register("tests_complement", f"SELECT {KEYS}, {_r(POS)} FROM ({L}) WHERE NOT {_SPHERE(2.0)} AND opacity <= 0.95 - 1e-6 AND x <= 4.55 - 1e-6 AND y >= -4.85 + 1e-6")(
     lambda spark, sf: _out(_TESTS.complement()(fx.scene_l(spark, sf).df), fx.KEYS_L, POS)
 )
@@ -286,6 +292,11 @@ for _name, _v in _COLOURS.items():
     register(_name, _stages(L, KEYS, _value_stages(_v)))(lambda spark, sf, v=_v: _out(fx.scene_l(spark, sf).color(v).df, fx.KEYS_L, RGB))
 
 
+# The same from other units; the SQL has the numbers that 5600 K and half a radian stand for.
+for _name, _v, _same in (("color_kelvin", ColorValues.from_k(5600.0), ColorValues(temperature=0.2)), ("color_radians", ColorValues.from_rad(0.5), ColorValues(hue_shift=28.64788975654116))):
+    register(_name, _stages(L, KEYS, _value_stages(_same)))(lambda spark, sf, v=_v: _out(fx.scene_l(spark, sf).color(v).df, fx.KEYS_L, RGB))
+
+
 _SH = ColorValues(temperature=0.2, tint=0.1, brightness=1.2, contrast=1.1, saturation=0.8, hue_shift=25.0, fade=0.1)
 _BAND0 = [f"shn_0_{c}" for c in RGB]
 
@@ -412,6 +423,13 @@ def _hist_soft(spark, sf):
     return stats.soft_histogram(fx.scene_l(spark, sf).df, stats.colour_values(), 8).select("channel", "bin", _rounded("weight").alias("weight"))
 
 
+@register("histogram_soft_fine", f"""WITH rows AS (SELECT channel, v, count(*) AS n FROM ({_LONG}) GROUP BY 1, 2), bins AS (SELECT unnest(range(256)) AS bin), w AS (
+  SELECT channel, bin, sum(n*exp(-((v-(bin+0.5)/256)*512)*((v-(bin+0.5)/256)*512)/2)) AS s FROM rows, bins GROUP BY 1, 2)
+  SELECT channel, bin::INTEGER AS bin, round(s/(sum(s) OVER (PARTITION BY channel)+1e-8), 10) AS weight FROM w""")
+def _hist_soft_fine(spark, sf):
+    return stats.soft_histogram(fx.scene_l(spark, sf).df, stats.colour_values(), 256).select("channel", "bin", _rounded("weight").alias("weight"))
+
+
 _AUTO = f"""WITH l AS (SELECT *, {LUM} AS lum FROM ({L})), q AS (SELECT quantile_cont(lum, 0.001) AS a, quantile_cont(lum, 0.999) AS b, quantile_cont(lum, 0.01) AS c, quantile_cont(lum, 0.99) AS d FROM l),
   t AS (SELECT avg(lum) AS m, avg(r) AS mr, avg(g) AS mg, avg(b) AS mb FROM l WHERE lum BETWEEN (SELECT c FROM q) AND (SELECT d FROM q)),
   k AS (SELECT least(greatest((mr+mg+mb)/3/(mr+1e-8), 0.5), 2) AS kr, least(greatest((mr+mg+mb)/3/(mg+1e-8), 0.5), 2) AS kg, least(greatest((mr+mg+mb)/3/(mb+1e-8), 0.5), 2) AS kb FROM t)

@@ -492,3 +492,26 @@ def test_fit_chain(spark, scene):
     got, least = learn.fit_chain(rows, {c: f"to_{c}" for c in (*POS, OPACITY, *RGB)}, ColorValues(), OpacityValues(0.9), TransformValues(), fields, scene.format, steps=12)
     assert least < 1e-9 and got[0].brightness == pytest.approx(1.1, abs=1e-4) and got[0].saturation == pytest.approx(0.8, abs=1e-4) and got[1].scale == pytest.approx(0.7, abs=1e-4)
     assert got[2].translation == pytest.approx((1, 0, -2), abs=1e-4) and got[2].scale_vector == pytest.approx([1.5] * 3, abs=1e-4) and got[2].rotation == pytest.approx(v[2].rotation, abs=1e-4)
+
+
+def test_protocols():
+    from splatarium.plans import protocols
+
+    kinds = (protocols.PipelineStage, protocols.ColorProcessor, protocols.TransformProcessor, protocols.FilterProcessor)
+    fits = lambda stage: [isinstance(stage, k) for k in kinds]
+    assert fits(colour.Color()) == [True, True, False, False] and fits(transform.Transform()) == [True, False, True, False]
+    assert fits(Tests())[1:] == [False, False, True] and fits(lambda df: df) == [False] * 4
+
+
+@pytest.mark.parametrize("bins, sigma", [(1, None), (8, 0.3), (64, None), (256, 0.01)])
+def test_soft_histogram(spark, bins, sigma):
+    """Against every row's weight in every bin, with values far outside."""
+    g = np.random.default_rng(bins)
+    v = np.concatenate([g.random(300), g.normal(size=100), [1e6, -1e6, 0.0, 1.0]])
+    df = spark.createDataFrame([(float(x),) for x in v] + [(None,)], "v double").repartition(2)
+    got = stats.soft_histogram(df, {"a": F.col("v"), "far": F.col("v") + 1e9}, bins, sigma=sigma).toPandas().sort_values(["channel", "bin"])
+    centers, s = (np.arange(bins) + 0.5) / bins, sigma or 0.5 / bins
+    w = np.exp(-(((v[:, None] - centers) / s) ** 2) / 2).sum(0)
+    assert got[got.channel == "a"].bin.tolist() == list(range(bins))
+    assert got[got.channel == "a"].weight.to_numpy() == pytest.approx(w / (w.sum() + 1e-8), abs=1e-11)
+    assert got[got.channel == "far"].weight.tolist() == [0.0] * bins
