@@ -31,6 +31,7 @@ the order of a hash of their texts; an empty table gives no shards.
 from __future__ import annotations
 
 import functools
+from itertools import accumulate
 
 import numpy as np
 import pyarrow as pa
@@ -50,6 +51,8 @@ LEAST = 12
 _SLOT_BITS, SORTED = 18, 1 << 17
 #: Bytes of text encoded at once; a longer text is encoded alone.
 ENCODE_BYTES = 4 << 20
+#: Pre-tokens that a worker remembers.
+REMEMBERED = 800_000
 
 
 @functools.cache
@@ -74,9 +77,18 @@ class JsonEncoder:
         from tokenizers import Tokenizer
 
         self.whole = Tokenizer.from_file(path)
-        merge, names = self.whole.model.tokenize, _byte_names()
+        merge = self.whole.model.tokenize
+        names = np.array([ord(x) for x in "".join(map(chr, range(256))).translate(_byte_names())], "<u2")
+
+        def ids_of(new: list[str]) -> list[list[int]]:
+            """Ids of pre-tokens, of which the model wants each byte as its character."""
+            raw = list(map(str.encode, new))
+            spelled = names[np.frombuffer(b"".join(raw), np.uint8)].tobytes().decode("utf-16-le")
+            ends = [0, *accumulate(map(len, raw))]
+            return [[t.id for t in merge(spelled[a:b])] for a, b in zip(ends, ends[1:])]
+
         self.added = [t.content for t in self.whole.get_added_tokens_decoder().values()] if added else []
-        self.memory = pretokens.Memory(lambda new: [[t.id for t in merge(p.encode().decode("latin-1").translate(names))] for p in new])
+        self.memory = pretokens.Memory(ids_of, REMEMBERED)
 
     def __call__(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """(ids of all texts end to end, number of ids of each); a null is an empty text."""
