@@ -32,7 +32,7 @@ def test_query(spark, duck, name):
 
 
 def test_interpolate_whole_table(spark):
-    out = catalog.QUERIES["interpolate_tables_whole"](spark, SF)
+    out = catalog.QUERIES["interpolate_tables"](spark, SF)
     assert out.count() == spark.read.parquet(f"{SF}/lineitem.parquet").count()
 
 
