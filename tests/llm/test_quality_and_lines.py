@@ -477,4 +477,4 @@ def test_words_and_hashes():
 
 def test_registry():
     names = [n.split("_")[0] for n in queries.QUERIES]
-    assert sorted(names) == sorted(f"op{k}" for k in range(1, 11)) and set(queries.ORACLE_SQL) <= set(queries.QUERIES)
+    assert sorted(names) == sorted(f"op{k}" for k in range(1, 14)) and set(queries.ORACLE_SQL) <= set(queries.QUERIES)
