@@ -150,22 +150,24 @@ def _by_table(left: np.ndarray, right: np.ndarray, slot: np.ndarray) -> tuple[np
 def re_pair(ids: np.ndarray, ends: np.ndarray, terminals: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(symbols, rules, flags of last symbols) for ids; ends flags last ids.
 
-    Rounds go on until no pair stands `LEAST` times or more in what is left.
+    Rounds go on until no pair stands `LEAST` times or more in what is left. A pair that
+    was too rare in one round stays so, as its symbols are not made any more; only the
+    others and those with a symbol of the last round are looked at in the next one.
     """
     seq, rules, first, turn = ids.astype(np.uint32), [], terminals, 0
-    while len(seq) > 1:
-        left, right = seq[:-1], seq[1:]
+    maybe = np.flatnonzero(~ends[:-1])  # where such pairs begin; none reaches over the end of a document
+    while len(maybe):
+        left, right = seq[maybe], seq[maybe + 1]
         slot = _slots(left, right, turn)
         turn += 1
-        slot[ends[:-1]] = 1 << _SLOT_BITS  # over the end of a document
-        often = np.bincount(slot, minlength=(1 << _SLOT_BITS) + 1)  # as many as any pair of the slot, at least
-        often[-1] = 0
-        maybe = np.flatnonzero((often >= LEAST)[slot])
-        if not len(maybe):
+        # in its slot stand as many as of any pair, at least
+        often = np.flatnonzero((np.bincount(slot, minlength=1 << _SLOT_BITS) >= LEAST)[slot])
+        if not len(often):
             break
-        found = _by_table(left[maybe], right[maybe], slot[maybe]) if len(maybe) > SORTED else None
+        maybe, left, right, slot = maybe[often], left[often], right[often], slot[often]
+        found = _by_table(left, right, slot) if len(maybe) > SORTED else None
         if found is None or not len(found[2]):
-            found = _by_sorting(left[maybe], right[maybe])
+            found = _by_sorting(left, right)
         a, b, where, got = found
         if not len(where):
             break
@@ -177,12 +179,18 @@ def re_pair(ids: np.ndarray, ends: np.ndarray, terminals: int) -> tuple[np.ndarr
         used = np.flatnonzero(np.bincount(got, minlength=len(a)))
         number = np.zeros(len(a), np.uint32)
         number[used] = np.arange(first, first + len(used), dtype=np.uint32)
-        seq, ends = seq.copy(), ends.copy()
+        seq, ends, look = seq.copy(), ends.copy(), np.zeros(len(seq), bool)
+        look[maybe] = True
         seq[where] = number[got]
         ends[where] = ends[where + 1]
         keep = np.ones(len(seq), bool)
         keep[where + 1] = False
-        seq, ends = seq[keep], ends[keep]
+        seq, ends, look = seq[keep], ends[keep], look[keep]
+        made = seq >= first
+        look |= made
+        look[:-1] |= made[1:]
+        look &= ~ends
+        maybe = np.flatnonzero(look[:-1])
         rules.append(np.stack([a[used], b[used]], axis=1).astype(np.int64))
         first += len(used)
     return seq, np.concatenate(rules) if rules else np.zeros((0, 2), np.int64), ends

@@ -94,29 +94,30 @@ class Memory:
         self.forget()
 
     def forget(self) -> None:
-        self.number: dict[str, int] = {}
-        self.chars, self.flat, self.upto = 0, np.zeros(0, np.uint32), np.zeros(1, np.int64)
+        self.ids_of: dict[str, bytes] = {}  # as 32-bit integers end to end
+        self.chars = 0
 
     def ids(self, buf: np.ndarray, start: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(ids end to end, number of ids of each pre-token)."""
         if not len(start):
             return np.zeros(0, np.uint32), np.zeros(0, np.int64)
-        if len(self.number) > self.remembered or self.chars > CHARS_EACH * self.remembered:
+        if len(self.ids_of) > self.remembered or self.chars > CHARS_EACH * self.remembered:
             self.forget()
         ends = np.append(start, len(buf)).astype(np.int64)
         coded = pa.LargeStringArray.from_buffers(len(start), pa.py_buffer(ends), pa.py_buffer(np.ascontiguousarray(buf))).dictionary_encode()
-        different = coded.dictionary.to_pylist()
-        new = [t for t in different if t not in self.number]
+        different = coded.dictionary.to_numpy(zero_copy_only=False).tolist()  # to_pylist takes ten times as long
+        known = list(map(self.ids_of.get, different))
+        new = [k for k, x in enumerate(known) if x is None]
         if new:
-            got = self.encode(new)
-            self.number.update(zip(new, range(len(self.number), len(self.number) + len(new))))
-            self.chars += sum(map(len, new))
-            self.flat = np.concatenate([self.flat, np.fromiter(chain.from_iterable(got), np.uint32)])
-            self.upto = np.concatenate([self.upto, self.upto[-1] + np.cumsum(np.fromiter(map(len, got), np.int64, len(got)))])
-        number = np.fromiter(map(self.number.__getitem__, different), np.int64, len(different))[coded.indices.to_numpy()]
-        begin = self.upto[number]
-        n = self.upto[number + 1] - begin
-        end = np.cumsum(n)
-        pick = np.repeat(begin - (end - n), n)
-        pick += np.arange(len(pick))
-        return self.flat[pick], n
+            words = [different[k] for k in new]
+            got = self.encode(words)
+            n = np.fromiter(map(len, got), np.int64, len(got))
+            raw, upto = np.fromiter(chain.from_iterable(got), np.uint32, int(n.sum())).tobytes(), [0, *(4 * np.cumsum(n)).tolist()]
+            for k, word, a, b in zip(new, words, upto, upto[1:]):
+                known[k] = self.ids_of[word] = raw[a:b]
+            self.chars += sum(map(len, words))
+        # the ids of a text are those of its pre-tokens, put end to end by Arrow
+        taken = pa.array(known, pa.large_binary()).take(coded.indices)
+        upto = np.frombuffer(taken.buffers()[1], np.int64, len(taken) + 1, taken.offset * 8)
+        flat = np.frombuffer(taken.buffers()[2], np.uint32, int(upto[-1] - upto[0]) // 4, int(upto[0]))
+        return flat, np.diff(upto) // 4

@@ -151,6 +151,39 @@ def test_re_pair_round_trip(monkeypatch, seed, sorted_upto):
     assert seed != 4 or len(s.symbols) < 60 * 12
 
 
+def test_re_pair_looks_at_less_each_round(monkeypatch):
+    """Pairs that were too rare are not looked at again, and yet no frequent one is left."""
+    rng, looked, slots = np.random.default_rng(5), [], grammar_store._slots
+    monkeypatch.setattr(grammar_store, "_slots", lambda left, right, turn: looked.append(len(left)) or slots(left, right, turn))
+    ids = np.where(rng.random(60_000) < 0.1, np.tile(np.arange(8), 7500), rng.integers(10, 40_000, 60_000)).astype(np.uint32)
+    ids[:3000] = 7
+    ends = rng.random(60_000) < 0.01
+    ends[-1] = True
+    seq, rules, last = grammar_store.re_pair(ids, ends, 50_000)
+    assert len(rules) and len(looked) > 3 and looked[-1] < len(seq) / 10 and last.sum() == ends.sum()
+    often = collections.Counter((a, b) for a, b, e in zip(seq.tolist(), seq[1:].tolist(), last.tolist()) if not e)
+    # a run of one symbol counts every second place
+    assert all(n < grammar_store.LEAST for n in often.values())
+
+
+def test_memory_of_pretokens():
+    """The same ids from new pre-tokens, remembered ones and after all were forgotten."""
+    asked = []
+
+    def encode(new):
+        asked.extend(new)
+        return [[len(t.encode()), *t.encode()] for t in new]
+
+    memory = pretokens.Memory(encode, 4)
+    for text in ("a bb ccc bb", "bb ccc", "x é 文字 a", "one two three four five", "a a a", "", "a"):
+        raw = np.frombuffer(text.encode(), np.uint8)
+        start = pretokens.starts(raw, np.array([0, len(raw)]), pretokens.tokenizers_classes())
+        ids, n = memory.ids(raw, start)
+        parts = [raw[a:b].tolist() for a, b in zip(start, [*start[1:], len(raw)])]
+        assert ids.tolist() == [x for p in parts for x in (len(p), *p)] and n.tolist() == [len(p) + 1 for p in parts]
+    assert asked.count(" bb") == 1 and asked.count("a") > 1
+
+
 def test_tiff_codecs():
     r = random.Random(1)
     for n in (0, 1, 2, 3, 100, 3000, 20000):
