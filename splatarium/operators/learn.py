@@ -242,31 +242,44 @@ def fit_filter(df: DataFrame, wanted: Column, params: tuple[str, ...] = ("min_op
 
 # ------------------------------------------- least squares over rows of any scene
 
-Residuals = Callable[[DataFrame, dict[str, float]], tuple[DataFrame, list[Column]]]
+#: Rows and their residuals at given parameters; then, if it is known, by parameter how each residual
+#: that it moves, named by its place, changes with it. Else central differences are taken.
+Slopes = dict[str, dict[int, Column]]
+Residuals = Callable[[DataFrame, dict[str, float]], tuple[DataFrame, list[Column]] | tuple[DataFrame, list[Column], Slopes]]
 
 
-def normal_equations(df: DataFrame, residuals: Residuals, at: dict[str, float], h: float = 1e-5) -> tuple[np.ndarray, np.ndarray, float, int]:
-    """(J'J, J'r, r'r, rows) of residuals at given parameters, from one aggregate: the derivatives are
-    columns beside the residuals, central differences of the same expressions. Rows in
-    which any of them is null or NaN are left out."""
-    names, made = list(at), df
+def differences(df: DataFrame, residuals: Callable[[DataFrame, dict[str, float]], tuple[DataFrame, list[Column]]], at: dict[str, float], names: list[str], h: float = 1e-5, mark: str = "r") -> tuple[DataFrame, list[Column], Slopes]:
+    """Residuals and their central differences by the named parameters, as columns that begin with mark."""
     variants: list[list[str]] = []
     for k, values in enumerate([at, *({**at, n: at[n] + d} for n in names for d in (h, -h))]):
-        made, columns = residuals(made, values)
-        variants.append([f"r{k}_{i}" for i in range(len(columns))])
-        made = made.withColumns(dict(zip(variants[-1], columns)))
-    base, steps = variants[0], variants[1:]
-    slopes = [[(F.col(a) - F.col(b)) / (2 * h) for a, b in zip(steps[2 * j], steps[2 * j + 1])] for j in range(len(names))]
-    rows = made.select(*base, *[c.alias(f"j{j}_{i}") for j, own in enumerate(slopes) for i, c in enumerate(own)])
-    sound = [F.col(c).isNotNull() & ~F.isnan(c) for c in rows.columns]
-    both = lambda a, b: F.sum(sum((F.col(a(i)) * F.col(b(i)) for i in range(1, len(base))), F.col(a(0)) * F.col(b(0))))
-    j, r = (lambda k: lambda i: f"j{k}_{i}"), (lambda i: base[i])
-    pairs = [(a, b) for a in range(len(names)) for b in range(a + 1)]
-    row = rows.filter(functools.reduce(Column.__and__, sound)).agg(both(r, r).alias("rr"), F.count(F.lit(1)).alias("n"), *[both(j(a), r).alias(f"g{a}") for a in range(len(names))], *[both(j(a), j(b)).alias(f"h{a}_{b}") for a, b in pairs]).first()
-    jj = np.zeros((len(names), len(names)))
-    for a, b in pairs:
-        jj[a, b] = jj[b, a] = row[f"h{a}_{b}"] or 0.0
-    return jj, np.array([row[f"g{a}"] or 0.0 for a in range(len(names))]), row["rr"] or 0.0, row["n"]
+        df, columns = residuals(df, values)
+        variants.append([f"{mark}{k}_{i}" for i in range(len(columns))])
+        df = df.withColumns(dict(zip(variants[-1], columns)))
+    return df, [F.col(c) for c in variants[0]], {n: {i: (F.col(a) - F.col(b)) / (2 * h) for i, (a, b) in enumerate(zip(more, less))} for n, more, less in zip(names, variants[1::2], variants[2::2])}
+
+
+def normal_equations(df: DataFrame, residuals: Residuals, at: dict[str, float], h: float = 1e-5) -> tuple[np.ndarray, np.ndarray, float, int]:
+    """(J'J, J'r, r'r, rows) of residuals at given parameters, from one aggregate: the derivatives are
+    columns beside the residuals. Rows in which any of them is null or NaN are left out.
+
+    These are marked and not filtered: a filter goes below the projections, where each residual and
+    derivative is computed again for it, in a method too long for the JVM to compile.
+    """
+    names, found = list(at), residuals(df, at)
+    made, base, slopes = found if len(found) == 3 else differences(df, residuals, at, names, h)
+    parts = {"r": dict(enumerate(base))} | {f"j{k}": slopes.get(n, {}) for k, n in enumerate(names)}
+    rows = made.select(*[c.alias(f"{v}_{i}") for v, own in parts.items() for i, c in own.items()])
+    rows = rows.withColumn("sound", functools.reduce(Column.__and__, [F.col(c).isNotNull() & ~F.isnan(c) for c in rows.columns]))
+
+    def both(a: str, b: str) -> Column | None:
+        terms = [F.col(f"{a}_{i}") * F.col(f"{b}_{i}") for i in parts[a] if i in parts[b]]
+        return F.sum(F.when(F.col("sound"), sum(terms[1:], terms[0]))).alias(f"{a}{b}") if terms else None
+
+    pairs = [(a, b) for k, a in enumerate(parts) for b in list(parts)[: k + 1]]
+    row = rows.agg(F.count_if("sound").alias("n"), *[c for a, b in pairs if (c := both(a, b)) is not None]).first().asDict()
+    g = np.array([row.get(f"j{a}r") or 0.0 for a in range(len(names))])
+    jj = np.array([[row.get(f"j{max(a, b)}j{min(a, b)}") or 0.0 for b in range(len(names))] for a in range(len(names))])
+    return jj.reshape(len(names), len(names)), g, row["rr"] or 0.0, row["n"]
 
 
 def least_squares(df: DataFrame, residuals: Residuals, start: dict[str, float], within: dict[str, tuple[float, float]] | None = None, steps: int = 25) -> tuple[dict[str, float], float]:
@@ -310,6 +323,44 @@ class SoftShape:
     def weight(self) -> Column:
         return soft_weight(**vars(self))
 
+    def slopes(self, df: DataFrame) -> tuple[DataFrame, Column, dict[str, Column]]:
+        """(rows, the weight, its derivatives by each number of the fields) of a product of sigmoids: by what
+        stands in one of them, it is the product times what the sigmoid lacks to 1. Each step is a
+        projection of its own, so that no root and no exponential is taken twice."""
+        p, r = cols(POS), self.radii if self.shape in ("ellipsoid", "box") else (1.0, 1.0, 1.0)
+        away, local, pull = ([f"shape_{k}{i}" for i in range(3)] for k in ("away", "local", "pull"))
+        # far away a slope is 0, and is so at an infinite distance as well
+        times = lambda slope, c: F.when(slope != 0, slope * c).otherwise(slope)
+        turn = lambda v: rot.axis_angle_to_rotation_matrix(v).T / np.array(r, float)[:, None]
+        df = df.withColumns(dict(zip(away, (c - float(m) for c, m in zip(p, self.center)))))
+        df = df.withColumns(dict(zip(local, rot.linear(turn(self.rotation), cols(away)))))
+        q, shaped = cols(local), self.shape in ("ellipsoid", "box") or self.shape == "sphere" and self.radius < np.inf
+        df = df.withColumn("shape_far", F.greatest(*map(F.abs, q)) if self.shape == "box" else F.sqrt(q[0] * q[0] + q[1] * q[1] + q[2] * q[2]))
+        # what stands in each sigmoid, before its sharpness, and the sharpness
+        inside = {"opacity": (F.col(OPACITY) - self.opacity, "opacity_sharpness")} if self.opacity > 0 else {}
+        inside |= {"scale": (self.scale - largest_scale(), "scale_sharpness")} if self.scale < 100 else {}
+        inside |= {"far": ((self.radius if self.shape == "sphere" else 1) - F.col("shape_far"), "sharpness")} if shaped else {}
+        df = df.withColumns({f"shape_in_{k}": c for k, (c, _) in inside.items()})
+        df = df.withColumns({f"shape_soft_{k}": sc.sigmoid(F.col(f"shape_in_{k}") * getattr(self, s)) for k, (_, s) in inside.items()})
+        df = df.withColumn("shape_weight", functools.reduce(Column.__mul__, [F.col(f"shape_soft_{k}") for k in inside], F.lit(1.0)))
+        df = df.withColumns({f"shape_by_{k}": F.col("shape_weight") * (1 - F.col(f"shape_soft_{k}")) for k in inside})
+        out = {s: times(F.col(f"shape_by_{k}"), F.col(f"shape_in_{k}")) for k, (_, s) in inside.items()}
+        out |= {k: F.col(f"shape_by_{k}") * (sign * getattr(self, inside[k][1])) for k, sign in (("opacity", -1.0), ("scale", 1.0)) if k in inside}
+        if not shaped:
+            return df, F.col("shape_weight"), out
+        # the weight's derivative by each local coordinate, less its sign; at the center there is none
+        by, far = F.col("shape_by_far") * self.sharpness, F.col("shape_far")
+        if self.shape == "box":
+            df = df.withColumns({k: F.when(F.abs(c) == far, F.signum(c) * by).otherwise(0.0) for k, c in zip(pull, q)})
+        else:
+            df = df.withColumn("shape_pull", F.when(far != 0, by / far).otherwise(by * 0)).withColumns({k: times(F.col("shape_pull"), c) for k, c in zip(pull, q)})
+        u, dot = cols(pull), lambda m: rot.linear(np.reshape(m, (1, 3)), cols(pull))[0]
+        out |= {f"center.{k}": dot(turn(self.rotation)[:, k]) for k in range(3)}
+        for k, e in enumerate(np.eye(3) * 1e-6):
+            turned = rot.linear((turn(np.add(self.rotation, e)) - turn(np.subtract(self.rotation, e))) / -2e-6, cols(away))
+            out[f"rotation.{k}"] = times(u[0], turned[0]) + times(u[1], turned[1]) + times(u[2], turned[2])
+        return df, F.col("shape_weight"), out | ({"radius": by} if self.shape == "sphere" else {f"radii.{k}": times(u[k], q[k]) / float(r[k]) for k in range(3)})
+
 
 def _flat(of, params: tuple[str, ...]) -> dict[str, float]:
     """Numbers of a record's fields, by name and place."""
@@ -333,7 +384,12 @@ def fit_shape(df: DataFrame, wanted: Column, start: SoftShape, params: tuple[str
     for a center, radii (half sizes of a box) and a rotation each."""
     flat = _flat(start, params)
     within = {k: (1e-6, np.inf) for k in flat if k.startswith("rad")} | {k: (1e-9, np.inf) for k in flat if k in ("opacity", "scale")}
-    best, least = least_squares(df, lambda rows, p: (rows, [_filled(start, p).weight() - wanted.cast("double")]), flat, within, steps)
+
+    def residuals(rows: DataFrame, p: dict[str, float]):
+        made, weight, slopes = _filled(start, p).slopes(rows)
+        return made, [weight - F.col("wanted_weight")], {k: {0: c} for k, c in slopes.items() if k in p}
+
+    best, least = least_squares(df.withColumn("wanted_weight", wanted.cast("double")), residuals, flat, within, steps)
     return _filled(start, best), least
 
 

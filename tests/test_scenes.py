@@ -1,4 +1,7 @@
+import contextlib
+import io
 import math
+import re
 
 import numpy as np
 import pandas as pd
@@ -483,6 +486,57 @@ def test_fit_shape(spark, shape):
     assert (got.radius == pytest.approx(1.4, abs=1e-3)) if shape == "sphere" else (got.radii == pytest.approx(true.radii, abs=1e-3) and got.rotation == pytest.approx(true.rotation, abs=1e-3))
 
 
+def method_sizes(spark, monkeypatch, run):
+    """Bytes of the longest method that Spark generates for each aggregate that is asked for: the JVM
+    doesn't compile those of more than 8,000, which makes a row some hundred times as expensive."""
+    kind, sizes = type(spark.range(1)), []
+
+    def first(df, ask=kind.first):
+        with contextlib.redirect_stdout(io.StringIO()) as text:
+            df.explain("codegen")
+        sizes.extend(map(int, re.findall(r"maxMethodCodeSize:(\d+)", text.getvalue())))
+        return ask(df)
+
+    monkeypatch.setattr(kind, "first", first)
+    before = spark.conf.get("spark.sql.adaptive.enabled")
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        run()
+    finally:
+        spark.conf.set("spark.sql.adaptive.enabled", before)
+    assert sizes
+    return sizes
+
+
+def test_fit_shape_compiles(spark, scene, monkeypatch):
+    true = learn.SoftShape(shape="ellipsoid", center=(0.3, -0.2, 0.1), radii=(1.5, 1.0, 2.0))
+    rows = spark.read.parquet("/root/testdata/sf0.001/lineitem.parquet").selectExpr("l_quantity / 5 - 5 AS x", "l_extendedprice / 10500 - 5 AS y", "l_discount * 100 - 5 AS z")
+    assert max(method_sizes(spark, monkeypatch, lambda: learn.fit_shape(rows, true.weight(), learn.SoftShape(shape="ellipsoid"), steps=1))) < 8000
+    more = learn.SoftShape(0.2, 0.9, "ellipsoid"), ("opacity", "scale", "center", "radii", "rotation", "opacity_sharpness", "scale_sharpness", "sharpness")
+    assert max(method_sizes(spark, monkeypatch, lambda: learn.fit_shape(scene.df, F.lit(0.5), *more, steps=1))) < 8000
+
+
+@pytest.mark.parametrize("shape", ["sphere", "box", "ellipsoid"])
+def test_slopes_of_shapes(spark, shape):
+    """Against differences; no slope at the center and none at an infinite distance, and no weight of nulls."""
+    p = np.random.default_rng(6).normal(size=(60, 6))
+    df = spark.createDataFrame(pd.DataFrame(p, columns=[*POS, *SCALE]).assign(opacity=0.4)).cache()
+    turned = learn.SoftShape(0.3, 0.6, shape, (0.1, -0.2, 0.3), 1.2, (1.1, 0.8, 1.5), (0.2, 0.5, -0.4), 7.0, 5.0, 4.0)
+    flat = learn._flat(turned, tuple(vars(turned).keys() - {"shape"}))
+    made, weight, slopes = turned.slopes(df)
+    assert flat.keys() - slopes.keys() == ({"radii.0", "radii.1", "radii.2"} if shape == "sphere" else {"radius"})
+    by = lambda k: [learn._filled(turned, {k: flat[k] + d}).weight() for d in (1e-6, -1e-6)]
+    got = made.select((weight - turned.weight()).alias("same"), *[c.alias(k.replace(".", "")) for k, c in slopes.items()]).toPandas()
+    assert got["same"].to_numpy() == pytest.approx(0, abs=1e-12)
+    for k in slopes:
+        more, less = by(k)
+        assert got[k.replace(".", "")].to_numpy() == pytest.approx(df.select(((more - less) / 2e-6).alias("d")).toPandas()["d"].to_numpy(), abs=1e-8)
+    odd = spark.createDataFrame([(0.0, 0.0, 0.0), (math.inf, 0.0, 0.0), (None, None, None)], "x double, y double, z double")
+    made, weight, slopes = learn.SoftShape(shape=shape).slopes(odd)
+    center, far, null = map(tuple, made.select(weight, *[slopes[f"center.{k}"] for k in range(3)], slopes["sharpness"], slopes["radius" if shape == "sphere" else "radii.0"]).collect())
+    assert far == (0.0,) * 6 and null[0] is None and (shape == "box" or center[1:4] == (0.0, 0.0, 0.0))
+
+
 def test_fit_chain(spark, scene):
     """Colour, opacity and a move fitted together give the targets again."""
     v = ColorValues(brightness=1.1), OpacityValues(0.7), TransformValues.from_translation(1.0, 0.0, -2.0)
