@@ -416,6 +416,10 @@ def fit_chain(
     flat |= {f"turn:{i}": 0.0 for i in range(3)} if turn else {}
     kept = [c for c in (*POS, OPACITY, *RGB, *QUAT, *SCALE) if c in df.columns]
     rows = df.withColumns({f"from_{c}": F.col(c) for c in kept})
+    # each part has columns of its own, so its parameters move the residuals of these alone
+    places, position = {c: i for i, c in enumerate(target)}, [F.col(f"from_{c}") for c in POS]
+    parts = {"color": (RGB, apply_color), "opacity": ((OPACITY,), apply_opacity), "transform": ((*QUAT, *SCALE), apply_transform)}
+    parts = {part: (own, apply) for part, (all_, apply) in parts.items() if start[part] is not None and (own := [c for c in target if c in all_])}
 
     def chain(p: dict[str, float]):
         out = {part: of and _filled(of, {k.partition(":")[2]: v for k, v in p.items() if k.startswith(f"{part}:")}) for part, of in start.items()}
@@ -424,16 +428,26 @@ def fit_chain(
             out["transform"] = replace(out["transform"], rotation=tuple(rot.quaternion_multiply(by, transform.rotation).tolist()))
         return out
 
-    def residuals(made: DataFrame, p: dict[str, float]):
-        v = chain(p)
-        made = made.withColumns({c: F.col(f"from_{c}") for c in kept})
-        if v["color"] is not None:
-            made = apply_color(made, v["color"], fmt)
-        if v["opacity"] is not None:
-            made = apply_opacity(made, v["opacity"], fmt)
-        if v["transform"] is not None:
-            made = apply_transform(made, v["transform"], fmt)
-        return made, [F.col(c) - F.col(t) for c, t in target.items()]
+    def residuals(made: DataFrame, p: dict[str, float], h: float = 1e-5):
+        base, slopes = {c: F.col(c) - F.col(t) for c, t in target.items()}, {k: {} for k in p}
+        if transform is not None:
+            # positions are linear in the entries of a matrix, so its slopes are all it takes
+            m = lambda q: chain(q)["transform"].to_matrix()[:3]
+            place = lambda m: zip(POS, rot.linear(m[:, :3], position, m[:, 3]), m.any(1))
+            base |= {c: v - F.col(target[c]) for c, v, _ in place(m(p)) if c in target}
+            for k in (k for k in p if k.startswith(("transform:", "turn:"))):
+                slopes[k] |= {places[c]: v for c, v, moves in place((m({**p, k: p[k] + h}) - m({**p, k: p[k] - h})) / (2 * h)) if c in target and moves}
+        for part, (own, apply) in parts.items():
+
+            def moved(df: DataFrame, q: dict[str, float]):
+                df = apply(df.withColumns({c: F.col(f"from_{c}") for c in kept}), chain(q)[part], fmt)
+                return df, [F.col(c) - F.col(target[c]) for c in own]
+
+            made, more, by = differences(made, moved, p, [k for k in p if k.startswith(("transform:", "turn:") if part == "transform" else f"{part}:")], h, part)
+            base |= dict(zip(own, more))
+            for k, found in by.items():
+                slopes[k] |= {places[own[i]]: c for i, c in found.items()}
+        return made, [base[c] for c in target], slopes
 
     best, least = least_squares(rows, residuals, flat, steps=steps)
     v = chain(best)

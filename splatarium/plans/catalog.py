@@ -54,6 +54,12 @@ def _rounded(c):
     return F.floor(((F.col(c) if isinstance(c, str) else c) + _OFF_TIES) * 1e6 + 0.5) / 1e6
 
 
+def _sum_of_many(c):
+    """A sum of doubles that loses no digits with their number: whole units of 2^-20 add up exactly, and the rests to little."""
+    units = F.when(F.abs(c) < 2.0**20, F.floor(c * 2.0**20)).otherwise(0)
+    return F.sum(units) / 2.0**20 + F.sum(c - units / 2.0**20)
+
+
 def _same_rounding(sql: str) -> str:
     """The same in SQL for every round(v, 10), which stands for it."""
     while (end := sql.find(", 10)")) >= 0:
@@ -456,7 +462,7 @@ def _fit_ellipsoid(spark, sf):
     start = learn.SoftShape(shape="ellipsoid", radii=(2.0, 2.0, 2.0))
     found, _ = learn.fit_shape(rows, F.col("wanted"), start)
     d = start.weight() - F.col("wanted")
-    return rows.agg(F.count(F.lit(1)).alias("n"), *[F.lit(round(v, 6) + 0.0).alias(k) for k, v in zip(("cx", "cy", "cz", "rx", "ry", "rz"), (*found.center, *found.radii))], F.round(F.sum(d * d), 3).alias("loss_before"))
+    return rows.agg(F.count(F.lit(1)).alias("n"), *[F.lit(round(v, 6) + 0.0).alias(k) for k, v in zip(("cx", "cy", "cz", "rx", "ry", "rz"), (*found.center, *found.radii))], F.round(_sum_of_many(d * d), 3).alias("loss_before"))
 
 
 @register("fit_chain", f"SELECT CAST(count(*) AS BIGINT) AS n, CAST(1.2 AS DOUBLE) AS brightness, CAST(0.8 AS DOUBLE) AS opacity, CAST(2 AS DOUBLE) AS tx, CAST(-1 AS DOUBLE) AS ty, CAST(0.5 AS DOUBLE) AS tz, round(sum(opacity*0.8), 4) AS total FROM ({L})")
@@ -466,7 +472,7 @@ def _fit_chain(spark, sf):
     rows = rows.withColumns({**{f"to_{c}": F.col(c) + d for c, d in zip(POS, (2.0, -1.0, 0.5))}, f"to_{OPACITY}": F.col(OPACITY) * 0.8, **{f"to_{c}": F.least(F.col(c) * 1.2, F.lit(1.0)) for c in RGB}})
     (colour_, opacity_, move), _ = learn.fit_chain(rows, {c: f"to_{c}" for c in (*POS, OPACITY, *RGB)}, ColorValues(), OpacityValues(0.9), TransformValues(), {"color": ("brightness",), "opacity": ("scale",), "transform": ("translation",)})
     found = {"brightness": colour_.brightness, "opacity": opacity_.scale, **dict(zip(("tx", "ty", "tz"), move.translation))}
-    return rows.agg(F.count(F.lit(1)).alias("n"), *[F.lit(round(v, 6) + 0.0).alias(k) for k, v in found.items()], F.round(F.sum(f"to_{OPACITY}"), 4).alias("total"))
+    return rows.agg(F.count(F.lit(1)).alias("n"), *[F.lit(round(v, 6) + 0.0).alias(k) for k, v in found.items()], F.round(_sum_of_many(F.col(f"to_{OPACITY}")), 4).alias("total"))
 
 
 # -------------------------------------------------------------------- files

@@ -547,6 +547,47 @@ def test_fit_chain(spark, scene):
     assert least < 1e-6 and got[0].brightness == pytest.approx(1.1, abs=1e-3) and got[1].scale == pytest.approx(0.7, abs=1e-3) and got[2].translation == pytest.approx((1, 0, -2), abs=1e-3)
 
 
+def test_fit_chain_compiles(spark, monkeypatch):
+    rows = spark.read.parquet("/root/testdata/sf0.001/lineitem.parquet").selectExpr("l_quantity / 5 AS x", "l_extendedprice / 10500 AS y", "l_discount * 100 AS z", "l_quantity / 50 AS opacity", "l_discount * 10 AS r", "l_tax * 12.5 AS g", "l_tax AS b", "1 + l_tax AS goal")
+    fit = lambda: learn.fit_chain(rows, {c: "goal" for c in (*POS, OPACITY, *RGB)}, ColorValues(), OpacityValues(0.9), TransformValues(), steps=1)
+    assert max(method_sizes(spark, monkeypatch, fit)) < 8000
+
+
+def test_slopes_of_chains(spark, scene, monkeypatch):
+    """Residuals against the scene's own operators, and slopes against differences of them."""
+    asked, kept = {}, (*QUAT, *SCALE, *RGB, OPACITY, *POS)
+    monkeypatch.setattr(learn, "least_squares", lambda rows, residuals, start, **_: asked.update(rows=rows, residuals=residuals) or (start, 0.0))
+    about = {"rotation": tuple(rot.axis_angle_to_quaternion([0.1, 0.2, -0.3]).tolist()), "translation": (1.0, 0.0, -2.0), "center": (0.1, 0.2, 0.3)}
+    start = ColorValues(saturation=0.9), OpacityValues(0.7), TransformValues((1.2, 0.9, 1.1), **about)
+    learn.fit_chain(scene.df.withColumns({f"to_{c}": F.col(c) * 0.5 for c in kept}), {c: f"to_{c}" for c in kept}, *start, {"color": ("brightness",), "opacity": ("scale",), "transform": ("rotation", "translation")}, scene.format)
+    at = {"color:brightness": 1.2, "opacity:scale": 0.8, "transform:translation.1": 1.1, "turn:0": 0.0, "turn:1": 0.1, "turn:2": 0.0}
+
+    def direct(p):
+        turn = rot.quaternion_multiply(rot.axis_angle_to_quaternion([p[f"turn:{i}"] for i in range(3)]), about["rotation"])
+        moved = TransformValues((1.2, 0.9, 1.1), **about | {"rotation": tuple(turn.tolist()), "translation": (1.0, p["transform:translation.1"], -2.0)})
+        done = scene.color(ColorValues(brightness=p["color:brightness"], saturation=0.9)).opacity(OpacityValues(p["opacity:scale"])).transform(moved)
+        return (rows(done, *kept) - rows(scene, *kept) * 0.5).ravel()
+
+    jj, g, rr, n = learn.normal_equations(asked["rows"], asked["residuals"], at)
+    r, j = direct(at), np.stack([(direct({**at, k: v + 1e-5}) - direct({**at, k: v - 1e-5})) / 2e-5 for k, v in at.items()], 1)
+    assert n == N and rr == pytest.approx(r @ r) and g == pytest.approx(j.T @ r, rel=1e-6, abs=1e-5) and jj == pytest.approx(j.T @ j, rel=1e-6, abs=1e-5)
+
+
+def test_fit_of_scale_begins_at_none(spark, scene):
+    df = scene.df.withColumns({f"to_{c}": F.col(c) * k for c, k in zip(POS, (1.5, 1.0, 0.5))})
+    (_, _, got), least = learn.fit_chain(df, {c: f"to_{c}" for c in POS}, transform=TransformValues(), params={"transform": ("scale",)}, steps=5)
+    assert got.scale == pytest.approx((1.5, 1.0, 0.5), abs=1e-6) and least < 1e-12
+
+
+def test_sum_of_many(spark):
+    from splatarium.plans import catalog
+
+    df = spark.range(0, 2_000_000, 1, 1).select((F.lit(0.1) + F.col("id") * 0).alias("v"))
+    assert df.select(catalog._sum_of_many(F.col("v"))).first()[0] == pytest.approx(200_000, abs=1e-9)
+    odd = spark.createDataFrame([(1, 1e300), (1, None), (2, math.inf), (2, math.inf), (3, math.nan), (3, 1.0)], "k int, v double")
+    assert [repr(r[1]) for r in odd.groupBy("k").agg(catalog._sum_of_many(F.col("v"))).orderBy("k").collect()] == ["1e+300", "inf", "nan"]
+
+
 def test_protocols():
     from splatarium.plans import protocols
 
