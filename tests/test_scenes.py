@@ -488,7 +488,7 @@ def test_fit_shape(spark, shape):
 
 def method_sizes(spark, monkeypatch, run):
     """Bytes of the longest method that Spark generates for each aggregate that is asked for: the JVM
-    doesn't compile those of more than 8,000, which makes a row some hundred times as expensive."""
+    doesn't compile those of more than 8,000, and interprets them instead."""
     kind, sizes = type(spark.range(1)), []
 
     def first(df, ask=kind.first):
